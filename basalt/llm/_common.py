@@ -53,6 +53,19 @@ def release(spark: SparkSession) -> None:
     tidy(spark)
 
 
+def rest(docs: DataFrame, text_col: str, carry: bool) -> list[Column]:
+    """What an operator carries along beside its own columns: all but the text as one struct, if asked to."""
+    if not carry:
+        return []
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return [(F.struct(*others) if others else F.struct(F.lit(0).alias("_0"))).alias("_rest")]
+
+
+def restored(out: DataFrame, docs: DataFrame, text_col: str = "text", more: list[Column] | None = None) -> DataFrame:
+    """The columns of docs again, from _rest and the text of out."""
+    return out.select(*[F.col(text_col).alias(c) if c == text_col else F.col("_rest").getField(c).alias(c) for c in docs.columns], *(more or []))
+
+
 def bucket_of(col: Column, mod: int) -> Column:
     """crc32 of the value as text, modulo mod: the folds of the contracts."""
     return F.pmod(F.crc32(col.cast("string")), F.lit(mod))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ALNUM, LOWER, chunks, hash_words, utf8, word_offsets, words_of
+from ._common import ALNUM, LOWER, chunks, hash_words, rest, utf8, word_offsets, words_of
 
 #: Most bytes of item text that are sent to the executors at once; more items are handled in more passes.
 BLOCK_BYTES = 8 << 20
@@ -151,8 +151,8 @@ def _pass(docs: DataFrame, q: dict, window: int, slop: int, emit: str, schema: s
             close.append(sorted({q["ids"][j] for j in q["owner"][nw[theirs]]} - set(items[-1]), key=str) if len(theirs) else [])
         keys = pa.Table.from_batches(held)
         out = {"doc_id": keys["doc_id"], "_k": keys["_k"], "_h": keys["_h"]}
-        if emit == "text":
-            out["text"] = keys["text"]
+        if emit:
+            out |= {"text": keys["text"], "_rest": keys["_rest"]}
         out |= {"n_words": pa.array(counts.astype(np.int64)), "cover": pa.array(cover, pa.list_(pa.int64())), "items": pa.array([[str(x) for x in v] for v in items], pa.list_(pa.string())), "near_items": pa.array([[str(x) for x in v] for v in close], pa.list_(pa.string()))}
         yield from pa.table(out).to_batches(max_chunksize=2000)
 
@@ -162,7 +162,7 @@ def _pass(docs: DataFrame, q: dict, window: int, slop: int, emit: str, schema: s
         shard, held, words = Shard(sent.value), [], 0
         for batch in batches:
             raw, off = utf8(batch.column("text"))
-            kept = batch if emit == "text" else batch.select(["doc_id", "_k", "_h"])
+            kept = batch if emit else batch.select(["doc_id", "_k", "_h"])
             for a, b in chunks(off):
                 shard.add(raw[off[a] : off[b]], off[a : b + 1] - off[a])
                 held.append(kept.slice(a, b - a))
@@ -184,12 +184,12 @@ def blocks(items: DataFrame, id_col: str, text_col: str, most: int) -> list[list
     return [got.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n)]
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", with_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", carry: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact phrase and proximity matches of windows of the items in the documents.
 
     One row per document: doc_id, n_words, cover (start and end word of each hit stretch, alternating), items
     (ids as strings with an exactly matching window), near_items (others, of which a window has all its terms
-    within slop of their places), and the text if with_text.
+    within slop of their places), and with carry the text and the other columns as a struct _rest.
 
     Every task keeps positional postings (only item terms have any) of up to SHARD_WORDS words, and intersects
     for each window the lists from its rarest term on. The items go to the executors in blocks of a checked
@@ -198,11 +198,12 @@ def find(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, id_
     Null and empty texts have no words and hits. Null ids, repeated rows and ties give one row each. Items that
     are null or have no words match nothing. Empty tables: no rows, or no hits. Other columns are ignored.
     """
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_k"), F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col)).alias("_h"), F.col(text_col).cast("string").alias("text"))
-    emit = "text" if with_text else ""
-    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, _k long, _h long, " + ("text string, " if with_text else "") + "n_words long, cover array<long>, items array<string>, near_items array<string>"
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_k"), F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col)).alias("_h"), F.col(text_col).cast("string").alias("text"), *rest(docs, text_col, carry))
+    held = f"text string, _rest {kept.schema['_rest'].dataType.simpleString()}, " if carry else ""
+    emit = "all" if carry else ""
+    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, _k long, _h long, " + (held if carry else "") + "n_words long, cover array<long>, items array<string>, near_items array<string>"
     parts = blocks(items, item_id_col, item_text_col, block_bytes)
-    one = lambda part, how: _pass(kept, encode_items([(r[0], r[1]) for r in part.toLocalIterator()], window), window, slop, how, schema if how == emit else schema.replace("text string, ", ""))
+    one = lambda part, how: _pass(kept, encode_items([(r[0], r[1]) for r in part.toLocalIterator()], window), window, slop, how, schema if how == emit else schema.replace(held, ""))
     out = one(parts[0], emit)
     for part in parts[1:]:
         more = one(part, "").groupBy("_k", "_h").agg(F.first("cover").alias("_c"), F.first("items").alias("_i"), F.first("near_items").alias("_n"))

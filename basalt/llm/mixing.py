@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import rest, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPAN = 4096
@@ -35,7 +35,7 @@ def targets(sizes: DataFrame, weights: tuple = (1, 2, 3), cap: float = 3.0) -> D
     return found.select("_null", "_source", "source_size", F.least("_cap", F.col("_l") * F.col("_w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = (1, 2, 3), cap: float = 3.0, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = (1, 2, 3), cap: float = 3.0, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken = copies * size.
 
     Documents stand in their source by (size, doc_id); each expects target / source_size copies; with one offset
@@ -45,10 +45,11 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3), cap: float = 3.0, seed: int
 
     Null text: size 0. Null source: a source of its own, last. Null doc_id: last of its size. Rows that are
     equal in id and size are interchangeable. Sources without words have target 0. Empty table: no rows.
+    Other columns are ignored; with carry the text and they, as a struct _rest, come along.
     """
     offset = random.Random(seed).random()
     base = stage(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *([F.col(text_col).alias("text")] if carry else []), *rest(docs, text_col, carry))
         .withColumns({"_null": F.col("source").isNull(), "_source": F.coalesce("source", F.lit("")), "_band": F.floor(F.log2(F.col("size") + F.lit(1.0)) * 4).cast("int"), "_span": F.floor(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62)) / F.lit(SPAN)).cast("long")}),
         "mix-base",
     )
@@ -67,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3), cap: float = 3.0, seed: int
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.col("_start") + F.col("_i")
     copies = (F.floor((at + 1) * rate + F.lit(offset)) - F.floor(at * rate + F.lit(offset))).cast("long")
-    return rows.join(starts, [*src, "size", "_span"]).withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.join(starts, [*src, "size", "_span"]).withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["text", "_rest"] if carry else []))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

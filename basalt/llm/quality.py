@@ -106,18 +106,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str
     return Model(x, np.array(rows["y"].to_pylist()))
 
 
-def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """The kept columns (all by default) plus _score: how likely label 1 is, from the whole text alone.
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[Column] | None = None, out_col: str = "_score") -> DataFrame:
+    """The kept columns (all by default) plus out_col (to be a new name): how likely label 1 is, from the whole text alone.
 
     Null and empty texts have no terms and get the prior; without a model all get 1. Repeated rows give a row
     each; empty tables give none. The labelled vectors (bounded by the training sample) are broadcast; each
     block of documents multiplies with all of them. One pass, no shuffle.
     """
     cols = keep or [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.select(*cols, F.col(text_col).cast("string").alias("_text"))
+    kept = docs.select(*cols, F.col(text_col).cast("string").alias(f"{out_col}_text"))
     names = kept.columns[:-1]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", _score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + f", `{out_col}` double"
 
     def run(batches):
         import pyarrow as pa
@@ -130,7 +130,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: li
                 for i in range(a, b, ROWS):
                     j = min(b, i + ROWS)
                     out[i:j] = m.score(features(raw[off[i] : off[j]], off[i : j + 1] - off[i]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(out)], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(out)], names=[*names, out_col])
 
     return kept.mapInArrow(run, schema)
 

@@ -23,10 +23,11 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int, rank: i
     """Array of struct(start, rank, kind, end, value) of the leftmost non-overlapping matches, in code points.
 
     One lazy gap in front of each match gives its distance from the match before; sums of both are positions.
-    Only texts that match at all pay for the extraction.
+    The rest of the text is a gap too (its match is empty and dropped), else it would be searched anew from each
+    of its characters. Only texts that match at all pay for the extraction.
     """
     value = group + 2 if group else 2  # groups of the pattern move by two
-    whole = F.lit(f"(?s)(.*?)({pattern})")
+    whole = F.lit(rf"(?s)(.*?)(?:({pattern})|\z)")
     gaps = F.regexp_extract_all(text, whole, F.lit(1))
     found = F.regexp_extract_all(text, whole, F.lit(2))
     values = F.regexp_extract_all(text, whole, F.lit(value)) if group else found
@@ -38,7 +39,7 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int, rank: i
         a = (acc["at"] + F.char_length(x["g"])).cast("long")
         b = (a + F.char_length(x["m"])).cast("long")
         one = F.struct(a.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), b.alias("end"), x["v"].alias("value"))
-        return F.struct(b.alias("at"), F.when(F.char_length(x["v"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).cast(kind_of).alias("out"))
+        return F.struct(b.alias("at"), F.when(F.char_length(x["v"]) >= max(least, 1), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).cast(kind_of).alias("out"))
 
     return F.when(text.rlike(pattern), F.aggregate(rows, begin, step)["out"]).otherwise(F.array().cast(kind_of))
 

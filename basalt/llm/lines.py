@@ -42,7 +42,6 @@ def within(p: Column, t: Column, tau: int = TAU) -> Column:
     Bit d + tau of state e: with at most e edits, the diagonal d (characters of p used minus those of t) can be
     reached. A character of t moves all diagonals at once by a few operations on the 2 tau + 1 bits.
     """
-    pc, tc, m, n = F.split(p, ""), F.split(t, ""), F.char_length(p), F.char_length(t)
     full = (1 << (2 * tau + 1)) - 1
     start = [1 << tau]
     for _ in range(tau):
@@ -50,24 +49,33 @@ def within(p: Column, t: Column, tau: int = TAU) -> Column:
     names = [f"e{i}" for i in range(tau + 1)]
     begin = F.struct(*[F.lit(x).cast("long").alias(k) for k, x in zip(names, start, strict=True)])
 
-    def step(acc, j):
-        ch = F.get(tc, j - 1)
-        hits = F.lit(0).cast("long")
-        for b in range(2 * tau + 1):
-            at = j + (b - tau)
-            hits = hits.bitwiseOR(F.when((at >= 1) & (at <= m) & (F.get(pc, at - 1) == ch), F.lit(1 << b)).otherwise(F.lit(0)).cast("long"))
-        new, out = None, []
-        for i, k in enumerate(names):
-            x = acc[k].bitwiseAND(hits)
-            if i:
-                before = acc[names[i - 1]]
-                x = x.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new, 1)).bitwiseAND(F.lit(full).cast("long"))
-            new = x
-            out.append(x.cast("long").alias(k))
-        return F.struct(*out)
-
-    ran = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), begin, step)).otherwise(begin)
-    return (F.abs(m - n) <= tau) & (F.call_function("shiftright", ran[names[tau]], (m - n + tau).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    def run(s):  # s binds what every step reads, so that the strings are split once
+        m, n = s["m"], s["n"]
+
+        def hits(j):
+            ch = F.get(s["t"], j - 1)
+            found = F.lit(0).cast("long")
+            for b in range(2 * tau + 1):
+                at = j + (b - tau)
+                found = found.bitwiseOR(F.when((at >= 1) & (at <= m) & (F.get(s["p"], at - 1) == ch), F.lit(1 << b)).otherwise(F.lit(0)).cast("long"))
+            return found
+
+        def states(acc, h):
+            new, out = None, []
+            for i, k in enumerate(names):
+                x = acc[k].bitwiseAND(h)
+                if i:
+                    before = acc[names[i - 1]]
+                    x = x.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new, 1)).bitwiseAND(F.lit(full).cast("long"))
+                new = x
+                out.append(x.cast("long").alias(k))
+            return F.struct(*out)
+
+        ran = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), begin, lambda acc, j: F.transform(F.array(hits(j)), lambda h: states(acc, h))[0])).otherwise(begin)
+        return F.call_function("shiftright", ran[names[tau]], (m - n + tau).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    given = F.struct(F.split(p, "").alias("p"), F.split(t, "").alias("t"), F.char_length(p).alias("m"), F.char_length(t).alias("n"))
+    return F.when(F.abs(F.char_length(p) - F.char_length(t)) <= tau, F.transform(F.array(given), run)[0]).otherwise(F.lit(False))
 
 
 def crowded(keys: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ._common import NON_SPACE, chunks, doc_key, hash_words, mix, stage, utf8, word_offsets, words_of
 
-SHINGLE, BANDS, ROWS = 5, 30, 6
+SHINGLE, BANDS, ROWS = 5, 20, 5
 K = BANDS * ROWS
-#: Buckets of up to so many contents compare all pairs of different classes at once; larger ones go pivot by pivot.
-SMALL = 16
+#: Buckets of up to so many contents compare pairs of different classes as rows; larger ones in cells of blocks.
+SMALL, BLOCK = 16, 200
 #: Most rows of a key set that is broadcast after counting it; a larger one is shuffled.
 KEYS = 1_000_000
 _ODD = np.uint64(0xD1B54A32D192ED03)
@@ -168,17 +168,83 @@ def components(edges: DataFrame, old: DataFrame | None) -> DataFrame:
             return labels
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of contents whose element sets reach the threshold, exactly."""
+    sim = pairs.join(sets.select(F.col("c").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("c").alias("b"), F.col("x").alias("xb")), "b")
+    both = F.size(F.array_intersect("xa", "xb"))
+    return sim.where(both >= F.lit(threshold) * (F.size("xa") + F.size("xb") - both)).select("a", "b")
+
+
+def overlaps(x: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of the sets, from blocks of an incidence matrix of the elements that several hold."""
+    size = np.array([len(v) for v in x])
+    flat = np.concatenate(x) if len(x) else np.zeros(0, np.int32)
+    owner = np.repeat(np.arange(len(x)), size)
+    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    keep = n[at] > 1
+    owner, at = owner[keep], place[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(x), len(x)), np.float32)
+    for a in range(0, int(at[-1]) + 1 if len(at) else 0, step):
+        lo, hi = np.searchsorted(at, [a, a + step])
+        block = np.zeros((len(x), step), np.float32)
+        block[owner[lo:hi], at[lo:hi] - a] = 1
+        out += block @ block.T
+    return out
+
+
+def _grid(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different classes in large buckets (b, c, n, label), in cells of two blocks.
+
+    A bucket's contents are dealt to blocks of about BLOCK; each pair of blocks is a cell of its own task group,
+    where all overlaps are one product. Of the links found a cell returns a spanning forest.
+    """
+    n = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+    mine = F.pmod(F.xxhash64(F.lit(31), "c"), n.cast("long")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
+    rows = members.select("b", "c", "label", F.explode(cells).alias("cell")).select("b", "cell.i", "cell.j", "c", "label").join(sets, "c")
+
+    def run(pdf):
+        import pandas as pd
+
+        x = [np.asarray(v) for v in pdf["x"]]
+        kinds = pd.factorize(pdf["label"])[0]
+        size = np.array([len(v) for v in x], np.float32)
+        both = overlaps(x)
+        ok = (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-3) & (kinds[:, None] != kinds[None, :])
+        root = list(range(len(x)))
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(ok)), strict=True):
+            p, q = find(i), find(j)
+            if p != q and both[i, j] >= threshold * (float(size[i]) + float(size[j]) - float(both[i, j])):
+                root[p] = q
+                out.append(sorted((pdf["c"].iat[i], pdf["c"].iat[j])))
+        return pd.DataFrame({"a": [o[0] for o in out], "b": [o[1] for o in out]})
+
+    return rows.groupBy("b", "i", "j").applyInPandas(run, "a binary, b binary")
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, _k, _h, n_shingles, _class (name of its class), class_id
     (smallest doc_id in it), kept (it is that document).
 
     Documents are linked if the weighted Jaccard similarity of their shingles of five white-space separated
     words is at least the threshold; classes are the connected components. Equal contents are one vertex from
-    the start. Candidates share one of 30 bands of 6 coordinates (a pair at 0.8 is missed with probability
-    1e-4) and are verified exactly. In each bucket all contents are compared with a pivot first; buckets that
-    still hold several classes go on with further pivots, twice as many each time, or all pairs when few are
-    left, until each bucket is one class or every pair of different classes has been compared: no cap, and
-    no quadratic work for groups of near copies.
+    the start. Candidates share one of 20 bands of 5 coordinates (a pair at 0.8 is missed with probability
+    4e-4, one at 0.9 with 1e-8) and are verified exactly. In each bucket all contents are first compared with a pivot, which
+    settles groups of copies around one original in linear work. Buckets that still hold several classes then
+    compare all their contents of different classes, in pairs if small, else in cells of bounded blocks: no cap,
+    and no pair is a row unless it is linked. What stays quadratic, in blocks, are large groups of texts that are
+    nearly but not quite similar enough.
 
     Null and empty texts have no shingles: classes of their own. Null ids count as the largest. Repeated rows
     share their class. Empty tables give no rows. Other columns are ignored.
@@ -191,48 +257,27 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     open_ = stage(member.join(many, "b"), "near-buckets")
     names = stage(s.join(open_.select("c").distinct().join(content, "c"), "c").where("_k = rk").select("c", "_k", "_h"), "near-names")
     sets = stage(element_sets(base.select("_k", "_h", "text"), names).dropDuplicates(["c"]), "near-sets")
-    weight = stage(open_.groupBy("c").agg(F.sum("n").alias("w")), "near-weight")
-    labels: DataFrame | None = None
-    links: DataFrame | None = None
-    pivots = 1
-    left = open_.select("b", "c")
-    while True:
-        if labels is not None:  # buckets with more than one class remain
-            now = left.join(labels, "c", "left").select("b", "c", F.coalesce("label", "c").alias("label"))
-            mixed = now.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("b", "n")
-            now = now.join(mixed, "b")
-        else:
-            now = left.join(many, "b").withColumn("label", F.col("c"))
-        now = stage(now, "near-open")
-        if now.limit(1).isEmpty():
-            break
-        few, large = now.where(F.col("n") <= SMALL), now.where(F.col("n") > SMALL)
-        if labels is None:
-            few, large = now.limit(0), now
-        a, b = few.alias("a"), few.alias("b")
-        pairs = a.join(b, (F.col("a.b") == F.col("b.b")) & (F.col("a.c") < F.col("b.c")) & (F.col("a.label") != F.col("b.label"))).select(F.col("a.c").alias("a"), F.col("b.c").alias("b"))
-        # A hub of near copies shares the largest buckets: the heaviest contents are the pivots.
-        rank = F.row_number().over(W.partitionBy("b").orderBy(F.desc("w"), "c"))
-        chosen = large.join(weight, "c").select("b", F.col("c").alias("p"), F.col("label").alias("pl"), rank.alias("r")).where(F.col("r") <= pivots)
-        star = large.join(chosen, "b").where("c <> p AND label <> pl").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b"))
-        pairs = pairs.union(star).distinct()
-        sim = pairs.join(sets.select(F.col("c").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("c").alias("b"), F.col("x").alias("xb")), "b")
-        both = F.size(F.array_intersect("xa", "xb"))
-        ok = both >= F.lit(threshold) * (F.size("xa") + F.size("xb") - both)
-        found = stage(sim.where(ok).select("a", "b"), "near-links")
-        if not found.limit(1).isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(found if labels is None else links, labels)
-        elif labels is None:
-            labels = components(found, None)
-        # Contents that were a pivot have met their whole bucket.
-        left = stage(large.join(chosen.select("b", F.col("p").alias("c")), ["b", "c"], "left_anti").select("b", "c"), "near-left")
-        pivots = pivots if labels is None else pivots * 2
-    if labels is None:
-        final = content.select("c", F.col("rk").alias("class_k"), F.col("c").alias("_class"))
-    else:
-        own = labels.join(content, "c").groupBy("label").agg(F.min("rk").alias("class_k"))
-        final = content.join(labels.join(own, "label"), "c", "left").select("c", F.coalesce("class_k", "rk").alias("class_k"), F.coalesce("label", "c").alias("_class"))
+    # A hub of near copies shares the largest buckets: the heaviest contents are the first pivots.
+    left = stage(open_.join(open_.groupBy("c").agg(F.sum("n").alias("w")), "c").withColumn("label", F.col("c")), "near-open")
+    compare = lambda pairs: _verified(pairs.distinct(), sets, threshold)
+    # First every content meets the pivot of each of its buckets.
+    rank = F.row_number().over(W.partitionBy("b").orderBy(F.desc("w"), "c"))
+    chosen = left.select("b", F.col("c").alias("p"), rank.alias("r")).where("r <= 1").drop("r")
+    star = left.join(chosen, "b").where("c <> p").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b"))
+    links = stage(compare(star), "near-links")
+    labels = components(links, None)
+    # Then, in buckets that still have several classes, all contents of different classes meet.
+    now = left.drop("label").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    mixed = now.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("b")
+    left = stage(now.where("n > 2").join(mixed, "b", "left_semi").select("b", "c", "n", "label"), "near-open")
+    few = left.where(F.col("n") <= SMALL)
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    more = stage(compare(pairs).unionByName(_grid(left.where(F.col("n") > SMALL), sets, threshold)), "near-links")
+    if not more.limit(1).isEmpty():
+        labels = components(links.unionByName(more), labels)
+    own = labels.join(content, "c").groupBy("label").agg(F.min("rk").alias("class_k"))
+    final = content.join(labels.join(own, "label"), "c", "left").select("c", F.coalesce("class_k", "rk").alias("class_k"), F.coalesce("label", "c").alias("_class"))
     rows = s.where("n > 0").join(final, "c").unionByName(s.where("n = 0").withColumns({"class_k": F.col("_k"), "_class": F.encode(F.concat_ws(":", "_k", "_h"), "utf-8")}))
     class_id = F.when(F.col("class_k") != 2**63 - 1, F.col("class_k"))
     return rows.select("doc_id", "_k", "_h", F.col("n").alias("n_shingles"), "_class", class_id.alias("class_id"), (F.col("_k") == F.col("class_k")).alias("kept"))

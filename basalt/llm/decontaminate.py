@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ALNUM, LOWER, chunks, hash_words, rest, utf8, word_offsets, words_of
+from ._common import ALNUM, LOWER, chunks, hash_words, lean, rest, utf8, word_offsets, words_of, small_batches
 
 #: Most bytes of item text that are sent to the executors at once; more items are handled in more passes.
 BLOCK_BYTES = 8 << 20
@@ -173,7 +173,7 @@ def _pass(docs: DataFrame, q: dict, window: int, slop: int, emit: str, schema: s
         if held:
             yield from results(shard, held, pa)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, most: int) -> list[list[tuple]]:
@@ -198,6 +198,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, id_
     Null and empty texts have no words and hits. Null ids, repeated rows and ties give one row each. Items that
     are null or have no words match nothing. Empty tables: no rows, or no hits. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_k"), F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col)).alias("_h"), F.col(text_col).cast("string").alias("text"), *rest(docs, text_col, carry))
     held = f"text string, _rest {kept.schema['_rest'].dataType.simpleString()}, " if carry else ""
     emit = "all" if carry else ""

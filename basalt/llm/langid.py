@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bucket_of, chunks, utf8
+from ._common import bucket_of, chunks, lean, utf8, small_batches
 
 ORDER, BITS = 5, 12
 MASK = np.uint64((1 << BITS) - 1)
@@ -204,7 +204,7 @@ def train(docs: DataFrame, max_texts: int = 1200, id_col: str = "doc_id", text_c
                     key, n = np.unique(grams(raw[off[a] : off[b]], off[a : b + 1] - off[a])[0], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * len(key), pa.string()), "key": pa.array(key.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    summed = picked.select("text", "lang").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    summed = picked.select("text", "lang").mapInArrow(lean(count), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     key = summed["key"].to_numpy().astype(np.uint64)
     lang = np.searchsorted(np.array(langs, object), np.array(summed["lang"].to_pylist(), object)) if len(key) else np.zeros(0, np.int64)
     if not len(key):
@@ -227,6 +227,7 @@ def predict(docs: DataFrame, model: Models | None, id_col: str = "doc_id", text_
     (the prediction stands; callers decide). score: posterior at the calibrated sharpness. Repeated rows give a
     row each; only the text is looked at; empty tables give no rows. One pass, no shuffle.
     """
+    small_batches(docs.sparkSession)
     kept = docs.select(*(keep or [F.col(id_col).alias("doc_id")]), F.col(text_col).cast("string").alias("_text"))
     names = kept.columns[:-1]
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -252,7 +253,7 @@ def predict(docs: DataFrame, model: Models | None, id_col: str = "doc_id", text_
             out = [batch.column(j) for j in range(len(names))]
             yield pa.RecordBatch.from_arrays([*out, pa.array(langs, pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)], names=[*names, "lang_pred", "score", "entropy", "rejected"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

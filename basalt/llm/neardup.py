@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import NON_SPACE, chunks, doc_key, hash_words, mix, stage, utf8, word_offsets, words_of
+from ._common import NON_SPACE, chunks, doc_key, hash_words, lean, mix, stage, utf8, word_offsets, words_of, small_batches
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
 K = BANDS * ROWS
@@ -126,7 +126,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 rows = [h[i].astype(np.int64).tolist() if n[i] else [] for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(a, b - a) for j in range(3)), pa.array(n), pa.array(_content(cell, at), pa.binary()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "_k", "_h", "n", "c", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _k long, _h long, n long, c binary, bands array<long>")
+    return docs.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _k long, _h long, n long, c binary, bands array<long>")
 
 
 def semi(rows: DataFrame, keys: DataFrame, on: list[str], most: int = KEYS, how: str = "left_semi") -> DataFrame:
@@ -147,7 +147,7 @@ def element_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
                 sets = [np.unique((cell[at[i] : at[i + 1]] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([pa.array(_content(cell, at), pa.binary()), pa.array(sets, pa.list_(pa.int32()))], names=["c", "x"])
 
-    return semi(docs, names.select("_k", "_h"), ["_k", "_h"]).select("text").mapInArrow(run, "c binary, x array<int>")
+    return semi(docs, names.select("_k", "_h"), ["_k", "_h"]).select("text").mapInArrow(lean(run), "c binary, x array<int>")
 
 
 def components(edges: DataFrame, old: DataFrame | None) -> DataFrame:
@@ -249,6 +249,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     Null and empty texts have no shingles: classes of their own. Null ids count as the largest. Repeated rows
     share their class. Empty tables give no rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), *doc_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
     s = stage(sketch(base), "near-sketch")
     content = s.where("n > 0").groupBy("c").agg(F.min("_k").alias("rk"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bucket_of, chunks, mix, utf8
+from ._common import bucket_of, chunks, lean, mix, utf8, small_batches
 
 TERMS = 4096
 ROWS = 256  # documents whose term counts are dense at a time
@@ -97,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str
                 yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(a, b - a), "y": batch.column(2).slice(a, b - a), "at": pa.array([i.astype(np.int16).tobytes() for i in at], pa.binary()), "x": pa.array([x[j][i].astype(np.float16).tobytes() for j, i in enumerate(at)], pa.binary())})
 
     kind = texts.schema["_id"].dataType.simpleString()
-    rows = texts.mapInArrow(count, f"id {kind}, y int, at binary, x binary").toArrow().sort_by("id")
+    rows = texts.mapInArrow(lean(count), f"id {kind}, y int, at binary, x binary").toArrow().sort_by("id")
     if not rows.num_rows:
         return None
     x = np.zeros((rows.num_rows, TERMS), np.float32)
@@ -113,6 +113,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: li
     each; empty tables give none. The labelled vectors (bounded by the training sample) are broadcast; each
     block of documents multiplies with all of them. One pass, no shuffle.
     """
+    small_batches(docs.sparkSession)
     cols = keep or [F.col(f"`{c}`") for c in docs.columns]
     kept = docs.select(*cols, F.col(text_col).cast("string").alias(f"{out_col}_text"))
     names = kept.columns[:-1]
@@ -132,7 +133,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: li
                     out[i:j] = m.score(features(raw[off[i] : off[j]], off[i : j + 1] - off[i]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(out)], names=[*names, out_col])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def fold(col: Column) -> Column:

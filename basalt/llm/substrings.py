@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import NON_SPACE, chunks, doc_key, hash_words, mix, stage, utf8, word_offsets, words_of
+from ._common import NON_SPACE, chunks, doc_key, hash_words, lean, mix, stage, utf8, word_offsets, words_of, small_batches
 
 WINDOW, GRAM = 50, 16
 SPREAD = WINDOW - GRAM + 1  # word 16-grams in a window
@@ -170,7 +170,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 keys = batch.column(0).to_numpy()[a:b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.repeat(keys, [len(x) for x in found]))], names=["v", "_k"])
 
-    return docs.select("_k", "text").mapInArrow(run, "v long, _k long")
+    return docs.select("_k", "text").mapInArrow(lean(run), "v long, _k long")
 
 
 def records(docs: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def records(docs: DataFrame) -> DataFrame:
                 at = pa.array(out[1], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["v", "_k", "_h", "start", "content"])
 
-    return docs.select("_k", "_h", "text", "vs").mapInArrow(run, "v long, _k long, _h long, start int, content binary")
+    return docs.select("_k", "_h", "text", "vs").mapInArrow(lean(run), "v long, _k long, _h long, start int, content binary")
 
 
 def search(contents: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def search(contents: DataFrame) -> DataFrame:
         if size:
             yield from shard(held)
 
-    return contents.select("v", "content", "lo", "_p", "_q").mapInArrow(run, "v long, _p long, _q long, firsts array<long>")
+    return contents.select("v", "content", "lo", "_p", "_q").mapInArrow(lean(run), "v long, _p long, _q long, firsts array<long>")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -277,6 +277,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Null and empty texts have no words. Null ids count as the largest; rows with one id are one document for
     this, so none of them makes another lose words. Empty tables give no rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), *doc_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
     gone = removals(base)
     rows = base.join(gone, ["_k", "_h"], "left").select("doc_id", "text", "starts")
@@ -305,7 +306,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 texts.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(out, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "intervals", "text"])
 
-    return rows.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, intervals array<long>, text string")
+    return rows.mapInArrow(lean(run), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, intervals array<long>, text string")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

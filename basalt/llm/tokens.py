@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import lean, small_batches
+
 MODEL = "piece_bpe_32k.model"
 
 
@@ -90,6 +92,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 4096, chunk:
     Null and empty texts have 0 bytes and tokens; repeated rows each give a row; other columns are ignored,
     whatever their names; an empty table gives an empty result. One pass, no shuffle, memory bounded by a batch.
     """
+    small_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = kept.schema["doc_id"].dataType
 
@@ -112,7 +115,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 4096, chunk:
                     counts[a + i], chunked[a + i] = count_huge(part[i], model, chunk, overlap), 1
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(counts), pa.array(counts > limit), pa.array(chunked)], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunked"])
 
-    return kept.mapInArrow(run, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, n_chunked int")
+    return kept.mapInArrow(lean(run), f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, n_chunked int")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

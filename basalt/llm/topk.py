@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._common import lean
+
 #: Vectors of a block, on either side.
 QUERIES, CANDIDATES, STEP = 512, 16_384, 16
 
@@ -36,7 +38,7 @@ def blocks(vectors: DataFrame, size: int, n: int | None = None) -> DataFrame:
         for dim in list(held):
             yield flush(dim)
 
-    return vectors.mapInArrow(run, "_dim int, n int, ids binary, data binary")
+    return vectors.mapInArrow(lean(run), "_dim int, n int, ids binary, data binary")
 
 
 def search_block(qd: np.ndarray, cd: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int, step: int = STEP):
@@ -102,7 +104,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: i
                 a, b, s = search_block(np.frombuffer(qd, np.int32).reshape(dim, len(qid)), np.frombuffer(cd, np.int32).reshape(dim, len(cid)), qid, cid, k)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(lean(run), "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

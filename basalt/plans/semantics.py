@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -141,7 +143,8 @@ def upsert(spark, sf_dir):
 def create_table_as(spark, sf_dir):
     from basalt.operators.ddl import create_table_as
 
-    return create_table_as(spark, "orders_per_customer", table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")))
+    name = f"orders_per_customer_{uuid.uuid4().hex}"  # a warehouse outlives sessions
+    return create_table_as(spark, name, table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")))
 
 
 @query("alter_table", "SELECT n_nationkey, n_name AS title, n_regionkey::DOUBLE AS n_regionkey, 'x' AS note FROM nation")

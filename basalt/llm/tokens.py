@@ -45,6 +45,7 @@ def count_huge(text: str, model: str, chunk: int, overlap: int) -> int:
     barrier in their overlap where both have a token start. Without one, the overlap widens twofold, up to
     both chunks as one, which needs no splice."""
     sp, width, barrier = load(model)
+    text = text.replace("▁", " ")  # the library's own mark of a space: the same symbol, but not as wide
     raw = text.encode()
     if len(raw) <= chunk or not barrier:
         return len(sp.encode(text))

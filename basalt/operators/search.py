@@ -13,10 +13,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}/]+"), lambda w: w != "")
 
 
-def _equals(term: str):
-    return lambda x: x == F.lit(term)
-
-
 def contains_all(query: str, *cols: str) -> Column:
     """Each token of more than one character in any of the columns, whatever the case."""
     out = F.lit(True)
@@ -77,8 +73,9 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "t
     """(id, score) of the documents with a term of the query. Only counts of query terms leave a document; corpus
     sums are one row, broadcast."""
     terms = sorted({w for w in re.split(r"[^\w/]+", query.lower()) if w})
-    w = words(F.col(text_col))
-    rows = docs.select(F.col(id_col), F.size(w).alias("_n"), *[F.size(F.filter(w, _equals(t))).alias(f"_f{i}") for i, t in enumerate(terms)])
+    low, word = F.lower(F.coalesce(text_col, F.lit(""))), r"[\p{L}\p{N}/]"
+    often = lambda t: F.regexp_count(low, F.lit(rf"(?<!{word}){re.escape(t)}(?!{word})"))
+    rows = docs.select(F.col(id_col), F.regexp_count(low, F.lit(word + "+")).alias("_n"), *[often(t).alias(f"_f{i}") for i, t in enumerate(terms)])
     total = rows.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):

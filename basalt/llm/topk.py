@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import lean
+from ._common import lean, stage
 
-#: Vectors of a block, on either side.
-QUERIES, CANDIDATES, STEP = 512, 16_384, 16
+#: Vectors of a block, on either side; queries of a block that are searched at once; dimensions of a step.
+QUERIES, CANDIDATES, AT_ONCE, STEP = 2048, 8192, 256, 16
 
 
 def blocks(vectors: DataFrame, size: int, n: int | None = None) -> DataFrame:
@@ -79,21 +79,24 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: i
     """Exact k highest inner products of integer vectors: query_id, rank, vec_id, score.
 
     queries, candidates: (vec_id long, v array<int>), no nulls in them. All queries meet all candidates, in
-    blocks: each block of candidates is repeated once per block of queries and joined with it on the block's
-    number, so no side is broadcast without bound; each pair of blocks returns k rows per query, which a
+    blocks: candidates are repeated once per block of queries, queries once per group of candidates, and joined
+    on the cell, so no side is broadcast without bound; each pair of blocks returns k rows per query, which a
     window with a partial limit merges. A vector is never its own candidate (same vec_id), and rows repeated
     with the same id and vector count once. Vectors of another dimension than the query's aren't compared.
     Fewer candidates than k: all. Empty tables: no rows.
     """
-    number = lambda b: b.select("*", F.sha2(F.concat("ids", "data"), 256).alias("_b"))
-    qs = blocks(queries.dropDuplicates(), query_block)
-    cs = blocks(candidates.dropDuplicates(), candidate_block)
-    keyed = number(qs).select("_dim", "_b", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("data").alias("qdata"))
-    # Query blocks are few and of a fixed size: each (dimension, slot) of queries pairs with each block of candidates by an equality.
-    slots = keyed.withColumn("_slot", F.row_number().over(W.partitionBy("_dim").orderBy("_b")) - 1)
+    spark = queries.sparkSession
+    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    qs = blocks(queries.dropDuplicates(), query_block).withColumn("_b", F.sha2(F.concat("ids", "data"), 256))
+    cs = blocks(candidates.dropDuplicates(), candidate_block).withColumn("_g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    qs = stage(qs.select("_dim", "_b", F.col("ids").alias("qids"), F.col("data").alias("qdata")), "topk-queries")
+    # A cell of the grid is a block of queries (its slot) and a group of blocks of candidates: both sides are
+    # repeated along the other's axis and meet by an equality, spread over all tasks. Slots are numbered without the data.
+    slots = qs.select("_dim", "_b").distinct().withColumn("_slot", F.row_number().over(W.partitionBy("_dim").orderBy("_b")) - 1)
     counts = slots.groupBy("_dim").agg(F.max("_slot").alias("_last"))
     grid = cs.join(counts, "_dim").withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col("_last")))).drop("_last")
-    pairs = grid.join(slots, ["_dim", "_slot"]).select("_dim", "qids", "qdata", "ids", "data")
+    asked = qs.dropDuplicates(["_dim", "_b"]).join(slots, ["_dim", "_b"]).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    pairs = grid.join(asked, ["_dim", "_slot", "_g"]).select("_dim", "qids", "qdata", "ids", "data")
 
     def run(batches):
         import pyarrow as pa
@@ -101,8 +104,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: i
         for batch in batches:
             for dim, qi, qd, ci, cd in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
                 qid, cid = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
-                a, b, s = search_block(np.frombuffer(qd, np.int32).reshape(dim, len(qid)), np.frombuffer(cd, np.int32).reshape(dim, len(cid)), qid, cid, k)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["query_id", "vec_id", "score"])
+                q, c = np.frombuffer(qd, np.int32).reshape(dim, len(qid)), np.frombuffer(cd, np.int32).reshape(dim, len(cid))
+                for i in range(0, len(qid), AT_ONCE):
+                    a, b, s = search_block(q[:, i : i + AT_ONCE], c, qid[i : i + AT_ONCE], cid, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(lean(run), "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

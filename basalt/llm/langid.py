@@ -176,15 +176,16 @@ class Models:
         return x / x.sum(1, keepdims=True)
 
 
-def train(docs: DataFrame, max_texts: int = 1200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models | None:
-    """Models from a sample of about max_texts labelled texts (documented bound), about as many per language.
+def train(docs: DataFrame, max_texts: int = 1200, max_langs: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models | None:
+    """Models from a sample of about max_texts labelled texts (documented bound), about as many per language, of the
+    max_langs most frequent languages (bounds the models).
 
     The languages are counted first; each is then sampled by a hash of the id at the rate that gives its share,
     so no language's rows meet in one task. The 5-grams of whole sampled texts are counted on the executors and
     summed by a shuffle; what comes to the driver is bounded by the sample. None if no row can be learned from.
     """
     kept = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = {r[0]: r[1] for r in kept.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
+    counts = {r[0]: r[1] for r in kept.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not counts:
         return None
     langs = sorted(counts)

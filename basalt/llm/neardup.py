@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ._common import NON_SPACE, chunks, doc_key, hash_words, lean, mix, stage, utf8, word_offsets, words_of, small_batches
 
-SHINGLE, BANDS, ROWS = 5, 20, 5
+SHINGLE, BANDS, ROWS = 5, 30, 6
 K = BANDS * ROWS
 #: Buckets of up to so many contents compare pairs of different classes as rows; larger ones in cells of blocks.
 SMALL, BLOCK = 16, 200
@@ -239,8 +239,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
 
     Documents are linked if the weighted Jaccard similarity of their shingles of five white-space separated
     words is at least the threshold; classes are the connected components. Equal contents are one vertex from
-    the start. Candidates share one of 20 bands of 5 coordinates (a pair at 0.8 is missed with probability
-    4e-4, one at 0.9 with 1e-8) and are verified exactly. In each bucket all contents are first compared with a pivot, which
+    the start. Candidates share one of 30 bands of 6 coordinates (a pair at 0.8 is missed with probability
+    1e-4, one at 0.9 with 1e-10) and are verified exactly. In each bucket all contents are first compared with a pivot, which
     settles groups of copies around one original in linear work. Buckets that still hold several classes then
     compare all their contents of different classes, in pairs if small, else in cells of bounded blocks: no cap,
     and no pair is a row unless it is linked. What stays quadratic, in blocks, are large groups of texts that are

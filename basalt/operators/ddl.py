@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.engine import TYPES
+from basalt.dialect import TYPES
 
 
 def storage_type(declared: str) -> str:

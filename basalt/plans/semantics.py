@@ -30,7 +30,7 @@ statement("math_rounding", "SELECT s_suppkey, round(s_acctbal) AS a, round(s_acc
 statement("math_truncate", "SELECT s_suppkey, truncate(s_acctbal) AS a, trunc(-s_acctbal, 1) AS b FROM supplier", "SELECT s_suppkey, trunc(s_acctbal) AS a, CASE WHEN -s_acctbal < 0 THEN ceil(-s_acctbal * power(10, 1)) ELSE floor(-s_acctbal * power(10, 1)) END / power(10, 1) AS b FROM supplier")
 statement("math_logs", "SELECT x, round(log(x), 8) AS a, round(log(2, x), 8) AS b, round(ln(x), 8) AS c, round(log10(x), 8) AS d, round(log2(x), 8) AS e, sqrt(x) AS f FROM (VALUES (8.0D), (0.5D), (-1.0D), (0.0D)) AS t(x)",
           "SELECT x, round(CASE WHEN x > 0 THEN log10(x) END, 8) AS a, round(CASE WHEN x > 0 THEN log2(x) END, 8) AS b, round(CASE WHEN x > 0 THEN ln(x) END, 8) AS c, round(CASE WHEN x > 0 THEN log10(x) END, 8) AS d, round(CASE WHEN x > 0 THEN log2(x) END, 8) AS e, CASE WHEN x >= 0 THEN sqrt(x) END AS f FROM (VALUES (8.0::DOUBLE), (0.5::DOUBLE), (-1.0::DOUBLE), (0.0::DOUBLE)) AS t(x)")
-statement("math_powers", "SELECT s_suppkey, round(power(s_suppkey, 2), 4) AS a, round(pow(s_suppkey, 0.5), 8) AS b, round(exp(s_suppkey / 1000), 6) AS c, round(sin(s_suppkey), 8) AS d, round(cos(s_suppkey), 8) AS e, round(tan(s_suppkey), 6) AS f, round(pi(), 8) AS g FROM supplier",
+statement("math_powers", "SELECT s_suppkey, round(power(s_suppkey, 2), 4) AS a, round(pow(s_suppkey, 0.5), 8) AS b, round(exp(s_suppkey / 1000.0D), 6) AS c, round(sin(s_suppkey), 8) AS d, round(cos(s_suppkey), 8) AS e, round(tan(s_suppkey), 6) AS f, round(pi(), 8) AS g FROM supplier",
           "SELECT s_suppkey, round(power(s_suppkey, 2), 4) AS a, round(pow(s_suppkey, 0.5), 8) AS b, round(exp(s_suppkey / 1000), 6) AS c, round(sin(s_suppkey), 8) AS d, round(cos(s_suppkey), 8) AS e, round(tan(s_suppkey), 6) AS f, round(pi(), 8) AS g FROM supplier")
 statement("math_division", "SELECT o_orderkey, int_div(o_orderkey, 7) AS a, int_div(o_orderkey, 0) AS b, safe_mod(o_orderkey, 7) AS c, safe_mod(o_orderkey, 0) AS d, mod(o_orderkey, 9) AS e FROM orders",
           "SELECT o_orderkey, o_orderkey // 7 AS a, NULL::BIGINT AS b, o_orderkey % 7 AS c, NULL::BIGINT AS d, o_orderkey % 9 AS e FROM orders")

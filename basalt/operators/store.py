@@ -204,12 +204,19 @@ class Store:
             key = next(([c.name] for c in t.columns if c.unique), None) or (t.unique[0] if t.unique else None)
             if key is None:
                 raise ValueError("ON DUPLICATE KEY UPDATE needs a key")
-            new = new.checkpoint() if self.spark.sparkContext.getCheckpointDir() else new
-            merged = versions.upsert(before, new, key, changes)
-            self.check(name, new, None)
-            touched = merged.join(new.select(*key).distinct(), key, "left_semi").select(*[c.name for c in t.columns])
-            self.replace(name, merged)
-            return self.frame(name).join(new.select(*key).distinct(), key, "left_semi").select(*touched.columns)
+            if versions.not_unique(new.select(*key).dropna(), key).limit(1).count():
+                raise ConstraintError(f"{name}: {', '.join(key)} twice among the new rows")
+            path = self._write(name, versions.upsert(before, new, key, changes))
+            merged, keys = self.spark.read.schema(t.ddl).parquet(path), new.select(*key)
+            touched = merged.join(keys, key, "left_semi").select(*merged.columns)
+            try:
+                self.check(name, touched, merged.join(keys, key, "left_anti").select(*merged.columns))
+            except ConstraintError:
+                t.old.append(path)
+                raise
+            t.old, t.paths = t.old + t.paths, [path]
+            self._point(name)
+            return touched
         path = self._write(name, new)
         new = self.spark.read.schema(t.ddl).parquet(path)
         try:

@@ -35,6 +35,11 @@ def test_upsert(e):
     e.execute("CREATE TABLE u (k INTEGER PRIMARY KEY, n INTEGER, s TEXT); INSERT INTO u VALUES (1, 1, 'a'), (2, 2, 'b')")
     e.sql("INSERT INTO u VALUES (2, 10, 'x'), (3, 3, 'c') ON DUPLICATE KEY UPDATE n = n + VALUES(n)")
     assert got(e, "SELECT * FROM u") == [[1, 1, "a"], [2, 12, "b"], [3, 3, "c"]]
+    e.execute("CREATE TABLE w (k INTEGER PRIMARY KEY, n INTEGER CHECK (n < 10)); INSERT INTO w VALUES (1, 6)")
+    for bad in ("(1, 6)", "(4, 1), (4, 2)"):
+        with pytest.raises(ConstraintError):
+            e.sql(f"INSERT INTO w VALUES {bad} ON DUPLICATE KEY UPDATE n = n + VALUES(n)")
+    assert got(e, "SELECT * FROM w") == [[1, 6]]
 
 
 def test_constraints(e):

@@ -11,6 +11,10 @@ from .neardup import semi
 
 TAU = 1  # the segment plan below is that of one edit: two segments, each in two parts
 PARTS = 2 * (TAU + 1)
+#: Beyond one edit: code points of a passage that two lines must share, and most passages in the window of one key.
+GRAM, WINDOW = 12, 64
+#: Edits of op7_line_dedup_edits and the pipeline: one for every so many code points of the shorter line, up to a limit.
+EVERY, MOST = 24, 8
 #: Keys of up to so many lines compare their pairs; larger ones are split by the edited part (see `crowded`).
 SMALL = 16
 ID = ["_a", "_b"]
@@ -102,22 +106,110 @@ def crowded(keys: DataFrame) -> DataFrame:
     return both.select(*ID, "_c", "_d").distinct()
 
 
+def reach(n: int, tau: int, every: int | None) -> int:
+    """Edits allowed between two lines, the shorter one of n code points."""
+    return min(tau, max(1, n // every)) if every else tau
+
+
+def reach_of(n: Column, tau: int, every: int | None) -> Column:
+    return F.least(F.lit(tau), F.greatest(F.lit(1), F.floor(n / every).cast("int"))) if every else F.lit(tau)
+
+
+def classes(least: int, tau: int, every: int | None) -> list[tuple[int, int, int]]:
+    """(least length, code points of a passage, passages in a window) of each class of lengths with more than one edit.
+
+    t edits leave one of t + 1 segments of the shorter line whole in the other: a stretch of at least
+    (n - t) / (t + 1) code points. It holds a whole window of passages, whose least hash both lines have as a key.
+    """
+    out, n = [], least
+    while True:
+        t = reach(n, tau, every)
+        whole = -(-(n - t) // (t + 1))
+        if whole < 1:
+            raise ValueError(f"{t} edits are too many for lines of {n} code points")
+        gram = min(GRAM, whole)
+        window = min(whole - gram + 1, WINDOW)
+        if t > 1:
+            out.append((n, gram, window))
+        if t == tau and window == WINDOW:
+            return out
+        n = next((k for k in range(n + 1, n + max(1, n // 4)) if reach(k, tau, every) != t), n + max(1, n // 4))
+
+
+def passages(texts: DataFrame, least: int, tau: int, every: int | None) -> DataFrame:
+    """(_a, _b, _key) of each line: least passage hashes of all its windows, under the class of each length it may meet.
+
+    Only substrings count, not where they stand, so one set of keys serves as index and as probe.
+    """
+    plan = classes(least, tau, every)
+    start = plan[0][0]
+    n = F.char_length("line")
+    which = lambda x: sum((x >= a).cast("int") for a, _, _ in plan[1:]) + F.lit(0)
+    met = F.sequence(which(F.greatest(n - reach_of(n, tau, every), F.lit(start))), which(n))
+    rows = texts.where(n >= start).select(*ID, "line", F.explode(met).alias("c"))
+    of = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in plan]), F.col("c") + 1)
+    grams = F.lit(None).cast("array<string>")
+    for g in sorted({x[1] for x in plan}):
+        grams = F.when(of(1) == g, F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{g}}}))"), F.lit(1))).otherwise(grams)
+    given = F.struct(F.transform(grams, lambda x: F.xxhash64(x)).alias("h"), of(2).alias("w"))
+    least_of = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s["h"]) - s["w"] + 1)), lambda i: F.array_min(F.slice(s["h"], i, s["w"]))))
+    keys = rows.select(*ID, "c", F.explode(F.transform(F.array(given), least_of)[0]).alias("x"))
+    return keys.select(*ID, F.xxhash64("c", "x").alias("_key"))
+
+
+def beyond(lines: DataFrame, distinct: DataFrame, gone: DataFrame, least: int, tau: int, every: int | None) -> DataFrame:
+    """Lines (_a, _b) that are within reach, but more than one edit, of an earlier line; gone: those known to go.
+
+    A key of more than SMALL lines is first compared with the earliest of each length it meets; only lines that
+    this leaves are paired with all earlier ones of the key.
+    """
+    many = stage(distinct.where("n > 1").select(*ID), "lines-many")
+    few = semi(lines.select(*ID, "line"), many, ID, how="left_anti")
+    texts = few.unionByName(semi(lines.select(*ID, "line"), many, ID).dropDuplicates(ID))
+    keys = passages(texts, least, tau, every)
+    shared = stage(keys.withColumn("_n", F.count("*").over(W.partitionBy("_key"))).where("_n > 1"), "lines-passages")
+    some = stage(shared.select(*ID).distinct(), "lines-some")
+    known = semi(lines.select(*ID, "line"), some, ID).dropDuplicates(ID).join(distinct.select(*ID, "first"), ID)
+    told = stage(known.withColumn("n", F.char_length("line")), "lines-told")
+    sides = shared.join(told.select(*ID, "first", "n"), ID)
+    earlier = lambda df: df.select("_key", F.col("_a").alias("_c"), F.col("_b").alias("_d"), F.col("first").alias("first2"), F.col("n").alias("n2"))
+    close = (F.col("first") > F.col("first2")) & (F.abs(F.col("n") - F.col("n2")) <= reach_of(F.least("n", "n2"), tau, every))
+
+    def verified(pairs):
+        a = told.select(*ID, "line", "n")
+        b = told.select(F.col("_a").alias("_c"), F.col("_b").alias("_d"), F.col("line").alias("line2"), F.col("n").alias("n2"))
+        full = pairs.select(*ID, "_c", "_d").distinct().join(a, ID).join(b, ["_c", "_d"])
+        return full.where(F.levenshtein("line", "line2", tau).between(0, reach_of(F.least("n", "n2"), tau, every))).select(*ID).distinct()
+
+    small, hot = sides.where(F.col("_n") <= SMALL), stage(sides.where(F.col("_n") > SMALL), "lines-hot")
+    open_ = small.join(gone.select(*ID), ID, "left_anti")
+    found = stage(verified(open_.join(earlier(small), "_key").where(close)).union(gone.select(*ID)).distinct(), "lines-near")
+    pivots = hot.groupBy("_key", "n").agg(F.min(F.struct("first", *ID)).alias("p")).select("_key", "p.*", "n")
+    left = hot.join(found, ID, "left_anti")
+    found = stage(verified(left.join(earlier(pivots), "_key").where(close)).union(found), "lines-near")
+    left = hot.join(found, ID, "left_anti")
+    return verified(left.join(earlier(hot), "_key").where(close)).union(found).distinct()
+
+
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """_k, _h, pos, line, and the 128-bit name of each line of at least `least` code points."""
     each = docs.where(F.col("text").isNotNull()).select("_k", "_h", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return each.where(F.char_length("line") >= least).select("*", F.xxhash64("line").alias("_a"), F.xxhash64(F.lit(17), "line").alias("_b"))
 
 
-def dedup(docs: DataFrame, least: int = 16, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, least: int = 16, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, tau: int = TAU, every: int | None = None) -> DataFrame:
     """One row per document: doc_id, _k, _h, n_lines, n_removed, text (the lines that stay).
 
     Lines are what stands between line feeds. Of lines with at least `least` code points, one goes if an earlier
-    line equals it, or is a different one within one edit (insertion, deletion or replacement of a code point)
-    of it; a text stands where it first occurs, by doc_id, then position. Shorter lines always stay.
+    line equals it, or is a different one within tau edits (insertions, deletions or replacements of a code
+    point) of it; a text stands where it first occurs, by doc_id, then position. Shorter lines always stay. With
+    `every`, two lines may differ by one edit for every so many code points of the shorter one: at least one,
+    at most tau.
 
     Equal lines are one row from the start (combined before the shuffle). Each distinct line is indexed by
     hashes of itself but for one of four parts, and probes those of lines as long and one shorter; lines of a
-    key are verified by a banded bit-parallel edit distance over the part that the key leaves out.
+    key are verified by a banded bit-parallel edit distance over the part that the key leaves out. What is more
+    than one edit apart meets by passages of whole segments (see `passages`), verified by a banded distance.
 
     Null text: no lines, stays null. Empty text: one empty line. Null ids come last. Rows that repeat an id and
     text are one document (each is returned, with the same lines gone). Empty tables give no rows. Other
@@ -163,6 +255,8 @@ def dedup(docs: DataFrame, least: int = 16, id_col: str = "doc_id", text_col: st
     late = F.col("first") > F.col("first2")
     gone = near.where(F.col("first") != F.col("first2")).select(F.when(late, F.col("_a")).otherwise(F.col("_c")).alias("_a"), F.when(late, F.col("_b")).otherwise(F.col("_d")).alias("_b")).distinct().withColumn("_gone", F.lit(True))
     gone = stage(gone, "lines-gone")
+    if tau > 1:
+        gone = stage(beyond(lines, distinct, gone, least, tau, every).withColumn("_gone", F.lit(True)), "lines-beyond")
     repeated = distinct.select(*ID, "first", "n").join(gone, ID, "left").where("n > 1 OR _gone").select(*ID, "first", "_gone")
     spots = lines.select("_k", "_h", "pos", *ID, place.cast("decimal(38,0)").alias("_place")).join(repeated, ID).where(F.coalesce("_gone", F.lit(False)) | (F.col("_place") != F.col("first")))
     spots = spots.groupBy("_k", "_h").agg(F.collect_set("pos").alias("_out"))
@@ -172,11 +266,20 @@ def dedup(docs: DataFrame, least: int = 16, id_col: str = "doc_id", text_col: st
     return rows.select("doc_id", "_k", "_h", F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.size(drop).cast("long").alias("n_removed"), kept.alias("text"), *(["_rest"] if carry else []))
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def result(out: DataFrame) -> DataFrame:
     return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edit, as its SQL has it."""
+    return result(dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op7_line_dedup_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits that grow with the line, so that a changed word or date is found."""
+    return result(dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), tau=MOST, every=EVERY))
+
+
 OP7_SQL = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
 o AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE length(line) >= 16 GROUP BY line),

@@ -310,6 +310,39 @@ def test_line_edits(spark, small, monkeypatch):
     assert got == want_lines(texts)
 
 
+@pytest.mark.parametrize("small", [16, 1])
+@pytest.mark.parametrize("tau,every", [(3, None), (8, 24)])
+def test_line_edits_beyond_one(spark, small, tau, every, monkeypatch):
+    monkeypatch.setattr(lines, "SMALL", small)
+    r = random.Random(9)
+    some = []
+    for n in (16, 19, 30, 47, 48, 71, 73, 97, 145, 193, 230):
+        b = "".join(r.choice("abcdefgh é𝄞") for _ in range(n))
+        some += [b, b]
+        for edits in (1, 2, 3, 4, 6, 8, 9):
+            x = list(b)
+            for _ in range(edits):
+                i, kind = r.randrange(len(x)), r.randrange(3)
+                x[i : i + (kind < 2)] = ["z"] if kind != 1 else []
+            some.append("".join(x))
+    r.shuffle(some)
+    texts = [(i, x) for i, x in enumerate(some)]
+    first = {x: i for i, x in reversed(texts)}
+    reach = lambda n: min(tau, max(1, n // every)) if every else tau
+    near = lambda a, b: abs(len(a) - len(b)) <= reach(min(len(a), len(b))) and distance(a, b) <= reach(min(len(a), len(b)))
+    gone = {a for a in first if len(a) >= 16 and any(len(b) >= 16 and first[b] < first[a] and near(a, b) for b in first)}
+    want = {i: int(len(x) >= 16 and (x in gone or first[x] != i)) for i, x in texts}
+    got = lines.dedup(spark.createDataFrame(texts, "doc_id long, text string"), tau=tau, every=every)
+    assert {x.doc_id: x.n_removed for x in got.collect()} == want
+
+
+def test_line_with_one_changed_word(spark):
+    line = "The committee met on the third of March to look at the yearly figures and agreed to publish them in {} before the summer, with a short note on how each of the numbers had been found and by whom they were checked."
+    texts = [(0, line.format("Brussels")), (1, line.format("Paris")), (2, line[:120] + "quite another end of the same line, which is a different one")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in lines.dedup(df, tau=lines.MOST, every=lines.EVERY).collect()} == {0: 0, 1: 1, 2: 0}
+
+
 @pytest.mark.parametrize("tau", [1, 2, 3])
 def test_banded_distance(spark, tau):
     r = random.Random(6)

@@ -59,7 +59,12 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def scan(docs: DataFrame, max_owners: int = 1, max_repos: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+def contents(candidates: DataFrame) -> DataFrame:
+    """(hash, owner, repo) of rows that also have _ta and _tb: of equal texts only the first, by repository."""
+    return candidates.groupBy("hash", "_ta", "_tb").agg(F.min(F.struct("repo", "owner")).alias("x")).select("hash", "x.owner", "x.repo")
+
+
+def scan(docs: DataFrame, max_owners: int = 1, max_repos: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", by_content: bool = False) -> DataFrame:
     """One row per document: doc_id, base and found (arrays of spans with values), n_live, n_example.
 
     Values of all candidates are hashed and counted over the corpus by distinct owners (owner_col; a null is an
@@ -67,6 +72,9 @@ def scan(docs: DataFrame, max_owners: int = 1, max_repos: int = 3, id_col: str =
     repositories is owner-specific and looks live; others are widely copied examples. Base spans always stay in
     found; further kinds join them where they look live. n_live and n_example count the document's candidates.
 
+    With by_content, exact copies of a document count as one, for the owner and repository of the first: a leak
+    does not look like an example because its document was copied.
+
     Null and empty texts have no spans. Repeated rows give one row each, and count once per owner and
     repository. An empty table gives no rows. Other columns are ignored.
     """
@@ -75,14 +83,15 @@ def scan(docs: DataFrame, max_owners: int = 1, max_repos: int = 3, id_col: str =
     more = F.array_sort(F.concat(*[spans(text, k, p, g, n, len(BASE) + i) for i, (k, p, g, n) in enumerate(MORE)]))
     hashed = lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"), F.substring(F.sha2(x["value"], 256), 1, 32).alias("hash"))
     rows = stage(
-        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\0null")).alias("owner"), F.coalesce(F.col(repo_col).cast("string"), F.lit("\0null")).alias("repo"), F.transform(base, hashed).alias("base"), F.transform(more, hashed).alias("more")),
+        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\0null")).alias("owner"), F.coalesce(F.col(repo_col).cast("string"), F.lit("\0null")).alias("repo"), F.transform(base, hashed).alias("base"), F.transform(more, hashed).alias("more"), *([F.xxhash64(text).alias("_ta"), F.xxhash64(F.lit(17), text).alias("_tb")] if by_content else [])),
         "secrets-spans",
     )
     some = F.size("base") + F.size("more") > 0
-    each = rows.where(some).withColumn("_r", F.xxhash64("doc_id", "owner", "repo", "base", "more")).withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null")))
-    flat = each.groupBy("_k", "_r", "owner", "repo", "base", "more").agg(F.count("*").alias("_copies"))
-    held = flat.select("_k", "_r", "owner", "repo", F.explode(F.concat("base", "more")).alias("x")).select("_k", "_r", "owner", "repo", F.col("x.hash").alias("hash"), "x")
-    stats = ownership(held.select("hash", "owner", "repo"))
+    name = ["_ta", "_tb"] if by_content else []
+    each = rows.where(some).withColumn("_r", F.xxhash64("doc_id", "owner", "repo", "base", "more", *name)).withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null")))
+    flat = each.groupBy("_k", "_r", "owner", "repo", "base", "more", *name).agg(F.count("*").alias("_copies"))
+    held = flat.select("_k", "_r", "owner", "repo", *name, F.explode(F.concat("base", "more")).alias("x")).select("_k", "_r", "owner", "repo", *name, F.col("x.hash").alias("hash"), "x")
+    stats = ownership(contents(held) if by_content else held.select("hash", "owner", "repo"))
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
     judged = held.join(stats, "hash").groupBy("_k", "_r").agg(
         F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_example"),
@@ -95,6 +104,6 @@ def scan(docs: DataFrame, max_owners: int = 1, max_repos: int = 3, id_col: str =
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), by_content=True)
     n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), "n_live", "n_example")

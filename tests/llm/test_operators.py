@@ -158,6 +158,14 @@ def test_secret_ownership(spark):
     assert secrets.scan(df).count() == 12
 
 
+def test_copies_of_a_leak_are_one(spark, tmp_path):
+    leak, example = "url://user:" + "l3akl3akl3ak@", "url://user:" + "ex4mpleex4m@"
+    texts = [(i, "see " + leak, f"o{i % 3}") for i in range(6)] + [(10 + i, f"note {i}: {example}", f"o{i}") for i in range(3)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_live, r.n_example, r.spans != "") for r in QUERIES["op3_secrets"](spark, str(tmp_path)).collect()}
+    assert got == {i: (1, 0, True) for i in range(6)} | {10 + i: (0, 1, False) for i in range(3)}
+
+
 # --- 4 --------------------------------------------------------------------------------------------
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 

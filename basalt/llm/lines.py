@@ -3,48 +3,68 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import doc_key, rest, stage
-from .neardup import semi
-
-TAU = 1  # the segment plan below is that of one edit: two segments, each in two parts
-PARTS = 2 * (TAU + 1)
-#: Beyond one edit: code points of a passage that two lines must share, and most passages in the window of one key.
-GRAM, WINDOW = 12, 64
-#: Edits of op7_line_dedup_edits and the pipeline: one for every so many code points of the shorter line, up to a limit.
-EVERY, MOST = 24, 8
-#: Keys of up to so many lines compare their pairs; larger ones are split by the edited part (see `crowded`).
+from .neardup import KEYS, semi
+
+#: What op7 and the pipeline take: words are the symbols, one edit in every eight of them, one at most.
+UNIT, TAU, EVERY = "word", 1, 8
+#: Keys of up to so many lines compare their pairs; larger ones go another way (see `crowded` and `pivoted`).
 SMALL = 16
 ID = ["_a", "_b"]
+SPACES = "\t\x0b\x0c\r"
+
+
+def symbols(line: Column, unit: str) -> Column:
+    """The symbols that edits count: the words between white space, or all code points."""
+    return F.array_remove(F.split(F.translate(line, SPACES, " " * len(SPACES)), " "), "") if unit == "word" else F.split(line, "")
 
 
-def cut(length: Column, j: int) -> Column:
-    return F.floor(length * j / PARTS).cast("int")
+def reach(n: Column, tau: int, every: int) -> Column:
+    """Edits allowed between two lines, the shorter one of n symbols."""
+    return F.least(F.lit(tau), F.floor(n / F.lit(every)).cast("int"))
 
 
-def segment_key(line: Column, length: Column, j: int, longer: int) -> Column:
-    """Hash of a line but for part j of an index line of `length`; longer: the line has one character more there.
+def probes(tau: int) -> list[tuple[int, int, int, int]]:
+    """(t, d, i, off): a line of n symbols looks for segment i of t + 1 of the lines that are d shorter, and may
+    have t edits to it, off places from where the segment stands in them.
 
-    One edit leaves one of the two segments (halves) whole, and in the other one of its two parts: the line
-    agrees with the index line up to part j from the start and behind it from the end.
+    With t edits some segment i has at most i - 1 of them before it, as seen from the left, and at most t + 1 - i
+    behind it, as seen from the right, so that only these places are needed. d = off = 0 is the line's own
+    segment: its entry in the index, and a probe at once.
     """
-    head = F.substring(line, F.lit(1), cut(length, j))
-    tail = F.substring(line, cut(length, j + 1) + 1 + longer, length)
-    return F.xxhash64(F.lit(j), length, head, F.lit("\0"), tail)
+    out = []
+    for t in range(1, tau + 1):
+        for d in range(t + 1):
+            for i in range(1, t + 2):
+                low, high = max(1 - i, d - (t + 1 - i)), min(i - 1, d + (t + 1 - i))
+                out += [(t, d, i, off) for off in range(low, high + 1)]
+    return out
+
+
+def segment(length: Column, t: int, i: int) -> tuple[Column, Column]:
+    """(first place, size) of segment i of t + 1 of a line of `length` symbols; the last ones take what is left over."""
+    size = F.floor(length / F.lit(t + 1)).cast("int")
+    short = F.lit(t + 1) - (length - size * (t + 1))  # segments without an extra symbol
+    return size * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - short) + 1, size + (F.lit(i) > short).cast("int")
 
 
-def middle(line: Column, length: Column, j: Column, longer: Column) -> Column:
-    a, b = F.floor(length * j / PARTS).cast("int"), F.floor(length * (j + 1) / PARTS).cast("int")
-    return F.substring(line, a + 1, b - a + longer)
+def key_of(sym: Column, n: Column, tau: int, every: int, probe: tuple[int, int, int, int]) -> Column:
+    """Hash of the substring, with the segment it is sought for and the length of the lines that have it; null: no such probe."""
+    t, d, i, off = probe
+    length = n - d
+    first, size = segment(length, t, i)
+    start = first + off
+    there = (reach(length, tau, every) == t) & (start >= 1) & (start + size - 1 <= n)
+    return F.when(there, F.xxhash64(F.lit(t), F.lit(i), length, F.slice(sym, start, size)))
 
 
-def within(p: Column, t: Column, tau: int = TAU) -> Column:
-    """Whether two strings are within tau edits: banded, bit-parallel.
+def within(p: Column, t: Column, tau: int, most: Column | None = None) -> Column:
+    """Whether two arrays are within `most` (at most tau, else tau) edits of each other: banded, bit-parallel.
 
-    Bit d + tau of state e: with at most e edits, the diagonal d (characters of p used minus those of t) can be
-    reached. A character of t moves all diagonals at once by a few operations on the 2 tau + 1 bits.
+    Bit d + tau of state e: with at most e edits, the diagonal d (symbols of p used minus those of t) can be
+    reached. A symbol of t moves all diagonals at once by a few operations on the 2 tau + 1 bits.
     """
     full = (1 << (2 * tau + 1)) - 1
     start = [1 << tau]
@@ -53,7 +73,7 @@ def within(p: Column, t: Column, tau: int = TAU) -> Column:
     names = [f"e{i}" for i in range(tau + 1)]
     begin = F.struct(*[F.lit(x).cast("long").alias(k) for k, x in zip(names, start, strict=True)])
 
-    def run(s):  # s binds what every step reads, so that the strings are split once
+    def run(s):  # s binds what every step reads
         m, n = s["m"], s["n"]
 
         def hits(j):
@@ -76,220 +96,143 @@ def within(p: Column, t: Column, tau: int = TAU) -> Column:
             return F.struct(*out)
 
         ran = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), begin, lambda acc, j: F.transform(F.array(hits(j)), lambda h: states(acc, h))[0])).otherwise(begin)
-        return F.call_function("shiftright", ran[names[tau]], (m - n + tau).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+        at = s["most"]
+        last = F.coalesce(*[F.when(at == e, ran[names[e]]) for e in range(tau + 1)])
+        return F.call_function("shiftright", last, (m - n + tau).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
 
-    given = F.struct(F.split(p, "").alias("p"), F.split(t, "").alias("t"), F.char_length(p).alias("m"), F.char_length(t).alias("n"))
-    return F.when(F.abs(F.char_length(p) - F.char_length(t)) <= tau, F.transform(F.array(given), run)[0]).otherwise(F.lit(False))
+    most = F.lit(tau) if most is None else most
+    given = F.struct(p.alias("p"), t.alias("t"), F.size(p).alias("m"), F.size(t).alias("n"), most.alias("most"))
+    return F.when(F.abs(F.size(p) - F.size(t)) <= most, F.transform(F.array(given), run)[0]).otherwise(F.lit(False))
 
 
-def crowded(keys: DataFrame) -> DataFrame:
-    """Links in keys of many lines, without pairs: each line of a key to the earliest of those it certainly is near.
+def crowded(hot: DataFrame, texts: DataFrame) -> DataFrame:
+    """Lines (_a, _b) that go, from keys of many lines, for one edit: exact and without pairs.
 
-    keys: _key, j, longer, _a, _b, first, mid (the part the key leaves out). Lines whose parts agree but for the
-    same position are within one edit of each other, and so is a line that becomes another's part by losing a
-    character: both are groups of (key, part less one character), where a minimum is combined before the
-    shuffle. Rows grow with the lines and the length of a part, not with the square of the key's lines.
+    The lines of a key agree in one half; what is left of them (rest) is within one edit if it agrees but for the
+    same place, or if one becomes the other by losing a symbol. Both are groups of (key, rest less one symbol).
+    A group of the first kind holds lines that are all one edit apart; one of the second kind has one index line
+    and lines with a symbol more. So the least places, combined before the shuffle, say which lines go. Rows grow
+    with the lines and their length, not with the square of a key's lines, and a group's lines are spread over
+    tasks by the join's split of skewed keys.
     """
-    m = F.char_length("mid")
-    less = lambda i: F.concat(F.substring("mid", F.lit(1), i - 1), F.substring(F.col("mid"), i + 1, m))
+    half = F.floor((F.col("n") - F.col("d")) / F.lit(2)).cast("int")
+    other = F.col("n") - F.col("d") - half
+    left = F.when(F.col("i") == 1, F.slice("sym", half + 1, F.col("n") - half)).otherwise(F.slice("sym", F.lit(1), F.col("n") - other))
+    rows = hot.join(texts, ID).select("_key", *ID, "first", (F.col("d") == 0).alias("index"), left.alias("rest"))
+    m = F.size("rest")
+    less = lambda k: F.concat(F.slice("rest", F.lit(1), k - 1), F.slice("rest", k + 1, m - k))
     every = F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>"))
-    same = F.transform(every, lambda i: F.xxhash64(F.lit("s"), i, less(i)))
-    lost = F.transform(every, lambda i: F.xxhash64(F.lit("l"), less(i)))
-    kinds = F.when(F.col("longer") == 1, F.array_distinct(lost)).otherwise(F.concat(same, F.array(F.xxhash64(F.lit("l"), "mid"))))
-    rows = keys.withColumn("_g", F.explode(kinds))
-    # In a group of the second kind a link has the index line (longer = 0) on one side, and that is one line.
-    low = rows.groupBy("_key", "j", "_g").agg(F.min(F.struct("first", *ID, "longer")).alias("low"), F.min(F.when(F.col("longer") == 0, F.struct("first", *ID, "longer"))).alias("index"))
-    near = rows.join(low.where("index IS NOT NULL"), ["_key", "j", "_g"])
-    to = lambda c: F.col(f"{c}._a").alias("_c"), lambda c: F.col(f"{c}._b").alias("_d")
-    pick = lambda c: near.where((F.col(f"{c}._a") != F.col("_a")) | (F.col(f"{c}._b") != F.col("_b"))).select("j", *ID, "longer", *[f(c) for f in to], F.col(f"{c}.longer").alias("longer2"))
-    both = pick("index").union(pick("low").where("longer = 0"))
-    return both.select(*ID, "_c", "_d").distinct()
+    same = F.transform(every, lambda k: F.xxhash64(F.lit("s"), k, less(k)))
+    lost = F.transform(every, lambda k: F.xxhash64(F.lit("l"), less(k)))
+    kinds = F.when(F.col("index"), F.concat(same, F.array(F.xxhash64(F.lit("l"), "rest")))).otherwise(F.array_distinct(lost))
+    flat = rows.select("_key", *ID, "first", "index", F.explode(kinds).alias("_g"))
+    low = flat.groupBy("_key", "_g").agg(F.min("first").alias("_low"), F.min(F.when(F.col("index"), F.col("first"))).alias("_index"), F.count("*").alias("_m"))
+    found = flat.join(low.where("_m > 1 AND _index IS NOT NULL").drop("_m"), ["_key", "_g"])
+    return found.where(F.when(F.col("index"), F.col("first") > F.col("_low")).otherwise(F.col("first") > F.col("_index"))).select(*ID).distinct()
 
 
-def reach(n: int, tau: int, every: int | None) -> int:
-    """Edits allowed between two lines, the shorter one of n code points."""
-    return min(tau, max(1, n // every)) if every else tau
+def verified(pairs: DataFrame, texts: DataFrame, tau: int, every: int) -> DataFrame:
+    """Lines (_a, _b) of the pairs (_a, _b, _c, _d) whose two lines are within reach."""
+    other = texts.select(F.col("_a").alias("_c"), F.col("_b").alias("_d"), F.col("sym").alias("sym2"))
+    full = pairs.distinct().join(texts, ID).join(other, ["_c", "_d"])
+    return full.where(within(F.col("sym"), F.col("sym2"), tau, reach(F.least(F.size("sym"), F.size("sym2")), tau, every))).select(*ID).distinct()
 
 
-def reach_of(n: Column, tau: int, every: int | None) -> Column:
-    return F.least(F.lit(tau), F.greatest(F.lit(1), F.floor(n / every).cast("int"))) if every else F.lit(tau)
+def met(late: DataFrame, early: DataFrame) -> DataFrame:
+    """Pairs (_a, _b, _c, _d) of a line and an earlier one with the same key, one of them from the index."""
+    e = early.select("_key", F.col("_a").alias("_c"), F.col("_b").alias("_d"), F.col("first").alias("first2"), F.col("index").alias("index2"))
+    return late.join(e, "_key").where("first > first2 AND (index OR index2)").select(*ID, "_c", "_d")
 
 
-def classes(least: int, tau: int, every: int | None) -> list[tuple[int, int, int]]:
-    """(least length, code points of a passage, passages in a window) of each class of lengths with more than one edit.
+def pivoted(hot: DataFrame, texts: DataFrame, tau: int, every: int) -> DataFrame:
+    """Lines that go, from keys of many lines, for several edits: each line meets the earliest of each length of its
+    key, which settles what surrounds one original in linear work; only lines that this leaves meet all earlier
+    ones. Exact; quadratic for many lines of a key that are not near one another."""
+    first = hot.groupBy("_key", "n", "index").agg(F.min(F.struct("first", *ID)).alias("p")).select("_key", "index", "p.*")
+    found = stage(verified(met(hot, first), texts, tau, every), "lines-pivots")
+    return verified(met(hot.join(found, ID, "left_anti"), hot), texts, tau, every).union(found).distinct()
 
-    t edits leave one of t + 1 segments of the shorter line whole in the other: a stretch of at least
-    (n - t) / (t + 1) code points. It holds a whole window of passages, whose least hash both lines have as a key.
-    """
-    out, n = [], least
-    while True:
-        t = reach(n, tau, every)
-        whole = -(-(n - t) // (t + 1))
-        if whole < 1:
-            raise ValueError(f"{t} edits are too many for lines of {n} code points")
-        gram = min(GRAM, whole)
-        window = min(whole - gram + 1, WINDOW)
-        if t > 1:
-            out.append((n, gram, window))
-        if t == tau and window == WINDOW:
-            return out
-        n = next((k for k in range(n + 1, n + max(1, n // 4)) if reach(k, tau, every) != t), n + max(1, n // 4))
-
-
-def passages(texts: DataFrame, least: int, tau: int, every: int | None) -> DataFrame:
-    """(_a, _b, _key) of each line: least passage hashes of all its windows, under the class of each length it may meet.
-
-    Only substrings count, not where they stand, so one set of keys serves as index and as probe.
-    """
-    plan = classes(least, tau, every)
-    start = plan[0][0]
-    n = F.char_length("line")
-    which = lambda x: sum((x >= a).cast("int") for a, _, _ in plan[1:]) + F.lit(0)
-    met = F.sequence(which(F.greatest(n - reach_of(n, tau, every), F.lit(start))), which(n))
-    rows = texts.where(n >= start).select(*ID, "line", F.explode(met).alias("c"))
-    of = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in plan]), F.col("c") + 1)
-    grams = F.lit(None).cast("array<string>")
-    for g in sorted({x[1] for x in plan}):
-        grams = F.when(of(1) == g, F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{g}}}))"), F.lit(1))).otherwise(grams)
-    given = F.struct(F.transform(grams, lambda x: F.xxhash64(x)).alias("h"), of(2).alias("w"))
-    least_of = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s["h"]) - s["w"] + 1)), lambda i: F.array_min(F.slice(s["h"], i, s["w"]))))
-    keys = rows.select(*ID, "c", F.explode(F.transform(F.array(given), least_of)[0]).alias("x"))
-    return keys.select(*ID, F.xxhash64("c", "x").alias("_key"))
-
-
-def beyond(lines: DataFrame, distinct: DataFrame, gone: DataFrame, least: int, tau: int, every: int | None) -> DataFrame:
-    """Lines (_a, _b) that are within reach, but more than one edit, of an earlier line; gone: those known to go.
-
-    A key of more than SMALL lines is first compared with the earliest of each length it meets; only lines that
-    this leaves are paired with all earlier ones of the key.
-    """
-    many = stage(distinct.where("n > 1").select(*ID), "lines-many")
-    few = semi(lines.select(*ID, "line"), many, ID, how="left_anti")
-    texts = few.unionByName(semi(lines.select(*ID, "line"), many, ID).dropDuplicates(ID))
-    keys = passages(texts, least, tau, every)
-    shared = stage(keys.withColumn("_n", F.count("*").over(W.partitionBy("_key"))).where("_n > 1"), "lines-passages")
-    some = stage(shared.select(*ID).distinct(), "lines-some")
-    known = semi(lines.select(*ID, "line"), some, ID).dropDuplicates(ID).join(distinct.select(*ID, "first"), ID)
-    told = stage(known.withColumn("n", F.char_length("line")), "lines-told")
-    sides = shared.join(told.select(*ID, "first", "n"), ID)
-    earlier = lambda df: df.select("_key", F.col("_a").alias("_c"), F.col("_b").alias("_d"), F.col("first").alias("first2"), F.col("n").alias("n2"))
-    close = (F.col("first") > F.col("first2")) & (F.abs(F.col("n") - F.col("n2")) <= reach_of(F.least("n", "n2"), tau, every))
-
-    def verified(pairs):
-        a = told.select(*ID, "line", "n")
-        b = told.select(F.col("_a").alias("_c"), F.col("_b").alias("_d"), F.col("line").alias("line2"), F.col("n").alias("n2"))
-        full = pairs.select(*ID, "_c", "_d").distinct().join(a, ID).join(b, ["_c", "_d"])
-        return full.where(F.levenshtein("line", "line2", tau).between(0, reach_of(F.least("n", "n2"), tau, every))).select(*ID).distinct()
-
-    small, hot = sides.where(F.col("_n") <= SMALL), stage(sides.where(F.col("_n") > SMALL), "lines-hot")
-    open_ = small.join(gone.select(*ID), ID, "left_anti")
-    found = stage(verified(open_.join(earlier(small), "_key").where(close)).union(gone.select(*ID)).distinct(), "lines-near")
-    pivots = hot.groupBy("_key", "n").agg(F.min(F.struct("first", *ID)).alias("p")).select("_key", "p.*", "n")
-    left = hot.join(found, ID, "left_anti")
-    found = stage(verified(left.join(earlier(pivots), "_key").where(close)).union(found), "lines-near")
-    left = hot.join(found, ID, "left_anti")
-    return verified(left.join(earlier(hot), "_key").where(close)).union(found).distinct()
-
-
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """_k, _h, pos, line, and the 128-bit name of each line of at least `least` code points."""
-    each = docs.where(F.col("text").isNotNull()).select("_k", "_h", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return each.where(F.char_length("line") >= least).select("*", F.xxhash64("line").alias("_a"), F.xxhash64(F.lit(17), "line").alias("_b"))
-
-
-def dedup(docs: DataFrame, least: int = 16, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, tau: int = TAU, every: int | None = None) -> DataFrame:
-    """One row per document: doc_id, _k, _h, n_lines, n_removed, text (the lines that stay).
 
-    Lines are what stands between line feeds. Of lines with at least `least` code points, one goes if an earlier
-    line equals it, or is a different one within tau edits (insertions, deletions or replacements of a code
-    point) of it; a text stands where it first occurs, by doc_id, then position. Shorter lines always stay. With
-    `every`, two lines may differ by one edit for every so many code points of the shorter one: at least one,
-    at most tau.
+def place() -> Column:
+    """A document's order as one decimal, with room for a line's position: by id, then a hash of its text; null ids last."""
+    wide = lambda x: F.lit(x).cast("decimal(38,0)")
+    part = (F.pmod(F.col("_h"), F.lit(1 << 32))).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(12,0)")
+    whole = (F.col("_h").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(12,0)")
+    return F.when(F.col("doc_id").isNull(), wide(str(1 << 126)) + whole).otherwise(F.col("_k").cast("decimal(20,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + part).cast("decimal(38,0)")
 
-    Equal lines are one row from the start (combined before the shuffle). Each distinct line is indexed by
-    hashes of itself but for one of four parts, and probes those of lines as long and one shorter; lines of a
-    key are verified by a banded bit-parallel edit distance over the part that the key leaves out. What is more
-    than one edit apart meets by passages of whole segments (see `passages`), verified by a banded distance.
 
-    Null text: no lines, stays null. Empty text: one empty line. Null ids come last. Rows that repeat an id and
-    text are one document (each is returned, with the same lines gone). Empty tables give no rows. Other
-    columns are ignored, or come along as a struct _rest if carry is set.
+def lines_of(docs: DataFrame, unit: str) -> DataFrame:
+    """_k, _h, pos, place, sym, and the 128-bit name of each line that has a word."""
+    each = docs.where(F.col("text").isNotNull()).select("_k", "_h", place().alias("_p"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    words = each.where(F.length(F.trim(F.translate("line", SPACES, " " * len(SPACES)))) > 0).withColumn("sym", symbols(F.col("line"), unit)).drop("line")
+    return words.select("_k", "_h", "pos", (F.col("_p") + F.col("pos")).cast("decimal(38,0)").alias("place"), "sym", F.xxhash64("sym").alias("_a"), F.xxhash64(F.lit(17), "sym").alias("_b"))
+
+
+def dedup(docs: DataFrame, tau: int = TAU, every: int = EVERY, unit: str = UNIT, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, _k, _h, n_lines, n_removed, text (the lines that stay).
+
+    Lines are what stands between line feeds. A line's symbols are its words (between white space, so that only
+    its words and their order matter) or, with unit "char", its code points. A line goes if an earlier line has
+    the same symbols, or becomes it by few edits (a symbol inserted, deleted or replaced): one for every `every`
+    symbols of the shorter line, tau at most. So lines of under `every` symbols go only if they are repeated. A
+    line stands where it first occurs, by doc_id, then position. Lines without a word only set others apart:
+    they stay.
+
+    Equal lines are one row from the start (combined before the shuffle). A line that may have t edits is cut
+    into t + 1 segments, one of which the other line must hold whole: each line enters its segments into an index
+    by length, and looks for the segments of lines as long and up to t shorter at the places they can have moved
+    to. Keys are counted first (combined before the shuffle); lines that share one are verified by a banded
+    bit-parallel edit distance.
+
+    Null text: no lines, stays null. Empty text: one empty line. Null ids come last, in the order of a hash of
+    their text, as do different texts of one id. Rows that repeat an id and text are one document (each is
+    returned, with the same lines gone). Empty tables give no rows. Other columns are ignored, or come along as a
+    struct _rest if carry is set.
     """
+    if every < 2:
+        raise ValueError("a line of n symbols can't have more than n / 2 edits")
     base = docs.select(F.col(id_col).alias("doc_id"), *doc_key(id_col, text_col), F.col(text_col).cast("string").alias("text"), *rest(docs, text_col, carry))
-    lines = lines_of(base, least)
-    place = F.col("_k").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("pos")
-    length = F.char_length("line")
-    keyed = [segment_key(F.col("line"), length, j, 0).alias(f"k0{j}") for j in range(PARTS)] + [segment_key(F.col("line"), length - 1, j, 1).alias(f"k1{j}") for j in range(PARTS)]
-    names = [f"k{r}{j}" for r in (0, 1) for j in range(PARTS)]
-    distinct = stage(
-        lines.select(*ID, place.cast("decimal(38,0)").alias("first"), *keyed).groupBy(*ID).agg(F.min("first").alias("first"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in names]),
-        "lines-distinct",
-    )
-    flat = distinct.select(*ID, F.explode(F.array(*[F.struct(F.lit(r).alias("longer"), F.lit(j).alias("j"), F.col(f"k{r}{j}").alias("_key")) for r in (0, 1) for j in range(PARTS)])).alias("x")).select(*ID, "x.longer", "x.j", "x._key")
-    by_key = W.partitionBy("_key")
-    shared = stage(flat.withColumns({"_n": F.count("*").over(by_key), "_i": F.min("longer").over(by_key)}).where("_n > 1 AND _i = 0").drop("_i"), "lines-shared")
-    some = shared.select(*ID).distinct()
-    texts = stage(semi(lines.select(*ID, "line"), some, ID).dropDuplicates(ID), "lines-texts")
-    told = texts.join(distinct.select(*ID, "first"), ID)
-    small = shared.where(F.col("_n") <= SMALL)
-    a, b = small.where("longer = 0").select("_key", *ID), small.select("_key", F.col("_a").alias("_c"), F.col("_b").alias("_d"), "longer")
-    differ = (F.col("_a") != F.col("_c")) | (F.col("_b") != F.col("_d"))
-    once = (F.col("longer") == 1) | (F.col("_a") < F.col("_c")) | ((F.col("_a") == F.col("_c")) & (F.col("_b") < F.col("_d")))
-    pairs = a.join(b, "_key").where(differ & once).select(*ID, "_c", "_d").distinct()
-    hot = shared.where(F.col("_n") > SMALL).join(told, ID)
-    index = F.char_length("line") - F.col("longer")
-    pairs = pairs.union(crowded(hot.withColumn("mid", middle(F.col("line"), index, F.col("j"), F.col("longer"))))).distinct()
-    other = told.select(F.col("_a").alias("_c"), F.col("_b").alias("_d"), F.col("line").alias("line2"), F.col("first").alias("first2"))
-    full = pairs.join(told, ID).join(other, ["_c", "_d"])
-    # Verified in the part in which they differ: for some part, the rest agrees exactly from both ends.
-    n, n2 = F.char_length("line"), F.char_length("line2")
-    low = F.least(n, n2)
-
-    def part(j):
-        a, b = cut(low, j), cut(low, j + 1)
-        tail = low - b
-        same = (F.substring("line", F.lit(1), a) == F.substring("line2", F.lit(1), a)) & (F.when(tail > 0, F.right("line", tail) == F.right("line2", tail)).otherwise(F.lit(True)))
-        return F.when(same, within(F.substring("line", a + 1, b - a + n - low), F.substring("line2", a + 1, b - a + n2 - low))).otherwise(F.lit(False))
-
-    near = full.where((F.abs(n - n2) <= TAU) & F.coalesce(F.when(part(0), F.lit(True)), F.when(part(1), F.lit(True)), F.when(part(2), F.lit(True)), F.when(part(3), F.lit(True)), F.lit(False)))
-    late = F.col("first") > F.col("first2")
-    gone = near.where(F.col("first") != F.col("first2")).select(F.when(late, F.col("_a")).otherwise(F.col("_c")).alias("_a"), F.when(late, F.col("_b")).otherwise(F.col("_d")).alias("_b")).distinct().withColumn("_gone", F.lit(True))
-    gone = stage(gone, "lines-gone")
-    if tau > 1:
-        gone = stage(beyond(lines, distinct, gone, least, tau, every).withColumn("_gone", F.lit(True)), "lines-beyond")
-    repeated = distinct.select(*ID, "first", "n").join(gone, ID, "left").where("n > 1 OR _gone").select(*ID, "first", "_gone")
-    spots = lines.select("_k", "_h", "pos", *ID, place.cast("decimal(38,0)").alias("_place")).join(repeated, ID).where(F.coalesce("_gone", F.lit(False)) | (F.col("_place") != F.col("first")))
+    lines = lines_of(base, unit)
+    plan = probes(tau)
+    names = [f"k{j}" for j in range(len(plan))]
+    n = F.col("n")
+    keyed = lines.withColumn("n", F.size("sym")).select(*ID, "place", "n", *[key_of(F.col("sym"), n, tau, every, p).alias(k) for p, k in zip(plan, names, strict=True)])
+    distinct = stage(keyed.groupBy(*ID).agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in names]), "lines-distinct")
+    each = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(d == 0 and off == 0).alias("index"), F.col(k).alias("_key")) for (_, d, i, off), k in zip(plan, names, strict=True)])
+    flat = distinct.where(n >= every).select(*ID, "first", "n", F.explode(each).alias("x")).select(*ID, "first", "n", "x.*").where("_key IS NOT NULL")
+    keys = stage(flat.groupBy("_key").agg(F.count("*").alias("_n"), F.max("index").alias("_some")).where("_n > 1 AND _some").drop("_some"), "lines-keys")
+    shared = stage(flat.join(F.broadcast(keys) if keys.limit(KEYS + 1).count() <= KEYS else keys.hint("merge"), "_key"), "lines-shared")
+    texts = stage(semi(lines.select(*ID, "sym"), stage(shared.select(*ID).distinct(), "lines-some"), ID).dropDuplicates(ID), "lines-texts")
+    small, hot = shared.where(F.col("_n") <= SMALL), shared.where(F.col("_n") > SMALL)
+    near = verified(met(small, small), texts, tau, every).union(crowded(hot, texts) if tau == 1 else pivoted(hot, texts, tau, every))
+    gone = stage(near.distinct().withColumn("_gone", F.lit(True)), "lines-gone")
+    repeated = stage(distinct.select(*ID, "first", "copies").join(gone, ID, "left").where("copies > 1 OR _gone").select(*ID, "first", "_gone"), "lines-repeated")
+    told = F.broadcast(repeated) if repeated.limit(KEYS + 1).count() <= KEYS else repeated
+    spots = lines.select("_k", "_h", "pos", "place", *ID).join(told, ID).where(F.coalesce("_gone", F.lit(False)) | (F.col("place") != F.col("first")))
     spots = spots.groupBy("_k", "_h").agg(F.collect_set("pos").alias("_out"))
     rows = base.join(spots, ["_k", "_h"], "left").withColumn("_lines", F.split("text", "\n", -1))
-    drop = F.coalesce("_out", F.array().cast("array<int>"))
-    kept = F.when(F.size(drop) == 0, F.col("text")).otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains(drop, i)), "\n"))
-    return rows.select("doc_id", "_k", "_h", F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.size(drop).cast("long").alias("n_removed"), kept.alias("text"), *(["_rest"] if carry else []))
-
-
-def result(out: DataFrame) -> DataFrame:
-    return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    count = F.coalesce(F.size("_lines"), F.lit(0))
+    # The places that stay, as a difference of sets, and their lines: linear in the lines.
+    stay = F.array_except(F.sequence(F.lit(0), count - 1), F.col("_out"))
+    kept = F.when(F.col("_out").isNull() | (count == 0), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda p: F.get("_lines", p)), "\n"))
+    return rows.select("doc_id", "_k", "_h", F.greatest(count, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_size("_out"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("text"), *(["_rest"] if carry else []))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One edit, as its SQL has it."""
-    return result(dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-
-
-def op7_line_dedup_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits that grow with the line, so that a changed word or date is found."""
-    return result(dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), tau=MOST, every=EVERY))
+    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-OP7_SQL = r"""
+OP7_SQL = rf"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-o AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE length(line) >= 16 GROUP BY line),
-h AS (SELECT *, length(line) AS n FROM o),
-c AS (SELECT r.line AS a, s.line AS b, r.first AS fa, s.first AS fb, r.n FROM h r JOIN h s ON left(r.line, r.n // 2) = left(s.line, r.n // 2) AND s.n BETWEEN r.n AND r.n + 1 AND r.line <> s.line
-  UNION SELECT r.line, s.line, r.first, s.first, r.n FROM h r JOIN h s ON right(r.line, r.n - r.n // 2) = right(s.line, r.n - r.n // 2) AND s.n BETWEEN r.n AND r.n + 1 AND r.line <> s.line),
-e AS (SELECT DISTINCT CASE WHEN fa > fb THEN a ELSE b END AS line FROM c WHERE len(list_filter(generate_series(0, n), lambda i: left(a, i) = left(b, i)
-  AND right(a, n - i - (CASE WHEN length(b) = n AND i < n THEN 1 ELSE 0 END)) = right(b, n - i - (CASE WHEN length(b) = n AND i < n THEN 1 ELSE 0 END)))) > 0),
-k AS (SELECT l.doc_id, l.pos, l.line, CASE WHEN o.line IS NULL THEN false WHEN e.line IS NOT NULL THEN true ELSE (l.doc_id, l.pos) <> o.first END AS gone
-  FROM l LEFT JOIN o ON l.line = o.line LEFT JOIN e ON l.line = e.line),
+s AS (SELECT doc_id, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
+o AS (SELECT w, len(w) AS n, min((doc_id, pos)) AS first FROM s WHERE len(w) > 0 GROUP BY w),
+h AS (SELECT * FROM o WHERE n >= {EVERY}),
+c AS (SELECT r.w AS a, t.w AS b, r.first AS fa, t.first AS fb, r.n AS n, t.n - r.n AS d FROM h r JOIN h t ON r.w[1:r.n // 2] = t.w[1:r.n // 2] AND t.n BETWEEN r.n AND r.n + 1 AND r.w <> t.w
+  UNION SELECT r.w, t.w, r.first, t.first, r.n, t.n - r.n FROM h r JOIN h t ON r.w[r.n // 2 + 1:r.n] = t.w[t.n - r.n + r.n // 2 + 1:t.n] AND t.n BETWEEN r.n AND r.n + 1 AND r.w <> t.w),
+e AS (SELECT DISTINCT CASE WHEN fa > fb THEN a ELSE b END AS w FROM c WHERE len(list_filter(generate_series(0, n), lambda i: a[1:i] = b[1:i] AND a[i + 2 - d:n] = b[i + 2:n + d])) > 0),
+k AS (SELECT s.doc_id, s.pos, s.line, CASE WHEN len(s.w) = 0 THEN false WHEN e.w IS NOT NULL THEN true ELSE (s.doc_id, s.pos) <> o.first END AS gone
+  FROM s LEFT JOIN o ON s.w = o.w LEFT JOIN e ON s.w = e.w),
 g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS t FROM k GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN g USING (doc_id)
 """

@@ -12,7 +12,6 @@ QUERIES = {
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_line_dedup": lines.op7_line_dedup,
-    "op7_line_dedup_edits": lines.op7_line_dedup_edits,
     "op8_topk": topk.op8_topk,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_token_counts": tokens.op10_token_counts,

@@ -273,82 +273,95 @@ def distance(a, b):
     return row[-1]
 
 
-def want_lines(texts):
+def symbols_of(line, unit):
+    return tuple(WORD.findall(line)) if unit == "word" else tuple(line)
+
+
+def want_lines(texts, tau=lines.TAU, every=lines.EVERY, unit=lines.UNIT):
+    """Rows (id, text) or longer; the ids are distinct, or their texts equal, unless a line is not repeated in them."""
     first = {}
     for r in texts:
-        for p, x in enumerate((r[1] or "").split("\n") if r[1] is not None else []):
-            if len(x) >= 16:
-                first[x] = min(first.get(x, (key(None), 10**9)), (key(r[0]), p))
-    names = sorted(first)
-    near = {a for a in names for b in names if a != b and abs(len(a) - len(b)) <= 1 and distance(a, b) <= 1 and first[a] > first[b]}
+        for p, x in enumerate((r[1] or "").split("\n") if WORD.search(r[1] or "") else []):
+            if WORD.search(x):
+                y = symbols_of(x, unit)
+                first[y] = min(first.get(y, (key(None), 10**9)), (key(r[0]), p))
+    names = sorted(first, key=len)
+    near = set()
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            t = min(tau, len(a) // every)
+            if len(b) - len(a) > t:
+                break
+            if t and distance(a, b) <= t:
+                near.add(max(a, b, key=first.get))
     out = []
     for r in texts:
         if r[1] is None:
             out.append((r[0], 0, 0, None))
             continue
         x = r[1].split("\n")
-        kept = [v for p, v in enumerate(x) if len(v) < 16 or (v not in near and (key(r[0]), p) == first[v])]
+        kept = [v for p, v in enumerate(x) for y in [symbols_of(v, unit)] if not WORD.search(v) or (y not in near and (key(r[0]), p) == first[y])]
         out.append((r[0], len(x), len(x) - len(kept), "\n".join(kept)))
     return Counter(out)
 
 
+def got_lines(df, **options):
+    return Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in lines.dedup(df, **options).collect())
+
+
 @pytest.mark.parametrize("small", [16, 1])
 def test_line_dedup(spark, docs, empty, small, monkeypatch):
     monkeypatch.setattr(lines, "SMALL", small)  # 1: every shared key takes the way of crowded ones
-    got = Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in lines.dedup(docs).collect())
-    assert got == want_lines(rows())
+    monkeypatch.setattr(lines, "KEYS", 5 if small == 1 else 1000)  # 5: keys are shuffled
+    assert got_lines(docs) == want_lines(rows())
     assert lines.dedup(empty).count() == 0
 
 
 @pytest.mark.parametrize("small", [16, 1])
-def test_line_edits(spark, small, monkeypatch):
+@pytest.mark.parametrize("unit,tau,every", [("char", 1, 12), ("char", 2, 9), ("char", 3, 2), ("word", 1, 8), ("word", 1, 2), ("word", 2, 6), ("word", 3, 4)])
+def test_line_edits(spark, small, unit, tau, every, monkeypatch):
     monkeypatch.setattr(lines, "SMALL", small)
     r = random.Random(5)
-    base = ["".join(r.choice("abcé ") for _ in range(n)) for n in (16, 17, 20, 31, 64, 65, 120)]
-    some = []
-    for b in base:
-        some.append(b)
-        for _ in range(8):
-            i = r.randrange(len(b))
-            kind = r.randrange(4)
-            some.append(b[:i] + "z" + b[i + 1 :] if kind == 0 else b[:i] + b[i + 1 :] if kind == 1 else b[:i] + "y" + b[i:] if kind == 2 else b[:i] + "zz" + b[i + 1 :])
-    r.shuffle(some)
-    texts = [(i, x) for i, x in enumerate(some)]
-    got = Counter((x.doc_id, x.n_lines, x.n_removed, x.text) for x in lines.dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect())
-    assert got == want_lines(texts)
-
-
-@pytest.mark.parametrize("small", [16, 1])
-@pytest.mark.parametrize("tau,every", [(3, None), (8, 24)])
-def test_line_edits_beyond_one(spark, small, tau, every, monkeypatch):
-    monkeypatch.setattr(lines, "SMALL", small)
-    r = random.Random(9)
     some = []
-    for n in (16, 19, 30, 47, 48, 71, 73, 97, 145, 193, 230):
-        b = "".join(r.choice("abcdefgh é𝄞") for _ in range(n))
+    for n in (3, 4, 7, 8, 9, 15, 16, 17, 24, 31, 60):
+        b = [r.choice(["a", "b", "é", "𝄞", "d"]) + (str(r.randrange(20)) if unit == "word" else "") for _ in range(n)]
         some += [b, b]
-        for edits in (1, 2, 3, 4, 6, 8, 9):
+        for edits in (1, 1, 1, 1, 1, 2, 2, 3, 3, 4):
             x = list(b)
             for _ in range(edits):
                 i, kind = r.randrange(len(x)), r.randrange(3)
-                x[i : i + (kind < 2)] = ["z"] if kind != 1 else []
-            some.append("".join(x))
-    r.shuffle(some)
-    texts = [(i, x) for i, x in enumerate(some)]
-    first = {x: i for i, x in reversed(texts)}
-    reach = lambda n: min(tau, max(1, n // every)) if every else tau
-    near = lambda a, b: abs(len(a) - len(b)) <= reach(min(len(a), len(b))) and distance(a, b) <= reach(min(len(a), len(b)))
-    gone = {a for a in first if len(a) >= 16 and any(len(b) >= 16 and first[b] < first[a] and near(a, b) for b in first)}
-    want = {i: int(len(x) >= 16 and (x in gone or first[x] != i)) for i, x in texts}
-    got = lines.dedup(spark.createDataFrame(texts, "doc_id long, text string"), tau=tau, every=every)
-    assert {x.doc_id: x.n_removed for x in got.collect()} == want
+                x[i : i + (kind < 2)] = [r.choice("xyz")] if kind != 1 else []
+                x = x or ["q"]
+            some.append(x)
+    texts = [(" " if unit == "word" else "").join(x) for x in some] + ["", "  ", "a"]
+    r.shuffle(texts)
+    cut = [(i, "\n".join(texts[i * 3 : i * 3 + 3])) for i in range(len(texts) // 3 + 1)]
+    assert got_lines(spark.createDataFrame(cut, "doc_id long, text string"), tau=tau, every=every, unit=unit) == want_lines(cut, tau, every, unit)
+
+
+def test_line_places(spark):
+    """Of different documents with one id, or none, one keeps a shared line; short lines go too; lines without a word stay."""
+    header = "the very same header line of all of these texts"
+    texts = [(None, f"{header}\n\n{i}") for i in range(6)] + [(4, f"{header}.\nx{i}\n \n") for i in range(4)] + [(9, "ok\n\nok\n\t"), (10, "ok")]
+    got = lines.dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    kept = Counter(v for r in got for v in r.text.split("\n"))
+    assert kept[header] + kept[header + "."] == 1 and kept["ok"] == 1 and kept[""] == 6 + 4 + 1 + 1 and kept[" "] == 4 and kept["\t"] == 1
+    assert all(kept[f"x{i}"] == 1 for i in range(4)) and len(got) == 12
 
 
 def test_line_with_one_changed_word(spark):
-    line = "The committee met on the third of March to look at the yearly figures and agreed to publish them in {} before the summer, with a short note on how each of the numbers had been found and by whom they were checked."
-    texts = [(0, line.format("Brussels")), (1, line.format("Paris")), (2, line[:120] + "quite another end of the same line, which is a different one")]
+    line = "The committee met on the third of March to look at the yearly figures and agreed to publish them in {} before the summer."
+    texts = [(0, line.format("Brussels")), (1, line.format("Paris")), (2, line[:60] + "quite another end of the same line, which is a different one"), (3, line.format("New  York").replace(" ", "\t"))]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    assert {r.doc_id: r.n_removed for r in lines.dedup(df, tau=lines.MOST, every=lines.EVERY).collect()} == {0: 0, 1: 1, 2: 0}
+    assert {r.doc_id: r.n_removed for r in lines.dedup(df).collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
+    assert {r.doc_id: r.n_removed for r in lines.dedup(df, tau=2).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
+
+
+def test_many_lines_in_one_text(spark):
+    words = [f"w{i}" for i in range(12)]
+    text = "\n".join(" ".join([*words, str(i)]) for i in range(20000))
+    row = lines.dedup(spark.createDataFrame([(1, text), (2, "w")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert (row.n_lines, row.n_removed, row.text) == (20000, 19999, text.split("\n")[0])
 
 
 @pytest.mark.parametrize("tau", [1, 2, 3])
@@ -356,7 +369,7 @@ def test_banded_distance(spark, tau):
     r = random.Random(6)
     pairs = [("".join(r.choice("ab") for _ in range(r.randrange(9))), "".join(r.choice("ab") for _ in range(r.randrange(9)))) for _ in range(300)]
     df = spark.createDataFrame(pairs, "p string, t string")
-    for x in df.select("p", "t", lines.within(df.p, df.t, tau).alias("w")).collect():
+    for x in df.select("p", "t", lines.within(lines.F.split(df.p, ""), lines.F.split(df.t, ""), tau).alias("w")).collect():
         assert x.w == (distance(x.p, x.t) <= tau), x
 
 

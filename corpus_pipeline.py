@@ -40,8 +40,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @_fresh
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, but for a few edits, go; so do documents that have lost lines and keep only white space."""
-    out = lines.dedup(docs, carry=True, tau=lines.MOST, every=lines.EVERY)
+    """Lines that repeat an earlier one, or all but a word of it, go; so do documents that have lost lines and keep only white space."""
+    out = lines.dedup(docs, carry=True)
     empty = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     kept = _common.restored(out.where(~empty | F.col("text").isNull()), docs)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept

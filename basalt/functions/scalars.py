@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,7 +68,6 @@ TEMPLATES: dict[str, dict] = {
     "json_valid": {1: "CAST(try_parse_json({0}) IS NOT NULL AS BIGINT)"},
     "json_keys": {1: "to_json(json_object_keys({0}))"},
     "json_object": {"*": "to_json(named_struct({*}))"},
-    "json_array": {"*": "to_json(array({*}))"},
     "json_type": {1: "CASE regexp_extract(schema_of_variant(try_parse_json({0})), '^[A-Z]+', 0) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'STRING' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VOID' THEN 'null' WHEN '' THEN NULL ELSE CASE WHEN try_parse_json({0}) IS NOT NULL THEN 'number' END END"},
     # vectors
     "vec_distance_l2": {2: _L2},
@@ -81,15 +82,14 @@ TEMPLATES: dict[str, dict] = {
     "group_concat": {1: "listagg({0}, ',')", 2: "listagg({0}, {1})"},
     "string_agg": {1: "listagg({0}, ',')", 2: "listagg({0}, {1})"},
     "array_agg": {1: "CASE WHEN count({0}) > 0 THEN to_json(collect_list({0})) END"},
-    "safe_sum": {1: "coalesce(CAST(try_sum({0}) AS DOUBLE), sum(CAST({0} AS DOUBLE)))"},
+    "safe_sum": {1: "sum(CASE WHEN typeof({0}) = 'string' THEN NULL ELSE try_cast({0} AS DOUBLE) END)"},
 }
+TEMPLATES["json_type"][2] = TEMPLATES["json_type"][1].replace("try_parse_json({0})", "try_variant_get(try_parse_json({0}), {1}, 'variant')")
 TEMPLATES["json_typeof"] = TEMPLATES["json_type"]
 
 
 def duration_seconds(text: str) -> float:
     """Seconds of a compound duration such as 1h30m, 1.5h or 250ms."""
-    import re
-
     unit = {"ns": 1e-9, "us": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
     parts = re.findall(r"(\d+(?:\.\d+)?)(ns|us|ms|s|m|h)", text)
     if not parts or "".join(a + b for a, b in parts) != text:
@@ -116,6 +116,12 @@ def sql(name: str, *args: str) -> str:
     if low in ("date_add", "date_sub") and len(args) == 3:
         sign = "-" if low == "date_sub" else ""
         return f"timestampadd({args[2].strip().strip(chr(39)).upper()}, {sign}({args[1]}), {args[0]})"
+    if low == "json_array":  # each value for itself, as they may differ in type
+        each = [f"substring(to_json(array({a})), 2, char_length(to_json(array({a}))) - 2)" for a in args]
+        return "concat('[', concat_ws(',', " + ", ".join(each) + "), ']')" if each else "'[]'"
+    if low == "to_char" and len(args) == 2 and (digits := re.fullmatch(r"'[90,]*(?:\.([90]*))?'", args[1].strip())):
+        places = len(digits[1] or "")
+        return f"format_number(CAST({args[0]} AS DOUBLE), {places})" if "," in args[1] else f"format_string('%.{places}f', CAST({args[0]} AS DOUBLE))"
     if low == "to_char" and len(args) == 2:
         return f"date_format({args[0]}, {to_char_format(args[1])})"
     forms = TEMPLATES.get(low, {})
@@ -127,8 +133,6 @@ def sql(name: str, *args: str) -> str:
 
 
 def _fill(form: str, args: tuple) -> str:
-    import re
-
     return "(" + re.sub(r"\{(\d)\}", lambda m: args[int(m[1])], form) + ")"
 
 
@@ -137,15 +141,11 @@ TO_CHAR = (("YYYY", "yyyy"), ("YY", "yy"), ("MONTH", "MMMM"), ("MON", "MMM"), ("
 
 
 def to_char_format(literal: str) -> str:
-    import re
-
     return re.sub("|".join(a for a, _ in TO_CHAR), lambda m: dict(TO_CHAR)[m[0]], literal)
 
 
 def glob_regex(pattern: str) -> str:
     """Regular expression of a GLOB pattern: * any run, ? any character, the rest as it is."""
-    import re
-
     return "(?s)^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
 
 

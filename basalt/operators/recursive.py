@@ -7,17 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basalt.session import shared
+
 
 def recurse(start: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = 10_000) -> DataFrame:
     """start UNION ALL step(start) UNION ALL ... until a level is empty, or silently after `limit` levels."""
-    spark = start.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix="basalt-")
-        spark.sparkContext.setCheckpointDir(at)
+    shared(start.sparkSession)
     out, level = start, start.checkpoint()
     for _ in range(limit):
         level = step(level).checkpoint()

@@ -10,30 +10,38 @@ from pyspark.sql import functions as F
 OPS = {">": ("max", "min"), ">=": ("max", "min"), "<": ("min", "max"), "<=": ("min", "max")}
 
 
+def condition(left: str, op: str, kind: str, rows: str, values: str, low: str, high: str) -> str:
+    """SQL of `left op ALL|ANY` over what is known of the values: how many rows, how many of them not null, the
+    least and the greatest, in the values' own type.
+
+    ALL of nothing is true, ANY of nothing false. The range operators ignore nulls among the values, and are false
+    if there are only nulls. = ALL and <> ANY are decided by two different values, else by the only one; nulls
+    leave what isn't decided unknown.
+    """
+    every = kind.upper() == "ALL"
+    empty = f"WHEN {rows} = 0 THEN {str(every).upper()}"
+    if op in OPS:
+        edge = {"max": high, "min": low}[OPS[op][0 if every else 1]]
+        return f"CASE {empty} WHEN {values} = 0 THEN FALSE ELSE ({left}) {op} {edge} END"
+    return f"CASE {empty} WHEN ({left}) IS NULL THEN NULL WHEN {low} <> {high} OR ({left}) <> {low} THEN {str(not every).upper()} WHEN {rows} > {values} THEN NULL ELSE {str(every).upper()} END"
+
+
 def quantified(df: DataFrame, expr: str, op: str, kind: str, values: DataFrame) -> DataFrame:
-    """Rows of df with `expr op ALL|ANY (values)`. ALL of nothing is true, ANY of nothing false; nulls in values
-    are ignored by the range operators, = ANY is a semi join, <> ALL a null-aware anti join.
+    """Rows of df with `expr op ALL|ANY (values)`: = ANY is a semi join, <> ALL a null-aware anti join, all else
+    `condition`.
 
-    The values shrink to one row (min or max, combined before the shuffle), so the cross join is a broadcast of it.
+    The values shrink to one row (combined before the shuffle), so the cross join is a broadcast of it.
     """
     kind, name = kind.upper().replace("SOME", "ANY"), values.columns[0]
     if op == "=" and kind == "ANY":
         return df.join(values.select(F.col(name).alias("_v")), F.expr(f"({expr}) = _v"), "left_semi")
+    low = values.agg(F.count("*").alias("_all"), F.count(name).alias("_some"), F.min(name).alias("_min"), F.max(name).alias("_max"))
     if op in ("<>", "!=") and kind == "ALL":
-        seen = values.agg(F.count_if(F.col(name).isNull()).alias("_nulls"), F.count("*").alias("_all"))
         kept = df.join(values.select(F.col(name).alias("_v")).where("_v IS NOT NULL"), F.expr(f"({expr}) = _v"), "left_anti")
-        return kept.crossJoin(F.broadcast(seen)).where(f"_all = 0 OR (_nulls = 0 AND ({expr}) IS NOT NULL)").drop("_nulls", "_all")
-    low = values.agg(F.min(name).alias("_min"), F.max(name).alias("_max"), F.count("*").alias("_all"))
-    joined = df.crossJoin(F.broadcast(low))
-    if op in OPS:
-        bound = OPS[op][0 if kind == "ALL" else 1]
-        test = f"({expr}) {op} _{bound}"
-        cond = f"_all = 0 OR {test}" if kind == "ALL" else test
-    elif op == "=":  # = ALL
-        cond = f"_all = 0 OR (_min = _max AND ({expr}) = _min)"
-    else:  # <> ANY
-        cond = f"_all > 0 AND (_min <> _max OR ({expr}) <> _min)"
-    return joined.where(cond).drop("_min", "_max", "_all")
+        test = f"_all = 0 OR (_all = _some AND ({expr}) IS NOT NULL)"
+    else:
+        kept, test = df, condition(expr, op, kind, "_all", "_some", "_min", "_max")
+    return kept.crossJoin(F.broadcast(low)).where(test).drop("_all", "_some", "_min", "_max")
 
 
 def combine(first: DataFrame, *rest: tuple[str, DataFrame]) -> DataFrame:

@@ -21,6 +21,24 @@ statement("dialect_timestamp_days", "SELECT event_id, ts + 3 AS a, ts - 2 AS b F
 statement("dialect_ordered_aggregates", "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name DESC) AS names, array_agg(n_nationkey ORDER BY n_nationkey DESC) AS keys FROM nation GROUP BY n_regionkey",
           "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name DESC) AS names, '[' || string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey DESC) || ']' AS keys FROM nation GROUP BY n_regionkey")
 
+statement("aggregate_filter_order", "SELECT o_orderstatus, array_agg(o_orderkey ORDER BY o_orderkey DESC) FILTER (WHERE o_totalprice > 170000) AS a, array_agg(o_orderpriority) FILTER (WHERE o_orderkey = 7) AS b FROM orders GROUP BY o_orderstatus",
+          "SELECT o_orderstatus, '[' || string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey DESC) FILTER (o_totalprice > 170000) || ']' AS a, '[\"' || max(o_orderpriority) FILTER (o_orderkey = 7) || '\"]' AS b FROM orders GROUP BY o_orderstatus")
+statement("group_concat_distinct", "SELECT c_nationkey, group_concat(DISTINCT c_mktsegment) AS a, string_agg(DISTINCT c_mktsegment, '; ') FILTER (WHERE c_acctbal > 5000) AS b FROM customer GROUP BY c_nationkey",
+          "SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS a, string_agg(DISTINCT c_mktsegment, '; ' ORDER BY c_mktsegment) FILTER (c_acctbal > 5000) AS b FROM customer GROUP BY c_nationkey")
+statement("first_last_nulls", "SELECT c_nationkey, first(CASE WHEN c_mktsegment = 'BUILDING' THEN 'b' END) AS f, last(CASE WHEN c_acctbal > 9900 THEN 1 END) AS l, first(c_name ORDER BY c_acctbal DESC) AS top, last(c_name ORDER BY c_custkey) FILTER (WHERE c_acctbal > 0) AS newest FROM customer GROUP BY c_nationkey",
+          "SELECT c_nationkey, max(CASE WHEN c_mktsegment = 'BUILDING' THEN 'b' END) AS f, max(CASE WHEN c_acctbal > 9900 THEN 1 END) AS l, max_by(c_name, c_acctbal) AS top, max_by(c_name, c_custkey) FILTER (c_acctbal > 0) AS newest FROM customer GROUP BY c_nationkey")
+statement("json_mixed", "SELECT event_id, json_array(event_id, event_type, user_id > 3, NULL, value > 0) AS a, json_type(props, '$.k') AS k, json_type(props, '$.none') AS n, json_type('{\"a\": [1, {\"b\": null}]}', '$.a[1]') AS o FROM events",
+          "SELECT event_id, '[' || event_id || ',\"' || event_type || '\",' || (user_id > 3) || ',null,' || (value > 0) || ']' AS a, CASE json_type(props, '$.k') WHEN 'VARCHAR' THEN 'string' ELSE 'number' END AS k, NULL::VARCHAR AS n, 'object' AS o FROM events")
+statement("to_char_numbers", "SELECT o_orderkey, to_char(o_totalprice, '999,999.99') AS a, to_char(o_orderkey * 1000, '9,999') AS b, to_char(o_orderkey, '0000') AS c FROM orders",
+          "SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS a, format('{:,}', o_orderkey * 1000) AS b, o_orderkey::VARCHAR AS c FROM orders")
+
+
+@query("sum_promoted", "SELECT g, s FROM (VALUES (1, 9223372036854775808::DOUBLE), (2, 3::DOUBLE)) AS t(g, s)")
+def sum_promoted(spark, sf_dir):
+    """Sums that overflow become floats, as do those of the other groups."""
+    rows = Engine(spark).query("SELECT g, sum(x) AS s FROM (VALUES (1, 9223372036854775807), (1, 1), (2, 3)) AS t(g, x) GROUP BY g")
+    return spark.createDataFrame([(r["g"], r["s"]) for r in rows], "g int, s double")
+
 
 @query("dialect_as_of", "SELECT user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id <= 300) WHERE r = 1 AND event_type <> 'error'")
 def dialect_as_of(spark, sf_dir):

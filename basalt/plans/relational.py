@@ -163,6 +163,20 @@ statement("quantified_any", "SELECT s_suppkey FROM supplier WHERE s_acctbal < AN
 statement("quantified_equal", "SELECT n_name FROM nation WHERE n_regionkey = ANY (SELECT r_regionkey FROM region WHERE r_name < 'B') AND n_nationkey <> ALL (SELECT s_nationkey FROM supplier WHERE s_suppkey < 5)", "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name < 'B') AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 5)")
 
 
+statement("quantified_text", "SELECT c_custkey FROM customer WHERE c_name > ALL (SELECT s_name FROM supplier) AND c_mktsegment <= ANY (SELECT r_name FROM region)", "SELECT c_custkey FROM customer WHERE c_name > (SELECT max(s_name) FROM supplier) AND c_mktsegment <= (SELECT max(r_name) FROM region)")
+statement("quantified_timestamp", "SELECT o_orderkey, o_orderdate > ANY (SELECT ts FROM events) AS later, o_orderdate <= ALL (SELECT l_shipdate FROM lineitem WHERE l_quantity > 45) AS first FROM orders",
+          "SELECT o_orderkey, o_orderdate > (SELECT min(ts) FROM events) AS later, o_orderdate <= (SELECT min(l_shipdate) FROM lineitem WHERE l_quantity > 45) AS first FROM orders")
+statement("quantified_all_equal", "SELECT x, x = ALL (SELECT n_regionkey FROM nation WHERE n_nationkey < 5) AS a, x = ALL (SELECT y FROM (VALUES (5), (5)) AS u(y)) AS b, x = ALL (SELECT y FROM (VALUES (5), (NULL)) AS u(y)) AS c FROM (VALUES (1), (5), (NULL)) AS t(x)",
+          "SELECT x, CASE WHEN x IS NOT NULL THEN false END AS a, x = 5 AS b, CASE WHEN x <> 5 THEN false END AS c FROM (VALUES (1), (5), (NULL)) AS t(x)")
+statement("quantified_any_unequal", "SELECT o_orderkey, o_orderpriority <> ANY (SELECT o_orderpriority FROM orders WHERE o_orderkey < 9) AS a, o_orderkey + 1 <> SOME (SELECT 8) AS b, NOT o_orderkey <> ANY (SELECT 7) AS c FROM orders",
+          "SELECT o_orderkey, EXISTS (SELECT 1 FROM orders i WHERE i.o_orderkey < 9 AND i.o_orderpriority <> o.o_orderpriority) AS a, o_orderkey + 1 <> 8 AS b, o_orderkey = 7 AS c FROM orders o")
+statement("quantified_empty", "SELECT n_nationkey, n_name > ALL (SELECT r_name FROM region WHERE r_regionkey > 99) AS a, n_name > ANY (SELECT r_name FROM region WHERE r_regionkey > 99) AS b, n_nationkey = ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 99) AS c, n_nationkey <> ANY (SELECT r_regionkey FROM region WHERE r_regionkey > 99) AS d, n_nationkey > ALL (SELECT CAST(NULL AS INTEGER)) AS e FROM nation",
+          "SELECT n_nationkey, true AS a, false AS b, true AS c, false AS d, false AS e FROM nation")
+statement("quantified_bigint", "SELECT x FROM (VALUES (9007199254740993), (9007199254740992), (9007199254740991)) AS t(x) WHERE x > ALL (SELECT y FROM (VALUES (9007199254740992), (5)) AS u(y))", "SELECT 9007199254740993 AS x")
+statement("quantified_correlated", "SELECT c_custkey FROM customer WHERE c_acctbal > ANY (SELECT o_totalprice / 20 FROM orders WHERE o_custkey = c_custkey)", "SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT min(o_totalprice / 20) FROM orders WHERE o_custkey = c_custkey)")
+statement("in_nothing", "SELECT n_nationkey, n_nationkey IN () AS a, n_nationkey + 1 NOT IN () AS b, CASE WHEN n_name IN ( ) THEN 1 ELSE 2 END AS c FROM nation WHERE NOT n_regionkey IN ()", "SELECT n_nationkey, false AS a, true AS b, 2 AS c FROM nation")
+
+
 @query("quantified_frame", "SELECT s_suppkey FROM supplier WHERE s_acctbal > (SELECT max(c_acctbal) - 500 FROM customer) AND s_acctbal > (SELECT min(c_acctbal) FROM customer)")
 def quantified_frame(spark, sf_dir):
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
@@ -175,6 +189,10 @@ statement("cte_columns", "WITH t(a, b) AS (SELECT n_nationkey, n_name FROM natio
 statement("recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT count(*) AS c, sum(n) AS s FROM t", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT count(*) AS c, sum(n)::BIGINT AS s FROM t")
 
 
+statement("recursive_members", "WITH RECURSIVE t(n, how) AS (SELECT 1, 'a' UNION ALL SELECT n * 2, how || 'b' FROM t WHERE n < 20 UNION ALL SELECT n * 3, how || 'c' FROM t WHERE n < 9) SELECT n, how FROM t WHERE n <> 4",
+          "WITH RECURSIVE s AS (SELECT unnest([1, 2]) AS k), t(n, how) AS (SELECT 1, 'a' UNION ALL SELECT CASE WHEN k = 1 THEN n * 2 ELSE n * 3 END, how || CASE WHEN k = 1 THEN 'b' ELSE 'c' END FROM t, s WHERE (k = 1 AND n < 20) OR (k = 2 AND n < 9)) SELECT n, how FROM t WHERE n <> 4")
+
+
 @query("recursive_loop", "WITH RECURSIVE t(n, p) AS (SELECT 1, 1 UNION ALL SELECT n + 1, p * 2 FROM t WHERE n < 6) SELECT n, p FROM t")
 def recursive_loop(spark, sf_dir):
     return recursive.recurse(spark.sql("SELECT 1 AS n, 1 AS p"), lambda t: t.where("n < 6").selectExpr("n + 1 AS n", "p * 2 AS p"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,15 @@ def views(spark: SparkSession, sf_dir: str, text: str) -> None:
     for name in TABLES:
         if re.search(rf"\b{name}\b", text):
             table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def shared(spark: SparkSession) -> str:
+    """Folder for intermediate tables that all executors reach: spark.checkpoint.dir. Where it is unset, one is set:
+    a temporary folder of a local session, else a folder in the warehouse."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        at = tempfile.mkdtemp(prefix="basalt-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{uuid.uuid4().hex}"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")

@@ -3,23 +3,18 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basalt.session import shared
+
 _STAGED: list[str] = []
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder of this session: spark.checkpoint.dir, or, where unset, a local one (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="basalt-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+scratch_dir = shared
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

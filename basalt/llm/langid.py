@@ -12,20 +12,22 @@ ORDER, BITS = 5, 12
 MASK = np.uint64((1 << BITS) - 1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _TABLE: list[np.ndarray] = []
+#: Code points from DIRECT on are two symbols, HIGH + c // 1024 and LOW + c % 1024, so that no two letters share one.
+DIRECT, HIGH, LOW = 2048, 2048, 2304
 
 
-def symbols() -> np.ndarray:
-    """Symbol of each code point: 0 for what is no letter; letters fold their case and take 12 bits (rare ones share)."""
+def symbols() -> tuple[np.ndarray, np.ndarray]:
+    """First and second symbol of each code point: 0 and 0 for what is no letter; letters fold their case."""
     if not _TABLE:
-        table = np.zeros(0x110000, np.uint16)
+        first, second = np.zeros(0x110000, np.uint16), np.zeros(0x110000, np.uint16)
         for c in range(0x323B0):
             x = chr(c)
             if x.isalpha():
                 low = x.lower()
                 k = ord(low) if len(low) == 1 else c
-                table[c] = k if k < 2048 else 2048 + (k * 2654435761 >> 7) % 2048
-        _TABLE.append(table)
-    return _TABLE[0]
+                first[c], second[c] = (k, 0) if k < DIRECT else (HIGH + k // 1024, LOW + k % 1024)
+        _TABLE.extend((first, second))
+    return _TABLE[0], _TABLE[1]
 
 
 def grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,13 +39,19 @@ def grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lead = (raw & 0xC0) != 0x80  # code points start here
     cp = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     chars = np.concatenate([[0], np.cumsum(lead)])[off]
-    sym = symbols()[cp]
+    first, second = symbols()
+    sym, more = first[cp], second[cp]
     row = np.repeat(np.arange(n), np.diff(chars))
+    two = more > 0
+    if two.any():
+        each = 1 + two
+        sym, row, last = np.repeat(sym, each), np.repeat(row, each), np.cumsum(each) - 1
+        sym[last[two]] = more[two]
     keep = sym != 0
-    keep[1:] |= sym[:-1] != 0
     if len(keep):
-        starts = chars[:-1][np.diff(chars) > 0]
-        keep[starts] = sym[starts] != 0  # no space at the start
+        begins = np.ones(len(keep), bool)
+        begins[1:] = row[1:] != row[:-1]
+        keep[1:] |= (sym[:-1] != 0) & ~begins[1:]  # no space at the start
     sym, row = sym[keep], row[keep]
     at = np.arange(len(sym)) + (row + 1) * (ORDER - 1)
     flat = np.zeros(len(sym) + n * (ORDER - 1), np.uint64)
@@ -151,9 +159,9 @@ class Models:
         out[some] = -np.add.reduceat(value, cut[some], axis=0, dtype=np.float64) / size[some, None]
         return out, size
 
-    def calibrate(self, raw: np.ndarray, off: np.ndarray, truth: np.ndarray, quantile: float = 0.999) -> None:
-        """Fit the sharpness of the score and, per language, the cross-entropy above which a text is rejected."""
-        h, size = self.entropies(raw, off)
+    def calibrate(self, h: np.ndarray, size: np.ndarray, truth: np.ndarray, quantile: float = 0.999) -> None:
+        """Fit the sharpness of the score and, per language, the cross-entropy above which a text is rejected, from
+        entropies (text x language), numbers of symbols and languages of texts that no model has learned from."""
         ok = np.flatnonzero((size > 0) & (truth >= 0))
         if not len(ok):
             return
@@ -168,7 +176,7 @@ class Models:
         for i in range(len(self.langs)):
             own = h[truth == i, i]
             if len(own):
-                self.limit[i] = np.quantile(own, quantile) + 0.5
+                self.limit[i] = np.quantile(own, quantile)
 
     def posterior(self, h: np.ndarray, size: np.ndarray, sharp: float | None = None) -> np.ndarray:
         x = -h * (sharp or self.sharp) * np.sqrt(np.minimum(size, 400))[:, None]
@@ -176,22 +184,28 @@ class Models:
         return x / x.sum(1, keepdims=True)
 
 
-def train(docs: DataFrame, max_texts: int = 1200, max_langs: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models | None:
-    """Models from a sample of about max_texts labelled texts (documented bound), about as many per language, of the
-    max_langs most frequent languages (bounds the models).
+def train(docs: DataFrame, max_texts: int = 1200, least: int = 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models | None:
+    """Models of all languages, from a sample of about max_texts labelled texts over all of them (documented bound),
+    about as many per language, and about `least` of each at least, or all of a language that has fewer.
 
     The languages are counted first; each is then sampled by a hash of the id at the rate that gives its share,
-    so no language's rows meet in one task. The 5-grams of whole sampled texts are counted on the executors and
-    summed by a shuffle; what comes to the driver is bounded by the sample. None if no row can be learned from.
+    so no language's rows meet in one task. A quarter of the sample is left out of the models and calibrates
+    them, but in languages with about `least` texts or fewer, whose limit stays infinite. The 5-grams of whole
+    texts are counted on the executors and summed by a shuffle, the entropies of the calibrating texts are
+    computed there; what comes to the driver is bounded by the sample, the models by its 5-grams times the
+    languages. None if no row can be learned from.
     """
     kept = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = {r[0]: r[1] for r in kept.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    counts = {r[0]: r[1] for r in kept.groupBy("lang").count().collect()}
     if not counts:
         return None
     langs = sorted(counts)
-    share = max(1.0, max_texts / len(langs))
-    rate = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, share / counts[x]))) for x in langs])
+    share = max(float(least), max_texts / len(langs))
+    rates = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, share / counts[lang]))])
+    spared = F.col("lang").isin([lang for lang in langs if min(share, counts[lang]) > least])
+    rate = rates[F.col("lang")]
     picked = kept.where(F.pmod(F.xxhash64(F.lit(11), "i"), F.lit(1 << 30)) < rate * (1 << 30)).where(F.col("text").isNotNull())
+    apart = (F.pmod(F.xxhash64(F.lit(12), "i"), F.lit(4)) == 0) & spared
 
     def count(batches):
         import pyarrow as pa
@@ -205,7 +219,7 @@ def train(docs: DataFrame, max_texts: int = 1200, max_langs: int = 256, id_col:
                     key, n = np.unique(grams(raw[off[a] : off[b]], off[a : b + 1] - off[a])[0], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * len(key), pa.string()), "key": pa.array(key.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    summed = picked.select("text", "lang").mapInArrow(lean(count), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    summed = picked.where(~apart).select("text", "lang").mapInArrow(lean(count), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     key = summed["key"].to_numpy().astype(np.uint64)
     lang = np.searchsorted(np.array(langs, object), np.array(summed["lang"].to_pylist(), object)) if len(key) else np.zeros(0, np.int64)
     if not len(key):
@@ -214,9 +228,21 @@ def train(docs: DataFrame, max_texts: int = 1200, max_langs: int = 256, id_col:
     table = np.zeros((len(union), len(langs)))
     table[back, lang] = summed["n"].to_numpy()
     model = Models(langs, union, table)
-    check = picked.where(F.pmod(F.xxhash64(F.lit(12), "i"), F.lit(4)) == 0).select("text", "lang").toArrow()
-    raw, off = utf8(check["text"])
-    model.calibrate(raw, off, np.array([langs.index(x) for x in check["lang"].to_pylist()], np.int64))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            raw, off = utf8(batch.column(0))
+            for a, b in chunks(off):
+                h, size = sent.value.entropies(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(h.tolist(), pa.list_(pa.float64())), pa.array(size.astype(np.int64))], names=["lang", "h", "size"])
+
+    check = picked.where(apart).select("text", "lang").mapInArrow(lean(measure), "lang string, h array<double>, size long").collect()
+    place = {x: i for i, x in enumerate(langs)}
+    model.calibrate(np.array([r.h for r in check]).reshape(-1, len(langs)), np.array([r["size"] for r in check], np.int64), np.array([place[r.lang] for r in check], np.int64))
+    sent.unpersist()
     return model
 
 

@@ -84,6 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str
         return None
     picked = each.where(F.pmod(F.xxhash64(F.lit(21), "_id"), F.lit(1 << 30)) < int(min(1.0, max_rows / n) * (1 << 30)))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(picked), "_id").select("_id", "_text", "_y")
+    texts = texts.groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.min("_y").alias("_y"))  # one text of an id
 
     def count(batches):
         import pyarrow as pa

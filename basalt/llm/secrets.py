@@ -19,12 +19,17 @@ MORE = (
 )
 
 
+#: Matches whose positions are summed up together.
+BLOCK = 256
+
+
 def spans(text: Column, kind: str, pattern: str, group: int, least: int, rank: int) -> Column:
     """Array of struct(start, rank, kind, end, value) of the leftmost non-overlapping matches, in code points.
 
     One lazy gap in front of each match gives its distance from the match before; sums of both are positions.
     The rest of the text is a gap too (its match is empty and dropped), else it would be searched anew from each
-    of its characters. Only texts that match at all pay for the extraction.
+    of its characters. Only texts that match at all pay for the extraction. Sums run within blocks of matches,
+    whose own starts are summed up first, so that no array grows by one match at a time.
     """
     value = group + 2 if group else 2  # groups of the pattern move by two
     whole = F.lit(rf"(?s)(.*?)(?:({pattern})|\z)")
@@ -33,7 +38,8 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int, rank: i
     values = F.regexp_extract_all(text, whole, F.lit(value)) if group else found
     rows = F.arrays_zip(gaps.alias("g"), found.alias("m"), values.alias("v"))
     kind_of = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind_of).alias("out"))
+    long = lambda x: F.lit(x).cast("long")
+    size = lambda x: (F.char_length(x["g"]) + F.char_length(x["m"])).cast("long")
 
     def step(acc, x):
         a = (acc["at"] + F.char_length(x["g"])).cast("long")
@@ -41,7 +47,17 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int, rank: i
         one = F.struct(a.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), b.alias("end"), x["v"].alias("value"))
         return F.struct(b.alias("at"), F.when(F.char_length(x["v"]) >= max(least, 1), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).cast(kind_of).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, begin, step)["out"]).otherwise(F.array().cast(kind_of))
+    def placed(all_):
+        part = lambda b: F.slice(all_, b * BLOCK + 1, BLOCK)
+        blocks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / F.lit(BLOCK)).cast("int"))
+        sums = F.transform(blocks, lambda b: F.aggregate(part(b), long(0), lambda acc, x: acc + size(x)))
+        begin = F.struct(long(0).alias("at"), F.array().cast("array<bigint>").alias("out"))
+        starts = F.aggregate(sums, begin, lambda acc, n: F.struct((acc["at"] + n).cast("long").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        inside = lambda b, at: F.aggregate(part(b), F.struct(at.cast("long").alias("at"), F.array().cast(kind_of).alias("out")), step)["out"]
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), starts.alias("at")), lambda x: inside(x["b"], x["at"])))
+
+    once = F.transform(F.array(rows), placed)[0]  # binds the matches, so that they are found once
+    return F.when(text.rlike(pattern), once).otherwise(F.array().cast(kind_of))
 
 
 def joined(found: Column) -> Column:

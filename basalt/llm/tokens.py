@@ -15,7 +15,13 @@ MODEL = "piece_bpe_32k.model"
 
 @lru_cache(maxsize=4)
 def load(model: str):
-    """(processor, bytes that each piece covers, whether white space is a proven barrier). model: a path, or a name of public_tokenizers."""
+    """(processor, bytes that each piece covers, pairs of neighbours inside pieces or None). model: a path, or a name of public_tokenizers.
+
+    Merges only ever make pieces. Where two neighbouring characters stand together in no piece, no merge crosses
+    the place between them, and what stands on either side is encoded independently: a proven boundary. That
+    holds for byte-pair models that leave the text as it is (but for the mark of spaces) and spell unknown
+    characters in bytes; for any other model there are no proven boundaries, and texts are encoded whole.
+    """
     import os
 
     import sentencepiece
@@ -27,30 +33,44 @@ def load(model: str):
     sp = sentencepiece.SentencePieceProcessor(model_file=str(model))
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
     width = np.array([1 if sp.is_byte(i) else len(p.replace("▁", " ").encode()) for i, p in enumerate(pieces)], np.int64)
-    # Merges only ever make pieces. If no piece has the space mark behind another character, no merge
-    # crosses the gap before a space, and what stands on either side is encoded independently.
-    barrier = not any("▁" in p.lstrip("▁") for p in pieces)
-    plain = sp.encode("a  b\n", out_type=str)
-    barrier = barrier and "".join(plain).replace("▁", " ").startswith(" a  b")
-    return sp, width, barrier
-
-
-def _gaps(raw: np.ndarray) -> np.ndarray:
-    """Positions of spaces that follow something else than a space."""
-    return np.flatnonzero((raw[1:] == 32) & (raw[:-1] != 32)) + 1
+    pairs = None
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+
+        spec = sentencepiece_model_pb2.ModelProto()
+        spec.ParseFromString(sp.serialized_model_proto())
+        t, n = spec.trainer_spec, spec.normalizer_spec
+        own = n.name == "identity" or not n.precompiled_charsmap and not n.normalization_rule_tsv
+        if t.model_type == t.BPE and t.byte_fallback and not t.treat_whitespace_as_suffix and own and n.add_dummy_prefix and n.escape_whitespaces and not n.remove_extra_whitespaces:
+            pairs = np.array(sorted({ord(a) << 21 | ord(b) for p in pieces for a, b in zip(p, p[1:])}), np.int64)
+    except ImportError:  # the model's description can't be read: nothing is proven
+        pass
+    return sp, width, pairs
+
+
+def boundaries(raw: bytes, pairs: np.ndarray) -> np.ndarray:
+    """Byte positions between two characters that stand together in no piece."""
+    cp = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    size = 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)
+    cp[cp == 32] = ord("▁")
+    both = cp[:-1] << 21 | cp[1:]
+    at = np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)
+    free = np.flatnonzero(pairs[at] != both) if len(pairs) else np.arange(len(both))
+    return np.cumsum(size)[free]
 
 
 def count_huge(text: str, model: str, chunk: int, overlap: int) -> int:
-    """Tokens of a long text. Chunks of `chunk` bytes overlap by `overlap`; two neighbours are spliced at a
-    barrier in their overlap where both have a token start. Without one, the overlap widens twofold, up to
-    both chunks as one, which needs no splice."""
-    sp, width, barrier = load(model)
+    """Tokens of a long text. Chunks of `chunk` bytes overlap by `overlap`; two neighbours are spliced at a proven
+    boundary in their overlap where both have a token start. Without one, the overlap widens twofold; if there
+    is none behind the last splice, the open chunk grows twofold instead. So the work is in proportion to the
+    text, whether it has boundaries or not."""
+    sp, width, pairs = load(model)
     text = text.replace("▁", " ")  # the library's own mark of a space: the same symbol, but not as wide
     raw = text.encode()
-    if len(raw) <= chunk or not barrier:
+    if len(raw) <= chunk or pairs is None:
         return len(sp.encode(text))
     flat = np.frombuffer(raw, np.uint8)
-    gaps = _gaps(flat)
+    gaps = boundaries(raw, pairs)
 
     def encoded(a: int, b: int) -> np.ndarray:
         """Byte offsets at which the tokens of raw[a:b] start, the first at a (its mark of a beginning counts as a's)."""
@@ -71,19 +91,20 @@ def count_huge(text: str, model: str, chunk: int, overlap: int) -> int:
         while not spliced:
             begin = floor_char(max(cut, end - wide))
             if begin <= cut:  # no boundary anywhere behind the cut: grow the open chunk instead
-                end = floor_char(min(len(raw), end + chunk))
+                end = floor_char(min(len(raw), end + max(chunk, end - left)))
                 mine, spliced = encoded(left, end), True
                 break
-            stop = floor_char(min(len(raw), begin + chunk + wide))
-            other = encoded(begin, stop)
             inside = gaps[np.searchsorted(gaps, begin, "right") : np.searchsorted(gaps, end, "left")]
-            both = np.intersect1d(np.intersect1d(inside, mine), other)
-            if len(both):
-                at = int(both[len(both) // 2])
-                total += int(np.searchsorted(mine, at) - np.searchsorted(mine, cut))
-                left, cut, end, mine, spliced = begin, at, stop, other, True
-            else:
-                wide *= 2
+            if len(inside):
+                stop = floor_char(min(len(raw), begin + chunk + wide))
+                other = encoded(begin, stop)
+                both = np.intersect1d(np.intersect1d(inside, mine), other)
+                if len(both):
+                    at = int(both[len(both) // 2])
+                    total += int(np.searchsorted(mine, at) - np.searchsorted(mine, cut))
+                    left, cut, end, mine, spliced = begin, at, stop, other, True
+                    break
+            wide *= 2
     return total + int(len(mine) - np.searchsorted(mine, cut))
 
 

@@ -92,6 +92,68 @@ def test_language_model_is_a_distribution():
         assert total <= 1.0001
 
 
+def kneser_ney(texts):
+    """Interpolated Kneser-Ney over dictionaries: log probability of a gram (a tuple of five symbols)."""
+    count = {5: Counter(g for t in texts for g in t)}
+    for n in (4, 3, 2, 1):
+        count[n] = Counter(g[1:] for g in count[n + 1])
+    size = max(2, len(count[1])) + 1
+    discount = {n: (k[1] + 1) / (k[1] + 2 * k[2] + 2) if k[1] + k[2] else 0.5 for n in count for k in [Counter(count[n].values())]}
+
+    def p(g):
+        if not g:
+            return 1 / size
+        same = {x: c for x, c in count[len(g)].items() if x[:-1] == g[:-1]}
+        total, d = sum(same.values()), discount[len(g)]
+        return max(same.get(g, 0) - d, 0) / total + d * len(same) / total * p(g[1:]) if total else p(g[1:])
+
+    return lambda g: np.log(p(g))
+
+
+def test_language_models_match_dictionaries():
+    texts = {"a": ["Der Hund, der bellt.", "漢字とかな 漢 字"], "b": ["the dog that barks", "a dog"]}
+    flat = [(k, t) for k, v in texts.items() for t in v]
+
+    def grams_of(t):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        g, _ = langid.grams(raw, np.array([0, len(raw)]))
+        return [tuple(int(x >> np.uint64(12 * (4 - j))) & 4095 for j in range(5)) for x in g]
+
+    keys = np.unique(np.concatenate([langid.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for _, t in flat]))
+    table = np.zeros((len(keys), 2))
+    for k, t in flat:
+        g, n = np.unique(langid.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0], return_counts=True)
+        table[np.searchsorted(keys, g), "ab".index(k)] += n
+    m = langid.Models(["a", "b"], keys, table)
+    # All languages share the symbols; a context that another language alone has backs off to the next.
+    shared = len({g[-1:] for _, t in flat for g in grams_of(t)})
+    for j, k in enumerate("ab"):
+        p = kneser_ney([grams_of(t) for t in texts[k]])
+        for t in ("Der Hund bellt", "the dogs", "漢字x", "zebra"):
+            raw = np.frombuffer(t.encode(), np.uint8)
+            h, size = m.entropies(raw, np.array([0, len(raw)]))
+            if shared == len({g[-1:] for x in texts[k] for g in grams_of(x)}):
+                assert h[0, j] == pytest.approx(-np.mean([p(g) for g in grams_of(t)]), rel=1e-4)
+    p = kneser_ney([grams_of(t) for t in texts["a"]])
+    one = langid.Models(["a"], *(lambda u: (u[0], u[1][:, None].astype(float)))(np.unique(np.concatenate([langid.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in texts["a"]]), return_counts=True)))
+    for t in ("Der Hund bellt", "the dogs", "漢字x", "zebra", "字漢"):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        assert one.entropies(raw, np.array([0, len(raw)]))[0][0, 0] == pytest.approx(-np.mean([p(g) for g in grams_of(t)]), rel=1e-4)
+
+
+def test_calibration_on_texts_left_out(spark):
+    r = random.Random(12)
+    words = {k: ["".join(r.choice(k) for _ in range(r.randrange(2, 8))) for _ in range(300)] for k in ("abcde", "fghij", "klmno")}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(60)), k) for i, k in enumerate(["abcde", "fghij"] * 120)] + [(900, " ".join(words["klmno"]), "klmno")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(df)
+    assert m.langs == ["abcde", "fghij", "klmno"] and np.isfinite(m.limit[:2]).all() and np.isinf(m.limit[2])
+    own = langid.predict(df, m).collect()
+    assert {x.lang_pred for x in own if x.doc_id == 900} == {"klmno"} and np.mean([x.rejected for x in own]) < 0.05
+    other = spark.createDataFrame([(1, "dfdfdf ahahah cjcjc bgbgb eiei afaf")], "doc_id long, text string")
+    assert langid.predict(other, m).first().rejected
+
+
 def test_hash_array():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 60, 5000).astype(np.uint64))
     a = langid.HashArray(keys, np.arange(len(keys))[:, None])
@@ -150,6 +212,12 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_many_secrets_in_one_text(spark):
+    text = "é token=abcdefgh " * 100_000
+    row = secrets.scan(spark.createDataFrame([(1, text, "s")], "doc_id int, text string, source string")).select(secrets.F.size("base").alias("n"), secrets.F.element_at("base", -1).alias("x")).first()
+    assert (row.n, row.x.start, row.x.end) == (100_000, 17 * 99_999 + 2, 17 * 99_999 + 16)
+
+
 def test_secret_ownership(spark):
     copied, own = "password=" + "c0piedc0pied", "password=" + "own0own0own0"
     df = spark.createDataFrame([(i, copied, f"o{i % 4}") for i in range(9)] + [(20, own, None), (21, own, None), (21, own, None)], "doc_id int, text string, source string")
@@ -317,8 +385,7 @@ def test_line_dedup(spark, docs, empty, small, monkeypatch):
     assert lines.dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("small", [16, 1])
-@pytest.mark.parametrize("unit,tau,every", [("char", 1, 12), ("char", 2, 9), ("char", 3, 2), ("word", 1, 8), ("word", 1, 2), ("word", 2, 6), ("word", 3, 4)])
+@pytest.mark.parametrize("small,unit,tau,every", [(16, "char", 1, 12), (16, "char", 2, 9), (1, "char", 2, 9), (16, "char", 3, 2), (1, "word", 1, 8), (1, "word", 1, 2), (16, "word", 2, 6), (16, "word", 3, 4)])
 def test_line_edits(spark, small, unit, tau, every, monkeypatch):
     monkeypatch.setattr(lines, "SMALL", small)
     r = random.Random(5)
@@ -380,7 +447,7 @@ def test_top_k(spark):
     v += [(200, v[3][1], 1), (201, v[3][1], 1), (201, v[3][1], 1), (202, None, 1), (203, [1.0, None], 1), (204, [float("nan")] * 9, 1), (205, [float("inf")] * 9, 1), (206, [0.0] * 9, 1), (220, [1.0, 2.0], 1), (221, [2.0, 1.0], 1), (None, v[4][1], 1), (240, [], 1)]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>, n int").repartition(3)
     every = topk.quantised(df)
-    got = topk.top_k(every.where("vec_id % 20 = 0"), every, k=5, query_block=3, candidate_block=20).collect()
+    got = topk.top_k(every.where("vec_id % 20 = 0"), every, k=5, query_bytes=216, candidate_block=20).collect()
     q = {i: np.floor(64 * np.array(x, np.float32).astype(float)).astype(int) for i, x, _ in v if i is not None and x is not None and None not in x and np.isfinite(x).all()}
     want = []
     for i in q:
@@ -391,6 +458,21 @@ def test_top_k(spark):
     assert topk.top_k(every.limit(0), every).count() == 0 and topk.top_k(every, every.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Sums beyond 2^53 are exact, those beyond a long are its ends; no finite component fails."""
+    rng = np.random.default_rng(8)
+    v = [(i, [float(x) for x in rng.integers(2**21 - 9, 2**21, 32) + 0.015625 * (2 * rng.integers(0, 30, 32) + 1)]) for i in range(60)]
+    v += [(100, [1e10] * 32), (101, [-1e10] * 32), (102, [3e38] * 32), (103, [-3e38] * 31 + [0.0]), (104, [1e10] * 31 + [3.0]), (105, [1e308] * 32), (106, [2.0**56] * 32)]
+    every = topk.quantised(spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(3))
+    got = topk.top_k(every.where("vec_id % 20 = 0"), every, k=7, query_bytes=1024, candidate_block=16).collect()
+    q = {i: [int(np.floor(64 * x)) if abs(64 * x) < 2**53 else int(x) * 64 for x in y] for i, y in v if i != 105}
+    want = []
+    for i in (0, 20, 40, 100):
+        s = sorted((-min(max(sum(a * b for a, b in zip(q[i], q[j])), -(2**63)), 2**63 - 1), j) for j in q if j != i)[:7]
+        want += [(i, k, j, -x) for k, (x, j) in enumerate(s, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 # --- 9 --------------------------------------------------------------------------------------------
 def shingles(t):
     w = WORD.findall(t or "")
@@ -469,8 +551,8 @@ def test_one_of_each(spark, docs):
 
 # --- 10 -------------------------------------------------------------------------------------------
 def test_token_counts(spark, docs, empty):
-    sp, _, barrier = tokens.load(tokens.MODEL)
-    assert barrier
+    sp, _, pairs = tokens.load(tokens.MODEL)
+    assert len(pairs)
     got = tokens.token_counts(docs, chunk=300, overlap=16).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == Counter((r[0], len((r[1] or "").encode()), len(sp.encode(r[1] or ""))) for r in rows())
     assert any(r.n_chunked for r in got) and tokens.token_counts(empty).count() == 0
@@ -486,6 +568,24 @@ def test_spliced_counts():
     assert tokens.count_huge(long, tokens.MODEL, 100, 10) == len(sp.encode(long))
 
 
+def test_long_texts_without_spaces():
+    """Five megabytes each, within seconds: Han characters, base64, and a text without any boundary."""
+    import base64
+    import time
+
+    sp, _, _ = tokens.load(tokens.MODEL)
+    r = random.Random(11)
+    han = "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(1_700_000))
+    code = base64.b64encode(r.randbytes(3_700_000)).decode()
+    for t in (han, code, "ab" * 1_000_000):
+        start = time.time()
+        n = tokens.count_huge(t, tokens.MODEL, 24_000, 512)
+        took = time.time() - start
+        start = time.time()
+        assert n == len(sp.encode(t))
+        assert took < 30 + 3 * (time.time() - start)
+
+
 # --- queries against their SQL --------------------------------------------------------------------
 @data
 @pytest.mark.parametrize("name", sorted(SQL))

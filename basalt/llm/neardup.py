@@ -12,7 +12,7 @@ from ._common import NON_SPACE, chunks, doc_key, hash_words, lean, mix, stage, u
 SHINGLE, BANDS, ROWS = 5, 30, 6
 K = BANDS * ROWS
 #: Buckets of up to so many contents compare pairs of different classes as rows; larger ones in cells of blocks.
-SMALL, BLOCK = 16, 200
+SMALL, BLOCK, ELEMENTS = 16, 200, 1_000_000
 #: Most rows of a key set that is broadcast after counting it; a larger one is shuffled.
 KEYS = 1_000_000
 _ODD = np.uint64(0xD1B54A32D192ED03)
@@ -38,11 +38,12 @@ def elements(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inside = at + j < wo[owner + 1]
         total = total * _ODD + np.where(inside, h[there] if len(h) else np.uint64(0), np.uint64(0))
     total = mix(total + np.uint64(1))
-    key = np.sort((owner.astype(np.uint64) << np.uint64(44)) | (total >> np.uint64(20)))
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    run = np.arange(len(key)) - np.repeat(np.flatnonzero(first), np.diff(np.append(np.flatnonzero(first), len(key)))) if len(key) else np.zeros(0, np.int64)
-    cell = mix((key & np.uint64((1 << 44) - 1)) + run.astype(np.uint64) * _ODD)
+    total = total[np.lexsort((total, owner))]  # owners stay in order
+    new = np.ones(len(total), bool)
+    new[1:] = (total[1:] != total[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    run = np.arange(len(total)) - np.repeat(first, np.diff(np.append(first, len(total))))
+    cell = mix(total + run.astype(np.uint64) * _ODD)
     return cell, np.concatenate([[0], np.cumsum(many)])
 
 
@@ -135,7 +136,7 @@ def semi(rows: DataFrame, keys: DataFrame, on: list[str], most: int = KEYS, how:
 
 
 def element_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(c, x): the elements (32 bits) of the contents in names (c, _k, _h), read from one document of each."""
+    """(c, x): the elements of the contents in names (c, _k, _h), read from one document of each."""
 
     def run(batches):
         import pyarrow as pa
@@ -144,10 +145,10 @@ def element_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
             raw, off = utf8(batch.column(0))
             for a, b in chunks(off):
                 cell, at = elements(raw[off[a] : off[b]], off[a : b + 1] - off[a])
-                sets = [np.unique((cell[at[i] : at[i + 1]] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([pa.array(_content(cell, at), pa.binary()), pa.array(sets, pa.list_(pa.int32()))], names=["c", "x"])
+                sets = [np.sort(cell[at[i] : at[i + 1]]).view(np.int64) for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([pa.array(_content(cell, at), pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["c", "x"])
 
-    return semi(docs, names.select("_k", "_h"), ["_k", "_h"]).select("text").mapInArrow(lean(run), "c binary, x array<int>")
+    return semi(docs, names.select("_k", "_h"), ["_k", "_h"]).select("text").mapInArrow(lean(run), "c binary, x array<bigint>")
 
 
 def components(edges: DataFrame, old: DataFrame | None) -> DataFrame:
@@ -178,7 +179,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def overlaps(x: list[np.ndarray], step: int = 4096) -> np.ndarray:
     """Sizes of all intersections of the sets, from blocks of an incidence matrix of the elements that several hold."""
     size = np.array([len(v) for v in x])
-    flat = np.concatenate(x) if len(x) else np.zeros(0, np.int32)
+    flat = np.concatenate(x) if len(x) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(x)), size)
     _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
     place = np.cumsum(n > 1) - 1
@@ -198,10 +199,13 @@ def overlaps(x: list[np.ndarray], step: int = 4096) -> np.ndarray:
 def _grid(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between different classes in large buckets (b, c, n, label), in cells of two blocks.
 
-    A bucket's contents are dealt to blocks of about BLOCK; each pair of blocks is a cell of its own task group,
-    where all overlaps are one product. Of the links found a cell returns a spanning forest.
+    A bucket's contents are dealt to blocks of about BLOCK contents and ELEMENTS elements at most; each pair of
+    blocks is a cell of its own task group, where all overlaps are one product. Of the links found a cell returns a
+    spanning forest.
     """
-    n = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+    weight = members.join(sets.select("c", F.size("x").alias("size")), "c").groupBy("b").agg(F.sum("size").alias("weight"))
+    members = members.join(weight, "b")
+    n = F.greatest(F.ceil(F.col("n") / F.lit(float(BLOCK))), F.ceil(F.col("weight") / F.lit(float(ELEMENTS)))).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(31), "c"), n.cast("long")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
     rows = members.select("b", "c", "label", F.explode(cells).alias("cell")).select("b", "cell.i", "cell.j", "c", "label").join(sets, "c")
@@ -235,7 +239,7 @@ def _grid(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, _k, _h, n_shingles, _class (name of its class), class_id
-    (smallest doc_id in it), kept (it is that document).
+    (smallest doc_id in it), kept (true once in each class: for the first document, by id, then a hash of its text).
 
     Documents are linked if the weighted Jaccard similarity of their shingles of five white-space separated
     words is at least the threshold; classes are the connected components. Equal contents are one vertex from
@@ -247,16 +251,18 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     nearly but not quite similar enough.
 
     Null and empty texts have no shingles: classes of their own. Null ids count as the largest. Repeated rows
-    share their class. Empty tables give no rows. Other columns are ignored.
+    share their class, and one of them at most is kept. Empty tables give no rows. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), *doc_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
     s = stage(sketch(base), "near-sketch")
-    content = s.where("n > 0").groupBy("c").agg(F.min("_k").alias("rk"))
+    place = F.col("_k").cast("decimal(20,0)") * F.lit(1 << 62).cast("decimal(19,0)") + F.shiftrightunsigned("_h", 2)
+    s = s.withColumn("_p", place.cast("decimal(38,0)"))
+    content = s.where("n > 0").groupBy("c").agg(F.min("_p").alias("rp"))
     member = s.where("n > 0").select("c", F.explode("bands").alias("b")).distinct()
     many = member.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
     open_ = stage(member.join(many, "b"), "near-buckets")
-    names = stage(s.join(open_.select("c").distinct().join(content, "c"), "c").where("_k = rk").select("c", "_k", "_h"), "near-names")
+    names = stage(s.join(open_.select("c").distinct().join(content, "c"), "c").where("_p = rp").select("c", "_k", "_h"), "near-names")
     sets = stage(element_sets(base.select("_k", "_h", "text"), names).dropDuplicates(["c"]), "near-sets")
     # A hub of near copies shares the largest buckets: the heaviest contents are the first pivots.
     left = stage(open_.join(open_.groupBy("c").agg(F.sum("n").alias("w")), "c").withColumn("label", F.col("c")), "near-open")
@@ -277,11 +283,16 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     more = stage(compare(pairs).unionByName(_grid(left.where(F.col("n") > SMALL), sets, threshold)), "near-links")
     if not more.limit(1).isEmpty():
         labels = components(links.unionByName(more), labels)
-    own = labels.join(content, "c").groupBy("label").agg(F.min("rk").alias("class_k"))
-    final = content.join(labels.join(own, "label"), "c", "left").select("c", F.coalesce("class_k", "rk").alias("class_k"), F.coalesce("label", "c").alias("_class"))
-    rows = s.where("n > 0").join(final, "c").unionByName(s.where("n = 0").withColumns({"class_k": F.col("_k"), "_class": F.encode(F.concat_ws(":", "_k", "_h"), "utf-8")}))
-    class_id = F.when(F.col("class_k") != 2**63 - 1, F.col("class_k"))
-    return rows.select("doc_id", "_k", "_h", F.col("n").alias("n_shingles"), "_class", class_id.alias("class_id"), (F.col("_k") == F.col("class_k")).alias("kept"))
+    own = labels.join(content, "c").groupBy("label").agg(F.min("rp").alias("class_p"))
+    final = content.join(labels.join(own, "label"), "c", "left").select("c", F.coalesce("class_p", "rp").alias("class_p"), F.coalesce("label", "c").alias("_class"))
+    rows = s.where("n > 0").join(final, "c").unionByName(s.where("n = 0").withColumns({"class_p": F.col("_p"), "_class": F.encode(F.concat_ws(":", "_k", "_h"), "utf-8")}))
+    class_k = F.expr(f"CAST((class_p - pmod(class_p, CAST({1 << 62} AS DECIMAL(38, 0)))) DIV {1 << 62} AS BIGINT)")
+    out = rows.select("doc_id", "_k", "_h", F.col("n").alias("n_shingles"), "_class", F.when(class_k != 2**63 - 1, class_k).alias("class_id"), (F.col("_p") == F.col("class_p")).alias("kept"))
+    twice = stage(s.groupBy("_k", "_h").agg(F.count("*").alias("copies")).where("copies > 1"), "near-twice")
+    if twice.isEmpty():
+        return out
+    again = semi(out, twice, ["_k", "_h"]).dropDuplicates(["_k", "_h"]).join(twice, ["_k", "_h"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return semi(out, twice, ["_k", "_h"], how="left_anti").unionByName(again.withColumn("kept", F.col("kept") & (F.col("copy") == 1)).drop("copies", "copy"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,9 +303,9 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     k, h = doc_key(id_col, text_col)
     cols = docs.columns
     kx, hx = "_k" + "_" * max(map(len, cols)), "_h" + "_" * max(map(len, cols))
-    rows = stage(classes(docs, threshold, id_col, text_col).select("_k", "_h", "_class"), "near-rows")
-    best = rows.groupBy("_class").agg(F.min(F.struct("_k", "_h")).alias("x")).select("_class", "x._k", "x._h")
-    gone = stage(rows.join(best, ["_class", "_k", "_h"], "left_anti").select(F.col("_k").alias(kx), F.col("_h").alias(hx)).distinct(), "near-gone")
+    rows = stage(classes(docs, threshold, id_col, text_col).select("_k", "_h", "kept"), "near-rows")
+    stay = rows.where("kept")
+    gone = stage(rows.where("NOT kept").join(stay, ["_k", "_h"], "left_anti").select(F.col("_k").alias(kx), F.col("_h").alias(hx)).distinct(), "near-gone")
     twice = stage(rows.groupBy("_k", "_h").count().where("count > 1").select(F.col("_k").alias(kx), F.col("_h").alias(hx)), "near-twice")
     every = docs.select("*", k.alias(kx), h.alias(hx))
     left = semi(every, gone, [kx, hx], how="left_anti")

@@ -509,6 +509,8 @@ def test_near_duplicates(spark, docs, empty, small, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 3 if small == 1 else 200)
     got = neardup.classes(docs).collect()
     assert Counter((r.doc_id, r.class_id) for r in got) == want_classes([r[:2] for r in rows()])
+    kept = Counter(r._class for r in got if r.kept)
+    assert set(kept.values()) == {1} and set(kept) == {r._class for r in got}
     assert neardup.classes(empty).count() == 0
 
 
@@ -529,6 +531,42 @@ def test_near_duplicate_chain(spark, small, monkeypatch):
     assert Counter((x.doc_id, x.class_id) for x in got) == want_classes(texts)
 
 
+def test_one_kept_of_each_class(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z one two three four five six seven"
+    texts = [(None, near), (None, near + " eight"), (None, near + " eight"), (None, ""), (None, ""), (None, None), (5, "x"), (5, "x"), (5, "y")]
+    got = neardup.classes(spark.createDataFrame([*texts, (-3, "x"), (2**62, "z")], "doc_id long, text string")).collect()
+    assert {r.class_id for r in got if r.doc_id == 5} == {-3, 5} and {r.class_id for r in got if r.doc_id == 2**62} == {2**62}
+    got = neardup.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(got) == len(texts) and sum(r.kept for r in got) == 5 and len({r._class for r in got}) == 5
+    assert neardup.one_of_each(spark.createDataFrame(texts, "doc_id long, text string")).count() == 5
+
+
+@data
+def test_recall_on_documents(spark):
+    """Every pair of documents at 0.8 or more, by brute force, is in one class, and no class joins what isn't linked."""
+    sf = SF.replace("0.001", "0.01")
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = dict(QUERIES["op9_near_duplicates"](spark, sf).select("doc_id", "class_id").collect())
+    sh = sorted(((sum(c.values()), d, c) for d, t in texts for c in [shingles(t)] if c), key=lambda x: x[:2])
+    root = {d: d for d, _ in texts}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    pairs = found = 0
+    for i, (n, d, c) in enumerate(sh):
+        for m, e, other in sh[i + 1 :]:
+            if n < 0.8 * m:
+                break
+            if jaccard(c, other) >= 0.8:
+                pairs, found = pairs + 1, found + (got[d] == got[e])
+                root[find(d)] = find(e)
+    assert pairs > 20 and found >= 0.999 * pairs
+    assert len(set(got.values())) >= len({find(d) for d in root})
+
+
 def test_signatures_estimate_similarity():
     r = random.Random(9)
     a = [f"w{r.randrange(50)}" for _ in range(500)]

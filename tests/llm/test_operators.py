@@ -242,7 +242,7 @@ def terms(t):
     return TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     texts = rows()
     items = [(1, " ".join(WORD.findall(texts[4][1])[35:50])), (2, "One TWO"), (3, None), (4, ""), (None, "alpha1 beta2 nothing like it"), (5, "!!")]
     bench = spark.createDataFrame(items, "item_id int, text string")
@@ -256,9 +256,10 @@ def test_decontamination(spark, docs, empty):
             for a in range(len(w) - n + 1 if n else 0):
                 if tuple(w[a : a + n]) in grams:
                     hit |= set(range(a, a + n))
-                    ids.add(str(i))
+                    ids |= {str(i)} - {"None"}
         return len(w), len(hit), tuple(sorted(ids))
 
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 400)
     for most in (1 << 20, 40):  # one block, several blocks
         got = decontaminate.find(docs, bench, block_bytes=most).withColumn("hit", decontaminate.n_hit(decontaminate.F.col("cover"))).collect()
         assert Counter((r.doc_id, r.n_words, r.hit, tuple(sorted(r["items"]))) for r in got) == Counter((r[0], *want(r[1])) for r in texts)
@@ -267,10 +268,39 @@ def test_decontamination(spark, docs, empty):
 
 
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c x d e f g h i j"), (3, "j i h g f e d c b a q q q q q a")], "doc_id int, text string")
+    d = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c x d e f g h i j"), (3, "j i h g f e d c b a q q q q q a"), (4, "a b c d x f g h i j")], "doc_id int, text string")
     b = spark.createDataFrame([(9, "a b c d e f g h i j")], "item_id int, text string")
     got = {r.doc_id: (r["items"], r.near_items) for r in decontaminate.find(d, b, slop=2).collect()}
-    assert got == {1: (["9"], []), 2: ([], ["9"]), 3: ([], [])}
+    assert got == {1: (["9"], []), 2: ([], ["9"]), 3: ([], []), 4: ([], [])}
+    got = {r.doc_id: r.near_items for r in decontaminate.find(d, b, slop=1, missing=1).collect()}
+    assert got == {1: [], 2: ["9"], 3: [], 4: ["9"]}
+
+
+@pytest.mark.parametrize("slop,missing", [(1, 0), (2, 0), (0, 1), (1, 1), (3, 2)])
+def test_proximity_by_brute_force(spark, slop, missing, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 60)
+    r = random.Random(slop * 7 + missing)
+    word = lambda: r.choice("aabcdefgh")
+    texts = [(i, " ".join(word() for _ in range(r.randrange(14)))) for i in range(60)]
+    items = [(100 + i, " ".join(word() for _ in range(r.randrange(1, 9)))) for i in range(25)]
+
+    def near(w, v):
+        n = min(6, len(v))
+        if n < 2 * (missing + 1):
+            return False
+        grams = [v[a : a + n] for a in range(len(v) - n + 1)]
+        there = lambda x, at: x in w[max(0, at - slop) : max(0, at + slop + 1)]
+        return any(sum(there(x, p + j) for j, x in enumerate(g)) >= n - missing for g in grams for p in range(-n - slop, len(w) + slop))
+
+    def exact(w, v):
+        n = min(6, len(v))
+        return any(w[p : p + n] == v[a : a + n] for a in range(len(v) - n + 1) for p in range(len(w) - n + 1))
+
+    got = {x.doc_id: (x["items"], x.near_items) for x in decontaminate.find(spark.createDataFrame(texts, "doc_id int, text string").repartition(2), spark.createDataFrame(items, "item_id int, text string"), window=6, slop=slop, missing=missing, block_bytes=150).collect()}
+    for i, t in texts:
+        w = t.split()
+        hit = [str(k) for k, v in items if exact(w, v.split())]
+        assert got[i] == (hit, [str(k) for k, v in items if str(k) not in hit and near(w, v.split())]), (t, items)
 
 
 # --- 5 --------------------------------------------------------------------------------------------

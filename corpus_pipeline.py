@@ -56,8 +56,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_fresh
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    hits = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
-    return _common.restored(hits.where(F.size("cover") == 0), docs)
+    return decontaminate.without(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 @_fresh

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,15 +12,24 @@ from .neardup import KEYS, semi
 
 #: What op7 and the pipeline take: words are the symbols, one edit in every eight of them, one at most.
 UNIT, TAU, EVERY = "word", 1, 8
-#: Keys of up to so many lines compare their pairs; larger ones go another way (see `crowded` and `pivoted`).
-SMALL = 16
+#: Keys of up to so many lines compare their pairs; larger ones are split (see `settled`), until so many symbols are left.
+SMALL, FEW = 16, 6
 ID = ["_a", "_b"]
 SPACES = "\t\x0b\x0c\r"
 
 
 def symbols(line: Column, unit: str) -> Column:
-    """The symbols that edits count: the words between white space, or all code points."""
-    return F.array_remove(F.split(F.translate(line, SPACES, " " * len(SPACES)), " "), "") if unit == "word" else F.split(line, "")
+    """The symbols that edits count, of a line in its plain form: its words, or all code points."""
+    return F.split(line, " " if unit == "word" else "")
+
+
+def plain(line: Column, unit: str) -> Column:
+    """What equal lines have in common: the words with one space between them, or the line itself. Without a word: empty."""
+    odd = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for c in SPACES:
+        odd = odd | F.contains(line, F.lit(c))
+    words = F.array_join(F.array_remove(F.split(F.translate(line, SPACES, " " * len(SPACES)), " "), ""), " ")
+    return F.when(odd, words if unit == "word" else F.when(words == "", F.lit("")).otherwise(line)).otherwise(line)
 
 
 def reach(n: Column, tau: int, every: int) -> Column:
@@ -43,21 +54,33 @@ def probes(tau: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def segment(length: Column, t: int, i: int) -> tuple[Column, Column]:
+def segment(length: Column, t: Column, i: Column) -> tuple[Column, Column]:
     """(first place, size) of segment i of t + 1 of a line of `length` symbols; the last ones take what is left over."""
-    size = F.floor(length / F.lit(t + 1)).cast("int")
-    short = F.lit(t + 1) - (length - size * (t + 1))  # segments without an extra symbol
-    return size * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - short) + 1, size + (F.lit(i) > short).cast("int")
+    size = F.floor(length / (t + 1)).cast("int")
+    short = t + 1 - (length - size * (t + 1))  # segments without an extra symbol
+    return size * (i - 1) + F.greatest(F.lit(0), i - 1 - short) + 1, size + (i > short).cast("int")
 
 
-def key_of(sym: Column, n: Column, tau: int, every: int, probe: tuple[int, int, int, int]) -> Column:
+def key_of(sym: Column, n: Column, probe: tuple[int, int, int, int], given: Column, *parent: Column) -> Column:
     """Hash of the substring, with the segment it is sought for and the length of the lines that have it; null: no such probe."""
     t, d, i, off = probe
     length = n - d
-    first, size = segment(length, t, i)
+    first, size = segment(length, F.lit(t), F.lit(i))
     start = first + off
-    there = (reach(length, tau, every) == t) & (start >= 1) & (start + size - 1 <= n)
-    return F.when(there, F.xxhash64(F.lit(t), F.lit(i), length, F.slice(sym, start, size)))
+    return F.when(given & (start >= 1) & (start + size - 1 <= n), F.xxhash64(*parent, F.lit(t), F.lit(i), length, F.slice(sym, start, size)))
+
+
+def entry(probe: tuple[int, int, int, int], index: Column, key: Column) -> Column:
+    """A key of a line with its probe; index: it is an entry of the index, and a probe at once."""
+    t, d, i, off = probe
+    return F.struct(*[F.lit(x).alias(k) for k, x in zip("tdio", probe, strict=True)], (index if d == 0 and off == 0 else F.lit(False)).alias("index"), key.alias("_key"))
+
+
+def remainder(sym: Column, n: Column) -> Column:
+    """The line without the substring of its key's probe (t, d, i, o)."""
+    first, size = segment(n - F.col("d"), F.col("t"), F.col("i"))
+    start = first + F.col("o")
+    return F.concat(F.slice(sym, F.lit(1), start - 1), F.slice(sym, start + size, n - start - size + 1))
 
 
 def within(p: Column, t: Column, tau: int, most: Column | None = None) -> Column:
@@ -105,20 +128,15 @@ def within(p: Column, t: Column, tau: int, most: Column | None = None) -> Column
     return F.when(F.abs(F.size(p) - F.size(t)) <= most, F.transform(F.array(given), run)[0]).otherwise(F.lit(False))
 
 
-def crowded(hot: DataFrame, texts: DataFrame) -> DataFrame:
-    """Lines (_a, _b) that go, from keys of many lines, for one edit: exact and without pairs.
+def crowded(rows: DataFrame) -> DataFrame:
+    """Lines (_a, _b) that go, of keys of many lines that differ in what is left of them (rest), by one edit: exact,
+    without pairs.
 
-    The lines of a key agree in one half; what is left of them (rest) is within one edit if it agrees but for the
-    same place, or if one becomes the other by losing a symbol. Both are groups of (key, rest less one symbol).
-    A group of the first kind holds lines that are all one edit apart; one of the second kind has one index line
-    and lines with a symbol more. So the least places, combined before the shuffle, say which lines go. Rows grow
-    with the lines and their length, not with the square of a key's lines, and a group's lines are spread over
-    tasks by the join's split of skewed keys.
+    Two lines are one edit apart if the rests agree but for the same place, or if one becomes the other by losing a
+    symbol. Both are groups of (key, rest less one symbol). A group of the first kind holds lines that are all one
+    edit apart; one of the second kind has one index line and lines with a symbol more. So the least places,
+    combined before the shuffle, say which lines go.
     """
-    half = F.floor((F.col("n") - F.col("d")) / F.lit(2)).cast("int")
-    other = F.col("n") - F.col("d") - half
-    left = F.when(F.col("i") == 1, F.slice("sym", half + 1, F.col("n") - half)).otherwise(F.slice("sym", F.lit(1), F.col("n") - other))
-    rows = hot.join(texts, ID).select("_key", *ID, "first", (F.col("d") == 0).alias("index"), left.alias("rest"))
     m = F.size("rest")
     less = lambda k: F.concat(F.slice("rest", F.lit(1), k - 1), F.slice("rest", k + 1, m - k))
     every = F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>"))
@@ -144,13 +162,48 @@ def met(late: DataFrame, early: DataFrame) -> DataFrame:
     return late.join(e, "_key").where("first > first2 AND (index OR index2)").select(*ID, "_c", "_d")
 
 
-def pivoted(hot: DataFrame, texts: DataFrame, tau: int, every: int) -> DataFrame:
-    """Lines that go, from keys of many lines, for several edits: each line meets the earliest of each length of its
-    key, which settles what surrounds one original in linear work; only lines that this leaves meet all earlier
-    ones. Exact; quadratic for many lines of a key that are not near one another."""
-    first = hot.groupBy("_key", "n", "index").agg(F.min(F.struct("first", *ID)).alias("p")).select("_key", "index", "p.*")
-    found = stage(verified(met(hot, first), texts, tau, every), "lines-pivots")
-    return verified(met(hot.join(found, ID, "left_anti"), hot), texts, tau, every).union(found).distinct()
+def counted(flat: DataFrame, keep: str) -> DataFrame:
+    """The rows of keys of several lines, one of them in the index, with their number _n; keep: what else must hold of
+    a key. The keys are counted first, combined before the shuffle."""
+    keys = stage(flat.groupBy("_key").agg(F.count("*").alias("_n"), F.max("index").alias("_some"), F.max("open").alias("_open")).where(f"_n > 1 AND _some AND {keep}").select("_key", "_n"), "lines-keys")
+    return stage(flat.join(F.broadcast(keys) if keys.limit(KEYS + 1).count() <= KEYS else keys.hint("merge"), "_key"), "lines-shared")
+
+
+def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every: int) -> DataFrame:
+    """Lines (_a, _b) that go, gone included, from keys of more than SMALL lines (with their rest).
+
+    All lines of a key meet its earliest ones, which settles what surrounds one original in linear work. Keys that
+    still hold other lines are split: what is left of the lines, without the substring they share, is cut into
+    segments, indexed and probed anew within the key, so that each step halves it (or more, with more edits). Keys
+    of few lines compare pairs. Where little is left, one edit is decided by `crowded`; several are by pairs.
+    """
+    found = gone
+    while True:
+        rows = stage(hot, "lines-hot")
+        first = rows.groupBy("_key", "index").agg(F.min(F.struct("first", *ID)).alias("p")).select("_key", "index", "p.*")
+        near = verified(met(semi(rows, found, ID, how="left_anti"), first), texts, tau, every)
+        found = stage(found.union(near).distinct(), "lines-found")
+        low = rows.groupBy("_key").agg(F.min("first").alias("_low"))
+        late = semi(rows, found, ID, how="left_anti").join(low, "_key").where(F.col("first") > F.col("_low"))
+        late = stage(late.select(*ID).distinct(), "lines-late")
+        if late.isEmpty():
+            return found
+        rows = semi(rows, late.join(rows.select("_key", *ID), ID).select("_key").distinct(), ["_key"])
+        rows = rows.join(late.withColumn("open", F.lit(True)), ID, "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        size = F.size("rest")
+        wide = size - F.col("d") > F.greatest(F.lit(FEW), F.col("t"))
+        ends = rows.where(~wide)
+        near = [crowded(ends.where("t = 1"))]
+        if tau > 1:
+            near.append(verified(met(ends.where("t > 1 AND open"), ends), texts, tau, every))
+        plan = probes(tau)
+        each = F.array(*[entry(p, F.col("index"), key_of(F.col("rest"), size, p, (F.col("t") == p[0]) & (F.col("d") == p[1]), F.col("_key"))) for p in plan])
+        flat = rows.where(wide).select(*ID, "first", "rest", "open", F.explode(each).alias("x")).select(*ID, "first", "rest", "open", "x.*").where("_key IS NOT NULL")
+        shared = counted(flat, "_open").withColumn("rest", remainder(F.col("rest"), F.size("rest")))
+        few = shared.where(F.col("_n") <= SMALL)
+        near.append(verified(met(few.where("open"), few), texts, tau, every))
+        found = stage(functools.reduce(DataFrame.union, near, found).distinct(), "lines-found")
+        hot = shared.where(F.col("_n") > SMALL).select("_key", *ID, "first", "index", "t", "d", "rest")
 
 
 def place() -> Column:
@@ -162,10 +215,10 @@ def place() -> Column:
 
 
 def lines_of(docs: DataFrame, unit: str) -> DataFrame:
-    """_k, _h, pos, place, sym, and the 128-bit name of each line that has a word."""
+    """_k, _h, pos, place, the line in its plain form, and its 128-bit name, of each line that has a word."""
     each = docs.where(F.col("text").isNotNull()).select("_k", "_h", place().alias("_p"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    words = each.where(F.length(F.trim(F.translate("line", SPACES, " " * len(SPACES)))) > 0).withColumn("sym", symbols(F.col("line"), unit)).drop("line")
-    return words.select("_k", "_h", "pos", (F.col("_p") + F.col("pos")).cast("decimal(38,0)").alias("place"), "sym", F.xxhash64("sym").alias("_a"), F.xxhash64(F.lit(17), "sym").alias("_b"))
+    lines = each.withColumn("line", plain(F.col("line"), unit)).where("line <> ''")
+    return lines.select("_k", "_h", "pos", (F.col("_p") + F.col("pos")).cast("decimal(38,0)").alias("place"), "line", F.xxhash64("line").alias("_a"), F.xxhash64(F.lit(17), "line").alias("_b"))
 
 
 def dedup(docs: DataFrame, tau: int = TAU, every: int = EVERY, unit: str = UNIT, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -196,16 +249,20 @@ def dedup(docs: DataFrame, tau: int = TAU, every: int = EVERY, unit: str = UNIT,
     plan = probes(tau)
     names = [f"k{j}" for j in range(len(plan))]
     n = F.col("n")
-    keyed = lines.withColumn("n", F.size("sym")).select(*ID, "place", "n", *[key_of(F.col("sym"), n, tau, every, p).alias(k) for p, k in zip(plan, names, strict=True)])
+    keyed = lines.withColumn("sym", symbols(F.col("line"), unit)).withColumn("n", F.size("sym"))
+    keyed = keyed.select(*ID, "place", "n", *[key_of(F.col("sym"), n, p, reach(n - p[1], tau, every) == p[0]).alias(k) for p, k in zip(plan, names, strict=True)])
     distinct = stage(keyed.groupBy(*ID).agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in names]), "lines-distinct")
-    each = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(d == 0 and off == 0).alias("index"), F.col(k).alias("_key")) for (_, d, i, off), k in zip(plan, names, strict=True)])
-    flat = distinct.where(n >= every).select(*ID, "first", "n", F.explode(each).alias("x")).select(*ID, "first", "n", "x.*").where("_key IS NOT NULL")
-    keys = stage(flat.groupBy("_key").agg(F.count("*").alias("_n"), F.max("index").alias("_some")).where("_n > 1 AND _some").drop("_some"), "lines-keys")
-    shared = stage(flat.join(F.broadcast(keys) if keys.limit(KEYS + 1).count() <= KEYS else keys.hint("merge"), "_key"), "lines-shared")
-    texts = stage(semi(lines.select(*ID, "sym"), stage(shared.select(*ID).distinct(), "lines-some"), ID).dropDuplicates(ID), "lines-texts")
+    each = F.array(*[entry(p, F.lit(True), F.col(k)) for p, k in zip(plan, names, strict=True)])
+    flat = distinct.where(n >= every).select(*ID, "first", "n", F.lit(True).alias("open"), F.explode(each).alias("x")).select(*ID, "first", "n", "open", "x.*").where("_key IS NOT NULL")
+    shared = counted(flat, "_open")
+    texts = semi(lines.select(*ID, "line"), stage(shared.select(*ID).distinct(), "lines-some"), ID).dropDuplicates(ID)
+    texts = stage(texts.select(*ID, symbols(F.col("line"), unit).alias("sym")), "lines-texts")
     small, hot = shared.where(F.col("_n") <= SMALL), shared.where(F.col("_n") > SMALL)
-    near = verified(met(small, small), texts, tau, every).union(crowded(hot, texts) if tau == 1 else pivoted(hot, texts, tau, every))
-    gone = stage(near.distinct().withColumn("_gone", F.lit(True)), "lines-gone")
+    gone = stage(verified(met(small, small), texts, tau, every), "lines-gone")
+    if not hot.isEmpty():
+        texts = stage(semi(texts, hot.select(*ID).distinct(), ID), "lines-crowded")
+        gone = settled(hot.join(texts, ID).select("_key", *ID, "first", "index", "t", "d", remainder(F.col("sym"), n).alias("rest")), texts, gone, tau, every)
+    gone = gone.withColumn("_gone", F.lit(True))
     repeated = stage(distinct.select(*ID, "first", "copies").join(gone, ID, "left").where("copies > 1 OR _gone").select(*ID, "first", "_gone"), "lines-repeated")
     told = F.broadcast(repeated) if repeated.limit(KEYS + 1).count() <= KEYS else repeated
     spots = lines.select("_k", "_h", "pos", "place", *ID).join(told, ID).where(F.coalesce("_gone", F.lit(False)) | (F.col("place") != F.col("first")))

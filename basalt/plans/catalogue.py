@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dialects, knowledge, relational, semantics
+from . import dialects, graph, knowledge, relational, semantics
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "dialects", "knowledge", "relational", "semantics"]
+__all__ = ["QUERIES", "SQL", "dialects", "graph", "knowledge", "relational", "semantics"]

@@ -214,21 +214,43 @@ def import_memory_json(spark, sf_dir):
     return es.select("name", "entity_type", F.when(F.col("observations").isNotNull(), F.size("observations")).alias("n"))
 
 
-@query("html_text")
+def _shown(page: str) -> str:
+    """What a page shows, in SQL, for pages without nested hidden elements."""
+    out = f"regexp_replace({page}, '(?is)<!--.*?-->|<![^>]*>', '', 'g')"
+    for tag in ("script", "style", "noscript", "svg", "template", "iframe", "nav", "footer", "head"):
+        out = f"regexp_replace({out}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}>', '', 'g')"
+    for n in range(1, 7):
+        out = f"regexp_replace({out}, '(?i)<h{n}(\\s[^>]*)?>', chr(10) || '{'#' * n} ', 'g')"
+    out = f"regexp_replace({out}, '(?i)</?({'|'.join(web.BLOCKS)})(\\s[^>]*|/)?>', chr(10), 'g')"
+    out = f"regexp_replace({out}, '</?[A-Za-z][^>]*>', '', 'g')"
+    for entity, c in (("lt", "<"), ("gt", ">"), ("quot", chr(34)), ("#39", "''"), ("nbsp", "\u00a0"), ("amp", "&")):
+        out = f"regexp_replace({out}, '&{entity};?', '{c}', 'g')"
+    return f"regexp_replace(regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("html_text", f"SELECT page_id, {_shown('html')} AS text FROM pages")
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.html_to_text("html").alias("text"))
 
 
-@query("html_links")
+_LINKS = r"""WITH a AS (SELECT page_id, regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) AS site,
+  unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>', '', 'g'), '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS x FROM pages),
+l AS (SELECT DISTINCT page_id, host, split_part(CASE WHEN x LIKE '/%' THEN site || x ELSE x END, '#', 1) AS link FROM a WHERE x <> '' AND NOT regexp_matches(x, '^(#|javascript:|mailto:)')),
+h AS (SELECT *, regexp_extract(lower(link), '^[a-z]+://([^/?#:]+)', 1) AS there FROM l)
+SELECT page_id, link, CASE WHEN contains(there, 'github.com') OR contains(there, 'raw.githubusercontent.com') THEN 'code_host' WHEN there = host OR there LIKE '%.' || host THEN 'internal' ELSE 'external' END AS kind FROM h"""
+
+
+@query("html_links", _LINKS)
 def html_links(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").withColumn("link", F.explode(web.links("html", "url")))
     return pages.select("page_id", "link", web.link_kind(F.col("link"), F.lower(F.try_parse_url("url", F.lit("HOST")))).alias("kind"))
 
 
-_KIND = "SELECT page_id, k AS kind FROM pages, (VALUES " + ", ".join(f"('{k}', '(?i){p}')" for k, p in web.KINDS.items()) + r") AS t(k, p) WHERE regexp_matches(url || chr(10) || substring(html, 1, 3000), p)"
+_KIND = f"WITH p AS (SELECT page_id, url, {_shown('html')} AS text FROM pages) SELECT page_id, k AS kind FROM p, (VALUES " + ", ".join(f"('{k}', '(?i){p}')" for k, p in web.KINDS.items()) + rf""") AS t(k, p) WHERE regexp_matches(url || chr(10) || text, p)
+UNION ALL SELECT page_id, 'concepts' FROM p WHERE len(regexp_extract_all(lower(text), '{web.CONCEPTS}')) >= 2"""
 
 
 @query("content_kinds", _KIND)
 def content_kinds(spark, sf_dir):
-    kinds = table(spark, sf_dir, "pages").select("page_id", F.explode(web.content_kinds(F.col("url"), F.col("html"))).alias("kind"))
-    return kinds.where("kind <> 'concepts'")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", web.html_to_text("html").alias("text"))
+    return pages.select("page_id", F.explode(web.content_kinds(F.col("url"), F.col("text"))).alias("kind"))

@@ -12,10 +12,11 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basalt.dialect import after, closing, commas, top
-from basalt.operators import versions
+from basalt.operators import show, versions
 from basalt.operators.ddl import storage_type
 
 
@@ -34,6 +35,7 @@ class Column:
     check: str | None = None
     parent: tuple[str, str, str] | None = None  # table, column, action on delete
     dimension: int | None = None
+    primary: bool = False
 
 
 @dataclass
@@ -42,6 +44,7 @@ class Table:
     paths: list[str] = field(default_factory=list)
     old: list[str] = field(default_factory=list)
     unique: list[list[str]] = field(default_factory=list)
+    indexes: dict[str, dict] = field(default_factory=dict)
 
     @property
     def ddl(self) -> str:
@@ -69,7 +72,8 @@ def column(t: list[str]) -> Column:
     c = Column(_name(t[head]), storage_type(_text(t[kind:end])))
     c.dimension = int(size[1]) if size else None
     c.required = "NOT NULL" in up or "PRIMARY KEY" in up
-    c.unique = "UNIQUE" in up or "PRIMARY KEY" in up
+    c.primary = "PRIMARY KEY" in up
+    c.unique = "UNIQUE" in up or c.primary
     c.counted = bool(re.search(r"AUTO_?INCREMENT", up))
     m = re.search(r"\bDEFAULT\s+('(?:[^']|'')*'|[^\s(]+(?:\([^)]*\))?|\(.*?\))", text, re.I | re.S)
     c.default = m[1] if m else None
@@ -94,9 +98,26 @@ def _coerced(rows: DataFrame, c: Column) -> str:
 
 
 class Store:
-    def __init__(self, engine):
-        self.engine = engine
+    """The tables of an engine. With `catalog`, the path of a file in a shared folder, their descriptions are kept there
+    and found again by the next engine of that catalog; one engine at a time may change them."""
+
+    def __init__(self, engine, catalog: str | None = None):
+        self.engine, self.catalog = engine, catalog
         self.tables: dict[str, Table] = {}
+        self.views: dict[str, str] = {}
+        if catalog:
+            known = show.load(engine.spark, catalog)
+            for name, t in known["tables"].items():
+                columns = [Column(**c | {"parent": tuple(c["parent"]) if c["parent"] else None}) for c in t.pop("columns")]
+                self.tables[name] = Table(columns, **t)
+                self.frame(name).createOrReplaceTempView(name)
+            for name, text in known["views"].items():
+                self.views[name] = text
+                engine.sql(text).createOrReplaceTempView(name)
+
+    def _save(self) -> None:
+        if self.catalog:
+            show.save(self.spark, self.catalog, self.tables, self.views)
 
     @property
     def spark(self) -> SparkSession:
@@ -115,6 +136,7 @@ class Store:
 
     def _point(self, name: str) -> None:
         self.frame(name).createOrReplaceTempView(name)
+        self._save()
 
     def replace(self, name: str, df: DataFrame) -> None:
         t = self.tables[name]
@@ -128,6 +150,7 @@ class Store:
                 p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
             t.old = []
+        self._save()
 
     def _count(self, n: int) -> DataFrame:
         return self.spark.createDataFrame([(n,)], "rows_affected long")
@@ -136,19 +159,22 @@ class Store:
     def check(self, name: str, rows: DataFrame, others: DataFrame | None) -> None:
         """rows: what was added or changed; others: the rows of the table that stay."""
         t = self.tables[name]
+        # What a row alone decides is counted in one pass over the rows.
+        tests = [(f"`{c.name}` IS NULL", f"{name}.{c.name} must not be null") for c in t.columns if c.required]
+        tests += [(f"NOT ({c.check})", f"{name}.{c.name} fails CHECK ({c.check})") for c in t.columns if c.check]
+        tests += [(f"size(`{c.name}`) <> {c.dimension}", f"{name}.{c.name} has another dimension") for c in t.columns if c.dimension]
+        if tests:
+            wrong = rows.agg(*[F.count_if(F.expr(test)).alias(f"_{i}") for i, (test, _) in enumerate(tests)]).first()
+            for n, (_, said) in zip(wrong, tests, strict=True):
+                if n:
+                    raise ConstraintError(said)
         for c in t.columns:
-            if c.required and versions.is_null(rows, c.name).limit(1).count():
-                raise ConstraintError(f"{name}.{c.name} must not be null")
-            if c.check and versions.fails_check(rows, c.check).limit(1).count():
-                raise ConstraintError(f"{name}.{c.name} fails CHECK ({c.check})")
             if c.parent and c.parent[0] in self.tables:
                 parent = self.frame(c.parent[0]).select(c.parent[1])
                 if c.parent[0] == name:
                     parent = parent.union(rows.select(c.parent[1]))
                 if versions.orphans(rows.select(c.name), c.name, parent.distinct(), c.parent[1]).limit(1).count():
                     raise ConstraintError(f"{name}.{c.name} has no row in {c.parent[0]}")
-            if c.dimension and versions.wrong_dimension(rows, c.name, c.dimension).limit(1).count():
-                raise ConstraintError(f"{name}.{c.name} has another dimension")
         for key in [[c.name] for c in t.columns if c.unique] + t.unique:
             known = rows.select(*key).dropna()
             twice = versions.not_unique(known, key).limit(1).count()
@@ -161,12 +187,14 @@ class Store:
         self._point(name)
 
     def create_statement(self, name: str, body: list[str]) -> None:
-        columns, unique, parents, checks = [], [], [], []
+        columns, unique, parents, checks, single = [], [], [], [], []
         for part in commas(body):
             text = _text(part)
             m = re.match(r"(?:CONSTRAINT\s+\S+\s+)?(PRIMARY\s+KEY|UNIQUE|FOREIGN\s+KEY|CHECK)\s*\((.*)", text, re.I | re.S)
             if not m:
                 columns.append(column(part))
+            elif m[1].upper().startswith("PRIMARY") and len(m[2].split(")")[0].split(",")) == 1:
+                single.append(_name(m[2].split(")")[0]))
             elif m[1].upper().startswith("CHECK"):
                 checks.append(text[text.index("(") + 1 : text.rindex(")")])
             else:
@@ -176,6 +204,8 @@ class Store:
                 else:
                     unique.append(names)
         by_name = {c.name: c for c in columns}
+        for k in single:
+            by_name[k].primary = by_name[k].unique = by_name[k].required = True
         for child, parent in parents:
             by_name[child].parent = parent
         for c in checks:
@@ -196,10 +226,18 @@ class Store:
             value = _coerced(rows, c) if c.name in names else f"CAST({c.default or 'NULL'} AS {c.type})"
             exprs.append(f"{value} AS `{c.name}`")
         new = rows.selectExpr(*exprs)
-        for c in counted:
-            last = before.agg(F.max(c.name)).first()[0] or 0
-            ids = new.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(f"{', '.join(f'`{k.name}` {k.type}' for k in t.columns)}, _n long")
-            new = ids.withColumn(c.name, F.coalesce(F.col(c.name), F.col("_n") + F.lit(last)).cast(c.type)).drop("_n")
+        if counted:
+            # Rows are numbered within their partitions, which are written first, and partitions by their counts.
+            marked = self.spark.read.parquet(self._write(f"{name}-numbered", new.withColumn("_m", F.monotonically_increasing_id())))
+            part = F.shiftright("_m", 33)
+            sizes = marked.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+            starts = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+            new = marked.withColumn("_p", part).join(F.broadcast(starts), "_p")
+            for c in counted:
+                last = before.agg(F.max(c.name)).first()[0] or 0
+                place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_s") + F.lit(last + 1)
+                new = new.withColumn(c.name, F.coalesce(F.col(c.name), place).cast(c.type))
+            new = new.select(*[k.name for k in t.columns])
         if changes is not None:
             key = next(([c.name] for c in t.columns if c.unique), None) or (t.unique[0] if t.unique else None)
             if key is None:
@@ -298,6 +336,54 @@ class Store:
         else:
             raise ValueError(f"ALTER TABLE: {text}")
 
+    def _index(self, t: list[str], words: list[int], up: list[str]) -> DataFrame:
+        """An index is a description, as layout is Spark's; a unique one is a constraint."""
+        at = up.index("INDEX") + 1
+        maybe = up[at] == "IF"
+        at += (3 if up[0] == "CREATE" else 2) if maybe else 0
+        index = _name(t[words[at]])
+        held = next((x for x in self.tables.values() if index in x.indexes), None)
+        if up[0] == "DROP":
+            if held:
+                gone = held.indexes.pop(index)
+                held.unique = [k for k in held.unique if not (gone["unique"] and k == gone["columns"])]
+        elif held is None and "ON" in up:
+            on = up.index("ON") + 1
+            name, open_ = _name(t[words[on]]), words[on + 1]
+            if name in self.tables and t[open_] == "(":
+                columns = [_name(x).split()[0] for x in _text(t[open_ + 1 : closing(t, open_)]).split(",")]
+                kind = up[up.index("USING") + 1] if "USING" in up else "BTREE"
+                table = self.tables[name]
+                if "UNIQUE" in up[:2]:
+                    if versions.not_unique(self.frame(name).select(*columns).dropna(), columns).limit(1).count():
+                        raise ConstraintError(f"{name}: {', '.join(columns)} is not unique")
+                    table.unique.append(columns)
+                table.indexes[index] = {"columns": columns, "kind": kind, "unique": "UNIQUE" in up[:2]}
+        elif held is not None and not maybe:
+            raise ValueError(f"index {index} exists")
+        self._save()
+        return self._count(0)
+
+    def _show(self, words: list[str]) -> DataFrame | None:
+        """SHOW TABLES, VIEWS, INDEXES FROM t, CREATE TABLE t, CREATE VIEW v, and DESCRIBE t, of what this store knows."""
+        what, name = " ".join(words[:-1]), words[-1]
+        table = self.tables.get(name)
+        if words == ["show", "tables"]:
+            return show.frame(self.spark, [(k,) for k in sorted(self.tables)], "table_name string")
+        if words == ["show", "views"]:
+            return show.frame(self.spark, [(k,) for k in sorted(self.views)], "view_name string")
+        if what == "show create view" and name in self.views:
+            return show.frame(self.spark, [(name, f"CREATE VIEW {name} AS {self.views[name]}")], "`View` string, `Create View` string")
+        if table is None:
+            return None
+        if what in ("show indexes from", "show indexes on", "show index from"):
+            return show.frame(self.spark, show.indexes(name, table), "table_name string, index_name string, column_name string, index_type string, is_unique boolean")
+        if what == "show create table":
+            return show.frame(self.spark, [(name, show.definition(name, table))], "`Table` string, `Create Table` string")
+        if what in ("describe", "desc", "describe table", "desc table"):
+            return show.frame(self.spark, show.describe(table), "`Field` string, `Type` string, `Null` string, `Key` string, `Default` string, `Extra` string")
+        return None
+
     def run(self, t: list[str]) -> DataFrame | None:
         """The frame of a statement that this store knows, else None (it is Spark's)."""
         words = [i for i in top(t) if not t[i].isspace() and not t[i].startswith(("--", "/*"))]
@@ -329,17 +415,28 @@ class Store:
                 gone.old, gone.paths = gone.old + gone.paths, []
                 self.vacuum()
                 del self.tables[name]
+                self._save()
                 return self._count(0)
             return self._count(0) if exists else None
         if up[0] == "CREATE" and "VIEW" in up[:4] and "AS" in up:
             v = up.index("VIEW") + 1
             name = _name(t[words[v + (3 if up[v] == "IF" else 0)]])
-            self.engine.sql(_text(t[words[up.index("AS")] + 1 :])).createOrReplaceTempView(name)
+            text = _text(t[words[up.index("AS")] + 1 :])
+            self.engine.sql(text).createOrReplaceTempView(name)
+            self.views[name] = text
+            self._save()
             return self._count(0)
         if head == "DROP VIEW":
-            self.spark.catalog.dropTempView(_name(t[words[2 + (2 if exists else 0)]]))
+            name = _name(t[words[2 + (2 if exists else 0)]])
+            self.spark.catalog.dropTempView(name)
+            self.views.pop(name, None)
+            self._save()
             return self._count(0)
-        if up[0] in ("CREATE", "DROP") and "INDEX" in up[:3] or up[0] in ("PRAGMA", "ANALYZE"):
+        if up[0] in ("SHOW", "DESCRIBE", "DESC"):
+            return self._show([_name(t[i]) for i in words])
+        if up[0] in ("CREATE", "DROP") and "INDEX" in up[:3]:
+            return self._index(t, words, up)
+        if up[0] in ("PRAGMA", "ANALYZE"):
             return self._count(0)  # layout and statistics are Spark's
         if up[0] == "VACUUM":
             self.vacuum()

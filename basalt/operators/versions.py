@@ -7,13 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def as_of(history: DataFrame, key: list[str], column: str, moment, deleted: str = "deleted") -> DataFrame:
+def as_of(history: DataFrame, key: list[str], column: str, moment, deleted: str = "deleted", transaction: str | None = None) -> DataFrame:
     """Rows as they were: of each key the newest version with `column` <= moment, unless that one is a deletion.
 
-    column: a timestamp (AS OF TIMESTAMP) or a transaction number (AS OF TRANSACTION). The filter reaches the
-    scan; the window keeps one row per key before it is shuffled (group limit).
+    column: a timestamp (AS OF TIMESTAMP) or a transaction number (AS OF TRANSACTION). Of versions with equal
+    timestamps the one of the largest `transaction` is the newest. The filter reaches the scan; the window keeps
+    one row per key before it is shuffled (group limit).
     """
-    newest = W.partitionBy(*key).orderBy(F.desc(column))
+    newest = W.partitionBy(*key).orderBy(F.desc(column), *([F.desc(transaction)] if transaction else []))
     seen = history.where(F.col(column) <= F.lit(moment)).withColumn("_r", F.row_number().over(newest)).where("_r = 1")
     return seen.where(~F.col(deleted)).drop("_r")
 
@@ -38,6 +39,13 @@ def delete(table: DataFrame, where: str = "true") -> DataFrame:
     return table.where(~F.coalesce(F.expr(where), F.lit(False)))
 
 
+def delete_matching(table: DataFrame, keys: DataFrame, on: list[str], where: str = "true") -> DataFrame:
+    """DELETE ... WHERE (columns) IN (query) AND where: the rows that stay. The keys stay distributed."""
+    hit = keys.select(*on).dropna().distinct().withColumn("_hit", F.lit(True))
+    marked = table.join(hit, on, "left").where(~F.coalesce(F.col("_hit") & F.expr(where), F.lit(False)))
+    return marked.select(*table.columns)
+
+
 def returning(table: DataFrame, where: str, *exprs: str) -> DataFrame:
     """What UPDATE or DELETE ... RETURNING gives: expressions over the affected rows."""
     return table.where(where).selectExpr(*exprs)
@@ -71,7 +79,8 @@ def upsert(table: DataFrame, rows: DataFrame, key: list[str], changes: dict[str,
 
 
 def not_unique(table: DataFrame, key: list[str]) -> DataFrame:
-    return table.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    twice = table.groupBy(*key).agg(F.count("*").alias("_copies")).where("_copies > 1")
+    return twice.withColumnRenamed("_copies", "n" if "n" not in key else "copies")
 
 
 def is_null(table: DataFrame, column: str) -> DataFrame:

@@ -91,7 +91,7 @@ _HISTORY = "SELECT user_id, event_id AS txn, ts, value, event_type = 'error' AS
 @query("as_of_timestamp", f"SELECT user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, txn DESC) AS r FROM ({_HISTORY}) WHERE ts <= TIMESTAMP '2024-01-05 00:00:00') WHERE r = 1 AND NOT deleted")
 def as_of_timestamp(spark, sf_dir):
     table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return versions.as_of(spark.sql(_HISTORY), ["user_id"], "ts", F.expr("TIMESTAMP '2024-01-05 00:00:00'")).select("user_id", "value")
+    return versions.as_of(spark.sql(_HISTORY), ["user_id"], "ts", F.expr("TIMESTAMP '2024-01-05 00:00:00'"), transaction="txn").select("user_id", "value")
 
 
 @query("as_of_transaction", f"SELECT user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY txn DESC) AS r FROM ({_HISTORY}) WHERE txn <= 300) WHERE r = 1 AND NOT deleted")
@@ -117,8 +117,8 @@ def update_rows(spark, sf_dir):
 
 @query("delete_rows", "SELECT * FROM customer WHERE NOT coalesce(c_acctbal < 1000 AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0), false)")
 def delete_rows(spark, sf_dir):
-    keys = [r[0] for r in table(spark, sf_dir, "nation").where("n_regionkey = 0").select("n_nationkey").collect()]  # one fixed, tiny table
-    return versions.delete(table(spark, sf_dir, "customer"), f"c_acctbal < 1000 AND c_nationkey IN ({', '.join(map(str, keys))})")
+    nations = table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("c_nationkey"))
+    return versions.delete_matching(table(spark, sf_dir, "customer"), nations, ["c_nationkey"], "c_acctbal < 1000")
 
 
 @query("delete_returning", "SELECT c_custkey, round(c_acctbal * 2, 2) AS twice FROM customer WHERE c_acctbal < -500")

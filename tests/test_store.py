@@ -61,5 +61,43 @@ def test_alter_views_and_copies(e):
     assert got(e, "SELECT k, t, n FROM a") == [[1, 7, 4], [2, None, 4]]
     e.execute("ALTER TABLE a DROP COLUMN n; ALTER TABLE a RENAME TO b; CREATE VIEW few AS SELECT * FROM b WHERE k < 2; CREATE TABLE copy AS SELECT k * 2 AS kk FROM b; CREATE INDEX i ON b (k)")
     assert got(e, "SELECT * FROM few") == [[1, 7]] and got(e, "SELECT kk FROM copy") == [[2], [4]]
-    assert "b" in [r[1] for r in got(e, "SHOW TABLES")] and [r[0] for r in got(e, "DESCRIBE b")] == ["k", "t"]
+    assert "b" in [r[0] for r in got(e, "SHOW TABLES")] and [r[0] for r in got(e, "DESCRIBE b")] == ["k", "t"]
     assert "Project" in got(e, "EXPLAIN SELECT k + 1 AS x FROM b")[0][0]
+
+
+def test_show_and_describe(e):
+    e.execute("CREATE TABLE parents (id INTEGER PRIMARY KEY AUTO_INCREMENT, mail TEXT UNIQUE NOT NULL); CREATE TABLE kids (k INTEGER, p INTEGER REFERENCES parents(id), n FLOAT DEFAULT 1.5 CHECK (n > 0), v VECTOR(3), PRIMARY KEY (k))")
+    e.execute("CREATE INDEX by_n ON kids (n); CREATE UNIQUE INDEX one ON kids (p, n) USING HASH; CREATE VIEW some AS SELECT k FROM kids WHERE n > 2")
+    assert got(e, "SHOW TABLES") == [["kids"], ["parents"]] and got(e, "SHOW VIEWS") == [["some"]]
+    assert e.query_one("SHOW CREATE VIEW some") == {"View": "some", "Create View": "CREATE VIEW some AS SELECT k FROM kids WHERE n > 2"}
+    assert e.query_one("SHOW CREATE TABLE parents")["Create Table"] == "CREATE TABLE parents (id Integer PRIMARY KEY AUTO_INCREMENT, mail Text UNIQUE NOT NULL)"
+    assert e.query_one("SHOW CREATE TABLE kids")["Create Table"] == "CREATE TABLE kids (k Integer PRIMARY KEY, p Integer, n Float DEFAULT 1.5 CHECK (n > 0), v Vector(3), FOREIGN KEY (p) REFERENCES parents(id) ON DELETE RESTRICT)"
+    assert got(e, "SHOW INDEXES FROM kids") == [["kids", "by_n", "n", "BTREE", False], ["kids", "one", "(p, n)", "HASH", True]]
+    assert got(e, "SHOW INDEXES FROM parents") == [["parents", "unique_parents_mail", "mail", "BTREE", True]]
+    assert [[x["Field"], x["Type"], x["Null"], x["Key"], x["Default"], x["Extra"]] for x in e.query("DESCRIBE kids")] == [["k", "Integer", "NO", "PRI", "", ""], ["p", "Integer", "YES", "MUL", "", ""], ["n", "Float", "YES", "", "1.5", ""], ["v", "Vector(3)", "YES", "", "", ""]]
+    e.execute("INSERT INTO parents (mail) VALUES ('a'); INSERT INTO kids (k, p) VALUES (1, 1)")
+    with pytest.raises(ConstraintError):
+        e.sql("INSERT INTO kids (k, p) VALUES (2, 1)")
+    e.execute("DROP INDEX one; INSERT INTO kids (k, p) VALUES (2, 1); DROP VIEW some")
+    assert got(e, "SELECT k FROM kids") == [[1], [2]] and got(e, "SHOW VIEWS") == []
+
+
+def test_counters_over_partitions(e, spark):
+    spark.range(1000).selectExpr("CAST(id AS STRING) AS name").repartition(7).createOrReplaceTempView("names")
+    e.execute("CREATE TABLE n (id INTEGER PRIMARY KEY AUTO_INCREMENT, name TEXT); INSERT INTO n (name) SELECT name FROM names; INSERT INTO n (name) SELECT name FROM names")
+    assert sorted(x[0] for x in got(e, "SELECT id FROM n")) == list(range(1, 2001))
+
+
+def test_catalog_outlives_its_engine(spark, tmp_path):
+    at = f"file://{tmp_path}/catalog.json"
+    a = Engine(spark, at)
+    a.execute("CREATE TABLE kept (id INTEGER PRIMARY KEY, s TEXT CHECK (s <> '')); INSERT INTO kept VALUES (1, 'x'); CREATE VIEW short AS SELECT s FROM kept; CREATE INDEX i ON kept (s)")
+    spark.catalog.dropTempView("kept")
+    spark.catalog.dropTempView("short")
+    b = Engine(spark, at)
+    assert got(b, "SELECT * FROM kept") == [[1, "x"]] and got(b, "SELECT * FROM short") == [["x"]] and len(got(b, "SHOW INDEXES FROM kept")) == 1
+    for bad in ("(1, 'y')", "(2, '')"):
+        with pytest.raises(ConstraintError):
+            b.sql(f"INSERT INTO kept VALUES {bad}")
+    b.execute("INSERT INTO kept VALUES (2, 'z'); DROP VIEW short; DROP TABLE kept")
+    assert Engine(spark, at).store.tables == {}

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basalt.operators.versions import upsert
-
 
 def time_bucket(ts: str, width: str) -> Column:
     """Start of the epoch-aligned bucket of a width such as `15 minutes`."""
@@ -18,21 +17,39 @@ def watch(spark: SparkSession, path: str, schema, kind: str = "parquet", per_bat
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", per_batch).load(path)
 
 
-def fold(stream: DataFrame, table: str, key: list[str], checkpoint: str):
-    """Upsert each batch into a Parquet table: the newest version is written beside, then named in the pointer view.
+def fold(stream: DataFrame, table: str, key: list[str], checkpoint: str, order: str | None = None, buckets: int = 64):
+    """Upsert a stream into a Parquet table, which `folded` reads.
 
-    Each batch writes version <epoch> of the table, so that a repeated batch gives the same result.
+    Of all rows of a key, the one of the greatest `order` stays (ties: the greatest other columns); without an
+    order, that of the latest batch. So a repeated batch, or one that comes late, changes nothing. The table is kept
+    in buckets of keys; a batch writes only the buckets it touches, beside the table first, then in their place.
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
-        rows = df.dropDuplicates(key)
-        before = spark.read.schema(df.schema).parquet(f"{table}/v{epoch - 1}") if epoch else rows.limit(0)
-        upsert(before, rows, key).write.mode("overwrite").parquet(f"{table}/v{epoch}")
+        at = F.lit(epoch).cast("long") if order is None else F.lit(0).cast("long")
+        rows = df.withColumns({"_epoch": at, "_bucket": F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")})
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        every = rows
+        if fs.exists(path):
+            touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # bounded by the number of buckets
+            every = spark.read.schema(rows.schema).parquet(table).where(F.col("_bucket").isin(touched)).unionByName(rows)
+        newest = [F.desc_nulls_last(c) for c in ([order] if order else []) + ["_epoch"] + [c for c in df.columns if c not in key and c != order]]
+        one = every.withColumn("_r", F.row_number().over(W.partitionBy("_bucket", *key).orderBy(*newest))).where("_r = 1").drop("_r")
+        beside = f"{table}-staged-{epoch}"
+        one.write.mode("overwrite").parquet(beside)
+        spark.read.schema(rows.schema).parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(table)
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside), True)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def folded(spark: SparkSession, table: str) -> DataFrame:
+    """The newest row of each key of a table that `fold` keeps."""
+    return spark.read.parquet(table).drop("_epoch", "_bucket")
+
+
 def windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums per window and event type; beyond the reference. Works on batches and streams."""
     timed = events.withWatermark("ts", late)

@@ -119,4 +119,15 @@ def test_stream(spark, tmp_path):
     source = events.watch(spark, str(tmp_path / "in"), "k int, v string", per_batch=1)
     q = events.fold(source, str(tmp_path / "out"), ["k"], str(tmp_path / "cp")).start()
     q.awaitTermination(60)
-    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out" / "v1")).collect()) == [1, 2, 3]
+    assert sorted((r.k, r.v) for r in events.folded(spark, str(tmp_path / "out")).collect()) == [(1, "v1"), (2, "x"), (3, "x")]
+
+
+def test_stream_keeps_the_newest(spark, tmp_path):
+    from basalt.streaming import events
+
+    for rows in ([(1, 5, "new"), (2, 1, "a"), (2, 1, "b"), (3, None, "n")], [(1, 4, "late"), (2, 1, "a"), (3, 0, "z")]):
+        spark.createDataFrame(rows, "k int, at int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for cp in ("one", "again"):  # the second run repeats all batches
+        source = events.watch(spark, str(tmp_path / "in"), "k int, at int, v string", per_batch=1)
+        events.fold(source, str(tmp_path / "out"), ["k"], str(tmp_path / cp), order="at", buckets=4).start().awaitTermination(60)
+        assert sorted((r.k, r.v) for r in events.folded(spark, str(tmp_path / "out")).collect()) == [(1, "new"), (2, "b"), (3, "z")]

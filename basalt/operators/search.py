@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basalt.session import shared
+
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters, digits and `/`."""
@@ -69,22 +72,55 @@ def match(query: str, tokens: Column, text: Column) -> Column:
     return either() if parts else F.lit(True)
 
 
-def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) of the documents with a term of the query. Only counts of query terms leave a document; corpus
-    sums are one row, broadcast."""
-    terms = sorted({w for w in re.split(r"[^\w/]+", query.lower()) if w})
-    low, word = F.lower(F.coalesce(text_col, F.lit(""))), r"[\p{L}\p{N}/]"
-    often = lambda t: F.regexp_count(low, F.lit(rf"(?<!{word}){re.escape(t)}(?!{word})"))
-    rows = docs.select(F.col(id_col), F.regexp_count(low, F.lit(word + "+")).alias("_n"), *[often(t).alias(f"_f{i}") for i, t in enumerate(terms)])
-    total = rows.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))])
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """(term, id, tf, n): how often each word stands in a document of n words. With a path, written there in the order
+    of the terms, so that a query reads the row groups of its terms only."""
+    each = docs.select(F.col(id_col), words(F.coalesce(text_col, F.lit(""))).alias("_w")).select(id_col, F.size("_w").alias("n"), F.explode("_w").alias("term"))
+    out = each.groupBy("term", id_col, "n").agg(F.count("*").alias("tf")).select("term", id_col, "tf", "n")
+    if path is None:
+        return out
+    out.repartitionByRange("term").sortWithinPartitions("term", id_col).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def terms_of(query: str) -> list[str]:
+    return sorted({w for w in re.split(r"[^\w/]+", query.lower()) if w})
+
+
+def _scored(rows: DataFrame, total: DataFrame, n_terms: int, id_col: str, k1: float, b: float) -> DataFrame:
+    """Scores of rows (id, _n, _f0, ...) with one row of corpus sums (_docs, _avg, _d0, ...), broadcast."""
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(n_terms):
         f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
         idf = F.log(1 + (F.col("_docs") - d + 0.5) / (d + 0.5))
         score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_n") / F.col("_avg")))
     return rows.crossJoin(F.broadcast(total)).withColumn("score", score).where("score > 0").select(id_col, "score")
 
 
+def bm25_of(index: DataFrame, corpus: DataFrame, query: str, id_col: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) from `postings`; corpus: one row, n_docs and avg_n (words a document)."""
+    terms = terms_of(query)
+    mine = index.where(F.col("term").isin(terms))
+    rows = mine.groupBy(id_col).agg(F.max("n").alias("_n"), *[F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"_f{i}") for i, t in enumerate(terms)])
+    df = mine.agg(*[F.count_if(F.col("term") == t).alias(f"_d{i}") for i, t in enumerate(terms)])
+    total = df.crossJoin(corpus.select(F.col("n_docs").alias("_docs"), F.col("avg_n").alias("_avg")))
+    return _scored(rows, total, len(terms), id_col, k1, b)
+
+
+def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) of the documents with a term of the query, without an index: one pass over the texts, whose counts are
+    written before the corpus sums are taken of them."""
+    terms = terms_of(query)
+    bag = words(F.coalesce(text_col, F.lit("")))
+    among = lambda w, t: F.size(F.filter(w, lambda x: x == t))
+    counts = docs.select(F.col(id_col), F.transform(F.array(bag), lambda w: F.array(F.size(w), *[among(w, t) for t in terms]))[0].alias("_c"))
+    path = f"{shared(docs.sparkSession)}/bm25-{uuid.uuid4().hex}"
+    counts.write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path).select(id_col, F.col("_c")[0].alias("_n"), *[F.col("_c")[i + 1].alias(f"_f{i}") for i in range(len(terms))])
+    total = rows.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))])
+    return _scored(rows, total, len(terms), id_col, k1, b)
+
+
 def metadata_filter(column: str, filters: dict) -> Column:
     """Conditions on a JSON column: equality, lists (all contained), $in, $gt, $gte, $lt, $lte, $between; dotted paths."""
     out = F.lit(True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from basalt.operators import notes, recursive, search
-from basalt.session import table
+from basalt.session import shared, table
 from basalt.sources import web
 
 from .registry import query
@@ -183,6 +185,15 @@ def search_bm25(spark, sf_dir):
     return search.bm25(table(spark, sf_dir, "documents"), "that und").select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("search_postings", _BM25)
+def search_postings(spark, sf_dir):
+    """The same scores from stored postings, of which a query reads its terms."""
+    docs = table(spark, sf_dir, "documents")
+    index = search.postings(docs, path=f"{shared(spark)}/postings-{uuid.uuid4().hex}")
+    corpus = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(search.words(F.col("text")))).alias("avg_n"))
+    return search.bm25_of(index, corpus, "und that").select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("search_metadata", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k')::DOUBLE >= 10 AND json_extract_string(props, '$.k')::DOUBLE BETWEEN 5 AND 60 AND json_extract_string(props, '$.k') <> '11' AND json_extract_string(props, '$.k') IN ('12', '13', '20', '33')")
 def search_metadata(spark, sf_dir):
     cond = search.metadata_filter("props", {"k": {"$gte": 10, "$between": [5, 60], "$in": ["12", "13", "20", "33"]}})

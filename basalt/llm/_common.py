@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.session import shared
@@ -24,10 +25,29 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     _STAGED.append(path)
     tidy(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rows = _observed(seen)
+    return out
+
+
+def _observed(seen: Observation) -> int | None:
+    """What a finished write has counted; None if that isn't told within seconds."""
+    for _ in range(200):
+        got = seen._jo.getOrEmpty()
+        if got.nonEmpty():
+            return int(got.apply("n"))
+        time.sleep(0.02)
+    return None
+
+
+def few(df: DataFrame, most: int) -> bool:
+    """Whether a frame has at most so many rows: known of a staged table, else counted."""
+    n = getattr(df, "_rows", None)
+    return n <= most if n is not None else df.limit(most + 1).count() <= most
 
 
 def tidy(spark: SparkSession) -> None:

@@ -7,13 +7,15 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import doc_key, rest, stage
+from ._common import doc_key, few, rest, stage
 from .neardup import KEYS, semi
 
 #: What op7 and the pipeline take: words are the symbols, one edit in every eight of them, one at most.
 UNIT, TAU, EVERY = "word", 1, 8
 #: Keys of up to so many lines compare their pairs; larger ones are split (see `settled`), until so many symbols are left.
-SMALL, FEW = 16, 6
+SMALL, FEW = 16, 16
+#: Frames of up to so many rows are handled by one task.
+LITTLE = 20_000
 ID = ["_a", "_b"]
 SPACES = "\t\x0b\x0c\r"
 
@@ -166,30 +168,30 @@ def counted(flat: DataFrame, keep: str) -> DataFrame:
     """The rows of keys of several lines, one of them in the index, with their number _n; keep: what else must hold of
     a key. The keys are counted first, combined before the shuffle."""
     keys = stage(flat.groupBy("_key").agg(F.count("*").alias("_n"), F.max("index").alias("_some"), F.max("open").alias("_open")).where(f"_n > 1 AND _some AND {keep}").select("_key", "_n"), "lines-keys")
-    return stage(flat.join(F.broadcast(keys) if keys.limit(KEYS + 1).count() <= KEYS else keys.hint("merge"), "_key"), "lines-shared")
+    return stage(flat.join(F.broadcast(keys) if few(keys, KEYS) else keys.hint("merge"), "_key"), "lines-shared")
 
 
 def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every: int) -> DataFrame:
-    """Lines (_a, _b) that go, gone included, from keys of more than SMALL lines (with their rest).
+    """Lines (_a, _b; some more than once) that go, gone included, from keys of more than SMALL lines (with their rest).
 
     All lines of a key meet its earliest ones, which settles what surrounds one original in linear work. Keys that
     still hold other lines are split: what is left of the lines, without the substring they share, is cut into
     segments, indexed and probed anew within the key, so that each step halves it (or more, with more edits). Keys
     of few lines compare pairs. Where little is left, one edit is decided by `crowded`; several are by pairs.
     """
-    found = gone
+    found = [gone]
+    known = lambda: _all(found)
     while True:
-        rows = stage(hot, "lines-hot")
+        rows = tight(stage(hot, "lines-hot"))
+        texts = tight(texts)
         first = rows.groupBy("_key", "index").agg(F.min(F.struct("first", *ID)).alias("p")).select("_key", "index", "p.*")
-        near = verified(met(semi(rows, found, ID, how="left_anti"), first), texts, tau, every)
-        found = stage(found.union(near).distinct(), "lines-found")
+        found.append(stage(verified(met(semi(rows, known(), ID, how="left_anti"), first), texts, tau, every), "lines-found"))
         low = rows.groupBy("_key").agg(F.min("first").alias("_low"))
-        late = semi(rows, found, ID, how="left_anti").join(low, "_key").where(F.col("first") > F.col("_low"))
-        late = stage(late.select(*ID).distinct(), "lines-late")
-        if late.isEmpty():
-            return found
-        rows = semi(rows, late.join(rows.select("_key", *ID), ID).select("_key").distinct(), ["_key"])
-        rows = rows.join(late.withColumn("open", F.lit(True)), ID, "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        late = semi(rows, known(), ID, how="left_anti").join(low, "_key").where(F.col("first") > F.col("_low"))
+        late = tight(stage(late.select("_key", *ID).distinct(), "lines-late"))
+        if few(late, 0):
+            return known()
+        rows = semi(rows, late.select("_key").distinct(), ["_key"]).join(late.select(*ID).distinct().withColumn("open", F.lit(True)), ID, "left").withColumn("open", F.coalesce("open", F.lit(False)))
         size = F.size("rest")
         wide = size - F.col("d") > F.greatest(F.lit(FEW), F.col("t"))
         ends = rows.where(~wide)
@@ -199,13 +201,28 @@ def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every:
         plan = probes(tau)
         each = F.array(*[entry(p, F.col("index"), key_of(F.col("rest"), size, p, (F.col("t") == p[0]) & (F.col("d") == p[1]), F.col("_key"))) for p in plan])
         flat = rows.where(wide).select(*ID, "first", "rest", "open", F.explode(each).alias("x")).select(*ID, "first", "rest", "open", "x.*").where("_key IS NOT NULL")
-        shared = counted(flat, "_open").withColumn("rest", remainder(F.col("rest"), F.size("rest")))
-        few = shared.where(F.col("_n") <= SMALL)
-        near.append(verified(met(few.where("open"), few), texts, tau, every))
-        found = stage(functools.reduce(DataFrame.union, near, found).distinct(), "lines-found")
+        shared = tight(counted(flat, "_open")).withColumn("rest", remainder(F.col("rest"), F.size("rest")))
+        small = shared.where(F.col("_n") <= SMALL)
+        near.append(verified(met(small.where("open"), small), texts, tau, every))
+        found.append(stage(functools.reduce(DataFrame.union, near), "lines-found"))
         hot = shared.where(F.col("_n") > SMALL).select("_key", *ID, "first", "index", "t", "d", "rest")
 
 
+def tight(df: DataFrame) -> DataFrame:
+    """A staged frame of few rows as one partition: what follows of it needs no shuffle, and one small task for each step."""
+    out = df.coalesce(1) if few(df, LITTLE) else df
+    out._rows = getattr(df, "_rows", None)
+    return out
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    """The union of staged frames, its rows known if theirs are."""
+    out = functools.reduce(DataFrame.union, parts)
+    counts = [getattr(p, "_rows", None) for p in parts]
+    out._rows = None if None in counts else sum(counts)
+    return out
+
+
 def place() -> Column:
     """A document's order as one decimal, with room for a line's position: by id, then a hash of its text; null ids last."""
     wide = lambda x: F.lit(x).cast("decimal(38,0)")
@@ -259,12 +276,12 @@ def dedup(docs: DataFrame, tau: int = TAU, every: int = EVERY, unit: str = UNIT,
     texts = stage(texts.select(*ID, symbols(F.col("line"), unit).alias("sym")), "lines-texts")
     small, hot = shared.where(F.col("_n") <= SMALL), shared.where(F.col("_n") > SMALL)
     gone = stage(verified(met(small, small), texts, tau, every), "lines-gone")
-    if not hot.isEmpty():
-        texts = stage(semi(texts, hot.select(*ID).distinct(), ID), "lines-crowded")
+    if not few(hot, 0):
+        texts = stage(semi(texts, stage(hot.select(*ID).distinct(), "lines-some"), ID), "lines-crowded")
         gone = settled(hot.join(texts, ID).select("_key", *ID, "first", "index", "t", "d", remainder(F.col("sym"), n).alias("rest")), texts, gone, tau, every)
-    gone = gone.withColumn("_gone", F.lit(True))
+    gone = gone.distinct().withColumn("_gone", F.lit(True))
     repeated = stage(distinct.select(*ID, "first", "copies").join(gone, ID, "left").where("copies > 1 OR _gone").select(*ID, "first", "_gone"), "lines-repeated")
-    told = F.broadcast(repeated) if repeated.limit(KEYS + 1).count() <= KEYS else repeated
+    told = F.broadcast(repeated) if few(repeated, KEYS) else repeated
     spots = lines.select("_k", "_h", "pos", "place", *ID).join(told, ID).where(F.coalesce("_gone", F.lit(False)) | (F.col("place") != F.col("first")))
     spots = spots.groupBy("_k", "_h").agg(F.collect_set("pos").alias("_out"))
     rows = base.join(spots, ["_k", "_h"], "left").withColumn("_lines", F.split("text", "\n", -1))

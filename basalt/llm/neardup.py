@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import NON_SPACE, chunks, doc_key, hash_words, lean, mix, stage, utf8, word_offsets, words_of, small_batches
+from ._common import NON_SPACE, chunks, doc_key, few, hash_words, lean, mix, stage, utf8, word_offsets, words_of, small_batches
 
 SHINGLE, BANDS, ROWS = 5, 30, 6
 K = BANDS * ROWS
@@ -132,7 +132,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 def semi(rows: DataFrame, keys: DataFrame, on: list[str], most: int = KEYS, how: str = "left_semi") -> DataFrame:
     """rows with a match in keys (left_anti: without). The keys are counted; up to `most` are broadcast, more are shuffled."""
-    return rows.join(F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("merge"), on, how)
+    return rows.join(F.broadcast(keys) if few(keys, most) else keys.hint("merge"), on, how)
 
 
 def element_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -277,11 +277,11 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     now = left.drop("label").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     mixed = now.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("b")
     left = stage(now.where("n > 2").join(mixed, "b", "left_semi").select("b", "c", "n", "label"), "near-open")
-    few = left.where(F.col("n") <= SMALL)
-    x, y = few.alias("x"), few.alias("y")
+    small = left.where(F.col("n") <= SMALL)
+    x, y = small.alias("x"), small.alias("y")
     pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     more = stage(compare(pairs).unionByName(_grid(left.where(F.col("n") > SMALL), sets, threshold)), "near-links")
-    if not more.limit(1).isEmpty():
+    if not few(more, 0):
         labels = components(links.unionByName(more), labels)
     own = labels.join(content, "c").groupBy("label").agg(F.min("rp").alias("class_p"))
     final = content.join(labels.join(own, "label"), "c", "left").select("c", F.coalesce("class_p", "rp").alias("class_p"), F.coalesce("label", "c").alias("_class"))
@@ -289,7 +289,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     class_k = F.expr(f"CAST((class_p - pmod(class_p, CAST({1 << 62} AS DECIMAL(38, 0)))) DIV {1 << 62} AS BIGINT)")
     out = rows.select("doc_id", "_k", "_h", F.col("n").alias("n_shingles"), "_class", F.when(class_k != 2**63 - 1, class_k).alias("class_id"), (F.col("_p") == F.col("class_p")).alias("kept"))
     twice = stage(s.groupBy("_k", "_h").agg(F.count("*").alias("copies")).where("copies > 1"), "near-twice")
-    if twice.isEmpty():
+    if few(twice, 0):
         return out
     again = semi(out, twice, ["_k", "_h"]).dropDuplicates(["_k", "_h"]).join(twice, ["_k", "_h"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return semi(out, twice, ["_k", "_h"], how="left_anti").unionByName(again.withColumn("kept", F.col("kept") & (F.col("copy") == 1)).drop("copies", "copy"))
@@ -309,7 +309,7 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     twice = stage(rows.groupBy("_k", "_h").count().where("count > 1").select(F.col("_k").alias(kx), F.col("_h").alias(hx)), "near-twice")
     every = docs.select("*", k.alias(kx), h.alias(hx))
     left = semi(every, gone, [kx, hx], how="left_anti")
-    if not twice.limit(1).isEmpty():
+    if not few(twice, 0):
         left = semi(left, twice, [kx, hx], how="left_anti").union(semi(left, twice, [kx, hx]).dropDuplicates([kx, hx]))
     return left.drop(kx, hx)
 

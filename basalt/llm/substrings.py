@@ -31,33 +31,47 @@ def minimizers(h: np.ndarray) -> np.ndarray:
     return np.minimum(low[: len(g) - SPREAD + 1], low[SPREAD - width : SPREAD - width + len(g) - SPREAD + 1])
 
 
+class Bits:
+    """A bit vector in words of 64, with the number of ones before each word."""
+
+    def __init__(self, bit: np.ndarray):
+        packed = np.packbits(np.concatenate([bit.astype(np.uint8), np.zeros(64 - len(bit) % 64 + 64, np.uint8)]), bitorder="little")
+        self.words = packed[: len(packed) // 8 * 8].view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)]).astype(np.int32)
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before position i."""
+        at, low = i >> 6, (i & 63).astype(np.uint64)
+        return self.before[at] + np.bitwise_count(self.words[at] & ((np.uint64(1) << low) - np.uint64(1)))
+
+
 class Wavelet:
-    """Wavelet matrix: a bit vector per bit of the symbols, packed in words of 64 with counts in between."""
+    """Wavelet matrix: a bit vector per bit of the symbols."""
 
     def __init__(self, symbols: np.ndarray, top: int):
         self.levels = max(1, int(top).bit_length())
-        self.words, self.before, self.zeros = [], [], []
+        self.bits, self.zeros = [], []
         x = symbols
         for level in range(self.levels - 1, -1, -1):
-            bit = ((x >> level) & 1).astype(np.uint8)
-            packed = np.packbits(np.concatenate([bit, np.zeros(64 - len(bit) % 64 + 64, np.uint8)]), bitorder="little")
-            word = packed[: len(packed) // 8 * 8].view(np.uint64)
-            self.words.append(word)
-            self.before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(word), dtype=np.int64)]))
+            bit = (x >> level) & 1
+            self.bits.append(Bits(bit))
             self.zeros.append(int(len(bit) - bit.sum()))
             x = np.concatenate([x[bit == 0], x[bit == 1]])
 
     def walk(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Place of position i in the final order of the symbol (from a common start per symbol)."""
         for k in range(self.levels):
-            at, low = i >> 6, (i & 63).astype(np.uint64)
-            ones = self.before[k][at] + np.bitwise_count(self.words[k][at] & ((np.uint64(1) << low) - np.uint64(1)))
+            ones = self.bits[k].rank(i)
             i = np.where((symbol >> (self.levels - 1 - k)) & 1, self.zeros[k] + ones, i - ones)
         return i
 
 
 class Index:
-    """FM-index of records of words (numbers from 1), each closed by a separator (0) that orders by record."""
+    """Compressed FM-index of records of words (numbers from 1), each closed by a separator (0) that orders by record.
+
+    What stays of the suffix array is the record of each suffix (`record`), and one bit for each that tells whether it
+    agrees with the one before in 49 words; the text itself is in the wavelet matrix of its last column.
+    """
 
     def __init__(self, ids: np.ndarray, off: np.ndarray):
         r = len(off) - 1
@@ -84,21 +98,22 @@ class Index:
             span *= 2
             if new[-1] == n - 1 and span > 32:
                 break
-        self.sa = order
         half = rank if half is None else half
-        self.text = text
-        bwt = text[order - 1]
-        self.tree = Wavelet(bwt, int(ids.max(initial=1)))
-        count = np.bincount(text, minlength=int(ids.max(initial=1)) + 2)
-        self.before = np.concatenate([[0], np.cumsum(count)])
-        every = np.arange(int(ids.max(initial=1)) + 1)
+        top = int(ids.max(initial=1))
+        self.tree = Wavelet(text[order - 1], top)
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 2))])
+        every = np.arange(top + 1)
         self.start = self.tree.walk(every, np.zeros(len(every), np.int64))
+        self.record = np.repeat(np.arange(r, dtype=np.int32), np.diff(off) + 1)[order]
         # Intervals of suffixes that agree in 49 words: where a match of 50 goes when it loses its last word.
         pad = np.concatenate([half, np.zeros(WINDOW, np.int64)])
         a, b = half[order], pad[order + (WINDOW - 1 - 32)]
-        cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]]))
-        group = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-        self.low, self.high = cut[:-1][group], cut[1:][group]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        self.new, self.cuts = Bits(new), np.append(np.flatnonzero(new), n).astype(np.int32)
+
+    def widened(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the suffixes that agree with those of [lo, hi) in 49 words."""
+        return self.cuts[self.new.rank(lo + 1) - 1].astype(np.int64), self.cuts[self.new.rank(hi)].astype(np.int64)
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the suffixes of [lo, hi) that the symbol precedes."""
@@ -121,7 +136,7 @@ class Index:
             live = order[: int(np.searchsorted(-size[order], -t, "left"))]
             a, b = lo[live], hi[live]
             if t >= WINDOW:
-                a, b = self.low[a], self.high[b - 1]
+                a, b = self.widened(a, b)
             place = size[live] - 1 - t
             a, b = self.step(ids[off[live] + place], a, b)
             lo[live], hi[live] = a, b
@@ -130,23 +145,33 @@ class Index:
         return out[0], out[1]
 
 
+def numbered(raw: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Numbers of the words raw[s:e] from 0: equal exactly for words that are spelled alike. h: their hashes."""
+    _, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    like, wide = first[ids], e - s
+    same = wide == wide[like]
+    for j in np.unique(wide):
+        k = np.flatnonzero((wide == j) & same)
+        if j <= 64:
+            same[k] = (raw[s[k][:, None] + np.arange(j)] == raw[s[like[k]][:, None] + np.arange(j)]).all(1)
+        else:
+            same[k] = [raw[s[i] : e[i]].tobytes() == raw[s[p] : e[p]].tobytes() for i, p in zip(k, like[k], strict=True)]
+    if not same.all():  # words that share a hash with another one: numbered by their spelling
+        names: dict[bytes, int] = {}
+        for i in np.flatnonzero(~same).tolist():
+            ids[i] = names.setdefault(raw[s[i] : e[i]].tobytes(), len(first) + len(names))
+    return ids
+
+
 def first_holders(raw: np.ndarray, off: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(least document of the records that hold each window, offsets of the records' windows): one shard."""
     s, e, row = words_of(raw, off, NON_SPACE)
     h = hash_words(raw, s, e)
-    kinds, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    ids = numbered(raw, s, e, h)
     wo = word_offsets(row, len(off) - 1)
-    wide = e - s
-    for j in np.unique(wide):  # exact: words of one number are spelled alike
-        k = np.flatnonzero(wide == j)
-        spelled = raw[s[k][:, None] + np.arange(j)] if j <= 64 else None
-        like = first[ids[k]]
-        if (wide[like] != j).any() or (spelled is not None and (spelled != raw[s[like][:, None] + np.arange(j)]).any()):
-            raise ValueError("two words with one 64-bit hash in a shard")
     index = Index(ids + 1, wo)
     lo, hi = index.windows(ids + 1, wo)
-    record = np.repeat(np.arange(len(off) - 1), np.diff(wo) + 1)  # of each place of the indexed text
-    held = np.append(docs[record[index.sa]], np.iinfo(np.int64).max)
+    held = np.append(docs[index.record], np.iinfo(np.int64).max)
     begin, back = np.unique(lo, return_inverse=True)
     end = np.zeros(len(begin), np.int64)
     end[back] = hi

@@ -325,6 +325,16 @@ def test_substring_dedup(spark, docs, empty):
     assert any(r.n_removed for r in got) and substrings.dedup(empty).count() == 0
 
 
+def test_words_of_one_hash_keep_their_numbers():
+    words = [b"one", b"two", b"one", b"x" * 90, b"y" * 90, b"x" * 90, b"two", b"three"]
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    e = np.cumsum([len(w) for w in words])
+    s = e - [len(w) for w in words]
+    for h in (np.zeros(8, np.uint64), np.array([hash(w) & 0xFFFF for w in words], np.uint64)):
+        ids = substrings.numbered(raw, s, e, h).tolist()
+        assert [ids.index(x) for x in ids] == [words.index(w) for w in words]
+
+
 def test_fm_index_counts_windows():
     rng = np.random.default_rng(4)
     records = [rng.integers(1, 4, n) for n in (60, 84, 50, 70)]

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_secrets": secrets.OP3_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
     "op5_substring_dedup": substrings.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,

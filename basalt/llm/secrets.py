@@ -123,3 +123,27 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), by_content=True)
     n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), "n_live", "n_example")
+
+
+def _matches(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """One kind's matches in SQL: its gaps, matches and values, as `spans` takes them."""
+    whole = rf"(?s)(.*?)(?:({pattern})|\z)".replace("'", "''")
+    every = lambda g: f"regexp_extract_all(t, '{whole}', {g})"
+    return f"SELECT r, {rank} AS rank, '{kind}' AS kind, {max(least, 1)} AS least, unnest({every(1)}) AS g, unnest({every(2)}) AS m, unnest({every(group + 2 if group else 2)}) AS v, generate_subscripts({every(1)}, 1) AS i FROM d"
+
+
+OP3_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1) || 'null') AS owner, coalesce(doc_id::VARCHAR, chr(1) || 'null') AS repo, coalesce(text, '') AS t FROM documents),\nm AS ("
+    + "\nUNION ALL ".join(_matches(i, *kind) for i, kind in enumerate(BASE + MORE))
+    + f"""),
+p AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY r, rank ORDER BY i) AS b FROM m),
+s AS (SELECT r, rank, kind, (b - length(m))::BIGINT AS a, b::BIGINT AS b, v FROM p WHERE length(v) >= least),
+c AS (SELECT v, t, min((repo, owner)) AS x FROM s JOIN d USING (r) GROUP BY v, t),
+o AS (SELECT v, count(DISTINCT x[2]) AS owners, count(DISTINCT x) AS repos FROM c GROUP BY v),
+j AS (SELECT s.*, owners <= 1 AND repos <= 3 AS live, kind || ':' || a || ':' || b AS name FROM s JOIN o USING (v)),
+q AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(name, ',' ORDER BY a, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(name, ',' ORDER BY a, rank) FILTER (rank < {len(BASE)} OR live) AS found,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM j GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(found, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN q USING (r)"""
+)

@@ -18,17 +18,18 @@ _STAGED: list[str] = []
 scratch_dir = shared
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, clean: bool = True) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.
 
-    Shuffle files of the finished job are released, so that stages don't add up on disk.
+    Shuffle files of the finished job are released (clean), so that stages don't add up on disk.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     _STAGED.append(path)
-    tidy(spark)
+    if clean:
+        tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._rows = _observed(seen)
     return out

@@ -14,8 +14,8 @@ from .neardup import KEYS, semi
 UNIT, TAU, EVERY = "word", 1, 8
 #: Keys of up to so many lines compare their pairs; larger ones are split (see `settled`), until so many symbols are left.
 SMALL, FEW = 16, 16
-#: Frames of up to so many rows are handled by one task.
-LITTLE = 20_000
+#: Frames of up to so many rows are handled by one task; of so few lines, the crowded ones need no further split.
+LITTLE, NARROW = 20_000, 4_000
 ID = ["_a", "_b"]
 SPACES = "\t\x0b\x0c\r"
 
@@ -177,12 +177,12 @@ def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every:
     All lines of a key meet its earliest ones, which settles what surrounds one original in linear work. Keys that
     still hold other lines are split: what is left of the lines, without the substring they share, is cut into
     segments, indexed and probed anew within the key, so that each step halves it (or more, with more edits). Keys
-    of few lines compare pairs. Where little is left, one edit is decided by `crowded`; several are by pairs.
+    of few lines compare pairs. Where little or few lines are left, one edit is decided by `crowded`; several are by pairs.
     """
     found = [gone]
     known = lambda: _all(found)
     while True:
-        rows = tight(stage(hot, "lines-hot"))
+        rows = tight(stage(hot, "lines-hot", clean=False))
         texts = tight(texts)
         first = rows.groupBy("_key", "index").agg(F.min(F.struct("first", *ID)).alias("p")).select("_key", "index", "p.*")
         found.append(stage(verified(met(semi(rows, known(), ID, how="left_anti"), first), texts, tau, every), "lines-found"))
@@ -192,6 +192,9 @@ def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every:
         if few(late, 0):
             return known()
         rows = semi(rows, late.select("_key").distinct(), ["_key"]).join(late.select(*ID).distinct().withColumn("open", F.lit(True)), ID, "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        if tau == 1 and few(late, NARROW):
+            found.append(stage(crowded(rows), "lines-found"))
+            return known()
         size = F.size("rest")
         wide = size - F.col("d") > F.greatest(F.lit(FEW), F.col("t"))
         ends = rows.where(~wide)

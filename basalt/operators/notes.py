@@ -163,7 +163,7 @@ def text_variants(text: Column) -> Column:
 
 def index_rows(entities: DataFrame, obs: DataFrame, rels: DataFrame) -> DataFrame:
     """One row per entity, observation (once per permalink) and outgoing relation."""
-    e = entities.select(F.lit("entity").alias("type"), F.col("entity_id"), "title", "permalink", F.substring(F.coalesce("content", F.lit("")), 1, 6000).alias("content"))
+    e = entities.select(F.lit("entity").alias("type"), F.col("entity_id"), "title", "permalink", F.coalesce("content", F.lit("")).alias("content"))
     o = obs.join(entities.select("entity_id", "title", F.col("permalink").alias("_p")), "entity_id").select(F.lit("observation").alias("type"), "entity_id", F.concat_ws(": ", "category", F.substring("content", 1, 100)).alias("title"), F.concat_ws("/", "_p", F.lit("observations"), "category", "content").alias("permalink"), "content").dropDuplicates(["permalink"])
     r = rels.join(entities.select("entity_id", F.col("title").alias("_t"), F.col("permalink").alias("_p")), "entity_id").select(F.lit("relation").alias("type"), "entity_id", F.concat_ws(" → ", "_t", "to_name").alias("title"), F.concat_ws("/", "_p", "relation_type", "to_name").alias("permalink"), F.lit(None).cast("string").alias("content"))
     return e.unionByName(o).unionByName(r)
@@ -241,7 +241,7 @@ def edit(text: Column, operation: str, content: str, find: str | None = None, ex
 
 def move_directory(entities: DataFrame, old: str, new: str) -> DataFrame:
     inside = F.startswith(F.col("file_path"), F.lit(old.rstrip("/") + "/"))
-    return entities.withColumn("file_path", F.when(inside, F.concat(F.lit(new.rstrip("/")), F.substring("file_path", len(old.rstrip("/")) + 1, 10_000))).otherwise(F.col("file_path")))
+    return entities.withColumn("file_path", F.when(inside, F.concat(F.lit(new.rstrip("/")), F.substring("file_path", F.lit(len(old.rstrip("/")) + 1), F.length("file_path")))).otherwise(F.col("file_path")))
 
 
 def delete_directory(entities: DataFrame, folder: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basalt.operators import notes, recursive, search
@@ -12,46 +14,54 @@ from basalt.sources import web
 
 from .registry import query
 
+#: A note of each part, with the words of its row in a head, observations, relations and prose.
 NOTE = """---
-title: Coffee Brewing
-tags: [coffee, brewing]
-status: active
+title: {p_name}
+tags: [{p_type}, other]
+status: {p_mfgr}
 ---
-# Coffee
+# {p_name}
 
-- [method] Pour over gives clarity #brewing #taste (learned at home)
+- [{p_type}] Size {p_size} here #size{p_size} #of (seen by {p_brand})
 - [ ] a task
-- a plain item with #tag
+- a plain item with #tag{p_size}
 - [link](http://x.example)
-- relates to [[Tea]] (see there)
-- [[Water]]
-Prose with [[Inline [[nested]] link]] and [[Other]].
+- made by [[{p_brand}]] (since {p_partkey})
+- [[{p_type}]]
+Prose with [[In [[{p_type}]] out]] and [[{p_name}]].
 """
 
 
-def _note(spark):
-    parsed = spark.createDataFrame([(1, NOTE)], "entity_id long, text string").withColumn("f", notes.frontmatter("text"))
-    return parsed.select("entity_id", F.col("f.metadata").alias("metadata"), F.col("f.body").alias("body"))
+def _note(spark, sf_dir):
+    pieces = [F.lit(x) if i % 2 == 0 else F.col(x).cast("string") for i, x in enumerate(re.split(r"[{}]", NOTE))]
+    part = table(spark, sf_dir, "part").withColumn("p_mfgr", F.when(F.col("p_size") % 2 == 0, "active").otherwise("draft"))
+    parsed = part.select(F.col("p_partkey").alias("entity_id"), "p_name", F.concat(*pieces).alias("text")).withColumn("f", notes.frontmatter("text"))
+    return parsed.select("entity_id", "p_name", F.col("f.metadata").alias("metadata"), F.col("f.body").alias("body"))
 
 
-@query("note_frontmatter", "SELECT 1::BIGINT AS entity_id, 'Coffee Brewing' AS title, 'active' AS status")
+@query("note_frontmatter", "SELECT p_partkey AS entity_id, p_name AS title, CASE WHEN p_size % 2 = 0 THEN 'active' ELSE 'draft' END AS status, '[\"' || p_type || '\",\"other\"]' AS tags, 'Prose with [[In [[' || p_type || ']] out]] and [[' || p_name || ']].' AS last FROM part")
 def note_frontmatter(spark, sf_dir):
-    return _note(spark).select("entity_id", F.get_json_object("metadata", "$.title").alias("title"), F.get_json_object("metadata", "$.status").alias("status"))
+    j = lambda k: F.get_json_object("metadata", f"$.{k}").alias(k)
+    return _note(spark, sf_dir).select("entity_id", j("title"), j("status"), j("tags"), F.element_at(F.split(F.trim(F.replace("body", F.lit("\n"), F.lit("\x01"))), "\x01"), -2).alias("last"))
 
 
-@query("note_observations", "SELECT 'method' AS category, 'Pour over gives clarity #brewing #taste' AS content, 'brewing,taste' AS tags, 'learned at home' AS context UNION ALL SELECT NULL, 'a plain item with #tag', 'tag', NULL")
+_OBSERVATIONS = "SELECT p_partkey AS entity_id, p_type AS category, 'Size ' || p_size || ' here #size' || p_size || ' #of' AS content, 'size' || p_size || ',of' AS tags, 'seen by ' || p_brand AS context FROM part UNION ALL SELECT p_partkey, NULL, 'a plain item with #tag' || p_size, 'tag' || p_size, NULL FROM part"
+_RELATIONS = "SELECT p_partkey AS entity_id, 'made by' AS relation_type, p_brand AS to_name, 'since ' || p_partkey AS context FROM part UNION ALL SELECT p_partkey, 'relates_to', p_type, NULL FROM part"
+
+
+@query("note_observations", _OBSERVATIONS)
 def note_observations(spark, sf_dir):
-    return notes.observations(_note(spark)).select("category", "content", F.array_join("tags", ",").alias("tags"), "context")
+    return notes.observations(_note(spark, sf_dir)).select("entity_id", "category", "content", F.array_join("tags", ",").alias("tags"), "context")
 
 
-@query("note_relations", "SELECT 'relates to' AS relation_type, 'Tea' AS to_name, 'see there' AS context UNION ALL SELECT 'relates_to', 'Water', NULL")
+@query("note_relations", _RELATIONS)
 def note_relations(spark, sf_dir):
-    return notes.relations(_note(spark)).select("relation_type", "to_name", "context")
+    return notes.relations(_note(spark, sf_dir)).select("entity_id", "relation_type", "to_name", "context")
 
 
-@query("note_inline_links", "SELECT unnest(['Tea', 'Water', 'Inline [[nested]] link', 'Other']) AS target")
+@query("note_inline_links", "SELECT p_partkey AS entity_id, unnest([p_brand, p_type, 'In [[' || p_type || ']] out', p_name]) AS target FROM part")
 def note_inline_links(spark, sf_dir):
-    return _note(spark).select(F.explode(notes.inline_links("body")).alias("target"))
+    return _note(spark, sf_dir).select("entity_id", F.explode(notes.inline_links("body")).alias("target"))
 
 
 _PERMALINK = "SELECT p_partkey, regexp_replace(regexp_replace(lower(replace(p_brand, '#', ' No')), '[^a-z0-9/.-]', '-', 'g'), '-+', '-', 'g') || '/' || replace(p_name, ' ', '-') AS permalink FROM part"
@@ -74,14 +84,15 @@ def permalinks_unique(spark, sf_dir):
     return notes.unique_permalinks(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("permalink")), "p_partkey")
 
 
-@query("tags", "SELECT unnest(['a,b', 'x,y']) AS tags")
+@query("tags", "SELECT p_partkey, p_type || ',' || p_size AS tags FROM part")
 def tags(spark, sf_dir):
-    return spark.createDataFrame([("#a, b,",), ('["x", "#y"]',)], "t string").select(F.array_join(notes.parse_tags(F.col("t")), ",").alias("tags"))
+    listed = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("#"), "p_type", F.lit(", ,##"), F.col("p_size"), F.lit(" ,"))).otherwise(F.concat(F.lit('["#'), "p_type", F.lit('", " ", "'), F.col("p_size"), F.lit('"]')))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(notes.parse_tags(listed), ",").alias("tags"))
 
 
-@query("text_variants", "SELECT p_partkey, len(list_distinct([p_name, lower(p_name)] || string_split(lower(p_name), ' ')))::INTEGER AS n FROM part")
+@query("text_variants", "SELECT p_partkey, unnest(list_distinct([p_type || '/' || p_name, lower(p_type || '/' || p_name), p_type, p_name, lower(p_type)] || string_split(lower(p_name), ' ') || [lower(p_name)])) AS v FROM part")
 def text_variants(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.size(notes.text_variants(F.col("p_name"))).alias("n"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(notes.text_variants(F.concat_ws("/", "p_type", "p_name"))).alias("v"))
 
 
 def _graph(spark, sf_dir):
@@ -118,32 +129,43 @@ def graph_activity(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
 
 
-@query("link_resolution", "SELECT l AS link_id, e AS entity_id FROM (VALUES (1, 10), (2, 12), (3, 11), (4, 13), (5, NULL)) AS t(l, e)")
+_ENTITIES = "SELECT p_partkey AS id, p_name AS title, lower(p_type) || '/' || p_partkey AS permalink, p_type || '/' || p_brand || '/' || p_partkey || '.md' AS path FROM part"
+
+
+def _entities(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS entity_id", "p_name AS title", "concat(lower(p_type), '/', p_partkey) AS permalink", "concat(p_type, '/', p_brand, '/', p_partkey, '.md') AS file_path")
+
+
+@query("link_resolution", f"""WITH e AS ({_ENTITIES}), t AS (SELECT a.p_partkey AS link_id, e.id, row_number() OVER (PARTITION BY a.p_partkey ORDER BY CASE WHEN split_part(e.path, '/', 1) = a.p_type THEN 101 ELSE 1000 END, length(e.path), e.id) AS r FROM part a JOIN e ON e.title = a.p_name WHERE a.p_partkey % 5 = 1)
+SELECT p_partkey AS link_id, CASE p_partkey % 5 WHEN 1 THEN t.id WHEN 4 THEN NULL ELSE p_partkey END AS entity_id FROM part LEFT JOIN t ON p_partkey = link_id AND r = 1""")
 def link_resolution(spark, sf_dir):
-    es = spark.createDataFrame([(10, "Alpha", "a/alpha", "a/alpha.md"), (11, "Beta", "b/beta", "b/beta.md"), (12, "Beta", "a/beta", "a/beta.md"), (13, "Gamma", "g", "x/g.md")], "entity_id int, title string, permalink string, file_path string")
-    ls = spark.createDataFrame([(1, "a/alpha", "b/n.md"), (2, "Beta", "a/n.md"), (3, "b/beta.md", "a/n.md"), (4, "x/g", "a/n.md"), (5, "Nothing", "a/n.md")], "link_id int, name string, source string")
-    return notes.resolve_links(ls, es).select("link_id", "entity_id")
+    es = _entities(spark, sf_dir)
+    name = F.expr("CASE entity_id % 5 WHEN 0 THEN permalink WHEN 1 THEN title WHEN 2 THEN file_path WHEN 3 THEN replace(file_path, '.md', '') ELSE 'nothing like it' END")
+    return notes.resolve_links(es.select(F.col("entity_id").alias("link_id"), name.alias("name"), F.concat(F.substring_index("file_path", "/", 1), F.lit("/from.md")).alias("source")), es).select("link_id", "entity_id")
 
 
-@query("forward_relations", "SELECT f AS from_id, t AS to_id, n AS to_name FROM (VALUES (1, 2, 'B'), (1, NULL, 'A'), (2, 1, 'A')) AS x(f, t, n)")
+@query("forward_relations", f"""WITH e AS ({_ENTITIES}), n AS (SELECT title AS n, min(id) AS lo FROM e GROUP BY title)
+SELECT id AS from_id, CASE id % 3 WHEN 0 THEN nullif(lo, id) WHEN 1 THEN id + 1 END AS to_id, CASE id % 3 WHEN 2 THEN 'none' ELSE title END AS to_name FROM e JOIN n ON title = n""")
 def forward_relations(spark, sf_dir):
-    es = spark.createDataFrame([(1, "A", "a"), (2, "B", "b")], "entity_id int, title string, permalink string")
-    rs = spark.createDataFrame([(1, None, "B", "x"), (1, None, "B", "x"), (1, None, "A", "x"), (2, None, "A", "x")], "from_id int, to_id int, to_name string, relation_type string")
-    return notes.resolve_forward(rs, es).select("from_id", "to_id", "to_name")
+    es = _entities(spark, sf_dir)
+    rs = es.selectExpr("entity_id AS from_id", "CASE WHEN entity_id % 3 = 1 THEN entity_id + 1 END AS to_id", "CASE entity_id % 3 WHEN 2 THEN 'none' ELSE title END AS to_name", "'x' AS relation_type")
+    return notes.resolve_forward(rs.union(rs), es).select("from_id", "to_id", "to_name")
 
 
-@query("sync_diff", "SELECT c AS change, p AS path, o AS old_path FROM (VALUES ('new', 'n', NULL), ('modified', 'm', NULL), ('deleted', 'd', NULL), ('moved', 'v2', 'v1')) AS t(c, p, o)")
+@query("sync_diff", "SELECT CASE p_partkey % 10 WHEN 1 THEN 'deleted' WHEN 2 THEN 'moved' ELSE 'modified' END AS change, CASE p_partkey % 10 WHEN 2 THEN 'moved/' ELSE '' END || p_partkey AS path, CASE p_partkey % 10 WHEN 2 THEN p_partkey::VARCHAR END AS old_path FROM part WHERE p_partkey % 10 IN (1, 2, 3) UNION ALL SELECT 'new', 'new/' || s_suppkey, NULL FROM supplier")
 def sync_diff(spark, sf_dir):
-    s = "path string, mtime double, size long, checksum string"
-    before = spark.createDataFrame([("same", 1.0, 5, "a"), ("m", 1.0, 5, "b"), ("d", 1.0, 5, "c"), ("v1", 1.0, 5, "e"), ("touched", 1.0, 5, "t")], s)
-    now = spark.createDataFrame([("same", 1.005, 5, "a"), ("m", 2.0, 6, "b2"), ("n", 1.0, 5, "f"), ("v2", 3.0, 5, "e"), ("touched", 9.0, 5, "t")], s)
-    return notes.sync_diff(before, now)
+    part = table(spark, sf_dir, "part")
+    before = part.selectExpr("CAST(p_partkey AS STRING) AS path", "CAST(p_size AS DOUBLE) AS mtime", "p_partkey AS size", "sha2(CAST(p_partkey AS STRING), 256) AS checksum")
+    kind = "p_partkey % 10"
+    now = part.where(f"{kind} <> 1").selectExpr(f"concat(CASE WHEN {kind} = 2 THEN 'moved/' ELSE '' END, p_partkey) AS path", f"p_size + CASE {kind} WHEN 3 THEN 2.0D WHEN 4 THEN 9.0D WHEN 5 THEN 0.005D ELSE 0.0D END AS mtime", f"p_partkey + CAST({kind} = 3 AS INT) AS size", f"sha2(concat(p_partkey, CASE WHEN {kind} = 3 THEN '!' ELSE '' END), 256) AS checksum")
+    fresh = table(spark, sf_dir, "supplier").selectExpr("concat('new/', s_suppkey) AS path", "1.0D AS mtime", "1L AS size", "concat('s', s_suppkey) AS checksum")
+    return notes.sync_diff(before, now.union(fresh))
 
 
-@query("note_edits", "SELECT 'a' || chr(10) || 'b' AS appended, 'x' || chr(10) || 'a' AS prepended, 'A' AS replaced, '# H' || chr(10) || 'new' || chr(10) || '## I' || chr(10) || 'k' AS section")
+@query("note_edits", "SELECT p_partkey, p_name || chr(10) || 'b' AS appended, 'x' || chr(10) || p_name AS prepended, replace(p_name, ' ', '$1') AS replaced, '# H' || chr(10) || 'new' || chr(10) || '## I' || chr(10) || p_type AS section, p_name || chr(10) || '# J' || chr(10) || 'new' || chr(10) AS added FROM part")
 def note_edits(spark, sf_dir):
-    df = spark.createDataFrame([("a", "# H\nold\n## I\nk")], "t string, s string")
-    return df.select(notes.edit(F.col("t"), "append", "b").alias("appended"), notes.edit(F.col("t"), "prepend", "x").alias("prepended"), notes.edit(F.col("t"), "find_replace", "A", "a").alias("replaced"), notes.edit(F.col("s"), "replace_section", "new", section="# H").alias("section"))
+    t, sectioned = F.col("p_name"), F.concat(F.lit("# H\nold "), "p_name", F.lit("\n## I\n"), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", notes.edit(t, "append", "b").alias("appended"), notes.edit(t, "prepend", "x").alias("prepended"), notes.edit(t, "find_replace", "$1", " ").alias("replaced"), notes.edit(sectioned, "replace_section", "new", section="# H").alias("section"), notes.edit(t, "replace_section", "new", section="# J").alias("added"))
 
 
 @query("directory_tree", "SELECT d AS directory, count(*) AS files FROM (SELECT unnest([p_type, p_type || '/' || p_brand]) AS d FROM part) GROUP BY d")
@@ -158,10 +180,10 @@ def move_directory(spark, sf_dir):
     return notes.move_directory(files, "ECONOMY", "cheap")
 
 
-@query("ignore_patterns", "SELECT p AS path, i AS ignored FROM (VALUES ('a/node_modules/x', true), ('a/b.tmp', true), ('a/b.md', false), ('build/x', true), ('a/build/x', false)) AS t(p, i)")
+@query("ignore_patterns", "SELECT p_partkey, p_type IN ('ECONOMY', 'PROMO') OR p_name LIKE 'small%' OR (p_type = 'LARGE' AND p_partkey % 10 = 4 AND length(p_partkey::VARCHAR) = 2) AS ignored FROM part")
 def ignore_patterns(spark, sf_dir):
-    df = spark.createDataFrame([(p,) for p in ("a/node_modules/x", "a/b.tmp", "a/b.md", "build/x", "a/build/x")], "path string")
-    return df.select("path", notes.ignored(F.col("path"), ["node_modules/", "*.tmp", "/build"]).alias("ignored"))
+    path = F.concat_ws("/", "p_type", F.concat(F.col("p_partkey"), F.lit(".d")), F.concat("p_name", F.lit(".md")))
+    return table(spark, sf_dir, "part").select("p_partkey", notes.ignored(path, ["ECONOMY/", "/PROMO", "small*.md", "/LARGE/?4.d/", "/widget.md"]).alias("ignored"))
 
 
 @query("search_contains", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'ation')")
@@ -200,11 +222,13 @@ def search_metadata(spark, sf_dir):
     return table(spark, sf_dir, "events").where(cond).select("event_id")
 
 
-@query("search_index", "SELECT type, n FROM (VALUES ('entity', 1::BIGINT), ('observation', 2), ('relation', 2)) AS t(type, n)")
+@query("search_index", f"""SELECT 'entity' AS type, p_name AS title, 'parts/' || p_partkey AS permalink FROM part
+UNION ALL SELECT DISTINCT 'observation', concat_ws(': ', category, content), concat_ws('/', 'parts/' || entity_id, 'observations', category, content) FROM ({_OBSERVATIONS})
+UNION ALL SELECT 'relation', p_name || ' → ' || to_name, 'parts/' || entity_id || '/' || relation_type || '/' || to_name FROM ({_RELATIONS}) JOIN part ON entity_id = p_partkey""")
 def search_index(spark, sf_dir):
-    note = _note(spark)
-    es = note.selectExpr("entity_id", "'Coffee' AS title", "'coffee' AS permalink", "body AS content")
-    return notes.index_rows(es, notes.observations(note), notes.relations(note)).groupBy("type").agg(F.count("*").alias("n"))
+    note = _note(spark, sf_dir)
+    es = note.selectExpr("entity_id", "p_name AS title", "concat('parts/', entity_id) AS permalink", "body AS content")
+    return notes.index_rows(es, notes.observations(note), notes.relations(note)).select("type", "title", "permalink")
 
 
 @query("import_conversations", "SELECT conv_id, count(*)::INTEGER AS turns, string_agg('### ' || upper(role[1]) || lower(role[2:]) || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
@@ -212,17 +236,29 @@ def import_conversations(spark, sf_dir):
     return notes.conversations(table(spark, sf_dir, "conversations"))
 
 
-@query("import_chat_tree", "SELECT unnest(['user:hi', 'assistant:yes', 'assistant:no']) AS said")
+@query("import_chat_tree", "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos, coalesce(role, 'unknown') AS role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AND turn % 5 <> 3")
 def import_chat_tree(spark, sf_dir):
-    tree = '{"r":{"children":["a"]},"a":{"parent":"r","children":["b","c","h"],"message":{"author":{"role":"user"},"content":{"parts":["hi"]}}},"b":{"parent":"a","message":{"author":{"role":"assistant"},"content":{"parts":["yes"]}}},"c":{"parent":"a","message":{"author":{"role":"assistant"},"content":{"parts":["no"]}}},"h":{"parent":"a","message":{"author":{"role":"system"},"metadata":{"is_visually_hidden_from_conversation":true},"content":{"parts":["x"]}}}}'
-    return spark.createDataFrame([(tree,)], "m string").select(F.explode(notes.linear_chat("m")).alias("x")).select(F.concat_ws(":", "x.role", "x.text").alias("said"))
-
-
-@query("import_memory_json", "SELECT 'A' AS name, 'person' AS entity_type, 2 AS n UNION ALL SELECT 'B', 'unknown', NULL")
+    """Exported conversations: every fifth message is hidden."""
+    node = lambda t: F.concat(F.lit("n"), t)
+    turn = F.col("turn")
+    message = F.struct(F.struct("role").alias("author"), F.struct(F.array("text").alias("parts")).alias("content"), F.struct((turn % 5 == 3).alias("is_visually_hidden_from_conversation")).alias("metadata"))
+    after = F.lead(turn).over(W.partitionBy("conv_id").orderBy("turn"))
+    before = F.lag(turn).over(W.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", node(turn).alias("id"), F.struct(node(before).alias("parent"), F.when(after.isNotNull(), F.array(node(after))).otherwise(F.array().cast("array<string>")).alias("children"), message.alias("message")).alias("v"))
+    trees = rows.groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", "v")))).alias("m"))
+    return trees.select("conv_id", F.posexplode(notes.linear_chat("m")).alias("pos", "x")).select("conv_id", "pos", "x.role", "x.text")
+
+
+@query("import_memory_json", """SELECT 'entity' AS kind, n_name AS a, CASE WHEN n_nationkey % 2 = 0 THEN 'nation' ELSE 'unknown' END AS b, CASE WHEN n_nationkey % 3 > 0 THEN 'of ' || n_regionkey END AS c FROM nation
+UNION ALL SELECT 'relation', n_name, r_name, 'part_of' FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def import_memory_json(spark, sf_dir):
-    lines = ['{"type":"entity","name":"A","entityType":"person","observations":["x","y"]}', '{"type":"entity","entityName":"B"}', '{"type":"relation","from":"A","to":"B","relationType":"knows"}']
-    es, _ = notes.memory_json(spark.createDataFrame([(x,) for x in lines], "value string"))
-    return es.select("name", "entity_type", F.when(F.col("observations").isNotNull(), F.size("observations")).alias("n"))
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = F.expr("CASE n_nationkey % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'entityName' ELSE 'id' END")
+    entity = F.map_concat(F.create_map(F.lit("type"), F.lit("entity"), name, F.col("n_name")), F.when(F.col("n_nationkey") % 2 == 0, F.create_map(F.lit("entityType"), F.lit("nation"))).otherwise(F.create_map().cast("map<string,string>")))
+    text = F.when(F.col("n_nationkey") % 3 > 0, F.regexp_replace(F.to_json(entity), r"\}$", F.concat(F.lit(',"observations":["of '), F.col("n_regionkey"), F.lit('"]}')))).otherwise(F.to_json(entity))
+    link = F.to_json(F.struct(F.lit("relation").alias("type"), F.col("n_name").alias("from"), F.col("r_name").alias("to"), F.lit("part_of").alias("relationType")))
+    es, rs = notes.memory_json(n.select(F.explode(F.array(text, link)).alias("value")))
+    return es.select(F.lit("entity").alias("kind"), F.col("name").alias("a"), F.col("entity_type").alias("b"), F.array_join("observations", ",").alias("c")).union(rs.select(F.lit("relation"), "from_name", "to_name", "relation_type"))
 
 
 def _shown(page: str) -> str:

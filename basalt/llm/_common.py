@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import time
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -12,7 +14,23 @@ from pyspark.sql import functions as F
 
 from basalt.session import shared
 
-_STAGED: list[str] = []
+#: Paths staged by whatever runs within `owned`.
+_OWNER: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned(spark: SparkSession):
+    """Owns the tables staged within it and deletes them at its end: wrap the operators and the action that writes their
+    result. Without an owner they stay in the shared folder."""
+    paths: list[str] = []
+    token = _OWNER.set(paths)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+        for path in paths:
+            drop(spark, path)
+        tidy(spark)
 
 
 scratch_dir = shared
@@ -27,7 +45,8 @@ def stage(df: DataFrame, label: str, clean: bool = True) -> DataFrame:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    _STAGED.append(path)
+    if (mine := _OWNER.get()) is not None:
+        mine.append(path)
     if clean:
         tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
@@ -91,13 +110,6 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every staged table so far. Call it only when all results that read them are written."""
-    while _STAGED:
-        drop(spark, _STAGED.pop())
-    tidy(spark)
-
-
 def rest(docs: DataFrame, text_col: str, carry: bool) -> list[Column]:
     """What an operator carries along beside its own columns: all but the text as one struct, if asked to."""
     if not carry:

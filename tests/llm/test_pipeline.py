@@ -42,6 +42,9 @@ def test_stages(spark, tmp_path):
 
 def test_run_and_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 0
+    shared = corpus_pipeline._common.scratch_dir(spark).removeprefix("file:")
+    left = [x for x in os.listdir(shared) if x.startswith("pipeline-")]
+    assert len(left) == 1 and "mixing" in left[0]  # the result; what the stages had staged is gone
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for i, (_, f) in enumerate(corpus_pipeline.STAGES):
         f(spark, docs, SF).write.parquet(str(tmp_path / str(i)))

@@ -9,27 +9,7 @@ from pyspark.sql import functions as F
 
 from basalt.llm import _common, decontaminate, lines, mixing, neardup, quality
 
-#: Staged tables of the stage before. Its result is written when the next one starts, so they can go.
-_BEFORE: list[str] = []
 
-
-def _fresh(f):
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _BEFORE:
-            _common.drop(spark, path := _BEFORE.pop())
-            if path in _common._STAGED:
-                _common._STAGED.remove(path)
-        _common.tidy(spark)
-        mark = len(_common._STAGED)
-        out = f(spark, docs, sf_dir)
-        _BEFORE.extend(_common._STAGED[mark:])
-        return out
-
-    stage.__doc__ = f.__doc__
-    return stage
-
-
-@_fresh
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose share of good neighbours is below one half go. The classifier learns as in its own query."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -38,7 +18,6 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.score(docs, model, out_col=out).where(F.col(out) >= 0.5).select(*[f"`{c}`" for c in docs.columns])
 
 
-@_fresh
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one, or all but a word of it, go; so do documents that have lost lines and keep only white space."""
     out = lines.dedup(docs, carry=True)
@@ -47,19 +26,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
-@_fresh
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
     return neardup.one_of_each(docs)
 
 
-@_fresh
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontaminate.without(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@_fresh
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, numbered by the column copy."""
     mixed = mixing.mix(docs, carry=True).where("copies > 0")
@@ -79,11 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written before the next; what a stage has staged goes when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     last = None
     for name, f in STAGES:
         path = f"{_common.scratch_dir(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        f(spark, docs, sf_dir).write.parquet(path)
+        with _common.owned(spark):
+            f(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if last:
             _common.drop(spark, last)

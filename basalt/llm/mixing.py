@@ -43,14 +43,16 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3), cap: float = 3.0, seed: int
     The rank within the source is summed up in four levels (band of sizes, size, span of 4096 ids, row), each a
     small pre-aggregated table, so a source with a third of all rows never meets in one task.
 
-    Null text: size 0. Null source: a source of its own, last. Null doc_id: last of its size. Rows that are
-    equal in id and size are interchangeable. Sources without words have target 0. Empty table: no rows.
+    Null text: size 0. Null source: a source of its own, last. Null doc_id: last of its size, by a hash of the text. Rows
+    that are equal in id and size are interchangeable. Sources without words have target 0. Empty table: no rows.
     Other columns are ignored; with carry the text and they, as a struct _rest, come along.
     """
     offset = random.Random(seed).random()
+    # Rows without an id stand by a hash of their text; equal ones, which are interchangeable, by the task that wrote them.
+    nameless = F.lit(1 << 61) + F.col("_t") * F.lit(4096) + F.pmod(F.spark_partition_id(), F.lit(4096))
     base = stage(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *([F.col(text_col).alias("text")] if carry else []), *rest(docs, text_col, carry))
-        .withColumns({"_null": F.col("source").isNull(), "_source": F.coalesce("source", F.lit("")), "_band": F.floor(F.log2(F.col("size") + F.lit(1.0)) * 4).cast("int"), "_span": F.floor(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62)) / F.lit(SPAN)).cast("long")}),
+        docs.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(F.lit(5), F.col(text_col)), F.lit(1 << 40)).alias("_t"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *([F.col(text_col).alias("text")] if carry else []), *rest(docs, text_col, carry))
+        .withColumns({"_null": F.col("source").isNull(), "_source": F.coalesce("source", F.lit("")), "_band": F.floor(F.log2(F.col("size") + F.lit(1.0)) * 4).cast("int"), "_span": F.when(F.col("doc_id").isNull(), nameless).otherwise(F.floor(F.col("doc_id").cast("long") / F.lit(SPAN)).cast("long"))}),
         "mix-base",
     )
     src = ["_null", "_source"]

@@ -371,6 +371,14 @@ def test_mixing_meets_targets(spark):
     assert all(abs(r.t - r.g) <= 0.02 * r.g + 45 for r in got)
 
 
+def test_mixing_without_ids(spark):
+    texts = [(None, "w " * (1 + i % 3) + str(i % 5), "a") for i in range(300)] + [(i, "w w " + str(i), "b") for i in range(50)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    runs = [Counter((r.text, r.copies) for r in mixing.mix(df.repartition(n), carry=True).collect()) for n in (1, 4)]
+    assert runs[0] == runs[1] and sum(runs[0].values()) == 350
+    assert all(abs(r.t - r.g) <= 6 for r in mixing.mix(df).groupBy("source").agg(mixing.F.sum("taken").alias("t"), mixing.F.max("target").alias("g")).collect())
+
+
 # --- 7 --------------------------------------------------------------------------------------------
 def distance(a, b):
     row = list(range(len(b) + 1))
@@ -664,6 +672,25 @@ def test_long_texts_without_spaces():
         assert took < 30 + 3 * (time.time() - start)
 
 
+def test_very_long_texts(spark, tmp_path):
+    """Every query over a text of 150,000 words, one of a single word of a megabyte, and one of 50,000 lines."""
+    r = random.Random(13)
+    words = [f"word{i}" for i in range(5000)]
+    book = " ".join(r.choice(words) for _ in range(150_000))
+    lines_ = "\n".join(" ".join(r.choice(words) for _ in range(10)) for _ in range(50_000))
+    texts = [(0, book, "en", "a"), (1, "x" * 1_000_000, "de", "a"), (2, lines_, "en", None), (3, " ".join([*book.split()[:70_000], "token=abcdefgh", *book.split()[70_000:]]), None, "b"), (4, "", "en", "b")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1), (2, 0), (3, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(7, " ".join(book.split()[70_000:70_030]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, [float(i)] * 3) for i in range(30)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {k: {x[0]: x for x in QUERIES[k](spark, str(tmp_path)).collect()} for k in QUERIES if k != "op8_topk"}
+    assert all(len(v) == 5 for v in got.values())
+    assert [got["op4_decontamination"][i].n_hit for i in range(5)] == [30, 0, 0, 30, 0]
+    assert got["op5_substring_dedup"][3].n_removed == 150_000 and got["op9_near_duplicates"][3].class_id == 0
+    assert got["op7_line_dedup"][2].n_lines == 50_000 and got["op7_line_dedup"][3].n_removed == 1
+    assert got["op3_secrets"][3].n_assign == 1 and got["op10_token_counts"][1].n_bytes == 1_000_000
+
+
 # --- queries against their SQL --------------------------------------------------------------------
 @data
 @pytest.mark.parametrize("name", sorted(SQL))

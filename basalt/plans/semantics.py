@@ -7,7 +7,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
-from basalt.functions import scalars
+from basalt.functions import scalars, windows
 from basalt.operators import versions
 from basalt.session import table
 from basalt.streaming import events as streaming
@@ -84,6 +84,21 @@ def udf_aggregate(spark, sf_dir):
     return o.groupBy("o_orderstatus").agg(F.round(F.pandas_udf(spread, "double")("o_totalprice"), 2).alias("spread"))
 
 
+@query("udf_window", "SELECT o_orderkey, o_custkey, round(sum(o_totalprice * power(2, n)) OVER (PARTITION BY o_custkey ORDER BY n ROWS UNBOUNDED PRECEDING) / power(2, n), 4) AS decayed FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey DESC) AS n FROM orders)")
+def udf_window(spark, sf_dir):
+    """A sum in which each order counts half of the one after it."""
+
+    def decayed(prices: pd.Series) -> pd.Series:
+        return prices.ewm(alpha=0.5, adjust=False).mean() * 2 - prices.iloc[0] * 0.5 ** pd.Series(range(len(prices)))
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    out = windows.window_function(orders, decayed, "o_totalprice", "decayed", "double", ["o_custkey"], ["o_orderdate", "-o_orderkey"])
+    return out.select("o_orderkey", "o_custkey", F.round("decayed", 4).alias("decayed"))
+
+
+statement("version", "SELECT n_nationkey, length(version()) > 0 AS v, date_diff(TIMESTAMP '2024-03-01 00:00:00', TIMESTAMP '2024-02-27 12:00:00') AS d, TIMESTAMP '2024-03-01 00:00:00' - TIMESTAMP '2024-02-27 12:00:30' AS t, collate(n_name, 'NUMERIC') AS c FROM nation", "SELECT n_nationkey, true AS v, 2 AS d, '2 days 11:59:30' AS t, n_name AS c FROM nation")
+
+
 # --- versions and changes -------------------------------------------------------------------------
 _HISTORY = "SELECT user_id, event_id AS txn, ts, value, event_type = 'error' AS deleted FROM events"
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ._common import bucket_of, chunks, lean, utf8, small_batches
 
 ORDER, BITS = 5, 12
+STEP = 1 << 20  # grams that are looked up at a time
 MASK = np.uint64((1 << BITS) - 1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _TABLE: list[np.ndarray] = []
@@ -132,11 +133,18 @@ class Models:
         n, nl = len(off) - 1, len(self.langs)
         size = np.bincount(row, minlength=n)
         out = np.zeros((n, nl))
-        if not len(packed):
-            return out, size
-        top = self.grams[ORDER]
-        found = top.find(packed)
-        value = top.values[np.maximum(found, 0)]
+        for a in range(0, len(packed), STEP):  # the values of a long text are never all in memory
+            value, mine = self.values(packed[a : a + STEP]), row[a : a + STEP]
+            cut = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+            out[mine[cut]] += np.add.reduceat(value, cut, axis=0, dtype=np.float64)
+        some = size > 0
+        out[some] = -out[some] / size[some, None]
+        return out, size
+
+    def values(self, packed: np.ndarray) -> np.ndarray:
+        """Log probability of the last symbol of each 5-gram, gram x language."""
+        found = self.grams[ORDER].find(packed)
+        value = self.grams[ORDER].values[np.maximum(found, 0)]
         miss = np.flatnonzero(found < 0)
         if len(miss):
             value[miss] = 0
@@ -154,10 +162,7 @@ class Models:
             hit = lower >= 0
             value[miss[hit]] += self.grams[k - 1].values[lower[hit]]
             miss = miss[~hit]
-        cut = np.concatenate([[0], np.cumsum(size)])[:-1]
-        some = np.flatnonzero(size)
-        out[some] = -np.add.reduceat(value, cut[some], axis=0, dtype=np.float64) / size[some, None]
-        return out, size
+        return value
 
     def calibrate(self, h: np.ndarray, size: np.ndarray, truth: np.ndarray, quantile: float = 0.999) -> None:
         """Fit the sharpness of the score and, per language, the cross-entropy above which a text is rejected, from

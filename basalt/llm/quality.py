@@ -10,6 +10,7 @@ from ._common import bucket_of, chunks, lean, mix, utf8, small_batches
 
 TERMS = 4096
 ROWS = 256  # documents whose term counts are dense at a time
+STEP = 4 << 20  # bytes whose grams are counted at a time
 
 
 def features(raw: np.ndarray, off: np.ndarray, terms: int = TERMS) -> np.ndarray:
@@ -21,18 +22,19 @@ def features(raw: np.ndarray, off: np.ndarray, terms: int = TERMS) -> np.ndarray
     # Classes: lower, upper, digit, space, line end, other ASCII as it is, beyond ASCII.
     kind = np.arange(256, dtype=np.uint64)
     kind[97:123], kind[65:91], kind[48:58], kind[128:] = 1, 2, 3, 4
-    x, y = raw.astype(np.uint64), kind[raw]
-    row = np.repeat(np.arange(n), np.diff(off))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(off))
     half = terms // 2
-    for values, width, at in ((x, 3, 0), (y, 6, half)):
-        if len(values) < width:
-            continue
-        code = np.zeros(len(values) - width + 1, np.uint64)
-        for j in range(width):
-            code = (code << np.uint64(8)) | values[j : len(values) - width + 1 + j]
-        inside = row[: len(code)] == row[width - 1 :]
-        slot = (mix(code[inside]) % np.uint64(half)).astype(np.int64) + at
-        out += np.bincount(row[: len(code)][inside] * terms + slot, minlength=n * terms).reshape(n, terms).astype(np.float32)
+    for table, width, at in ((None, 3, 0), (kind, 6, half)):
+        for a in range(0, len(raw) - width + 1, STEP):  # a long text in pieces, whose grams are counted together
+            part = raw[a : a + STEP + width - 1]
+            values = part.astype(np.uint64) if table is None else table[part]
+            code = np.zeros(len(values) - width + 1, np.uint64)
+            for j in range(width):
+                code = (code << np.uint64(8)) | values[j : len(values) - width + 1 + j]
+            mine = row[a : a + len(code)]
+            inside = mine == row[a + width - 1 : a + width - 1 + len(code)]
+            slot = (mix(code[inside]) % np.uint64(half)).astype(np.int64) + at
+            out += np.bincount(mine[inside].astype(np.int64) * terms + slot, minlength=n * terms).reshape(n, terms).astype(np.float32)
     return np.log1p(out)
 
 

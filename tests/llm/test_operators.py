@@ -141,6 +141,18 @@ def test_language_models_match_dictionaries():
         assert one.entropies(raw, np.array([0, len(raw)]))[0][0, 0] == pytest.approx(-np.mean([p(g) for g in grams_of(t)]), rel=1e-4)
 
 
+def test_pieces_of_long_texts_count_together(monkeypatch):
+    r = random.Random(14)
+    texts = ["".join(r.choice("abc dé漢") for _ in range(n)).encode() for n in (0, 3, 700, 1, 90)]
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    key_, n = np.unique(langid.grams(raw, off)[0], return_counts=True)
+    m = langid.Models(["x", "y"], key_, np.stack([n, n[::-1]], 1).astype(float))
+    whole, terms = m.entropies(raw, off), quality.features(raw, off)
+    monkeypatch.setattr(langid, "STEP", 7)
+    monkeypatch.setattr(quality, "STEP", 11)
+    assert np.allclose(m.entropies(raw, off)[0], whole[0]) and (quality.features(raw, off) == terms).all()
+
+
 def test_calibration_on_texts_left_out(spark):
     r = random.Random(12)
     words = {k: ["".join(r.choice(k) for _ in range(r.randrange(2, 8))) for _ in range(300)] for k in ("abcde", "fghij", "klmno")}

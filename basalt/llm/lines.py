@@ -14,7 +14,7 @@ from .neardup import KEYS, semi
 UNIT, TAU, EVERY = "word", 1, 8
 #: Keys of up to so many lines compare their pairs; larger ones are split (see `settled`), until so many symbols are left.
 SMALL, FEW = 16, 16
-#: Frames of up to so many rows are handled by one task; of so few lines, the crowded ones need no further split.
+#: Frames of up to so many rows are handled by one task; so few keys of lines need no further split.
 LITTLE, NARROW = 20_000, 4_000
 ID = ["_a", "_b"]
 SPACES = "\t\x0b\x0c\r"
@@ -183,6 +183,7 @@ def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every:
     known = lambda: _all(found)
     while True:
         rows = tight(stage(hot, "lines-hot", clean=False))
+        narrow = tau == 1 and few(rows, NARROW)
         texts = tight(texts)
         first = rows.groupBy("_key", "index").agg(F.min(F.struct("first", *ID)).alias("p")).select("_key", "index", "p.*")
         found.append(stage(verified(met(semi(rows, known(), ID, how="left_anti"), first), texts, tau, every), "lines-found"))
@@ -192,7 +193,7 @@ def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every:
         if few(late, 0):
             return known()
         rows = semi(rows, late.select("_key").distinct(), ["_key"]).join(late.select(*ID).distinct().withColumn("open", F.lit(True)), ID, "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        if tau == 1 and few(late, NARROW):
+        if narrow:
             found.append(stage(crowded(rows), "lines-found"))
             return known()
         size = F.size("rest")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import time
 import uuid
@@ -70,6 +71,25 @@ def few(df: DataFrame, most: int) -> bool:
     return n <= most if n is not None else df.limit(most + 1).count() <= most
 
 
+#: Frames of up to so many rows are handled by one task.
+LITTLE = 20_000
+
+
+def tight(df: DataFrame) -> DataFrame:
+    """A staged frame of few rows as one partition: what follows of it needs no shuffle, and one small task for each step."""
+    out = df.coalesce(1) if few(df, LITTLE) else df
+    out._rows = getattr(df, "_rows", None)
+    return out
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    """The union of staged frames, its rows known if theirs are."""
+    out = functools.reduce(DataFrame.union, parts)
+    counts = [getattr(p, "_rows", None) for p in parts]
+    out._rows = None if None in counts else sum(counts)
+    return out
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffles and broadcasts that nothing refers to any more."""
     gc.collect()

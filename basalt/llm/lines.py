@@ -7,15 +7,15 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import doc_key, few, rest, stage
+from ._common import doc_key, few, rest, stage, tight, united
 from .neardup import KEYS, semi
 
 #: What op7 and the pipeline take: words are the symbols, one edit in every eight of them, one at most.
 UNIT, TAU, EVERY = "word", 1, 8
 #: Keys of up to so many lines compare their pairs; larger ones are split (see `settled`), until so many symbols are left.
 SMALL, FEW = 16, 16
-#: Frames of up to so many rows are handled by one task; so few keys of lines need no further split.
-LITTLE, NARROW = 20_000, 4_000
+#: So few keys of lines need no further split.
+NARROW = 4_000
 ID = ["_a", "_b"]
 SPACES = "\t\x0b\x0c\r"
 
@@ -180,7 +180,7 @@ def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every:
     of few lines compare pairs. Where little or few lines are left, one edit is decided by `crowded`; several are by pairs.
     """
     found = [gone]
-    known = lambda: _all(found)
+    known = lambda: united(found)
     while True:
         rows = tight(stage(hot, "lines-hot", clean=False))
         narrow = tau == 1 and few(rows, NARROW)
@@ -212,21 +212,6 @@ def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every:
         hot = shared.where(F.col("_n") > SMALL).select("_key", *ID, "first", "index", "t", "d", "rest")
 
 
-def tight(df: DataFrame) -> DataFrame:
-    """A staged frame of few rows as one partition: what follows of it needs no shuffle, and one small task for each step."""
-    out = df.coalesce(1) if few(df, LITTLE) else df
-    out._rows = getattr(df, "_rows", None)
-    return out
-
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    """The union of staged frames, its rows known if theirs are."""
-    out = functools.reduce(DataFrame.union, parts)
-    counts = [getattr(p, "_rows", None) for p in parts]
-    out._rows = None if None in counts else sum(counts)
-    return out
-
-
 def place() -> Column:
     """A document's order as one decimal, with room for a line's position: by id, then a hash of its text; null ids last."""
     wide = lambda x: F.lit(x).cast("decimal(38,0)")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import NON_SPACE, chunks, doc_key, few, hash_words, lean, mix, stage, utf8, word_offsets, words_of, small_batches
+from ._common import LITTLE, NON_SPACE, chunks, doc_key, few, hash_words, lean, mix, stage, tight, united, utf8, word_offsets, words_of, small_batches
 
 SHINGLE, BANDS, ROWS = 5, 30, 6
 K = BANDS * ROWS
@@ -153,18 +153,23 @@ def element_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, old: DataFrame | None) -> DataFrame:
     """(c, label): the smallest name in each vertex's component of the edges (a, b), from earlier labels on."""
-    both = edges.select(F.col("a").alias("c"), F.col("b").alias("d")).union(edges.select(F.col("b").alias("c"), F.col("a").alias("d")))
-    labels = stage(both.select("c").union(both.select("d")).distinct().withColumn("label", F.col("c")) if old is None else both.select("c").distinct().join(old, "c", "full_outer").select("c", F.coalesce("label", "c").alias("label")), "near-labels")
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("d")), F.struct(F.col("b").alias("c"), F.col("a").alias("d")))).alias("x"))
+    ends._rows = None if (n := getattr(edges, "_rows", None)) is None else 2 * n
+    both = tight(ends).select("x.c", "x.d")
+    clean = not few(ends, LITTLE)
+    labels = stage(both.select("c").union(both.select("d")).distinct().withColumn("label", F.col("c")) if old is None else both.select("c").distinct().join(old, "c", "full_outer").select("c", F.coalesce("label", "c").alias("label")), "near-labels", clean)
     while True:
+        labels = tight(labels)
         near = both.join(labels.withColumnRenamed("c", "d"), "d").groupBy("c").agg(F.min("label").alias("other"))
         mine = labels.join(near, "c", "left").select("c", "label", F.least("label", F.coalesce("other", "label")).alias("low"))
         # All vertices of an old class follow its lowest, then each label is replaced by its own vertex's.
         down = mine.groupBy("label").agg(F.min("low").alias("low"))
         once = mine.select("c", "label").join(down, "label").select("c", "label", F.col("low").alias("next"))
         jump = once.join(once.select(F.col("c").alias("next"), F.col("next").alias("far")), "next", "left")
-        new = stage(jump.select("c", F.least("next", F.coalesce("far", "next")).alias("label"), F.col("label").alias("was")), "near-labels")
+        new = stage(jump.select("c", F.least("next", F.coalesce("far", "next")).alias("label"), F.col("label").alias("was")), "near-labels", clean)
         changed = not new.where("label <> was").limit(1).isEmpty()
         labels = new.select("c", "label")
+        labels._rows = new._rows
         if not changed:
             return labels
 
@@ -282,7 +287,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     more = stage(compare(pairs).unionByName(_grid(left.where(F.col("n") > SMALL), sets, threshold)), "near-links")
     if not few(more, 0):
-        labels = components(links.unionByName(more), labels)
+        labels = components(united([links, more]), labels)
     own = labels.join(content, "c").groupBy("label").agg(F.min("rp").alias("class_p"))
     final = content.join(labels.join(own, "label"), "c", "left").select("c", F.coalesce("class_p", "rp").alias("class_p"), F.coalesce("label", "c").alias("_class"))
     rows = s.where("n > 0").join(final, "c").unionByName(s.where("n = 0").withColumns({"class_p": F.col("_p"), "_class": F.encode(F.concat_ws(":", "_k", "_h"), "utf-8")}))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from basalt.engine import Engine
-from basalt.session import table
+from basalt.session import shared, table
+from basalt.sources import files
+from basalt.streaming import events
 
 from .registry import query, statement
 
@@ -40,6 +44,54 @@ def sum_promoted(spark, sf_dir):
     return spark.createDataFrame([(r["g"], r["s"]) for r in rows], "g int, s double")
 
 
+statement("window_following", "SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS s, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM orders",
+          "SELECT o_orderkey, (sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))::BIGINT AS s, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM orders")
+statement("subquery_places", "SELECT c_nationkey, n, (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey) AS name, CASE WHEN c_nationkey IN (SELECT s_nationkey FROM supplier) THEN 1 ELSE 0 END AS sold FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > (SELECT min(r_regionkey) + 1 FROM region)) AS g ORDER BY (SELECT count(*) FROM region) - c_nationkey")
+
+
+@query("dialect_lifecycle", """SELECT 'rows' AS what, (SELECT count(*) FROM nation WHERE n_regionkey <> 4)::VARCHAR AS value UNION ALL SELECT 'sum', (SELECT sum(CASE WHEN n_regionkey = 1 THEN 100 ELSE n_nationkey END) FROM nation WHERE n_regionkey <> 4)::VARCHAR
+UNION ALL SELECT 'index', 'by_region' UNION ALL SELECT 'one', 'ALGERIA' WHERE false UNION ALL SELECT 'key', 'PRI' UNION ALL SELECT 'left', '0'""")
+def dialect_lifecycle(spark, sf_dir):
+    """A table's life in one script: INSERT ... WITH, UPDATE and DELETE with subqueries, an index, ANALYZE, VACUUM, EXPLAIN, DROP; read as dicts, one dict, raw rows."""
+    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    table(spark, sf_dir, "region").createOrReplaceTempView("region")
+    e, t = Engine(spark), f"nations_{uuid.uuid4().hex}"
+    e.execute(f"""CREATE TABLE {t} (k INTEGER PRIMARY KEY, name TEXT NOT NULL, region INTEGER, v INTEGER);
+        INSERT INTO {t} WITH n AS (SELECT n_nationkey, n_name, n_regionkey FROM nation) SELECT n_nationkey, n_name, n_regionkey, n_nationkey FROM n;
+        CREATE INDEX by_region ON {t} (region); ANALYZE {t}; UPDATE {t} SET v = 100 WHERE region IN (SELECT r_regionkey FROM region WHERE r_regionkey = 1);
+        DELETE FROM {t} WHERE region = (SELECT max(r_regionkey) FROM region); VACUUM; EXPLAIN SELECT * FROM {t}""")
+    rows = [("rows", str(e.query_one(f"SELECT count(*) AS n FROM {t}")["n"])), ("sum", str(e.query(f"SELECT sum(v) AS s FROM {t}")[0]["s"]))]
+    rows += [("index", x["index_name"]) for x in e.query(f"SHOW INDEXES FROM {t}")] + [("key", x["Key"]) for x in e.query(f"DESCRIBE {t}") if x["Field"] == "k"]
+    e.sql(f"DROP TABLE {t}")
+    rows.append(("left", str(len(e.query_raw("SHOW TABLES")[1]))))
+    return spark.createDataFrame(rows, "what string, value string")
+
+
+@query("file_formats", "SELECT how, r_regionkey, r_name FROM region, (VALUES ('csv'), ('json'), ('parquet')) AS f(how)")
+def file_formats(spark, sf_dir):
+    """A table written in each format and loaded again with its schema."""
+    region, at = table(spark, sf_dir, "region"), f"{shared(spark)}/formats-{uuid.uuid4().hex}"
+    out = None
+    for how in ("csv", "json", "parquet"):
+        files.write(region, f"{at}/{how}", how)
+        files.write(region.limit(0), f"{at}/{how}", how, mode="append")
+        loaded = files.read(spark, f"{at}/{how}", how, "r_regionkey int, r_name string", modified_after="2020-01-01T00:00:00").select(F.lit(how).alias("how"), "r_regionkey", "r_name")
+        out = loaded if out is None else out.union(loaded)
+    return out
+
+
+@query("stream_upserts", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def stream_upserts(spark, sf_dir):
+    """New files of a folder as a stream, folded into a table of each user's latest event; the second run finds nothing new."""
+    at = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    some = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    for part in (0, 1):
+        some.where(F.col("event_id") % 2 == 1 - part).write.mode("append").parquet(f"{at}/in")
+        source = events.watch(spark, f"{at}/in", some.schema)
+        events.fold(source, f"{at}/out", ["user_id"], f"{at}/log", order="event_id", buckets=4).start().awaitTermination()
+    return events.folded(spark, f"{at}/out")
+
+
 @query("dialect_as_of", "SELECT user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id <= 300) WHERE r = 1 AND event_type <> 'error'")
 def dialect_as_of(spark, sf_dir):
     e = Engine(spark)

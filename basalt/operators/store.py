@@ -90,6 +90,11 @@ def _reference(text: str) -> tuple[str, str, str] | None:
     return (m[1].lower(), m[2].lower(), re.sub(r"\s+", " ", (m[3] or "RESTRICT").upper())) if m else None
 
 
+def _bare(path: str) -> str:
+    """A file's address in one form, however many slashes its scheme has."""
+    return re.sub(r"^file:/+", "/", path)
+
+
 def _coerced(rows: DataFrame, c: Column) -> str:
     """A value in the column's type, null where it doesn't convert. Vectors may come as text."""
     if c.type.startswith("array") and rows.schema[c.name].dataType.typeName() == "string":
@@ -266,28 +271,59 @@ class Store:
         self._point(name)
         return new
 
+    def _touched(self, name: str, hit: str) -> tuple[str, list[str]]:
+        """(view of the rows in files that have a row to change, the table's other files). Only these files are written anew."""
+        frame = self.frame(name)
+        every = frame.inputFiles()
+        if not every:
+            return name, []
+        frame.select("*", F.col("_metadata.file_path").alias("_file")).createOrReplaceTempView(all_ := f"_files_{uuid.uuid4().hex}")
+        mine = {_bare(r[0]) for r in self.engine.sql(f"SELECT DISTINCT _file FROM {all_} AS {name} WHERE {hit}").collect()}  # bounded by the number of files
+        self.spark.catalog.dropTempView(all_)
+        some = [f for f in every if _bare(f) in mine]
+        t = self.tables[name]
+        rows = self.spark.read.schema(t.ddl).parquet(*some) if some else self.spark.createDataFrame([], t.ddl)
+        rows.createOrReplaceTempView(view := f"_touched_{uuid.uuid4().hex}")
+        return view, [f for f in every if _bare(f) not in mine]
+
+    def _exchange(self, name: str, kept: list[str], path: str) -> None:
+        """The table is now the files kept and a new folder; what it had else is old."""
+        t = self.tables[name]
+        still = {_bare(f) for f in kept}
+        t.old += [f for f in self.frame(name).inputFiles() if _bare(f) not in still]
+        t.paths = [*kept, path]
+        self._point(name)
+
     def update(self, name: str, changes: dict[str, str], where: str) -> DataFrame:
         t, hit = self.tables[name], f"coalesce(({where}), false)"
         cols = [f"CASE WHEN {hit} THEN {changes[c.name]} ELSE {c.name} END AS {c.name}" if c.name in changes else c.name for c in t.columns]
-        marked = self.engine.sql(f"SELECT {', '.join(cols)}, {hit} AS _hit FROM {name}")
+        view, kept = self._touched(name, hit)
+        marked = self.engine.sql(f"SELECT {', '.join(cols)}, {hit} AS _hit FROM {view} AS {name}")
         path = self._write(name, marked.selectExpr(*[f"CAST(`{c.name}` AS {c.type}) AS `{c.name}`" for c in t.columns], "_hit"))
         both = self.spark.read.schema(f"{t.ddl}, _hit boolean").parquet(path)
         rows, others = both.where("_hit").drop("_hit"), both.where("NOT _hit").drop("_hit")
+        if kept:
+            others = others.union(self.spark.read.schema(t.ddl).parquet(*kept))
         try:
             self.check(name, rows, others)
         except ConstraintError:
             t.old.append(path)
             raise
-        t.old, t.paths = t.old + t.paths, [path]
-        self._point(name)
+        self._exchange(name, kept, path)
         return rows
 
     def delete(self, name: str, where: str) -> DataFrame:
-        hit = f"coalesce(({where}), false)"
-        gone = self.engine.sql(f"SELECT * FROM {name} WHERE {hit}")
-        kept = self.engine.sql(f"SELECT * FROM {name} WHERE NOT {hit}")
-        self._children(name, gone)
-        self.replace(name, kept)
+        t, hit = self.tables[name], f"coalesce(({where}), false)"
+        view, kept = self._touched(name, hit)
+        gone = self.engine.sql(f"SELECT * FROM {view} AS {name} WHERE {hit}")
+        rest = self.engine.sql(f"SELECT * FROM {view} AS {name} WHERE NOT {hit}")
+        path = self._write(name, rest.selectExpr(*[f"CAST(`{c.name}` AS {c.type}) AS `{c.name}`" for c in t.columns]))
+        try:
+            self._children(name, gone)
+        except ConstraintError:
+            t.old.append(path)
+            raise
+        self._exchange(name, kept, path)
         return gone
 
     def _children(self, name: str, gone: DataFrame) -> None:

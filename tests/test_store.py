@@ -101,3 +101,18 @@ def test_catalog_outlives_its_engine(spark, tmp_path):
             b.sql(f"INSERT INTO kept VALUES {bad}")
     b.execute("INSERT INTO kept VALUES (2, 'z'); DROP VIEW short; DROP TABLE kept")
     assert Engine(spark, at).store.tables == {}
+
+
+def test_changes_write_only_the_files_they_touch(e):
+    e.execute("CREATE TABLE f (k INTEGER PRIMARY KEY, v INTEGER); INSERT INTO f VALUES (1, 1), (2, 2); INSERT INTO f VALUES (3, 3); INSERT INTO f VALUES (4, 4)")
+    before = set(e.store.frame("f").inputFiles())
+    e.sql("UPDATE f SET v = v * 10 WHERE k = (SELECT max(k) - 1 FROM f)")
+    after = set(e.store.frame("f").inputFiles())
+    assert got(e, "SELECT * FROM f") == [[1, 1], [2, 2], [3, 30], [4, 4]] and 0 < len(before - after) < len(before)
+    with pytest.raises(ConstraintError):
+        e.sql("UPDATE f SET k = 1 WHERE k = 4")
+    assert e.query_one("DELETE FROM f WHERE f.v < 2 OR k = 4") == {"rows_affected": 2}
+    assert e.query_one("UPDATE f SET v = 0 WHERE k > 99") == {"rows_affected": 0}
+    e.sql("VACUUM")
+    assert got(e, "SELECT * FROM f") == [[2, 2], [3, 30]] and e.query_one("DELETE FROM f") == {"rows_affected": 2}
+    assert got(e, "SELECT * FROM f") == [] and e.query_one("UPDATE f SET v = 1") == {"rows_affected": 0}

@@ -21,29 +21,68 @@ ITEM = r"^\s*[-*+]\s+(.*)$"
 CATEGORY = r"^\[([^\[\]()]+)\]\s+(.+)"
 
 
+KEY = re.compile(r"([^\s:#\[{'\"][^:]*|'[^']*'|\"[^\"]*\")\s*:(?:\s+(.*)|$)")
+
+
+def _inline(v: str):
+    """A value on one line: a list in brackets, else text without its quotes and comment."""
+    v = v.strip()
+    if v.startswith("[") and v.endswith("]"):
+        return [_inline(x) for x in re.findall(r"\s*('[^']*'|\"[^\"]*\"|[^,]+)", v[1:-1]) if x.strip()]
+    if len(v) > 1 and v[0] == v[-1] and v[0] in "'\"":
+        return v[1:-1]
+    return re.sub(r"\s+#.*$", "", v).strip("'\"")
+
+
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
+def _tree(lines: list[str]):
+    """Lines of a head: mappings and lists by indentation, texts of several lines behind | (as they are) or > (joined)."""
+    rows = [x for x in lines if x.strip() and not x.lstrip().startswith("#")]
+    listed = bool(rows) and rows[0].lstrip().startswith("- ")
+    out, i = [] if listed else {}, 0
+    while i < len(lines):
+        line, i = lines[i], i + 1
+        item = re.match(r"(\s*-\s+)(.*)$", line) if listed else None
+        pair = None if listed else KEY.match(line.strip())
+        if not line.strip() or line.lstrip().startswith("#") or not (item or pair):
+            continue
+        # What belongs to this entry: deeper lines, empty ones, and items of a list that isn't indented.
+        j = i
+        while j < len(lines) and (not lines[j].strip() or _indent(lines[j]) > _indent(line) or (pair and not pair[2] and _indent(lines[j]) == _indent(line) and lines[j].lstrip().startswith("- "))):
+            j += 1
+        below, i = lines[i:j], j
+        head = (item[2] if item else pair[2] or "").strip()
+        if re.fullmatch(r"[|>][+-]?", head):
+            depth = min((_indent(x) for x in below if x.strip()), default=0)
+            text = [x[depth:] for x in below]
+            value = ("\n" if head[0] == "|" else " ").join(text).strip()
+        elif item and KEY.match(head) and not head.startswith(("'", '"')):
+            value = _tree([" " * len(item[1]) + head, *below])
+        elif head and not head.startswith("#"):
+            value = _inline(head)
+        else:
+            value = _tree(below) if any(x.strip() for x in below) else ""
+        if listed:
+            out.append(value)
+        else:
+            out[_inline(pair[1])] = value
+    return out
+
+
 def _front(text: str | None) -> tuple[dict, str]:
     m = re.match(r"\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)", text or "", re.S)
     if not m:
         return {}, text or ""
-    out: dict = {}
-    key = None
-    for line in m[1].splitlines():
-        if (item := re.match(r"\s+-\s+(.*)|-\s+(.*)", line)) and key:
-            if not isinstance(out[key], list):
-                out[key] = []
-            out[key].append((item[1] or item[2]).strip().strip("\"'"))
-        elif kv := re.match(r"([^\s:#][^:]*):\s*(.*)$", line):
-            key, value = kv[1].strip(), kv[2].strip()
-            if value.startswith("[") and value.endswith("]"):
-                out[key] = [v.strip().strip("\"'") for v in value[1:-1].split(",") if v.strip()]
-            else:
-                out[key] = value.strip("\"'")
-    return out, text[m.end() :]
+    head = _tree(m[1].splitlines())
+    return head if isinstance(head, dict) else {}, text[m.end() :]
 
 
 @F.pandas_udf(NOTE)
 def frontmatter(text: pd.Series) -> pd.DataFrame:
-    """Head of a note as JSON (scalars as strings) and what follows it."""
+    """Head of a note as JSON (scalars as strings; nested mappings and lists) and what follows it."""
     rows = [_front(t) for t in text]
     return pd.DataFrame({"metadata": [json.dumps(a, ensure_ascii=False) for a, _ in rows], "body": [b for _, b in rows]})
 

@@ -1,7 +1,7 @@
 """Tables that statements change: every change writes Parquet and points the table's view at it.
 
-An INSERT adds files; UPDATE, DELETE and ON DUPLICATE KEY UPDATE write a new version, since Parquet files don't
-change. Earlier versions stay readable for frames made from them until VACUUM. Constraints are checked by queries
+An INSERT adds files; UPDATE and DELETE write those files anew that have a changed row, ON DUPLICATE KEY UPDATE the
+table, since Parquet files don't change. Earlier versions stay readable for frames made from them until VACUUM. Constraints are checked by queries
 over the changed rows before anything is written; uniqueness needs a join on the key with the table.
 """
 

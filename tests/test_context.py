@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from basalt.operators import context
+from basalt.operators import context, notes
 from basalt.sources import web
 
 NOW = datetime.datetime(2024, 5, 31, 12)
@@ -23,6 +23,39 @@ def test_page_text(page, want):
     assert web._text(page) == want
 
 
+def test_heads_of_notes():
+    head = """title: "A: b"  # no
+tags:
+- x
+- 'y z'
+nested:
+  deep:
+    k: v
+  list:
+    - one
+    - name: n
+      size: 3
+      more: [a, "b, c"]
+text: |
+  first
+    second
+
+  # third
+folded: >-
+  joins
+  lines
+empty:
+url: http://a.b/c#d
+# comment: no
+last: [ ]"""
+    got, body = notes._front(f"---\n{head}\n---\nbody\n---\n")
+    assert body == "body\n---\n" and got == {
+        "title": "A: b", "tags": ["x", "y z"], "nested": {"deep": {"k": "v"}, "list": ["one", {"name": "n", "size": "3", "more": ["a", "b, c"]}]},
+        "text": "first\n  second\n\n# third", "folded": "joins lines", "empty": "", "url": "http://a.b/c#d", "last": [],
+    }
+    assert notes._front("no head") == ({}, "no head") and notes._front(None) == ({}, "") and notes._front("---\nonly text\n---\n") == ({}, "")
+
+
 def test_links(spark):
     page = """<a href="/x#y">1</a><A class=b HREF='z?q=1&amp;r=2'>2</A><a href="#top">3</a><a href="mailto:a@b">4</a><!-- <a href="/no"> --><a href=/x>5</a><a>6</a><a href="https://github.com/o">7</a>"""
     df = spark.createDataFrame([(page, "http://a.org/d/e")], "html string, url string")

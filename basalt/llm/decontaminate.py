@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ALNUM, LOWER, chunks, doc_key, hash_words, lean, small_batches, stage, utf8, word_offsets, words_of
+from ._common import ALNUM, LOWER, chunks, doc_key, few, hash_words, lean, small_batches, stage, united, utf8, word_offsets, words_of
 from .neardup import semi
 
 #: Text of the items that are searched for at once; more items take more passes over their words' lists.
@@ -310,11 +309,11 @@ def find(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, mis
     kept = docs.select(F.col(id_col).alias("doc_id"), *doc_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
     index = postings(kept, gap=2 * (window + slop) + 2)
     hits = [search(index, [(r[0], r[1]) for r in part.toLocalIterator()], window, slop, missing) for part in blocks(items, item_id_col, item_text_col, block_bytes)]
-    hit = functools.reduce(DataFrame.union, hits)
+    hit = united(hits)
+    many = not few(hit, 100_000)
     if len(hits) > 1:
         flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
         hit = hit.groupBy("shard", "ord").agg(*map(flat, ("cover", "items", "near")))
-    many = hit.limit(1_000_001).count() > 1_000_000
     told = index.where("word IS NULL").select("shard", "ord", "doc_id", "_k", "_h", "n_words").join(hit if many else F.broadcast(hit), ["shard", "ord"], "left")
     empty = lambda c, t: F.coalesce(c, F.array().cast(t))
     names = empty(F.col("items"), "array<string>")

@@ -212,6 +212,7 @@ def upsert(entities: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def file_name(name: Column) -> Column:
     """A name as part of a path: runs of spaces and punctuation as _, other marks dropped, 100 characters at most."""
+    # The two patterns and the length.
     plain = F.regexp_replace(F.regexp_replace(name, r"[\s\-,.:/\\\[\]\(\)]+", "_"), r"[^\p{L}\p{N}_]+", "")
     return F.coalesce(F.nullif(F.substring(plain, 1, 100), F.lit("")), F.lit("untitled"))
 

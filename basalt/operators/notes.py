@@ -143,6 +143,7 @@ def inline_links(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+# Ranges of characters that stay, and letters with a spelling of their own (in `permalink_of`, as its suffixes).
 _CJK = "一-鿿　-〿㐀-䶿"
 
 

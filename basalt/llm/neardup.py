@@ -263,7 +263,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     s = stage(sketch(base), "near-sketch")
     place = F.col("_k").cast("decimal(20,0)") * F.lit(1 << 62).cast("decimal(19,0)") + F.shiftrightunsigned("_h", 2)
     s = s.withColumn("_p", place.cast("decimal(38,0)"))
-    content = s.where("n > 0").groupBy("c").agg(F.min("_p").alias("rp"))
+    content = s.where("n > 0").groupBy("c").agg(F.min("_p").alias("rp"), F.count("*").alias("copies"))
     member = s.where("n > 0").select("c", F.explode("bands").alias("b")).distinct()
     many = member.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
     open_ = stage(member.join(many, "b"), "near-buckets")
@@ -289,8 +289,13 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     if not few(more, 0):
         labels = components(united([links, more]), labels)
     own = labels.join(content, "c").groupBy("label").agg(F.min("rp").alias("class_p"))
-    final = content.join(labels.join(own, "label"), "c", "left").select("c", F.coalesce("class_p", "rp").alias("class_p"), F.coalesce("label", "c").alias("_class"))
-    rows = s.where("n > 0").join(final, "c").unionByName(s.where("n = 0").withColumns({"class_p": F.col("_p"), "_class": F.encode(F.concat_ws(":", "_k", "_h"), "utf-8")}))
+    # Only contents of several documents or in links have a class that isn't their only document's: as a rule they are
+    # few, and no group of copies meets in one task.
+    told = content.join(labels.join(own, "label"), "c", "left").where("copies > 1 OR label IS NOT NULL")
+    told = stage(told.select("c", F.coalesce("class_p", "rp").alias("class_p"), F.coalesce("label", "c").alias("_class")), "near-classes")
+    told = F.broadcast(told) if few(told, KEYS // 4) else told
+    rows = s.where("n > 0").join(told, "c", "left").withColumns({"class_p": F.coalesce("class_p", "_p"), "_class": F.coalesce("_class", "c")}).select(*s.columns, "class_p", "_class")
+    rows = rows.unionByName(s.where("n = 0").withColumns({"class_p": F.col("_p"), "_class": F.encode(F.concat_ws(":", "_k", "_h"), "utf-8")}))
     class_k = F.expr(f"CAST((class_p - pmod(class_p, CAST({1 << 62} AS DECIMAL(38, 0)))) DIV {1 << 62} AS BIGINT)")
     out = rows.select("doc_id", "_k", "_h", F.col("n").alias("n_shingles"), "_class", F.when(class_k != 2**63 - 1, class_k).alias("class_id"), (F.col("_p") == F.col("class_p")).alias("kept"))
     twice = stage(s.groupBy("_k", "_h").agg(F.count("*").alias("copies")).where("copies > 1"), "near-twice")

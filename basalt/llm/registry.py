@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, lines, mixing, neardup, quality, secrets, substrings, tokens, topk
+from . import alignment, centroids, decontaminate, langid, lines, mixing, neardup, packing, quality, secrets, substrings, tokens, topk
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_token_counts": tokens.op10_token_counts,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_packing": packing.op13_packing,
 }
 
 SQL = {
@@ -24,4 +27,5 @@ SQL = {
     "op6_mixing": mixing.OP6_SQL,
     "op7_line_dedup": lines.OP7_SQL,
     "op8_topk": topk.OP8_SQL,
+    "op12_centroids": centroids.OP12_SQL,
 }

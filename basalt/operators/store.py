@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basalt.dialect import after, closing, commas, top
-from basalt.operators import show, versions
+from basalt.operators import references, show, versions
 from basalt.operators.ddl import storage_type
 
 
@@ -33,7 +33,7 @@ class Column:
     unique: bool = False
     counted: bool = False
     check: str | None = None
-    parent: tuple[str, str, str] | None = None  # table, column, action on delete
+    parent: tuple[str, str, str, str] | None = None  # table, column, action on delete, on update
     dimension: int | None = None
     primary: bool = False
 
@@ -85,9 +85,12 @@ def column(t: list[str]) -> Column:
     return c
 
 
-def _reference(text: str) -> tuple[str, str, str] | None:
-    m = re.search(r"\bREFERENCES\s+[`\"]?(\w+)[`\"]?\s*\(\s*[`\"]?(\w+)[`\"]?\s*\)(?:.*\bON\s+DELETE\s+(CASCADE|SET\s+NULL|RESTRICT|NO\s+ACTION))?", text, re.I | re.S)
-    return (m[1].lower(), m[2].lower(), re.sub(r"\s+", " ", (m[3] or "RESTRICT").upper())) if m else None
+def _reference(text: str) -> tuple[str, str, str, str] | None:
+    m = re.search(r"\bREFERENCES\s+[`\"]?(\w+)[`\"]?\s*\(\s*[`\"]?(\w+)[`\"]?\s*\)(.*)", text, re.I | re.S)
+    if not m:
+        return None
+    actions = [re.search(rf"\bON\s+{what}\s+(CASCADE|SET\s+NULL|RESTRICT|NO\s+ACTION)", m[3], re.I) for what in ("DELETE", "UPDATE")]
+    return (m[1].lower(), m[2].lower(), *(re.sub(r"\s+", " ", (x[1] if x else "RESTRICT").upper()) for x in actions))
 
 
 def _bare(path: str) -> str:
@@ -161,8 +164,9 @@ class Store:
         return self.spark.createDataFrame([(n,)], "rows_affected long")
 
     # --- constraints ------------------------------------------------------------------------------
-    def check(self, name: str, rows: DataFrame, others: DataFrame | None) -> None:
-        """rows: what was added or changed; others: the rows of the table that stay."""
+    def check(self, name: str, rows: DataFrame, others: DataFrame | None, planned: dict[str, list[str]] | None = None) -> None:
+        """rows: what was added or changed; others: the rows of the table that stay; planned: files of tables that the same
+        statement changes."""
         t = self.tables[name]
         # What a row alone decides is counted in one pass over the rows.
         tests = [(f"`{c.name}` IS NULL", f"{name}.{c.name} must not be null") for c in t.columns if c.required]
@@ -175,7 +179,8 @@ class Store:
                     raise ConstraintError(said)
         for c in t.columns:
             if c.parent and c.parent[0] in self.tables:
-                parent = self.frame(c.parent[0]).select(c.parent[1])
+                files = (planned or {}).get(c.parent[0])
+                parent = (self.spark.read.schema(self.tables[c.parent[0]].ddl).parquet(*files) if files else self.frame(c.parent[0])).select(c.parent[1])
                 if c.parent[0] == name:
                     parent = parent.union(rows.select(c.parent[1]))
                 if versions.orphans(rows.select(c.name), c.name, parent.distinct(), c.parent[1]).limit(1).count():
@@ -271,20 +276,70 @@ class Store:
         self._point(name)
         return new
 
-    def _touched(self, name: str, hit: str) -> tuple[str, list[str]]:
-        """(view of the rows in files that have a row to change, the table's other files). Only these files are written anew."""
+    def _named(self, name: str) -> DataFrame:
+        """The table's rows with the file and the place in it."""
         frame = self.frame(name)
-        every = frame.inputFiles()
-        if not every:
-            return name, []
-        frame.select("*", F.col("_metadata.file_path").alias("_file")).createOrReplaceTempView(all_ := f"_files_{uuid.uuid4().hex}")
-        mine = {_bare(r[0]) for r in self.engine.sql(f"SELECT DISTINCT _file FROM {all_} AS {name} WHERE {hit}").collect()}  # bounded by the number of files
-        self.spark.catalog.dropTempView(all_)
-        some = [f for f in every if _bare(f) in mine]
-        t = self.tables[name]
-        rows = self.spark.read.schema(t.ddl).parquet(*some) if some else self.spark.createDataFrame([], t.ddl)
-        rows.createOrReplaceTempView(view := f"_touched_{uuid.uuid4().hex}")
-        return view, [f for f in every if _bare(f) not in mine]
+        where = [F.col("_metadata.file_path"), F.col("_metadata.row_index")] if self.tables[name].paths else [F.lit(None).cast("string"), F.lit(None).cast("long")]
+        return frame.select("*", where[0].alias("_file"), where[1].alias("_row"))
+
+    def _links(self, name: str, action: int) -> list[tuple[str, str, str, str]]:
+        return [(child, c.name, c.parent[1], c.parent[action]) for child, t in self.tables.items() for c in t.columns if c.parent and c.parent[0] == name]
+
+    def _level(self, name: str, df: DataFrame) -> DataFrame | None:
+        """A frame written beside the tables (VACUUM clears it away); None if it has no rows."""
+        path = self._write(f"{name}-level", df)
+        self.tables[name].old.append(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        return None if out.isEmpty() else out
+
+    def _chosen(self, name: str, cols: str, where: str) -> DataFrame:
+        """What a statement's condition picks, evaluated once and written: cols, _file, _row."""
+        self._named(name).createOrReplaceTempView(view := f"_named_{uuid.uuid4().hex}")
+        rows = self.engine.sql(f"SELECT {cols}, _file, _row FROM {view} AS {name} WHERE coalesce(({where}), false)")
+        path = self._write(f"{name}-level", rows)
+        self.tables[name].old.append(path)
+        self.spark.catalog.dropTempView(view)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _apply(self, effects: references.Effects, new: dict[str, DataFrame] | None = None) -> None:
+        """All tables that the effects change are written, only the files with a changed row, then checked, then exchanged.
+        new: rows that take the place of rows of the same name, by table."""
+        new, plans = new or {}, []
+        for child, parent, hit in effects.refused:
+            if not references.known(hit, effects.gone.get(child)).isEmpty():
+                raise ConstraintError(f"rows of {child} refer to {parent}")
+        for name in dict.fromkeys([*new, *effects.gone, *(t for t, _ in effects.values)]):
+            t, id_ = self.tables[name], references.ID
+            gone = effects.gone.get(name, [])
+            sets = {c: references.union(parts).dropDuplicates(id_) for (k, c), parts in effects.values.items() if k == name}
+            files = references.union([x.select("_file") for x in [*gone, *sets.values(), *([new[name]] if name in new else [])]]).distinct()
+            mine = {_bare(r[0]) for r in files.collect()}  # bounded by the number of files
+            every = self.frame(name).inputFiles()
+            kept = [f for f in every if _bare(f) not in mine]
+            if len(kept) == len(every):
+                continue
+            rows = self.spark.read.schema(t.ddl).parquet(*[f for f in every if _bare(f) in mine]).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+            rows = references.known(rows, gone).withColumn("_hit", F.lit(False))
+            if name in new:
+                rows = references.known(rows, [new[name]]).unionByName(new[name].select(*[c.name for c in t.columns], *id_, F.lit(True).alias("_hit")))
+            for c, values in sets.items():
+                rows = rows.join(values.withColumn("_set", F.lit(True)), id_, "left").withColumns({c: F.when(F.col("_set"), F.col("_new")).otherwise(F.col(c)), "_hit": F.col("_hit") | F.coalesce("_set", F.lit(False))}).drop("_new", "_set")
+            path = self._write(name, rows.selectExpr(*[f"CAST(`{c.name}` AS {c.type}) AS `{c.name}`" for c in t.columns], "_hit"))
+            plans.append((name, kept, path, name in new or bool(sets)))
+        try:
+            for name, kept, path, changed in plans:
+                if changed:
+                    t = self.tables[name]
+                    both = self.spark.read.schema(f"{t.ddl}, _hit boolean").parquet(path)
+                    rows, others = both.where("_hit").drop("_hit"), both.where("NOT _hit").drop("_hit")
+                    after_ = {k: [*kept_, path_] for k, kept_, path_, _ in plans}
+                    self.check(name, rows, others.union(self.spark.read.schema(t.ddl).parquet(*kept)) if kept else others, after_)
+        except ConstraintError:
+            for name, _, path, _ in plans:
+                self.tables[name].old.append(path)
+            raise
+        for name, kept, path, _ in plans:
+            self._exchange(name, kept, path)
 
     def _exchange(self, name: str, kept: list[str], path: str) -> None:
         """The table is now the files kept and a new folder; what it had else is old."""
@@ -295,51 +350,24 @@ class Store:
         self._point(name)
 
     def update(self, name: str, changes: dict[str, str], where: str) -> DataFrame:
-        t, hit = self.tables[name], f"coalesce(({where}), false)"
-        cols = [f"CASE WHEN {hit} THEN {changes[c.name]} ELSE {c.name} END AS {c.name}" if c.name in changes else c.name for c in t.columns]
-        view, kept = self._touched(name, hit)
-        marked = self.engine.sql(f"SELECT {', '.join(cols)}, {hit} AS _hit FROM {view} AS {name}")
-        path = self._write(name, marked.selectExpr(*[f"CAST(`{c.name}` AS {c.type}) AS `{c.name}`" for c in t.columns], "_hit"))
-        both = self.spark.read.schema(f"{t.ddl}, _hit boolean").parquet(path)
-        rows, others = both.where("_hit").drop("_hit"), both.where("NOT _hit").drop("_hit")
-        if kept:
-            others = others.union(self.spark.read.schema(t.ddl).parquet(*kept))
-        try:
-            self.check(name, rows, others)
-        except ConstraintError:
-            t.old.append(path)
-            raise
-        self._exchange(name, kept, path)
-        return rows
+        t = self.tables[name]
+        links = self._links(name, 3)
+        keys = [k for k in dict.fromkeys(key for _, _, key, _ in links) if k in changes]
+        cols = [f"try_cast({changes[c.name]} AS {c.type}) AS {c.name}" if c.name in changes else c.name for c in t.columns]
+        rows = self._chosen(name, ", ".join(cols + [f"{k} AS _old_{k}" for k in keys]), where)
+        effects = references.Effects()
+        if keys:
+            changed = {(name, k): rows.where(f"_old_{k} IS DISTINCT FROM {k}").select(F.col(f"_old_{k}").alias("_old"), F.col(k).alias("_new")) for k in keys}
+            own = {(name, c): rows.select(*references.ID) for c in changes}
+            effects = references.on_update(changed, self._named, lambda k: self._links(k, 3), self._level, own)
+        self._apply(effects, {name: rows})
+        return rows.select(*[c.name for c in t.columns])
 
     def delete(self, name: str, where: str) -> DataFrame:
-        t, hit = self.tables[name], f"coalesce(({where}), false)"
-        view, kept = self._touched(name, hit)
-        gone = self.engine.sql(f"SELECT * FROM {view} AS {name} WHERE {hit}")
-        rest = self.engine.sql(f"SELECT * FROM {view} AS {name} WHERE NOT {hit}")
-        path = self._write(name, rest.selectExpr(*[f"CAST(`{c.name}` AS {c.type}) AS `{c.name}`" for c in t.columns]))
-        try:
-            self._children(name, gone)
-        except ConstraintError:
-            t.old.append(path)
-            raise
-        self._exchange(name, kept, path)
-        return gone
-
-    def _children(self, name: str, gone: DataFrame) -> None:
-        for other, t in list(self.tables.items()):
-            for c in t.columns:
-                if c.parent and c.parent[0] == name and other != name:
-                    keys = gone.select(c.parent[1]).dropna().distinct()
-                    child = self.frame(other)
-                    hit = child.join(keys.withColumnRenamed(c.parent[1], c.name), c.name, "left_semi")
-                    if c.parent[2] == "CASCADE":
-                        self._children(other, hit)
-                        self.replace(other, versions.cascade(child, c.name, keys, c.parent[1]))
-                    elif c.parent[2] == "SET NULL":
-                        self.replace(other, versions.cascade(child, c.name, keys, c.parent[1], "set null"))
-                    elif hit.limit(1).count():
-                        raise ConstraintError(f"rows of {other} refer to {name}")
+        t = self.tables[name]
+        gone = self._chosen(name, ", ".join(c.name for c in t.columns), where)
+        self._apply(references.on_delete(name, gone, self._named, lambda k: self._links(k, 2), self._level))
+        return gone.select(*[c.name for c in t.columns])
 
     def alter(self, name: str, t: list[str]) -> None:
         table, text = self.tables[name], _text(t)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from basalt.engine import Engine
-from basalt.session import shared, table
+from basalt.session import shared, table, views
 from basalt.sources import files
 from basalt.streaming import events
 
@@ -107,3 +107,48 @@ def dialect_statements(spark, sf_dir):
         INSERT INTO {t} (id, bal, nation) SELECT s_suppkey, s_acctbal, s_nationkey FROM supplier;
         UPDATE {t} SET bal = 0 WHERE bal < 0; UPDATE {t} SET tag = 'low' WHERE nation < 3; DELETE FROM {t} WHERE nation = 7""")
     return e.sql(f"SELECT id, bal, tag FROM {t}")
+
+
+def _script(spark, sf_dir, names: str, statements: str, last: str):
+    views(spark, sf_dir, names)
+    e = Engine(spark)
+    e.execute(statements)
+    return e.sql(last)
+
+
+@query("foreign_key_cycles", """WITH RECURSIVE t AS (SELECT c_custkey AS id FROM customer WHERE c_custkey IN (3, 10) UNION SELECT c_custkey FROM customer, t WHERE c_custkey // 2 = id),
+d(kind, id) AS (SELECT 'a', s_suppkey FROM supplier WHERE s_suppkey % 7 = 0 UNION
+  SELECT CASE WHEN d.kind = 'a' THEN 'b' ELSE 'a' END, s_suppkey FROM supplier, d WHERE (d.kind = 'a' AND s_suppkey = d.id) OR (d.kind = 'b' AND s_suppkey % 11 <> 0 AND s_suppkey % 13 + 1 = d.id))
+SELECT 'tree' AS what, c_custkey AS id, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS link FROM customer WHERE c_custkey NOT IN (SELECT id FROM t)
+UNION ALL SELECT 'a', s_suppkey, CASE WHEN s_suppkey % 11 <> 0 THEN s_suppkey % 13 + 1 END FROM supplier WHERE s_suppkey NOT IN (SELECT id FROM d WHERE kind = 'a')
+UNION ALL SELECT 'b', s_suppkey, s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT id FROM d WHERE kind = 'b')""")
+def foreign_key_cycles(spark, sf_dir):
+    """Deletes that cascade in a table that refers to itself, and in two that refer to each other."""
+    return _script(spark, sf_dir, "customer supplier", """
+CREATE TABLE fk_tree (id INTEGER PRIMARY KEY, up INTEGER REFERENCES fk_tree(id) ON DELETE CASCADE);
+INSERT INTO fk_tree SELECT c_custkey, CASE WHEN c_custkey > 1 THEN c_custkey / 2 END FROM customer;
+DELETE FROM fk_tree WHERE id IN (3, 10);
+CREATE TABLE fk_a (id INTEGER PRIMARY KEY, mate INTEGER);
+INSERT INTO fk_a (id) SELECT s_suppkey FROM supplier;
+CREATE TABLE fk_b (id INTEGER PRIMARY KEY, owner INTEGER REFERENCES fk_a(id) ON DELETE CASCADE);
+INSERT INTO fk_b SELECT s_suppkey, s_suppkey FROM supplier;
+ALTER TABLE fk_a DROP COLUMN mate;
+ALTER TABLE fk_a ADD COLUMN mate INTEGER REFERENCES fk_b(id) ON DELETE CASCADE;
+UPDATE fk_a SET mate = id % 13 + 1 WHERE id % 11 <> 0;
+DELETE FROM fk_a WHERE id % 7 = 0""", "SELECT 'tree' AS what, id, up AS link FROM fk_tree UNION ALL SELECT 'a', id, mate FROM fk_a UNION ALL SELECT 'b', id, owner FROM fk_b")
+
+
+@query("foreign_key_update", """SELECT 'chain' AS what, c_custkey AS id, CASE WHEN n_regionkey = 1 THEN c_nationkey + 100 ELSE c_nationkey END AS link FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'cut', s_suppkey, CASE WHEN n_regionkey <> 1 THEN s_nationkey END FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def foreign_key_update(spark, sf_dir):
+    """A parent's key changes: through a table in between it does so for the children, or their reference is cut."""
+    return _script(spark, sf_dir, "nation customer supplier", """
+CREATE TABLE fk_top (id INTEGER PRIMARY KEY, region INTEGER);
+INSERT INTO fk_top SELECT n_nationkey, n_regionkey FROM nation;
+CREATE TABLE fk_mid (id INTEGER PRIMARY KEY REFERENCES fk_top(id) ON UPDATE CASCADE);
+INSERT INTO fk_mid SELECT n_nationkey FROM nation;
+CREATE TABLE fk_low (id INTEGER PRIMARY KEY, nation INTEGER REFERENCES fk_mid(id) ON DELETE CASCADE ON UPDATE CASCADE);
+INSERT INTO fk_low SELECT c_custkey, c_nationkey FROM customer;
+CREATE TABLE fk_cut (id INTEGER PRIMARY KEY, nation INTEGER REFERENCES fk_top(id) ON UPDATE SET NULL);
+INSERT INTO fk_cut SELECT s_suppkey, s_nationkey FROM supplier;
+UPDATE fk_top SET id = id + 100 WHERE region = 1""", "SELECT 'chain' AS what, id, nation AS link FROM fk_low UNION ALL SELECT 'cut', id, nation FROM fk_cut")

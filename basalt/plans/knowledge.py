@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basalt.operators import notes, recursive, search
+from basalt.operators import notes, ranked, recursive, search
 from basalt.session import shared, table
 from basalt.sources import web
 
@@ -301,3 +301,36 @@ UNION ALL SELECT page_id, 'concepts' FROM p WHERE len(regexp_extract_all(lower(t
 def content_kinds(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", web.html_to_text("html").alias("text"))
     return pages.select("page_id", F.explode(web.content_kinds(F.col("url"), F.col("text"))).alias("kind"))
+
+
+_PLACES = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}/]+'), lambda x: x <> '') AS t FROM documents),
+p AS (SELECT doc_id, t[i] AS term, i FROM (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM w)) """
+
+
+def _ranked(spark, sf_dir, text: str):
+    docs = table(spark, sf_dir, "documents")
+    index = ranked.index(docs, f"{shared(spark)}/ranked-{uuid.uuid4().hex}")
+    return ranked.search(index, text, docs).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("search_ranked_or", _PLACES + """, h AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id, term ORDER BY i) AS k FROM p WHERE term = 'que' OR term LIKE 'unt%')
+SELECT doc_id, round(sum(1.0 / (k * k)) * 0.1 / 1.64493406685 / 2, 6) AS score FROM h GROUP BY doc_id""")
+def search_ranked_or(spark, sf_dir):
+    """A word or a prefix, ranked by occurrences."""
+    return _ranked(spark, sf_dir, ranked.prepare("que OR unt*"))
+
+
+_NEAR = """, n AS (SELECT a.doc_id, sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(a.i - b.i) / 1.5 - 2))))) AS s FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = '{a}' AND b.term = '{b}' AND abs(a.i - b.i) BETWEEN 1 AND 100 GROUP BY a.doc_id)
+SELECT doc_id, round(coalesce(1 - exp(s), 1e-16), 6) AS score FROM ({found}) LEFT JOIN n USING (doc_id)"""
+
+
+@query("search_ranked_and", _PLACES + _NEAR.format(a="with", b="the", found="SELECT doc_id FROM p WHERE term = 'with' INTERSECT SELECT doc_id FROM p WHERE term = 'the' EXCEPT SELECT doc_id FROM p WHERE term = 'que'"))
+def search_ranked_and(spark, sf_dir):
+    """Two words and not a third, ranked by nearness."""
+    return _ranked(spark, sf_dir, ranked.prepare("with AND the AND NOT que"))
+
+
+@query("search_ranked_phrase", _PLACES + _NEAR.format(a="of", b="the", found="SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'of' AND b.term = 'the' AND b.i = a.i + 2"))
+def search_ranked_phrase(spark, sf_dir):
+    """A phrase with one word between two, ranked by nearness."""
+    return _ranked(spark, sf_dir, "of <2> the")

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from basalt.functions import scalars, windows
-from basalt.operators import versions
-from basalt.session import table
+from basalt.operators import vectors, versions
+from basalt.session import shared, table
 from basalt.streaming import events as streaming
 
 from .registry import query, statement
@@ -220,3 +220,62 @@ def time_buckets(spark, sf_dir):
 @query("glob_function", "SELECT p_partkey FROM part WHERE p_name GLOB '*l? *'")
 def glob_function(spark, sf_dir):
     return table(spark, sf_dir, "part").where(scalars.glob(F.col("p_name"), "*l? *")).select("p_partkey")
+
+
+@query("sliding_windows", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")
+def sliding_windows(spark, sf_dir):
+    return streaming.windowed(table(spark, sf_dir, "events"), "1 hour", "30 minutes").withColumn("total", F.round("total", 2))
+
+
+def _stream(spark, sf_dir, shape, parts):
+    """The table a stream makes of the events in parts, one after the other, each as all its files."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    base = f"{shared(spark)}/events-{uuid.uuid4().hex}"
+    for part in parts:
+        events.where(part).write.mode("append").parquet(f"{base}/in")
+        streaming.append(shape(streaming.watch(spark, f"{base}/in", events.schema, per_batch=None)), f"{base}/out", f"{base}/at")
+    return spark.read.parquet(f"{base}/out")
+
+
+_SESSIONS = """WITH b AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM b),
+g AS (SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, s)
+SELECT start, "end", user_id, n FROM g"""
+
+
+@query("session_windows", _SESSIONS)
+def session_windows(spark, sf_dir):
+    return streaming.sessions(table(spark, sf_dir, "events"))
+
+
+@query("session_stream", _SESSIONS + """ WHERE "end" <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def session_stream(spark, sf_dir):
+    """The same sessions from a stream: those that the watermark has passed."""
+    return _stream(spark, sf_dir, streaming.sessions, ["true"])
+
+
+@query("late_data", """WITH m AS (SELECT max(ts) FILTER (event_id % 10 <> 0) - INTERVAL 10 MINUTE AS seen, max(ts) - INTERVAL 10 MINUTE AS done FROM events),
+e AS (SELECT event_id, date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS stop, event_type, value FROM events)
+SELECT start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM e, m WHERE (event_id % 10 <> 0 OR stop > seen) AND stop <= done GROUP BY 1, 2""")
+def late_data(spark, sf_dir):
+    """Every tenth event comes after all others: by then only windows that the watermark hasn't passed take it."""
+    return _stream(spark, sf_dir, streaming.windowed, ["event_id % 10 <> 0", "event_id % 10 = 0"]).withColumn("total", F.round("total", 2))
+
+
+#: Lists that a query reads of the 24: many, as the vectors here hardly cluster.
+VECTOR_PROBES = 19
+
+
+# --- approximate vector scan ----------------------------------------------------------------------
+@query("vector_index_scan", "SELECT count(*) FILTER (vec_id % 20 = 0) AS queries, true AS recalled, true AS pruned FROM embeddings")
+def vector_index_scan(spark, sf_dir):
+    """Recall at 10 of an inverted file against the exact scan is 0.95 at least, of at most 85 % of the vectors."""
+    given = table(spark, sf_dir, "embeddings")
+    asked = given.where("vec_id % 20 = 0")
+    path = f"{shared(spark)}/vectors-{uuid.uuid4().hex}"
+    vectors.build(given, path, lists=24)
+    found, want = vectors.search(spark, path, asked, probes=VECTOR_PROBES), vectors.exact(given, asked)
+    hits = want.join(found, ["query_id", "id"], "left").agg(F.avg(F.coalesce((found["rank"] > 0).cast("double"), F.lit(0.0))).alias("recall"))
+    read = vectors.probed(spark, path, asked, VECTOR_PROBES).agg((F.sum("n") / F.countDistinct("query_id")).alias("read"))
+    total = given.agg(F.count_if(F.col("vec_id") % 20 == 0).alias("queries"), F.count("*").alias("all"))
+    return total.join(hits).join(read).select("queries", (F.col("recall") >= 0.95).alias("recalled"), (F.col("read") <= F.col("all") * 0.85).alias("pruned"))

@@ -12,9 +12,10 @@ def time_bucket(ts: str, width: str) -> Column:
     return F.window(ts, width).getField("start")
 
 
-def watch(spark: SparkSession, path: str, schema, kind: str = "parquet", per_batch: int = 100) -> DataFrame:
-    """New files of a folder as a stream."""
-    return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", per_batch).load(path)
+def watch(spark: SparkSession, path: str, schema, kind: str = "parquet", per_batch: int | None = 100) -> DataFrame:
+    """New files of a folder as a stream, so many at once (None: all that are there)."""
+    files = spark.readStream.format(kind).schema(schema)
+    return (files.option("maxFilesPerTrigger", per_batch) if per_batch else files).load(path)
 
 
 def fold(stream: DataFrame, table: str, key: list[str], checkpoint: str, order: str | None = None, buckets: int = 64):
@@ -60,3 +61,10 @@ def windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None,
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     timed = events.withWatermark("ts", late)
     return timed.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
+
+
+def append(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """What a stream has to say of all files there are, added to a Parquet table: a window's row once the watermark has
+    passed its end. A later call goes on where this one ended; rows of windows that have passed are too late and dropped."""
+    kept = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    kept.outputMode("append").trigger(availableNow=True).start().awaitTermination()

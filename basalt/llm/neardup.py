@@ -242,9 +242,23 @@ def _grid(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("b", "i", "j").applyInPandas(run, "a binary, b binary")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detailed(told: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """told (c, copies, class_p, _class, rep) with similarity, the exact one of the content to that of its class's first
+    document, and n_links: verified links of the content, and its other copies."""
+    pairs = told.where("c <> rep").select(F.col("c").alias("a"), F.col("rep").alias("b"))
+    both = F.size(F.array_intersect("xa", "xb"))
+    met = pairs.join(sets.select(F.col("c").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("c").alias("b"), F.col("x").alias("xb")), "b")
+    alike = met.select(F.col("a").alias("c"), (both / (F.size("xa") + F.size("xb") - both)).alias("similarity"))
+    ends = links.distinct().select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("_n"))
+    out = told.join(alike, "c", "left").join(ends, "c", "left")
+    return out.select("c", "class_p", "_class", F.coalesce("similarity", F.lit(1.0)).alias("similarity"), (F.coalesce("_n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", details: bool = False) -> DataFrame:
     """One row per document: doc_id, _k, _h, n_shingles, _class (name of its class), class_id
-    (smallest doc_id in it), kept (true once in each class: for the first document, by id, then a hash of its text).
+    (smallest doc_id in it), kept (true once in each class: for the first document, by id, then a hash of its text)
+    and, with details, similarity (exact, to that document's text, which stands for the class), n_links (links of its text that were found
+    and verified, plus its exact copies; links that a class doesn't need may go unseen: see below).
 
     Documents are linked if the weighted Jaccard similarity of their shingles of five white-space separated
     words is at least the threshold; classes are the connected components. Equal contents are one vertex from
@@ -288,16 +302,20 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     more = stage(compare(pairs).unionByName(_grid(left.where(F.col("n") > SMALL), sets, threshold)), "near-links")
     if not few(more, 0):
         labels = components(united([links, more]), labels)
-    own = labels.join(content, "c").groupBy("label").agg(F.min("rp").alias("class_p"))
+    own = labels.join(content, "c").groupBy("label").agg(F.min(F.struct("rp", "c")).alias("m")).select("label", F.col("m.rp").alias("class_p"), F.col("m.c").alias("rep"))
     # Only contents of several documents or in links have a class that isn't their only document's: as a rule they are
     # few, and no group of copies meets in one task.
     told = content.join(labels.join(own, "label"), "c", "left").where("copies > 1 OR label IS NOT NULL")
-    told = stage(told.select("c", F.coalesce("class_p", "rp").alias("class_p"), F.coalesce("label", "c").alias("_class")), "near-classes")
+    told = stage(told.select("c", "copies", F.coalesce("class_p", "rp").alias("class_p"), F.coalesce("label", "c").alias("_class"), F.coalesce("rep", "c").alias("rep")), "near-told")
+    if details:
+        told = stage(detailed(told, united([links, more]), sets), "near-classes")
     told = F.broadcast(told) if few(told, KEYS // 4) else told
-    rows = s.where("n > 0").join(told, "c", "left").withColumns({"class_p": F.coalesce("class_p", "_p"), "_class": F.coalesce("_class", "c")}).select(*s.columns, "class_p", "_class")
-    rows = rows.unionByName(s.where("n = 0").withColumns({"class_p": F.col("_p"), "_class": F.encode(F.concat_ws(":", "_k", "_h"), "utf-8")}))
+    alone = {"_class": F.coalesce("_class", "c")} | ({"similarity": F.coalesce("similarity", F.lit(1.0)), "n_links": F.coalesce("n_links", F.lit(0).cast("long"))} if details else {})
+    rows = s.where("n > 0").join(told, "c", "left").withColumns({"class_p": F.coalesce("class_p", "_p"), **alone}).select(*s.columns, "class_p", *alone)
+    none = {"_class": F.encode(F.concat_ws(":", "_k", "_h"), "utf-8"), "similarity": F.lit(1.0), "n_links": F.lit(0).cast("long")}
+    rows = rows.unionByName(s.where("n = 0").withColumns({"class_p": F.col("_p"), **{k: none[k] for k in alone}}))
     class_k = F.expr(f"CAST((class_p - pmod(class_p, CAST({1 << 62} AS DECIMAL(38, 0)))) DIV {1 << 62} AS BIGINT)")
-    out = rows.select("doc_id", "_k", "_h", F.col("n").alias("n_shingles"), "_class", F.when(class_k != 2**63 - 1, class_k).alias("class_id"), (F.col("_p") == F.col("class_p")).alias("kept"))
+    out = rows.select("doc_id", "_k", "_h", F.col("n").alias("n_shingles"), "_class", F.when(class_k != 2**63 - 1, class_k).alias("class_id"), (F.col("_p") == F.col("class_p")).alias("kept"), *[k for k in alone if k != "_class"])
     twice = stage(s.groupBy("_k", "_h").agg(F.count("*").alias("copies")).where("copies > 1"), "near-twice")
     if few(twice, 0):
         return out
@@ -325,4 +343,4 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_shingles", "kept")
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), details=True).select("doc_id", "class_id", "n_shingles", "kept", "similarity", "n_links")

@@ -563,12 +563,30 @@ def want_classes(texts):
     return Counter((d, low[find(i)] if low[find(i)] != key(None) else None) for i, (d, _) in enumerate(texts))
 
 
+def check_links(got, texts):
+    """Similarities to the document that stands for the class, and links, against all pairs."""
+    by_id = {d: shingles(t) for d, t in texts if [x for x, _ in texts].count(d) == 1}
+    first = {r._class: r.doc_id for r in got if r.kept}
+    for r in got:
+        if r.doc_id in by_id and first[r._class] in by_id:
+            a, b = by_id[r.doc_id], by_id[first[r._class]]
+            assert r.similarity == pytest.approx(jaccard(a, b) if a else 1.0)
+    every = [shingles(t) for _, t in texts]
+    size = Counter(r._class for r in got)
+    for r in got:
+        if r.doc_id in by_id and by_id[r.doc_id]:
+            a = by_id[r.doc_id]
+            most = len({frozenset(b.items()) for b in every if b and b != a and jaccard(a, b) >= 0.8}) + every.count(a) - 1
+            assert (size[r._class] > 1) <= r.n_links <= most
+
+
 @pytest.mark.parametrize("small", [16, 1])
 def test_near_duplicates(spark, docs, empty, small, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "BLOCK", 3 if small == 1 else 200)
-    got = neardup.classes(docs).collect()
+    got = neardup.classes(docs, details=True).collect()
     assert Counter((r.doc_id, r.class_id) for r in got) == want_classes([r[:2] for r in rows()])
+    check_links(got, [r[:2] for r in rows()])
     kept = Counter(r._class for r in got if r.kept)
     assert set(kept.values()) == {1} and set(kept) == {r._class for r in got}
     assert neardup.classes(empty).count() == 0
@@ -587,8 +605,9 @@ def test_near_duplicate_chain(spark, small, monkeypatch):
         w[r.randrange(400)] = f"y{i}"
         texts.append((50 - i, " ".join(w)))
     texts += [(7, " ".join(f"v{r.randrange(10**6)}" for _ in range(50)))]
-    got = neardup.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    got = neardup.classes(spark.createDataFrame(texts, "doc_id long, text string"), details=True).collect()
     assert Counter((x.doc_id, x.class_id) for x in got) == want_classes(texts)
+    check_links(got, texts)
 
 
 def test_one_kept_of_each_class(spark):

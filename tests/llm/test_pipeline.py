@@ -61,3 +61,9 @@ def test_awkward_rows(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(i)))
         assert docs.columns[: len(columns)] == columns
     assert neardup.one_of_each(spark.createDataFrame(rows[2:4], "doc_id long, text string, lang string, source string, n_chars long, _score string, _rest int")).count() == 1
+
+
+def test_copy_gets_a_free_name(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}", "a", 1, 2) for i in range(6)], "doc_id long, text string, source string, Copy int, copy_ int")
+    out = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert out.columns == [*docs.columns, "copy__"] and out.count() > 0

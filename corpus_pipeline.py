@@ -37,9 +37,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, numbered by the column copy."""
+    """Each document as often as the mix takes it, numbered by the column copy (with underscores behind it if documents have one)."""
+    name = "copy"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
     mixed = mixing.mix(docs, carry=True).where("copies > 0")
-    return _common.restored(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs, more=[F.col("copy").cast("int").alias("copy")])
+    number = "_nth" + "_" * max(map(len, docs.columns))
+    return _common.restored(mixed.withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs, more=[F.col(number).cast("int").alias(name)])
 
 
 STAGES = [

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ._common import doc_key, few, rest, stage, tight, united
 from .neardup import KEYS, semi
 
-#: What op7 and the pipeline take: words are the symbols, one edit in every eight of them, one at most.
-UNIT, TAU, EVERY = "word", 1, 8
+#: What op7 and the pipeline take: words are the symbols, one edit in every eight of them, three at most.
+UNIT, TAU, EVERY = "word", 3, 8
 #: Keys of up to so many lines compare their pairs; larger ones are split (see `settled`), until so many symbols are left.
 SMALL, FEW = 16, 16
 #: So few keys of lines need no further split.
@@ -227,6 +227,22 @@ def lines_of(docs: DataFrame, unit: str) -> DataFrame:
     return lines.select("_k", "_h", "pos", (F.col("_p") + F.col("pos")).cast("decimal(38,0)").alias("place"), "line", F.xxhash64("line").alias("_a"), F.xxhash64(F.lit(17), "line").alias("_b"))
 
 
+def near(distinct: DataFrame, lines: DataFrame, plan: list, names: list[str], tau: int, every: int, unit: str) -> DataFrame:
+    """Lines (_a, _b; some more than once) that an earlier line is within reach of."""
+    n = F.col("n")
+    each = F.array(*[entry(p, F.lit(True), F.col(k)) for p, k in zip(plan, names, strict=True)])
+    flat = distinct.where(n >= every).select(*ID, "first", "n", F.lit(True).alias("open"), F.explode(each).alias("x")).select(*ID, "first", "n", "open", "x.*").where("_key IS NOT NULL")
+    shared = counted(flat, "_open")
+    texts = semi(lines.select(*ID, "line"), stage(shared.select(*ID).distinct(), "lines-some"), ID).dropDuplicates(ID)
+    texts = stage(texts.select(*ID, symbols(F.col("line"), unit).alias("sym")), "lines-texts")
+    small, hot = shared.where(F.col("_n") <= SMALL), shared.where(F.col("_n") > SMALL)
+    gone = stage(verified(met(small, small), texts, tau, every), "lines-gone")
+    if not few(hot, 0):
+        texts = stage(semi(texts, stage(hot.select(*ID).distinct(), "lines-some"), ID), "lines-crowded")
+        gone = settled(hot.join(texts, ID).select("_key", *ID, "first", "index", "t", "d", remainder(F.col("sym"), n).alias("rest")), texts, gone, tau, every)
+    return gone
+
+
 def dedup(docs: DataFrame, tau: int = TAU, every: int = EVERY, unit: str = UNIT, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per document: doc_id, _k, _h, n_lines, n_removed, text (the lines that stay).
 
@@ -248,8 +264,8 @@ def dedup(docs: DataFrame, tau: int = TAU, every: int = EVERY, unit: str = UNIT,
     returned, with the same lines gone). Empty tables give no rows. Other columns are ignored, or come along as a
     struct _rest if carry is set.
     """
-    if every < 2:
-        raise ValueError("a line of n symbols can't have more than n / 2 edits")
+    if every < 2 or tau < 0:
+        raise ValueError("a line of n symbols can't have more than n / 2 edits, nor less than none")
     base = docs.select(F.col(id_col).alias("doc_id"), *doc_key(id_col, text_col), F.col(text_col).cast("string").alias("text"), *rest(docs, text_col, carry))
     lines = lines_of(base, unit)
     plan = probes(tau)
@@ -258,16 +274,7 @@ def dedup(docs: DataFrame, tau: int = TAU, every: int = EVERY, unit: str = UNIT,
     keyed = lines.withColumn("sym", symbols(F.col("line"), unit)).withColumn("n", F.size("sym"))
     keyed = keyed.select(*ID, "place", "n", *[key_of(F.col("sym"), n, p, reach(n - p[1], tau, every) == p[0]).alias(k) for p, k in zip(plan, names, strict=True)])
     distinct = stage(keyed.groupBy(*ID).agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in names]), "lines-distinct")
-    each = F.array(*[entry(p, F.lit(True), F.col(k)) for p, k in zip(plan, names, strict=True)])
-    flat = distinct.where(n >= every).select(*ID, "first", "n", F.lit(True).alias("open"), F.explode(each).alias("x")).select(*ID, "first", "n", "open", "x.*").where("_key IS NOT NULL")
-    shared = counted(flat, "_open")
-    texts = semi(lines.select(*ID, "line"), stage(shared.select(*ID).distinct(), "lines-some"), ID).dropDuplicates(ID)
-    texts = stage(texts.select(*ID, symbols(F.col("line"), unit).alias("sym")), "lines-texts")
-    small, hot = shared.where(F.col("_n") <= SMALL), shared.where(F.col("_n") > SMALL)
-    gone = stage(verified(met(small, small), texts, tau, every), "lines-gone")
-    if not few(hot, 0):
-        texts = stage(semi(texts, stage(hot.select(*ID).distinct(), "lines-some"), ID), "lines-crowded")
-        gone = settled(hot.join(texts, ID).select("_key", *ID, "first", "index", "t", "d", remainder(F.col("sym"), n).alias("rest")), texts, gone, tau, every)
+    gone = near(distinct, lines, plan, names, tau, every, unit) if tau else distinct.select(*ID).where("false")
     gone = gone.distinct().withColumn("_gone", F.lit(True))
     repeated = stage(distinct.select(*ID, "first", "copies").join(gone, ID, "left").where("copies > 1 OR _gone").select(*ID, "first", "_gone"), "lines-repeated")
     told = F.broadcast(repeated) if few(repeated, KEYS) else repeated
@@ -286,16 +293,26 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+_SAME = "coalesce(nullif(list_position(list_transform(generate_series(1, least(len(a) - ({i}), len(b) - ({j}))), lambda k: a[({i}) + k] = b[({j}) + k]), false), 0) - 1, least(len(a) - ({i}), len(b) - ({j})), 0)"
+_STEP = """x{e} AS (SELECT id, a, b, t, i + di AS i, j + dj AS j FROM y{f}, (VALUES (1, 1), (1, 0), (0, 1)) AS s(di, dj) WHERE t >= {e} AND i + di <= len(a) AND j + dj <= len(b)),
+y{e} AS (SELECT id, a, b, t, i + s AS i, j + s AS j FROM (SELECT DISTINCT *, """ + _SAME.format(i="i", j="j") + """ AS s FROM x{e}))"""
+#: Pairs share one of four parts of the shorter line, up to three places from where it stands; y0 to y3 are how far both can be read with so many edits.
 OP7_SQL = rf"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
 o AS (SELECT w, len(w) AS n, min((doc_id, pos)) AS first FROM s WHERE len(w) > 0 GROUP BY w),
-h AS (SELECT * FROM o WHERE n >= {EVERY}),
-c AS (SELECT r.w AS a, t.w AS b, r.first AS fa, t.first AS fb, r.n AS n, t.n - r.n AS d FROM h r JOIN h t ON r.w[1:r.n // 2] = t.w[1:r.n // 2] AND t.n BETWEEN r.n AND r.n + 1 AND r.w <> t.w
-  UNION SELECT r.w, t.w, r.first, t.first, r.n, t.n - r.n FROM h r JOIN h t ON r.w[r.n // 2 + 1:r.n] = t.w[t.n - r.n + r.n // 2 + 1:t.n] AND t.n BETWEEN r.n AND r.n + 1 AND r.w <> t.w),
-e AS (SELECT DISTINCT CASE WHEN fa > fb THEN a ELSE b END AS w FROM c WHERE len(list_filter(generate_series(0, n), lambda i: a[1:i] = b[1:i] AND a[i + 2 - d:n] = b[i + 2:n + d])) > 0),
-k AS (SELECT s.doc_id, s.pos, s.line, CASE WHEN len(s.w) = 0 THEN false WHEN e.w IS NOT NULL THEN true ELSE (s.doc_id, s.pos) <> o.first END AS gone
+h AS (SELECT w, n, first, least({TAU}, n // {EVERY}) AS t, row_number() OVER () AS r FROM o WHERE n >= {EVERY}),
+g AS (SELECT r, n, p, (p - 1) * n // {TAU + 1} AS at, w[(p - 1) * n // {TAU + 1} + 1 : p * n // {TAU + 1}] AS part FROM h, (SELECT unnest(generate_series(1, {TAU + 1})) AS p)),
+k AS (SELECT h.r, h.n - d AS n, p, w[(p - 1) * (h.n - d) // {TAU + 1} + off + 1 : p * (h.n - d) // {TAU + 1} + off] AS part FROM h, (SELECT unnest(generate_series(0, {TAU})) AS d), (SELECT unnest(generate_series(1, {TAU + 1})) AS p), (SELECT unnest(generate_series(-{TAU}, {TAU})) AS off)
+  WHERE h.n - d >= {EVERY} AND (p - 1) * (h.n - d) // {TAU + 1} + off >= 0),
+m AS (SELECT DISTINCT g.r AS ra, k.r AS rb FROM g JOIN k USING (n, p, part) WHERE g.r <> k.r),
+q AS (SELECT row_number() OVER () AS id, a.w AS a, b.w AS b, a.t AS t, a.first AS fa, b.first AS fb FROM m JOIN h a ON a.r = ra JOIN h b ON b.r = rb WHERE b.n - a.n BETWEEN 0 AND a.t),
+y0 AS (SELECT id, a, b, t, s AS i, s AS j FROM (SELECT *, {_SAME.format(i="0", j="0")} AS s FROM q)),
+{", ".join(_STEP.format(e=e, f=e - 1) for e in range(1, TAU + 1))},
+z AS ({" UNION ".join(f"SELECT id FROM y{e} WHERE i = len(a) AND j = len(b) AND t >= {e}" for e in range(1, TAU + 1))}),
+e AS (SELECT DISTINCT CASE WHEN fa > fb THEN a ELSE b END AS w FROM q JOIN z USING (id)),
+u AS (SELECT s.doc_id, s.pos, s.line, CASE WHEN len(s.w) = 0 THEN false WHEN e.w IS NOT NULL THEN true ELSE (s.doc_id, s.pos) <> o.first END AS gone
   FROM s LEFT JOIN o ON s.w = o.w LEFT JOIN e ON s.w = e.w),
-g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS t FROM k GROUP BY doc_id)
-SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN g USING (doc_id)
+v AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS t FROM u GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN v USING (doc_id)
 """

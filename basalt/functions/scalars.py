@@ -67,7 +67,6 @@ TEMPLATES: dict[str, dict] = {
     "json_array_length": {1: "json_array_length({0})", 2: "json_array_length(get_json_object({0}, {1}))"},
     "json_valid": {1: "CAST(try_parse_json({0}) IS NOT NULL AS BIGINT)"},
     "json_keys": {1: "to_json(json_object_keys({0}))"},
-    "json_object": {"*": "to_json(named_struct({*}))"},
     "json_type": {1: "CASE regexp_extract(schema_of_variant(try_parse_json({0})), '^[A-Z]+', 0) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'STRING' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VOID' THEN 'null' WHEN '' THEN NULL ELSE CASE WHEN try_parse_json({0}) IS NOT NULL THEN 'number' END END"},
     # vectors
     "vec_distance_l2": {2: _L2},
@@ -119,6 +118,9 @@ def sql(name: str, *args: str) -> str:
     if low == "json_array":  # each value for itself, as they may differ in type
         each = [f"substring(to_json(array({a})), 2, char_length(to_json(array({a}))) - 2)" for a in args]
         return "concat('[', concat_ws(',', " + ", ".join(each) + "), ']')" if each else "'[]'"
+    if low == "json_object" and args and len(args) % 2 == 0:  # the last value of a key counts, null or not
+        pairs = ", ".join(f"{k}, {v}" for k, v in {k.strip(): v for k, v in zip(args[::2], args[1::2], strict=True)}.items())
+        return f"to_json(named_struct({pairs}), map('ignoreNullFields', 'false'))"
     if low == "to_char" and len(args) == 2 and (digits := re.fullmatch(r"'[90,]*(?:\.([90]*))?'", args[1].strip())):
         places = len(digits[1] or "")
         return f"format_number(CAST({args[0]} AS DOUBLE), {places})" if "," in args[1] else f"format_string('%.{places}f', CAST({args[0]} AS DOUBLE))"
@@ -145,8 +147,11 @@ def to_char_format(literal: str) -> str:
 
 
 def glob_regex(pattern: str) -> str:
-    """Regular expression of a GLOB pattern: * any run, ? any character, the rest as it is."""
-    return "(?s)^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
+    """Regular expression of a GLOB pattern: * any run, ? any character, classes in brackets as they are; a backslash takes
+    the meaning from *, ? and itself; the rest stands for itself."""
+    means = {"*": ".*", "?": "."}
+    each = re.findall(r"\\[*?\\]|\[[^\]]*\]?|.", pattern, re.S)
+    return "(?s)^" + "".join(x if x[0] == "[" else re.escape(x[-1]) if len(x) == 2 else means.get(x, re.escape(x)) for x in each) + "$"
 
 
 def call(name: str, *args: str) -> Column:

@@ -17,7 +17,8 @@ statement("dialect_division", "SELECT o_orderkey, o_orderkey / 7 AS a, o_orderke
           "SELECT o_orderkey, o_orderkey // 7 AS a, o_orderkey % 7 AS b, NULL::BIGINT AS c, o_orderkey // 2 // 3 AS d, o_totalprice / 4 AS e FROM orders")
 statement("dialect_xor", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 XOR o_orderstatus = 'F'", "SELECT o_orderkey FROM orders WHERE (o_totalprice > 100000) <> (o_orderstatus = 'F')")
 statement("dialect_json", "SELECT event_id, props ->> 'k' AS k, props -> 'none' AS n FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS n FROM events")
-statement("dialect_except", "SELECT 1 AS x UNION SELECT 2 EXCEPT SELECT 1", "SELECT 1 AS x UNION (SELECT 2 EXCEPT SELECT 1)")
+statement("dialect_except", "SELECT n_regionkey AS x FROM nation UNION SELECT r_regionkey + 3 FROM region EXCEPT SELECT n_regionkey FROM nation",
+          "SELECT n_regionkey AS x FROM nation UNION (SELECT r_regionkey + 3 FROM region EXCEPT SELECT n_regionkey FROM nation)")
 statement("dialect_frames", "SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS s, rank() OVER w AS r, count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS d FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
           "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS s, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r, count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS d FROM orders")
 statement("dialect_alias_in_where", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS q2 FROM lineitem WHERE q2 > 95", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS q2 FROM lineitem WHERE l_quantity * 2 > 95")
@@ -37,11 +38,13 @@ statement("to_char_numbers", "SELECT o_orderkey, to_char(o_totalprice, '999,999.
           "SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS a, format('{:,}', o_orderkey * 1000) AS b, o_orderkey::VARCHAR AS c FROM orders")
 
 
-@query("sum_promoted", "SELECT g, s FROM (VALUES (1, 9223372036854775808::DOUBLE), (2, 3::DOUBLE)) AS t(g, s)")
+@query("sum_promoted", "SELECT l_returnflag AS g, round(sum((l_orderkey * 1000000000000)::DOUBLE) * power(10, -18), 3) AS s FROM lineitem GROUP BY 1")
 def sum_promoted(spark, sf_dir):
-    """Sums that overflow become floats, as do those of the other groups."""
-    rows = Engine(spark).query("SELECT g, sum(x) AS s FROM (VALUES (1, 9223372036854775807), (1, 1), (2, 3)) AS t(g, x) GROUP BY g")
-    return spark.createDataFrame([(r["g"], r["s"]) for r in rows], "g int, s double")
+    """Sums that overflow become floats, as do those of the other groups; a row for each group comes back."""
+    views(spark, sf_dir, "lineitem")
+    rows = Engine(spark).query("SELECT l_returnflag AS g, sum(l_orderkey * 1000000000000) AS s FROM lineitem GROUP BY l_returnflag")
+    return spark.createDataFrame([(r["g"], float(r["s"])) for r in rows], "g string, s double").withColumn("s", F.round(F.col("s") * 1e-18, 3))
+
 
 
 statement("window_following", "SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS s, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM orders",
@@ -152,3 +155,14 @@ INSERT INTO fk_low SELECT c_custkey, c_nationkey FROM customer;
 CREATE TABLE fk_cut (id INTEGER PRIMARY KEY, nation INTEGER REFERENCES fk_top(id) ON UPDATE SET NULL);
 INSERT INTO fk_cut SELECT s_suppkey, s_nationkey FROM supplier;
 UPDATE fk_top SET id = id + 100 WHERE region = 1""", "SELECT 'chain' AS what, id, nation AS link FROM fk_low UNION ALL SELECT 'cut', id, nation FROM fk_cut")
+
+
+statement("tuple_in_typed", "SELECT l_orderkey, l_linenumber, (l_linenumber, l_returnflag) NOT IN ((1, 'N'), (2, 'R')) AS other FROM lineitem WHERE (l_orderkey, l_linestatus) IN ((1, 'O'), (2, 'O'), (3, 'F'), (7, 'O'))")
+statement("glob_classes", r"SELECT p_partkey FROM part WHERE p_name GLOB '[a-m]*e? [!a]*' OR p_type GLOB '[LM]*'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^[a-m].*e. [!a].*$') OR regexp_matches(p_type, '^[LM]')")
+statement("windows_without_order", "SELECT count(DISTINCT r) AS n, max(r) AS last, min(k) AS least, max(k) AS most, count(p) AS before FROM (SELECT ROW_NUMBER() OVER () AS r, RANK() OVER (PARTITION BY o_orderstatus) AS k, LAG(o_orderkey) OVER () AS p FROM orders)",
+          "SELECT count(*) AS n, count(*) AS last, 1 AS least, 1 AS most, count(*) - 1 AS before FROM orders")
+statement("sum_distinct_over", "SELECT o_orderkey, SUM(DISTINCT o_custkey % 97) OVER (PARTITION BY o_orderstatus) AS s, SUM(DISTINCT CASE WHEN o_orderkey < 0 THEN o_custkey END) OVER (PARTITION BY o_orderstatus) AS none FROM orders",
+          "SELECT o_orderkey, s, NULL AS none FROM orders JOIN (SELECT o_orderstatus, sum(DISTINCT o_custkey % 97)::BIGINT AS s FROM orders GROUP BY 1) USING (o_orderstatus)")
+statement("json_object_rows", "SELECT n_nationkey, JSON_OBJECT('k', n_regionkey, 'n', NULLIF(n_regionkey, 1), 'k', n_name) AS j FROM nation",
+          """SELECT n_nationkey, '{"k":"' || n_name || '","n":' || coalesce(CAST(NULLIF(n_regionkey, 1) AS VARCHAR), 'null') || '}' AS j FROM nation""")
+statement("first_last_keys", "SELECT o_orderstatus, FIRST(o_orderkey ORDER BY o_orderdate DESC, o_orderkey) AS a, LAST(o_orderkey ORDER BY o_orderdate DESC, o_orderkey) AS b, FIRST(o_orderkey ORDER BY o_custkey, o_orderkey) AS c FROM orders GROUP BY o_orderstatus")

@@ -73,10 +73,12 @@ def permalinks(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", notes.ascii_permalink(path).alias("permalink"))
 
 
-@query("permalinks_unicode", "SELECT unnest(['docs/my-feature', 'cafe-creme', '中文/测试文档', 'version-2.0.0', 'api-v2']) AS permalink")
+@query("permalinks_unicode", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'docs/my-feature-' || w WHEN 1 THEN 'cafe-creme-' || w WHEN 2 THEN '中文/测试文档-' || p_partkey WHEN 3 THEN 'version-2.0.' || p_partkey ELSE 'api-v2-' || w END AS permalink
+FROM (SELECT p_partkey, replace(p_name, ' ', '-') AS w FROM part)""")
 def permalinks_unicode(spark, sf_dir):
-    paths = ["docs/My Feature.md", "CaféCrème.md", "中文/测试文档.md", "Version 2.0.0", "API (v2).md"]
-    return spark.createDataFrame([(p,) for p in paths], "path string").select(notes.permalink("path").alias("permalink"))
+    forms = ["concat('docs/My Feature ', p_name, '.md')", "concat('CaféCrème ', p_name, '.md')", "concat('中文/测试文档', p_partkey, '.md')", "concat('Version 2.0.', p_partkey)", "concat('API (v2) ', p_name, '.md')"]
+    path = F.expr("CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms)) + " END")
+    return table(spark, sf_dir, "part").select("p_partkey", notes.permalink(path).alias("permalink"))
 
 
 @query("permalinks_unique", "SELECT p_partkey, p_name || CASE WHEN r > 0 THEN '-' || r ELSE '' END AS permalink FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS r FROM part)")

@@ -29,9 +29,9 @@ statement("keyset_page", "SELECT o_orderkey FROM orders WHERE o_orderkey > 120 O
 statement("min_max", "SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, min(o_orderdate) AS first_day FROM orders")
 statement("count_star", "SELECT count(*) AS n FROM lineitem")
 statement("count_distinct", "SELECT count(DISTINCT l_suppkey) AS n, count(DISTINCT l_returnflag) AS f FROM lineitem")
-statement("values_source", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) AS t(a, b)")
+statement("values_source", "SELECT n_nationkey, b FROM nation JOIN (VALUES (1, 'x'), (2, 'y'), (3, NULL)) AS t(a, b) ON n_regionkey = a")
 statement("derived_table", "SELECT s, count(*) AS n FROM (SELECT o_orderstatus AS s FROM orders WHERE o_totalprice > 1000) AS d GROUP BY s")
-statement("select_without_from", "SELECT 1 + 2 AS a, 'x' || 'y' AS b, upper('q') AS c")
+statement("select_without_from", "SELECT n_nationkey, (SELECT 1 + 2) AS a, (SELECT 'x' || 'y') AS b, upper(n_name) AS c FROM nation")
 
 
 @query("view_scan", "SELECT c_mktsegment, count(*) AS n FROM (SELECT * FROM customer WHERE c_acctbal > 0) AS rich GROUP BY c_mktsegment")
@@ -49,16 +49,16 @@ def json_rows(spark, sf_dir):
 statement("tuple_in", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('A', 'F'), ('R', 'F')) AND l_quantity < 3")
 statement("in_not_in", "SELECT n_name FROM nation WHERE n_regionkey IN (0, 2) AND n_nationkey NOT IN (1, 5, 9)")
 statement("like_forms", "SELECT p_partkey, p_name LIKE 'cold%' AS a, p_name LIKE '%widget' AS b, p_type ILIKE 'econ_my' AS c, p_brand NOT LIKE '%3' AS d FROM part")
-statement("like_escape", r"SELECT x, x LIKE '%!%%' ESCAPE '!' AS pct FROM (VALUES ('10%'), ('10'), ('%')) AS t(x)")
+statement("like_escape", "SELECT x, x LIKE '%!%%' ESCAPE '!' AS pct FROM (SELECT CASE WHEN n_regionkey < 2 THEN n_name || '%' ELSE n_name END AS x FROM nation) AS t")
 statement("glob", "SELECT p_partkey FROM part WHERE p_brand GLOB 'Brand#1?' AND p_name GLOB '*widget'", "SELECT p_partkey FROM part WHERE p_brand GLOB 'Brand#1?' AND p_name GLOB '*widget'")
 statement("regexp", "SELECT p_partkey FROM part WHERE p_brand RLIKE '#[12]$'", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '#[12]$')")
-statement("three_valued", "SELECT a, b, a AND b AS x, a OR b AS y, NOT a AS z FROM (VALUES (true, NULL), (false, NULL), (NULL, NULL), (true, false)) AS t(a, b)")
-statement("is_distinct", "SELECT a, b, a IS DISTINCT FROM b AS d, a IS NOT DISTINCT FROM b AS s, a IS NULL AS n FROM (VALUES (1, 1), (1, NULL), (NULL, NULL), (1, 2)) AS t(a, b)")
+statement("three_valued", "SELECT o_orderkey, a, b, a AND b AS x, a OR b AS y, NOT a AS z FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN true WHEN o_totalprice > 50000 THEN false END AS a, CASE WHEN o_orderkey % 3 = 0 THEN true WHEN o_orderkey % 3 = 1 THEN false END AS b FROM orders) AS t")
+statement("is_distinct", "SELECT o_orderkey, a, b, a IS DISTINCT FROM b AS d, a IS NOT DISTINCT FROM b AS s, a IS NULL AS n, a = b AS e, a <> b AS f, a < b AS g, a >= b AS h FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 4 END AS a, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 END AS b FROM orders) AS t")
 statement("bool_tests", "SELECT o_orderkey, (o_totalprice > 100000) IS TRUE AS big, (o_orderstatus = 'F') IS NOT FALSE AS f FROM orders")
 statement("xor", "SELECT o_orderkey, xor(o_totalprice > 100000, o_orderstatus = 'F') AS x FROM orders", "SELECT o_orderkey, (o_totalprice > 100000) <> (o_orderstatus = 'F') AS x FROM orders")
 statement("bit_operators", "SELECT o_orderkey, o_orderkey & 7 AS a, o_orderkey | 8 AS b, ~o_orderkey AS c, o_orderkey << 2 AS d, o_orderkey >> 1 AS e FROM orders")
 statement("case_forms", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS a, CASE WHEN o_totalprice > 100000 THEN 1 WHEN o_totalprice > 50000 THEN 2 END AS b FROM orders")
-statement("concat_operator", "SELECT a || b AS c FROM (VALUES ('x', 'y'), ('x', NULL)) AS t(a, b)")
+statement("concat_operator", "SELECT n_nationkey, a || b AS c FROM (SELECT n_nationkey, n_name AS a, CASE WHEN n_regionkey <> 2 THEN n_name END AS b FROM nation) AS t")
 statement("intervals", "SELECT o_orderkey, o_orderdate + INTERVAL '1 day' AS a, o_orderdate - INTERVAL '2 months' AS b, o_orderdate + INTERVAL '3 hours' AS c FROM orders")
 statement("alias_in_where", "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_quantity * 2 AS q2 FROM lineitem) AS a WHERE q2 > 95")
 statement("typed_literals", "SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00'")
@@ -84,11 +84,11 @@ statement("join_using", "SELECT l_orderkey, l_linenumber, o_totalprice FROM line
 statement("join_residual", "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_extendedprice > o_totalprice / 2")
 statement("join_range", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier AS a JOIN supplier AS b ON a.s_acctbal < b.s_acctbal AND b.s_acctbal < a.s_acctbal + 50")
 statement("join_self", "SELECT a.n_name AS x, b.n_name AS y FROM nation AS a JOIN nation AS b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
-statement("join_null_keys", "SELECT a.k, b.v FROM (VALUES (1, 'a'), (NULL, 'b')) AS a(k, u) LEFT JOIN (VALUES (1, 'x'), (NULL, 'y')) AS b(k, v) ON a.k = b.k")
+statement("join_null_keys", "SELECT n_nationkey, b.v FROM (SELECT n_nationkey, CASE WHEN n_regionkey <> 2 THEN n_regionkey END AS k FROM nation) AS a LEFT JOIN (SELECT CASE WHEN r_regionkey <> 3 THEN r_regionkey END AS k, r_name AS v FROM region) AS b ON a.k = b.k")
 statement("join_three", "SELECT r_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 statement("semi_join", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
 statement("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-statement("not_in_nulls", "SELECT x FROM (VALUES (1), (2), (3)) AS t(x) WHERE x NOT IN (SELECT y FROM (VALUES (1), (NULL)) AS u(y))")
+statement("not_in_nulls", "SELECT 'none' AS what, count(*) AS n FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN r_regionkey > 0 THEN r_regionkey END FROM region) UNION ALL SELECT 'some', count(*) FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region)")
 
 # --- aggregation ----------------------------------------------------------------------------------
 statement("agg_global", "SELECT count(*) AS n, round(sum(l_quantity), 2) AS s, round(avg(l_discount), 8) AS a, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem")
@@ -109,7 +109,8 @@ statement("statistics_aggregates", "SELECT l_returnflag, round(stddev(l_quantity
 statement("string_agg", "SELECT n_regionkey, listagg(n_name, '; ') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 statement("array_agg", "SELECT n_regionkey, to_json(sort_array(collect_list(n_nationkey))) AS keys FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, '[' || string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey) || ']' AS keys FROM nation GROUP BY n_regionkey")
 statement("first_last", "SELECT o_custkey, min_by(o_orderstatus, o_orderkey) AS f, max_by(o_orderstatus, o_orderkey) AS l FROM orders GROUP BY o_custkey", "SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS f, arg_max(o_orderstatus, o_orderkey) AS l FROM orders GROUP BY o_custkey")
-statement("safe_sum", "SELECT safe_sum(x) AS s FROM (VALUES (9223372036854775807), (9223372036854775807)) AS t(x)", "SELECT sum(x::DOUBLE) AS s FROM (VALUES (9223372036854775807), (9223372036854775807)) AS t(x)")
+statement("safe_sum", "SELECT l_returnflag, round(safe_sum(l_orderkey * 1000000000000) * power(10, -18), 3) AS s FROM lineitem GROUP BY l_returnflag",
+          "SELECT l_returnflag, round(sum((l_orderkey * 1000000000000)::DOUBLE) * power(10, -18), 3) AS s FROM lineitem GROUP BY l_returnflag")
 
 # --- windows --------------------------------------------------------------------------------------
 statement("window_ranks", "SELECT o_orderkey, row_number() OVER w AS a, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS b, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS c, ntile(4) OVER w AS d FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey)")
@@ -131,7 +132,8 @@ def window_default_frame(spark, sf_dir):
 
 
 # --- sort, limit ----------------------------------------------------------------------------------
-statement("nulls_order", "SELECT x, row_number() OVER (ORDER BY x) AS up, row_number() OVER (ORDER BY x DESC) AS down FROM (VALUES (2), (NULL), (1)) AS t(x)", "SELECT x, row_number() OVER (ORDER BY x NULLS LAST) AS up, row_number() OVER (ORDER BY x DESC NULLS FIRST) AS down FROM (VALUES (2), (NULL), (1)) AS t(x)")
+statement("nulls_order", "SELECT o_orderkey, row_number() OVER (ORDER BY x, o_orderkey) AS up, row_number() OVER (ORDER BY x DESC, o_orderkey) AS down FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS x FROM orders) AS t",
+          "SELECT o_orderkey, row_number() OVER (ORDER BY x NULLS LAST, o_orderkey) AS up, row_number() OVER (ORDER BY x DESC NULLS FIRST, o_orderkey) AS down FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS x FROM orders) AS t")
 statement("top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 statement("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 30")
 statement("fetch_first", "SELECT o_orderkey FROM orders ORDER BY o_orderkey FETCH FIRST 5 ROWS ONLY")
@@ -143,9 +145,9 @@ for _name, _op in (("union_all", "UNION ALL"), ("union", "UNION"), ("intersect",
     statement(f"set_{_name}", f"SELECT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40 {_op} SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 30")
 
 
-@query("set_precedence", "SELECT 1 AS x UNION SELECT * FROM (SELECT 2 EXCEPT SELECT 1) AS t")
+@query("set_precedence", "SELECT n_regionkey AS x FROM nation UNION SELECT * FROM (SELECT r_regionkey + 3 FROM region EXCEPT SELECT n_regionkey FROM nation) AS t")
 def set_precedence(spark, sf_dir):
-    one, two = spark.sql("SELECT 1 AS x"), spark.sql("SELECT 2 AS x")
+    one, two = table(spark, sf_dir, "nation").selectExpr("n_regionkey AS x"), table(spark, sf_dir, "region").selectExpr("r_regionkey + 3 AS x")
     return subquery.combine(one, ("union", two), ("except", one))
 
 
@@ -172,7 +174,8 @@ statement("quantified_any_unequal", "SELECT o_orderkey, o_orderpriority <> ANY (
           "SELECT o_orderkey, EXISTS (SELECT 1 FROM orders i WHERE i.o_orderkey < 9 AND i.o_orderpriority <> o.o_orderpriority) AS a, o_orderkey + 1 <> 8 AS b, o_orderkey = 7 AS c FROM orders o")
 statement("quantified_empty", "SELECT n_nationkey, n_name > ALL (SELECT r_name FROM region WHERE r_regionkey > 99) AS a, n_name > ANY (SELECT r_name FROM region WHERE r_regionkey > 99) AS b, n_nationkey = ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 99) AS c, n_nationkey <> ANY (SELECT r_regionkey FROM region WHERE r_regionkey > 99) AS d, n_nationkey > ALL (SELECT CAST(NULL AS INTEGER)) AS e FROM nation",
           "SELECT n_nationkey, true AS a, false AS b, true AS c, false AS d, false AS e FROM nation")
-statement("quantified_bigint", "SELECT x FROM (VALUES (9007199254740993), (9007199254740992), (9007199254740991)) AS t(x) WHERE x > ALL (SELECT y FROM (VALUES (9007199254740992), (5)) AS u(y))", "SELECT 9007199254740993 AS x")
+statement("quantified_bigint", "SELECT o_orderkey FROM orders WHERE o_orderkey + 9007199254740993 > ALL (SELECT o_orderkey + 9007199254740992 FROM orders WHERE o_orderstatus = 'P')",
+          "SELECT o_orderkey FROM orders WHERE o_orderkey + 1 > (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'P')")
 statement("quantified_correlated", "SELECT c_custkey FROM customer WHERE c_acctbal > ANY (SELECT o_totalprice / 20 FROM orders WHERE o_custkey = c_custkey)", "SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT min(o_totalprice / 20) FROM orders WHERE o_custkey = c_custkey)")
 statement("in_nothing", "SELECT n_nationkey, n_nationkey IN () AS a, n_nationkey + 1 NOT IN () AS b, CASE WHEN n_name IN ( ) THEN 1 ELSE 2 END AS c FROM nation WHERE NOT n_regionkey IN ()", "SELECT n_nationkey, false AS a, true AS b, 2 AS c FROM nation")
 
@@ -186,16 +189,18 @@ def quantified_frame(spark, sf_dir):
 
 statement("cte", "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 100000), per AS (SELECT o_custkey AS c, count(*) AS n FROM big GROUP BY o_custkey) SELECT c, n FROM per WHERE n > 1")
 statement("cte_columns", "WITH t(a, b) AS (SELECT n_nationkey, n_name FROM nation) SELECT a, b FROM t WHERE a < 5")
-statement("recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT count(*) AS c, sum(n) AS s FROM t", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT count(*) AS c, sum(n)::BIGINT AS s FROM t")
+statement("recursive_cte", "WITH RECURSIVE t(id, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey < 10 UNION ALL SELECT c_custkey, depth + 1 FROM t JOIN customer ON c_custkey = id * 2) SELECT count(*) AS c, sum(id) AS s, max(depth) AS d FROM t",
+          "WITH RECURSIVE t(id, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey < 10 UNION ALL SELECT c_custkey, depth + 1 FROM t JOIN customer ON c_custkey = id * 2) SELECT count(*) AS c, sum(id)::BIGINT AS s, max(depth) AS d FROM t")
 
 
-statement("recursive_members", "WITH RECURSIVE t(n, how) AS (SELECT 1, 'a' UNION ALL SELECT n * 2, how || 'b' FROM t WHERE n < 20 UNION ALL SELECT n * 3, how || 'c' FROM t WHERE n < 9) SELECT n, how FROM t WHERE n <> 4",
-          "WITH RECURSIVE s AS (SELECT unnest([1, 2]) AS k), t(n, how) AS (SELECT 1, 'a' UNION ALL SELECT CASE WHEN k = 1 THEN n * 2 ELSE n * 3 END, how || CASE WHEN k = 1 THEN 'b' ELSE 'c' END FROM t, s WHERE (k = 1 AND n < 20) OR (k = 2 AND n < 9)) SELECT n, how FROM t WHERE n <> 4")
+statement("recursive_members", "WITH RECURSIVE t(n, how) AS (SELECT r_regionkey + 1, 'a' FROM region UNION ALL SELECT n * 2, how || 'b' FROM t WHERE n < 20 UNION ALL SELECT n * 3, how || 'c' FROM t WHERE n < 9) SELECT n, how FROM t WHERE n <> 4",
+          "WITH RECURSIVE s AS (SELECT unnest([1, 2]) AS k), t(n, how) AS (SELECT r_regionkey + 1, 'a' FROM region UNION ALL SELECT CASE WHEN k = 1 THEN n * 2 ELSE n * 3 END, how || CASE WHEN k = 1 THEN 'b' ELSE 'c' END FROM t, s WHERE (k = 1 AND n < 20) OR (k = 2 AND n < 9)) SELECT n, how FROM t WHERE n <> 4")
 
 
-@query("recursive_loop", "WITH RECURSIVE t(n, p) AS (SELECT 1, 1 UNION ALL SELECT n + 1, p * 2 FROM t WHERE n < 6) SELECT n, p FROM t")
+@query("recursive_loop", "WITH RECURSIVE t(n, p) AS (SELECT r_regionkey, 1 FROM region UNION ALL SELECT n + 1, p * 2 FROM t WHERE n < 6) SELECT n, p FROM t")
 def recursive_loop(spark, sf_dir):
-    return recursive.recurse(spark.sql("SELECT 1 AS n, 1 AS p"), lambda t: t.where("n < 6").selectExpr("n + 1 AS n", "p * 2 AS p"))
+    start = table(spark, sf_dir, "region").selectExpr("r_regionkey AS n", "1 AS p")
+    return recursive.recurse(start, lambda t: t.where("n < 6").selectExpr("n + 1 AS n", "p * 2 AS p"))
 
 
 # --- benchmark-like composites --------------------------------------------------------------------

@@ -16,20 +16,21 @@ from .registry import query, statement
 
 # --- scalar functions -----------------------------------------------------------------------------
 statement("strings_case", "SELECT p_partkey, upper(p_name) AS a, lower(p_brand) AS b, length(p_name) AS c, char_length(p_type) AS d, reverse(p_name) AS e FROM part")
-statement("strings_concat", "SELECT concat(a, b, 'z') AS c, concat_ws('-', a, b, 'z') AS d FROM (VALUES ('x', NULL), ('x', 'y')) AS t(a, b)")
+statement("strings_concat", "SELECT n_nationkey, concat(a, b, 'z') AS c, concat_ws('-', a, b, 'z') AS d FROM (SELECT n_nationkey, n_name AS a, CASE WHEN n_regionkey <> 2 THEN n_name END AS b FROM nation) AS t")
 statement("strings_cut", "SELECT p_partkey, substring(p_name, 2, 3) AS a, substring(p_name, 0, 3) AS b, substr(p_name, 4) AS c, left(p_name, 3) AS d, right(p_name, 4) AS e FROM part",
           "SELECT p_partkey, substring(p_name, 2, 3) AS a, substring(p_name, 1, 3) AS b, substr(p_name, 4) AS c, left(p_name, 3) AS d, right(p_name, 4) AS e FROM part")
-statement("strings_trim", "SELECT trim(x) AS a, ltrim(x) AS b, rtrim(x) AS c, replace(x, 'a', 'bb') AS d, repeat(trim(x), 2) AS e FROM (VALUES ('  a b '), ('aa'), ('')) AS t(x)")
+statement("strings_trim", "SELECT p_partkey, trim(x) AS a, ltrim(x) AS b, rtrim(x) AS c, replace(x, 'a', 'bb') AS d, repeat(trim(x), 2) AS e FROM (SELECT p_partkey, '  ' || p_name || ' ' AS x FROM part) AS t")
 statement("strings_find", "SELECT p_partkey, instr(p_name, 'i') AS a, strpos(p_name, 'widget') AS b, position('d' IN p_name) AS c, locate('e', p_name) AS d, split_part(p_name, ' ', 2) AS e FROM part",
           "SELECT p_partkey, instr(p_name, 'i')::INTEGER AS a, strpos(p_name, 'widget')::INTEGER AS b, position('d' IN p_name)::INTEGER AS c, instr(p_name, 'e')::INTEGER AS d, split_part(p_name, ' ', 2) AS e FROM part")
 statement("strings_pad", "SELECT p_partkey, lpad(p_type, 10, '*') AS a, rpad(p_type, 3, '-') AS b, lpad(p_brand, 9) AS c, char(65) AS d, char(233) AS e, char(128512) AS f FROM part",
           "SELECT p_partkey, lpad(p_type, 10, '*') AS a, rpad(p_type, 3, '-') AS b, lpad(p_brand, 9, ' ') AS c, chr(65) AS d, chr(233) AS e, chr(128512) AS f FROM part")
-statement("strings_collate", "SELECT collate(x, 'NOCASE') AS a, collate(x, 'NOACCENT') AS b, collate(x, 'BINARY') AS c FROM (VALUES ('Éa'), ('b')) AS t(x)", "SELECT lower(x) AS a, strip_accents(x) AS b, x AS c FROM (VALUES ('Éa'), ('b')) AS t(x)")
+statement("strings_collate", "SELECT x, collate(x, 'NOCASE') AS a, collate(x, 'NOACCENT') AS b, collate(x, 'BINARY') AS c FROM (SELECT 'É' || n_name AS x FROM nation) AS t",
+          "SELECT x, lower(x) AS a, strip_accents(x) AS b, x AS c FROM (SELECT 'É' || n_name AS x FROM nation) AS t")
 statement("math_rounding", "SELECT s_suppkey, round(s_acctbal) AS a, round(s_acctbal, 1) AS b, floor(s_acctbal) AS c, ceil(s_acctbal) AS d, ceiling(s_acctbal) AS e, abs(s_acctbal) AS f, sign(s_acctbal) AS g FROM supplier",
           "SELECT s_suppkey, round(s_acctbal) AS a, round(s_acctbal, 1) AS b, floor(s_acctbal) AS c, ceil(s_acctbal) AS d, ceil(s_acctbal) AS e, abs(s_acctbal) AS f, sign(s_acctbal)::BIGINT AS g FROM supplier")
 statement("math_truncate", "SELECT s_suppkey, truncate(s_acctbal) AS a, trunc(-s_acctbal, 1) AS b FROM supplier", "SELECT s_suppkey, trunc(s_acctbal) AS a, CASE WHEN -s_acctbal < 0 THEN ceil(-s_acctbal * power(10, 1)) ELSE floor(-s_acctbal * power(10, 1)) END / power(10, 1) AS b FROM supplier")
-statement("math_logs", "SELECT x, round(log(x), 8) AS a, round(log(2, x), 8) AS b, round(ln(x), 8) AS c, round(log10(x), 8) AS d, round(log2(x), 8) AS e, sqrt(x) AS f FROM (VALUES (8.0D), (0.5D), (-1.0D), (0.0D)) AS t(x)",
-          "SELECT x, round(CASE WHEN x > 0 THEN log10(x) END, 8) AS a, round(CASE WHEN x > 0 THEN log2(x) END, 8) AS b, round(CASE WHEN x > 0 THEN ln(x) END, 8) AS c, round(CASE WHEN x > 0 THEN log10(x) END, 8) AS d, round(CASE WHEN x > 0 THEN log2(x) END, 8) AS e, CASE WHEN x >= 0 THEN sqrt(x) END AS f FROM (VALUES (8.0::DOUBLE), (0.5::DOUBLE), (-1.0::DOUBLE), (0.0::DOUBLE)) AS t(x)")
+statement("math_logs", "SELECT s_suppkey, round(log(x), 8) AS a, round(log(2, x), 8) AS b, round(ln(x), 8) AS c, round(log10(x), 8) AS d, round(log2(x), 8) AS e, round(sqrt(x), 8) AS f FROM (SELECT s_suppkey, s_acctbal AS x FROM supplier) AS t",
+          "SELECT s_suppkey, round(CASE WHEN x > 0 THEN log10(x) END, 8) AS a, round(CASE WHEN x > 0 THEN log2(x) END, 8) AS b, round(CASE WHEN x > 0 THEN ln(x) END, 8) AS c, round(CASE WHEN x > 0 THEN log10(x) END, 8) AS d, round(CASE WHEN x > 0 THEN log2(x) END, 8) AS e, round(CASE WHEN x >= 0 THEN sqrt(x) END, 8) AS f FROM (SELECT s_suppkey, s_acctbal AS x FROM supplier) AS t")
 statement("math_powers", "SELECT s_suppkey, round(power(s_suppkey, 2), 4) AS a, round(pow(s_suppkey, 0.5), 8) AS b, round(exp(s_suppkey / 1000.0D), 6) AS c, round(sin(s_suppkey), 8) AS d, round(cos(s_suppkey), 8) AS e, round(tan(s_suppkey), 6) AS f, round(pi(), 8) AS g FROM supplier",
           "SELECT s_suppkey, round(power(s_suppkey, 2), 4) AS a, round(pow(s_suppkey, 0.5), 8) AS b, round(exp(s_suppkey / 1000), 6) AS c, round(sin(s_suppkey), 8) AS d, round(cos(s_suppkey), 8) AS e, round(tan(s_suppkey), 6) AS f, round(pi(), 8) AS g FROM supplier")
 statement("math_division", "SELECT o_orderkey, int_div(o_orderkey, 7) AS a, int_div(o_orderkey, 0) AS b, safe_mod(o_orderkey, 7) AS c, safe_mod(o_orderkey, 0) AS d, mod(o_orderkey, 9) AS e FROM orders",
@@ -46,17 +47,19 @@ statement("dates_add", "SELECT o_orderkey, date_add(o_orderdate, 10) AS a, date_
           "SELECT o_orderkey, o_orderdate + INTERVAL 10 DAY AS a, o_orderdate + INTERVAL 1 MONTH AS b, o_orderdate - INTERVAL 2 HOUR AS c, o_orderdate - INTERVAL 1 DAY AS d FROM orders")
 statement("dates_diff", "SELECT event_id, datediff(ts, TIMESTAMP '2024-01-01 12:00:00') AS d FROM events", "SELECT event_id, date_sub('day', TIMESTAMP '2024-01-01 12:00:00', ts) AS d FROM events")
 statement("dates_to_char", "SELECT event_id, to_char(ts, 'YYYY-MM-DD HH24:MI:SS') AS c FROM events", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS c FROM events")
-statement("dates_now", "SELECT now() >= current_date() AS a, length(current_time()) AS b, current_timestamp() >= TIMESTAMP '2020-01-01 00:00:00' AS c", "SELECT true AS a, 8 AS b, true AS c")
-statement("conditionals", "SELECT coalesce(a, b, 0) AS c, nullif(a, 1) AS d, ifnull(b, 9) AS e, greatest(a, b) AS f, least(a, b) AS g, iif(a > 1, 'y', 'n') AS h FROM (VALUES (1, 2), (NULL, 3), (4, NULL)) AS t(a, b)",
-          "SELECT coalesce(a, b, 0) AS c, nullif(a, 1) AS d, ifnull(b, 9) AS e, greatest(a, b) AS f, least(a, b) AS g, CASE WHEN a > 1 THEN 'y' ELSE 'n' END AS h FROM (VALUES (1, 2), (NULL, 3), (4, NULL)) AS t(a, b)")
-statement("casts", "SELECT CAST(x AS INTEGER) AS a, CAST(x AS FLOAT) AS b, CAST(x AS TEXT) AS c, CAST(x AS BOOLEAN) AS d FROM (VALUES ('12'), ('x'), ('yes'), (''), ('-3')) AS t(x)",
-          "SELECT TRY_CAST(x AS BIGINT) AS a, TRY_CAST(x AS DOUBLE) AS b, x AS c, CASE WHEN x IN ('yes') THEN true END AS d FROM (VALUES ('12'), ('x'), ('yes'), (''), ('-3')) AS t(x)")
+statement("dates_now", "SELECT event_id, now() >= ts AS a, length(current_time()) AS b, current_timestamp() > ts AS c, current_date() >= CAST(ts AS DATE) AS d FROM events",
+          "SELECT event_id, true AS a, 8 AS b, true AS c, true AS d FROM events")
+statement("conditionals", "SELECT o_orderkey, coalesce(a, b, 0) AS c, nullif(a, 1) AS d, ifnull(b, 9) AS e, greatest(a, b) AS f, least(a, b) AS g, iif(a > 1, 'y', 'n') AS h FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 4 END AS a, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 END AS b FROM orders) AS t",
+          "SELECT o_orderkey, coalesce(a, b, 0) AS c, nullif(a, 1) AS d, ifnull(b, 9) AS e, greatest(a, b) AS f, least(a, b) AS g, CASE WHEN a > 1 THEN 'y' ELSE 'n' END AS h FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 4 END AS a, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 END AS b FROM orders) AS t")
+statement("casts", "SELECT n_nationkey, CAST(x AS INTEGER) AS a, CAST(x AS FLOAT) AS b, CAST(x AS TEXT) AS c, CAST(x AS BOOLEAN) AS d FROM (SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'x' || n_name WHEN n_regionkey = 1 THEN 'yes' WHEN n_regionkey = 2 THEN '' ELSE '-' || n_nationkey END AS x FROM nation) AS t",
+          "SELECT n_nationkey, TRY_CAST(x AS BIGINT) AS a, TRY_CAST(x AS DOUBLE) AS b, x AS c, CASE WHEN x IN ('yes') THEN true END AS d FROM (SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'x' || n_name WHEN n_regionkey = 1 THEN 'yes' WHEN n_regionkey = 2 THEN '' ELSE '-' || n_nationkey END AS x FROM nation) AS t")
 statement("cast_date", "SELECT event_id, CAST(ts AS DATE) AS d FROM events", "SELECT event_id, date_trunc('day', ts)::TIMESTAMPTZ AS d FROM events")
-statement("typeof", "SELECT typeof(1) AS a, typeof(1.5D) AS b, typeof('x') AS c, typeof(true) AS d", "SELECT 'INTEGER' AS a, 'FLOAT' AS b, 'TEXT' AS c, 'BOOLEAN' AS d")
+statement("typeof", "SELECT DISTINCT typeof(o_orderkey) AS a, typeof(o_totalprice) AS b, typeof(o_orderstatus) AS c, typeof(o_totalprice > 5) AS d FROM orders",
+          "SELECT DISTINCT 'INTEGER' AS a, 'FLOAT' AS b, 'TEXT' AS c, 'BOOLEAN' AS d FROM orders")
 statement("json_access", "SELECT event_id, json_extract(props, '$.k') AS k, json_valid(props) AS v, json_keys(props) AS ks, json_type(props) AS t FROM events",
           "SELECT event_id, json_extract_string(props, '$.k') AS k, 1::BIGINT AS v, '[\"k\"]' AS ks, 'object' AS t FROM events")
-statement("json_build", "SELECT json_array(1, 2, 3) AS a, json_object('x', 1, 'y', 2) AS b, json_array_length('[1,2]') AS c, json_array_length('{}') AS d, json_valid('{') AS e, json_type('[1]') AS f, json_type('2') AS g",
-          "SELECT '[1,2,3]' AS a, '{\"x\":1,\"y\":2}' AS b, 2 AS c, NULL::INTEGER AS d, 0::BIGINT AS e, 'array' AS f, 'number' AS g")
+statement("json_build", "SELECT n_nationkey, json_array(n_nationkey, n_name, 3) AS a, json_object('x', n_nationkey, 'y', n_name) AS b, json_array_length('[' || n_nationkey || ',2]') AS c, json_array_length('{}') AS d, json_valid('{' || n_name) AS e, json_type('[' || n_nationkey || ']') AS f, json_typeof(CAST(n_nationkey AS TEXT)) AS g FROM nation",
+          "SELECT n_nationkey, '[' || n_nationkey || ',\"' || n_name || '\",3]' AS a, '{\"x\":' || n_nationkey || ',\"y\":\"' || n_name || '\"}' AS b, 2 AS c, NULL::INTEGER AS d, 0::BIGINT AS e, 'array' AS f, 'number' AS g FROM nation")
 
 # --- vectors --------------------------------------------------------------------------------------
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 3)"
@@ -64,7 +67,8 @@ statement("vector_distances", f"SELECT e.vec_id, round(vec_distance_l2(e.embeddi
           f"SELECT e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.v::DOUBLE[]), 5) AS l2, round(list_cosine_distance(e.embedding::DOUBLE[], q.v::DOUBLE[]), 5) AS cos, round(-list_inner_product(e.embedding::DOUBLE[], q.v::DOUBLE[]), 5) AS ip, len(e.embedding)::INTEGER AS d, round(sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 4) AS n FROM embeddings AS e CROSS JOIN {_Q} AS q(v)")
 statement("vector_nearest", f"SELECT e.vec_id, round(e.embedding <=> q.v, 5) AS d FROM embeddings AS e CROSS JOIN {_Q} AS q(v) ORDER BY e.embedding <=> q.v, vec_id LIMIT 10",
           f"SELECT e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.v::DOUBLE[]), 5) AS d FROM embeddings AS e CROSS JOIN {_Q} AS q(v) ORDER BY list_distance(e.embedding::DOUBLE[], q.v::DOUBLE[]), vec_id LIMIT 10")
-statement("vector_text", "SELECT vec_to_text(array(1, 2, 3)) AS t", "SELECT '[1,2,3]' AS t")
+statement("vector_text", "SELECT n_nationkey, vec_to_text(array(n_nationkey, n_regionkey)) AS t FROM nation",
+          "SELECT n_nationkey, '[' || n_nationkey || ',' || n_regionkey || ']' AS t FROM nation")
 
 
 # --- user functions -------------------------------------------------------------------------------

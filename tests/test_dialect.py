@@ -72,3 +72,18 @@ def test_as_of(spark):
     assert got("SELECT v FROM things AS OF TIMESTAMP '2024-01-02 12:00:00'") == ["a", "c"]
     assert got("SELECT x.v FROM things AS OF TRANSACTION 5 AS x WHERE x.k = 1") == ["b"]
     assert got("SELECT things.v FROM things AS OF TRANSACTION $1 WHERE things.k > 0", [9]) == ["b"]
+
+
+def test_tuples_classes_and_windows_without_order(spark):
+    from basalt.engine import Engine
+
+    e = Engine(spark)
+    spark.createDataFrame([(1, "x", 2**62), (2, "y", 2**62), (3, "*", 5)], "a long, t string, big long").createOrReplaceTempView("forms")
+    keys = lambda q: [r["a"] for r in e.query(f"SELECT a FROM forms WHERE {q} ORDER BY a")]
+    assert keys("(a, t) IN ((1, 'x'), (2, 'x'))") == [1] and keys("(a, t) NOT IN ((1, 'x'), (2, 'x'))") == [2, 3]
+    assert keys("abs(a) IN (1) AND (a, t) IN ((1, 'x'))") == [1] and keys("(a, t) IN (SELECT 1, 'x')") == [1]
+    assert keys("t GLOB '[xy]*'") == [1, 2] and keys(r"t GLOB '\*'") == [3] and keys("t GLOB '?'") == [1, 2, 3]
+    assert [r["r"] for r in e.query("SELECT ROW_NUMBER() OVER () AS r FROM forms ORDER BY r")] == [1, 2, 3]
+    assert e.query_one("SELECT SUM(big) FILTER (WHERE a < 3) AS s FROM forms")["s"] == 2.0**63
+    assert {r["s"] for r in e.query("SELECT SUM(big) OVER () AS s FROM forms")} == {2.0**63}
+    assert e.query_one("SELECT JSON_OBJECT('a', NULL, 'b', 1, 'a', NULL) AS j") == {"j": '{"a":null,"b":1}'}

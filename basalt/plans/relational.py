@@ -189,8 +189,8 @@ def quantified_frame(spark, sf_dir):
 
 statement("cte", "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 100000), per AS (SELECT o_custkey AS c, count(*) AS n FROM big GROUP BY o_custkey) SELECT c, n FROM per WHERE n > 1")
 statement("cte_columns", "WITH t(a, b) AS (SELECT n_nationkey, n_name FROM nation) SELECT a, b FROM t WHERE a < 5")
-statement("recursive_cte", "WITH RECURSIVE t(id, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey < 10 UNION ALL SELECT c_custkey, depth + 1 FROM t JOIN customer ON c_custkey = id * 2) SELECT count(*) AS c, sum(id) AS s, max(depth) AS d FROM t",
-          "WITH RECURSIVE t(id, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey < 10 UNION ALL SELECT c_custkey, depth + 1 FROM t JOIN customer ON c_custkey = id * 2) SELECT count(*) AS c, sum(id)::BIGINT AS s, max(depth) AS d FROM t")
+statement("recursive_cte", "WITH RECURSIVE t(id, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey BETWEEN 1 AND 9 UNION ALL SELECT c_custkey, depth + 1 FROM t JOIN customer ON c_custkey = id * 2) SELECT count(*) AS c, sum(id) AS s, max(depth) AS d FROM t",
+          "WITH RECURSIVE t(id, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey BETWEEN 1 AND 9 UNION ALL SELECT c_custkey, depth + 1 FROM t JOIN customer ON c_custkey = id * 2) SELECT count(*) AS c, sum(id)::BIGINT AS s, max(depth) AS d FROM t")
 
 
 statement("recursive_members", "WITH RECURSIVE t(n, how) AS (SELECT r_regionkey + 1, 'a' FROM region UNION ALL SELECT n * 2, how || 'b' FROM t WHERE n < 20 UNION ALL SELECT n * 3, how || 'c' FROM t WHERE n < 9) SELECT n, how FROM t WHERE n <> 4",

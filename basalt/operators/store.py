@@ -8,6 +8,7 @@ over the changed rows before anything is written; uniqueness needs a join on the
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basalt.dialect import after, closing, commas, top
+from basalt.dialect import AFTER, after, closing, commas, tokenize, top
 from basalt.operators import references, show, versions
 from basalt.operators.ddl import storage_type
 
@@ -45,6 +46,7 @@ class Table:
     old: list[str] = field(default_factory=list)
     unique: list[list[str]] = field(default_factory=list)
     indexes: dict[str, dict] = field(default_factory=dict)
+    versions: list[list] = field(default_factory=list)  # [number of the change, its microseconds, columns, paths], VACUUM keeps the last
 
     @property
     def ddl(self) -> str:
@@ -143,9 +145,41 @@ class Store:
         return path
 
     def _point(self, name: str) -> None:
+        t = self.tables[name]
+        last = max((v[0] for x in self.tables.values() for v in x.versions), default=0)
+        t.versions.append([last + 1, time.time_ns() // 1000, t.ddl, list(t.paths)])
         self.frame(name).createOrReplaceTempView(name)
         self._save()
 
+    def as_of(self, text: str) -> str:
+        """`table AS OF TIMESTAMP x` and `AS OF TRANSACTION n` (the n-th change of this store) as a view of the files that the
+        table had then. A moment before the table's first version that is still kept is an error."""
+        t, i = tokenize(text), 0
+        while i < len(t):
+            a = after(t, i)
+            o = after(t, a) if a < len(t) else a
+            w = after(t, o) if o < len(t) else o
+            if w >= len(t) or t[i].lower() not in self.tables or (t[a].upper(), t[o].upper()) != ("AS", "OF") or t[w].upper() not in ("TIMESTAMP", "TRANSACTION"):
+                i += 1
+                continue
+            x = after(t, w)
+            end = closing(t, x) if t[x] == "(" else x
+            value = "".join(t[x : end + 1])
+            at = self.engine.sql(f"SELECT unix_micros(CAST({value} AS TIMESTAMP))" if t[w].upper() == "TIMESTAMP" else f"SELECT CAST({value} AS BIGINT)").first()[0]
+            by = 1 if t[w].upper() == "TIMESTAMP" else 0
+            known = [v for v in self.tables[t[i].lower()].versions if at is not None and v[by] <= at]
+            if not known:
+                raise ValueError(f"{t[i]} has no version of that moment any more, or had none yet")
+            _, _, ddl, paths = known[-1]
+            frame = self.spark.read.schema(ddl).parquet(*paths) if paths else self.spark.createDataFrame([], ddl)
+            frame.createOrReplaceTempView(view := f"_version_{uuid.uuid4().hex}")
+            n = after(t, end)
+            n = after(t, n) if n < len(t) and t[n].upper() == "AS" else n
+            named = n < len(t) and re.match(r"[A-Za-z_]\w*$", t[n]) and t[n].upper() not in AFTER | {"ON", "USING"}
+            t = t[:i] + [view] + ([] if named else [" AS ", t[i]]) + t[end + 1 :]
+            i += 1
+        return "".join(t)
+
     def replace(self, name: str, df: DataFrame) -> None:
         t = self.tables[name]
         path = self._write(name, df.selectExpr(*[f"CAST(`{c.name}` AS {c.type}) AS `{c.name}`" for c in t.columns]))
@@ -157,7 +191,7 @@ class Store:
             for path in t.old:
                 p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-            t.old = []
+            t.old, t.versions = [], t.versions[-1:]
         self._save()
 
     def _count(self, n: int) -> DataFrame:

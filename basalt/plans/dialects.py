@@ -166,3 +166,14 @@ statement("sum_distinct_over", "SELECT o_orderkey, SUM(DISTINCT o_custkey % 97)
 statement("json_object_rows", "SELECT n_nationkey, JSON_OBJECT('k', n_regionkey, 'n', NULLIF(n_regionkey, 1), 'k', n_name) AS j FROM nation",
           """SELECT n_nationkey, '{"k":"' || n_name || '","n":' || coalesce(CAST(NULLIF(n_regionkey, 1) AS VARCHAR), 'null') || '}' AS j FROM nation""")
 statement("first_last_keys", "SELECT o_orderstatus, FIRST(o_orderkey ORDER BY o_orderdate DESC, o_orderkey) AS a, LAST(o_orderkey ORDER BY o_orderdate DESC, o_orderkey) AS b, FIRST(o_orderkey ORDER BY o_custkey, o_orderkey) AS c FROM orders GROUP BY o_orderstatus")
+
+
+@query("store_as_of", """SELECT 'first' AS what, s_suppkey AS id, s_acctbal AS bal FROM supplier
+UNION ALL SELECT 'updated', s_suppkey, CASE WHEN s_nationkey < 5 THEN 0 ELSE s_acctbal END FROM supplier
+UNION ALL SELECT 'now', s_suppkey, CASE WHEN s_nationkey < 5 THEN 0 ELSE s_acctbal END FROM supplier WHERE s_nationkey <> 7""")
+def store_as_of(spark, sf_dir):
+    """Versions of a table of the store: its second change (an insert), the third (an update), and now (after a delete)."""
+    return _script(spark, sf_dir, "supplier", """CREATE TABLE kept (id INTEGER PRIMARY KEY, bal FLOAT, nation INTEGER);
+INSERT INTO kept SELECT s_suppkey, s_acctbal, s_nationkey FROM supplier;
+UPDATE kept SET bal = 0 WHERE nation < 5; DELETE FROM kept WHERE nation = 7""", """SELECT 'first' AS what, id, bal FROM kept AS OF TRANSACTION 2
+UNION ALL SELECT 'updated', k.id, k.bal FROM kept AS OF TRANSACTION (1 + 2) AS k UNION ALL SELECT 'now', id, bal FROM kept AS OF TIMESTAMP '2999-01-01 00:00:00'""")

@@ -4,6 +4,7 @@ from basalt.engine import Engine, rewrite
 from basalt.functions import scalars
 from basalt.operators import notes, recursive, search, subquery, versions
 from basalt.operators.ddl import create_table, storage_type
+from basalt.operators.explain import explain
 
 
 def one(spark, text, params=None):
@@ -131,3 +132,14 @@ def test_stream_keeps_the_newest(spark, tmp_path):
         source = events.watch(spark, str(tmp_path / "in"), "k int, at int, v string", per_batch=1)
         events.fold(source, str(tmp_path / "out"), ["k"], str(tmp_path / cp), order="at", buckets=4).start().awaitTermination(60)
         assert sorted((r.k, r.v) for r in events.folded(spark, str(tmp_path / "out")).collect()) == [(1, "new"), (2, "b"), (3, "z")]
+
+
+def test_explain_analyze(spark):
+    e = Engine(spark)
+    spark.range(1000).selectExpr("id", "id % 10 AS k").createOrReplaceTempView("big")
+    spark.range(3).selectExpr("id AS k", "'x' AS t").createOrReplaceTempView("small")
+    rows = e.query("EXPLAIN ANALYZE SELECT b.id, t FROM big b JOIN small s ON b.k = s.k")
+    joins = [r for r in rows if "Join" in r["node"]]
+    assert [r["actual_rows"] for r in joins] == [300] and joins[0]["estimated_bytes"]
+    assert {1000, 3} <= {r["actual_rows"] for r in rows if r["node"].startswith("Range")}
+    assert all(r.actual_rows is None for r in explain(e.sql("SELECT b.id FROM big b WHERE id < $1", [5]), False).collect())

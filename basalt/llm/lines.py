@@ -14,8 +14,8 @@ from .neardup import KEYS, semi
 UNIT, TAU, EVERY = "word", 3, 8
 #: Keys of up to so many lines compare their pairs; larger ones are split (see `settled`), until so many symbols are left.
 SMALL, FEW = 16, 16
-#: So few keys of lines need no further split.
-NARROW = 4_000
+#: So few keys of lines need no further split: for one edit; so few pairs are compared at once, for several.
+NARROW, DIRECT = 4_000, 100_000
 ID = ["_a", "_b"]
 SPACES = "\t\x0b\x0c\r"
 
@@ -201,7 +201,7 @@ def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every:
     All lines of a key meet its earliest ones, which settles what surrounds one original in linear work. Keys that
     still hold other lines are split: what is left of the lines, without the substring they share, is cut into
     segments, indexed and probed anew within the key, so that each step halves it (or more, with more edits). Keys
-    of few lines compare pairs. Where little or few lines are left, one edit is decided by `crowded`; several are by pairs.
+    of few lines compare pairs. Where little is left, one edit is decided by `crowded`; several are by pairs, if those are few.
     """
     found = [gone]
     known = lambda: united(found)
@@ -220,6 +220,11 @@ def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every:
         if narrow:
             found.append(stage(crowded(rows), "lines-found"))
             return known()
+        if tau > 1:
+            each = rows.groupBy("_key").agg((F.count("*") * F.count_if("open")).alias("n"))
+            if (each.agg(F.sum("n")).first()[0] or 0) <= DIRECT:
+                found.append(stage(verified(met(rows.where("open"), rows), texts, tau, every), "lines-found"))
+                return known()
         size = F.size("rest")
         wide = size - F.col("d") > F.greatest(F.lit(FEW), F.col("t"))
         ends = rows.where(~wide)

@@ -443,6 +443,7 @@ def test_line_dedup(spark, docs, empty, small, monkeypatch):
     monkeypatch.setattr(lines, "KEYS", 5 if small == 1 else 1000)  # 5: keys are shuffled
     if small == 1:  # as large tables go
         monkeypatch.setattr(lines, "NARROW", 0)
+        monkeypatch.setattr(lines, "DIRECT", 0)
         monkeypatch.setattr(_common, "LITTLE", 0)
     assert got_lines(docs) == want_lines(rows())
     assert lines.dedup(empty).count() == 0
@@ -453,6 +454,7 @@ def test_line_edits(spark, small, unit, tau, every, monkeypatch):
     monkeypatch.setattr(lines, "SMALL", small)
     if small == 1:
         monkeypatch.setattr(lines, "NARROW", 0)
+        monkeypatch.setattr(lines, "DIRECT", 0)
         monkeypatch.setattr(_common, "LITTLE", 0)
     r = random.Random(5)
     some = []

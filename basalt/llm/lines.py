@@ -68,38 +68,20 @@ def listed(tau: int) -> Column:
     return F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip("tdio", p, strict=True)]) for p in probes(tau)])
 
 
-def slots(n: Column, tau: int, every: int) -> Column:
-    """The probes of a line of n symbols, in order: for lines d shorter, those of as many edits as such a pair may have."""
-    return F.filter(listed(tau), lambda p: p["t"] == reach(n - p["d"], tau, every))
+def probed(rows: DataFrame, keep: list[str], sym: Column, n: Column, tau: int, wanted, index: Column, parent: list[str] | None = None) -> DataFrame:
+    """keep, t, d, i, o, index, _key and sym, once for each probe p of a row for which wanted(p) holds and whose place there is.
 
-
-def most_slots(tau: int, every: int) -> int:
-    plan = probes(tau)
-    return max(sum(min(tau, max(0, n - d) // every) == t for t, d, _, _ in plan) for n in range(every * (tau + 2)))
-
-
-def keys(sym: Column, n: Column, chosen: Column, *parent: Column) -> Column:
-    """For each of the chosen probes the hash of its substring, with the segment it is sought for and the length of the
-    lines that have it; null where the line has no such place."""
-    given = F.struct(sym.alias("sym"), n.alias("n"), chosen.alias("chosen"), *[x.alias(f"p{i}") for i, x in enumerate(parent)])
-
-    def of(v):  # v binds what every probe reads
-        def key(p):
-            length = v["n"] - p["d"]
-            first, size = segment(length, p["t"], p["i"])
-            start = first + p["o"]
-            name = F.xxhash64(*[v[f"p{i}"] for i in range(len(parent))], p["t"], p["i"], length, F.slice(v["sym"], start, size))
-            return F.when((start >= 1) & (start + size - 1 <= v["n"]), name)
-
-        return F.transform(v["chosen"], key)
-
-    return F.transform(F.array(given), of)[0]
-
-
-def entries(chosen: Column, names: Column, index: Column) -> Column:
-    """Keys of a line with their probes; index: those at the line's own segments are entries of the index, and probes at once."""
-    own = lambda p: index & (p["d"] == 0) & (p["o"] == 0)
-    return F.zip_with(chosen, names, lambda p, k: F.struct(p["t"].alias("t"), p["d"].alias("d"), p["i"].alias("i"), p["o"].alias("o"), own(p).alias("index"), k.alias("_key")))
+    _key names the substring of sym (n symbols), the segment it is sought for and the length of the lines that have it,
+    within `parent`. index: what stands at a line's own segment is an entry of the index, and a probe at once.
+    """
+    parent = parent or []
+    have = [*keep, *[p for p in parent if p not in keep]]
+    each = rows.select(*have, sym.alias("_sym"), n.alias("_of"), index.alias("_own"), F.explode(listed(tau)).alias("_x")).where(wanted(F.col("_x")))
+    each = each.select(*have, "_sym", "_of", "_own", "_x.*").withColumn("_long", F.col("_of") - F.col("d"))
+    first, size = segment(F.col("_long"), F.col("t"), F.col("i"))
+    each = each.withColumn("_size", size).withColumn("_at", first + F.col("o")).where("_at >= 1 AND _at + _size - 1 <= _of")
+    key = F.xxhash64(*parent, "t", "i", "_long", F.slice("_sym", F.col("_at"), F.col("_size")))
+    return each.select(*keep, "t", "d", "i", "o", (F.col("_own") & (F.col("d") == 0) & (F.col("o") == 0)).alias("index"), key.alias("_key"), F.col("_sym").alias("sym"))
 
 
 def remainder(sym: Column, n: Column) -> Column:
@@ -231,10 +213,9 @@ def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every:
         near = [crowded(ends.where("t = 1"))]
         if tau > 1:
             near.append(verified(met(ends.where("t > 1 AND open"), ends), texts, tau, every))
-        chosen = F.filter(listed(tau), lambda p: (p["t"] == F.col("t")) & (p["d"] == F.col("d")))
-        each = entries(chosen, keys(F.col("rest"), size, chosen, F.col("_key")), F.col("index"))
-        flat = rows.where(wide).select(*ID, "first", "rest", "open", F.explode(each).alias("x")).select(*ID, "first", "rest", "open", "x.*").where("_key IS NOT NULL")
-        shared = tight(counted(flat, "_open")).withColumn("rest", remainder(F.col("rest"), F.size("rest")))
+        again = rows.where(wide).withColumnsRenamed({"_key": "_in", "t": "t0", "d": "d0"})
+        flat = probed(again, [*ID, "first", "open"], F.col("rest"), size, tau, lambda p: (p["t"] == F.col("t0")) & (p["d"] == F.col("d0")), F.col("index"), ["_in"])
+        shared = tight(counted(flat, "_open")).withColumn("rest", remainder(F.col("sym"), F.size("sym"))).drop("sym")
         small = shared.where(F.col("_n") <= SMALL)
         near.append(verified(met(small.where("open"), small), texts, tau, every))
         found.append(stage(functools.reduce(DataFrame.union, near), "lines-found"))
@@ -256,14 +237,15 @@ def lines_of(docs: DataFrame, unit: str) -> DataFrame:
     return lines.select("_k", "_h", "pos", (F.col("_p") + F.col("pos")).cast("decimal(38,0)").alias("place"), "line", F.xxhash64("line").alias("_a"), F.xxhash64(F.lit(17), "line").alias("_b"))
 
 
-def near(distinct: DataFrame, lines: DataFrame, names: list[str], tau: int, every: int, unit: str) -> DataFrame:
+def near(distinct: DataFrame, tau: int, every: int, unit: str) -> DataFrame:
     """Lines (_a, _b; some more than once) that an earlier line is within reach of."""
     n = F.col("n")
-    chosen = slots(n, tau, every)
-    each = entries(chosen, F.slice(F.array(*names), F.lit(1), F.size(chosen)), F.lit(True))
-    flat = distinct.where(n >= every).select(*ID, "first", "n", F.lit(True).alias("open"), F.explode(each).alias("x")).select(*ID, "first", "n", "open", "x.*").where("_key IS NOT NULL")
+    # Each symbol is hashed once; the substrings are hashed from these numbers.
+    sized = distinct.withColumn("sym", F.transform(symbols(F.col("line"), unit), lambda w: F.xxhash64(w))).withColumn("n", F.size("sym")).where(n >= every)
+    sized = sized.withColumn("open", F.lit(True))
+    flat = probed(sized, [*ID, "first", "n", "open"], F.col("sym"), n, tau, lambda p: p["t"] == reach(n - p["d"], tau, every), F.lit(True)).drop("sym")
     shared = counted(flat, "_open")
-    texts = semi(lines.select(*ID, "line"), stage(shared.select(*ID).distinct(), "lines-some"), ID).dropDuplicates(ID)
+    texts = semi(distinct.select(*ID, "line"), stage(shared.select(*ID).distinct(), "lines-some"), ID)
     texts = stage(texts.select(*ID, symbols(F.col("line"), unit).alias("sym")), "lines-texts")
     small, hot = shared.where(F.col("_n") <= SMALL), shared.where(F.col("_n") > SMALL)
     gone = stage(verified(met(small, small), texts, tau, every), "lines-gone")
@@ -298,13 +280,8 @@ def dedup(docs: DataFrame, tau: int = TAU, every: int = EVERY, unit: str = UNIT,
         raise ValueError("a line of n symbols can't have more than n / 2 edits, nor less than none")
     base = docs.select(F.col(id_col).alias("doc_id"), *doc_key(id_col, text_col), F.col(text_col).cast("string").alias("text"), *rest(docs, text_col, carry))
     lines = lines_of(base, unit)
-    names = [f"k{j}" for j in range(most_slots(tau, every))]
-    # Each symbol is hashed once; the substrings are hashed from these numbers.
-    sized = lines.withColumn("sym", F.transform(symbols(F.col("line"), unit), lambda w: F.xxhash64(w))).withColumn("n", F.size("sym"))
-    keyed = sized.select(*ID, "place", "n", (keys(F.col("sym"), F.col("n"), slots(F.col("n"), tau, every)) if tau else F.array()).alias("_keys"))
-    keyed = keyed.select(*ID, "place", "n", *[F.get("_keys", F.lit(j)).alias(k) for j, k in enumerate(names)])
-    distinct = stage(keyed.groupBy(*ID).agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in names]), "lines-distinct")
-    gone = near(distinct, lines, names, tau, every, unit) if tau else distinct.select(*ID).where("false")
+    distinct = stage(lines.groupBy(*ID).agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.first("line").alias("line")), "lines-distinct")
+    gone = near(distinct, tau, every, unit) if tau else distinct.select(*ID).where("false")
     gone = gone.distinct().withColumn("_gone", F.lit(True))
     repeated = stage(distinct.select(*ID, "first", "copies").join(gone, ID, "left").where("copies > 1 OR _gone").select(*ID, "first", "_gone"), "lines-repeated")
     told = F.broadcast(repeated) if few(repeated, KEYS) else repeated

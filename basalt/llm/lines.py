@@ -58,30 +58,46 @@ def probes(tau: int) -> list[tuple[int, int, int, int]]:
 
 def segment(length: Column, t: Column, i: Column) -> tuple[Column, Column]:
     """(first place, size) of segment i of t + 1 of a line of `length` symbols; the last ones take what is left over."""
-    size = F.floor(length / (t + 1)).cast("int")
-    short = t + 1 - (length - size * (t + 1))  # segments without an extra symbol
-    return size * (i - 1) + F.greatest(F.lit(0), i - 1 - short) + 1, size + (i > short).cast("int")
+    over = length % (t + 1)
+    size = F.call_function("div", length, t + 1).cast("int")
+    before = i - 1 - (t + 1 - over)  # segments before this one that have an extra symbol
+    return size * (i - 1) + F.greatest(F.lit(0), before) + 1, size + (before >= 0).cast("int")
 
 
-def listed(tau: int) -> Column:
-    """All probes as a constant array of structs, so that a plan holds the arithmetic of one, not of dozens."""
-    return F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip("tdio", p, strict=True)]) for p in probes(tau)])
+def listed(plan: list[tuple[int, int, int, int]]) -> Column:
+    """Probes as a constant array of structs, so that a query plan holds the arithmetic of one, not of dozens."""
+    each = [F.struct(*[F.lit(x).alias(k) for k, x in zip("tdio", p, strict=True)]) for p in plan]
+    return F.array(*each) if each else F.array().cast("array<struct<t:int,d:int,i:int,o:int>>")
 
 
-def probed(rows: DataFrame, keep: list[str], sym: Column, n: Column, tau: int, wanted, index: Column, parent: list[str] | None = None) -> DataFrame:
-    """keep, t, d, i, o, index, _key and sym, once for each probe p of a row for which wanted(p) holds and whose place there is.
+def slots(n: Column, tau: int, every: int) -> Column:
+    """The probes of a line of n symbols: for lines d shorter, those of as many edits as such a pair may have.
+
+    They are looked up in a constant list by n; all lines of every * tau + tau symbols or more have the same ones.
+    """
+    top = every * tau + tau
+    return F.get(F.array(*[listed([p for p in probes(tau) if p[0] == min(tau, max(0, k - p[1]) // every)]) for k in range(top + 1)]), F.least(n, F.lit(top)))
+
+
+def same_slots(t: Column, d: Column, tau: int) -> Column:
+    """The probes of t edits for lines d shorter."""
+    return F.get(F.array(*[listed([p for p in probes(tau) if p[:2] == (a, b)]) for a in range(tau + 1) for b in range(tau + 1)]), t * (tau + 1) + d)
+
+
+def probed(rows: DataFrame, keep: list[str], sym: Column, n: Column, chosen: Column, index: Column, parent: list[str] | None = None) -> DataFrame:
+    """keep, t, d, i, o, index, _key and sym, once for each of the chosen probes of a row (of lines of more than t symbols).
 
     _key names the substring of sym (n symbols), the segment it is sought for and the length of the lines that have it,
-    within `parent`. index: what stands at a line's own segment is an entry of the index, and a probe at once.
+    within `parent`. index: what stands at a line's own segment is an entry of the index, and a probe at once. With a
+    symbol or more in each segment, all places that `probes` names lie within the line.
     """
     parent = parent or []
     have = [*keep, *[p for p in parent if p not in keep]]
-    each = rows.select(*have, sym.alias("_sym"), n.alias("_of"), index.alias("_own"), F.explode(listed(tau)).alias("_x")).where(wanted(F.col("_x")))
-    each = each.select(*have, "_sym", "_of", "_own", "_x.*").withColumn("_long", F.col("_of") - F.col("d"))
+    each = rows.select(*have, sym.alias("sym"), n.alias("_of"), index.alias("_own"), F.explode(chosen).alias("_x"))
+    each = each.select(*have, "sym", "_own", "_x.*", (F.col("_of") - F.col("_x.d")).alias("_long"))
     first, size = segment(F.col("_long"), F.col("t"), F.col("i"))
-    each = each.withColumn("_size", size).withColumn("_at", first + F.col("o")).where("_at >= 1 AND _at + _size - 1 <= _of")
-    key = F.xxhash64(*parent, "t", "i", "_long", F.slice("_sym", F.col("_at"), F.col("_size")))
-    return each.select(*keep, "t", "d", "i", "o", (F.col("_own") & (F.col("d") == 0) & (F.col("o") == 0)).alias("index"), key.alias("_key"), F.col("_sym").alias("sym"))
+    key = F.xxhash64(*parent, "t", "i", "_long", F.slice("sym", first + F.col("o"), size))
+    return each.select(*keep, "t", "d", "i", "o", (F.col("_own") & (F.col("d") == 0) & (F.col("o") == 0)).alias("index"), key.alias("_key"), "sym")
 
 
 def remainder(sym: Column, n: Column) -> Column:
@@ -91,9 +107,27 @@ def remainder(sym: Column, n: Column) -> Column:
     return F.concat(F.slice(sym, F.lit(1), start - 1), F.slice(sym, start + size, n - start - size + 1))
 
 
+def let(x: Column, f) -> Column:
+    """f of x, which is evaluated once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def cut(p: Column, t: Column) -> Column:
+    """(p, t), two different arrays, without what they begin with in common, and reversed: their distance stays."""
+
+    def less(v):
+        return F.struct(*[F.reverse(F.slice(v[k], v["at"], F.size(v[k]))).alias(k) for k in "pt"])
+
+    at = F.array_position(F.zip_with(p, t, lambda a, b: ~a.eqNullSafe(b)), True).cast("int")
+    return let(F.struct(p.alias("p"), t.alias("t"), at.alias("at")), less)
+
+
 def within(p: Column, t: Column, tau: int, most: Column | None = None) -> Column:
     """Whether two arrays are within `most` (at most tau, else tau) edits of each other: banded, bit-parallel.
 
+    Each symbol that only one of them has takes an edit, which rules many pairs out at once; what they begin and end
+    with in common is passed over.
+
     Bit d + tau of state e: with at most e edits, the diagonal d (symbols of p used minus those of t) can be
     reached. A symbol of t moves all diagonals at once by a few operations on the 2 tau + 1 bits.
     """
@@ -126,14 +160,15 @@ def within(p: Column, t: Column, tau: int, most: Column | None = None) -> Column
                 out.append(x.cast("long").alias(k))
             return F.struct(*out)
 
-        ran = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), begin, lambda acc, j: F.transform(F.array(hits(j)), lambda h: states(acc, h))[0])).otherwise(begin)
+        ran = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), begin, lambda acc, j: let(hits(j), lambda h: states(acc, h)))).otherwise(begin)
         at = s["most"]
         last = F.coalesce(*[F.when(at == e, ran[names[e]]) for e in range(tau + 1)])
         return F.call_function("shiftright", last, (m - n + tau).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
 
     most = F.lit(tau) if most is None else most
-    given = F.struct(p.alias("p"), t.alias("t"), F.size(p).alias("m"), F.size(t).alias("n"), most.alias("most"))
-    return F.when(F.abs(F.size(p) - F.size(t)) <= most, F.transform(F.array(given), run)[0]).otherwise(F.lit(False))
+    far = (F.abs(F.size(p) - F.size(t)) > most) | (F.size(F.array_except(p, t)) > most) | (F.size(F.array_except(t, p)) > most)
+    given = lambda v: F.struct(v["p"].alias("p"), v["t"].alias("t"), F.size(v["p"]).alias("m"), F.size(v["t"]).alias("n"), most.alias("most"))
+    return F.when(far, F.lit(False)).when(p == t, F.lit(True)).otherwise(let(cut(p, t), lambda u: let(cut(u["p"], u["t"]), lambda v: let(given(v), run))))
 
 
 def crowded(rows: DataFrame) -> DataFrame:
@@ -214,7 +249,7 @@ def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every:
         if tau > 1:
             near.append(verified(met(ends.where("t > 1 AND open"), ends), texts, tau, every))
         again = rows.where(wide).withColumnsRenamed({"_key": "_in", "t": "t0", "d": "d0"})
-        flat = probed(again, [*ID, "first", "open"], F.col("rest"), size, tau, lambda p: (p["t"] == F.col("t0")) & (p["d"] == F.col("d0")), F.col("index"), ["_in"])
+        flat = probed(again, [*ID, "first", "open"], F.col("rest"), size, same_slots(F.col("t0"), F.col("d0"), tau), F.col("index"), ["_in"])
         shared = tight(counted(flat, "_open")).withColumn("rest", remainder(F.col("sym"), F.size("sym"))).drop("sym")
         small = shared.where(F.col("_n") <= SMALL)
         near.append(verified(met(small.where("open"), small), texts, tau, every))
@@ -240,10 +275,8 @@ def lines_of(docs: DataFrame, unit: str) -> DataFrame:
 def near(distinct: DataFrame, tau: int, every: int, unit: str) -> DataFrame:
     """Lines (_a, _b; some more than once) that an earlier line is within reach of."""
     n = F.col("n")
-    # Each symbol is hashed once; the substrings are hashed from these numbers.
-    sized = distinct.withColumn("sym", F.transform(symbols(F.col("line"), unit), lambda w: F.xxhash64(w))).withColumn("n", F.size("sym")).where(n >= every)
-    sized = sized.withColumn("open", F.lit(True))
-    flat = probed(sized, [*ID, "first", "n", "open"], F.col("sym"), n, tau, lambda p: p["t"] == reach(n - p["d"], tau, every), F.lit(True)).drop("sym")
+    sized = distinct.where(n >= every).withColumn("sym", symbols(F.col("line"), unit)).withColumn("open", F.lit(True))
+    flat = probed(sized, [*ID, "first", "n", "open"], F.col("sym"), n, slots(n, tau, every), F.lit(True)).drop("sym")
     shared = counted(flat, "_open")
     texts = semi(distinct.select(*ID, "line"), stage(shared.select(*ID).distinct(), "lines-some"), ID)
     texts = stage(texts.select(*ID, symbols(F.col("line"), unit).alias("sym")), "lines-texts")
@@ -280,7 +313,7 @@ def dedup(docs: DataFrame, tau: int = TAU, every: int = EVERY, unit: str = UNIT,
         raise ValueError("a line of n symbols can't have more than n / 2 edits, nor less than none")
     base = docs.select(F.col(id_col).alias("doc_id"), *doc_key(id_col, text_col), F.col(text_col).cast("string").alias("text"), *rest(docs, text_col, carry))
     lines = lines_of(base, unit)
-    distinct = stage(lines.groupBy(*ID).agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.first("line").alias("line")), "lines-distinct")
+    distinct = stage(lines.groupBy(*ID).agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.first("line").alias("line")).withColumn("n", F.size(symbols(F.col("line"), unit))), "lines-distinct")
     gone = near(distinct, tau, every, unit) if tau else distinct.select(*ID).where("false")
     gone = gone.distinct().withColumn("_gone", F.lit(True))
     repeated = stage(distinct.select(*ID, "first", "copies").join(gone, ID, "left").where("copies > 1 OR _gone").select(*ID, "first", "_gone"), "lines-repeated")

@@ -218,17 +218,44 @@ def proximity(source: Column, target: Column) -> Column:
 
 
 def resolve_links(links: DataFrame, entities: DataFrame) -> DataFrame:
-    """links (link_id, name, source) -> with entity_id: by permalink, then title (nearest, then shortest path), path, path + .md."""
-    es = entities.select("entity_id", "title", "permalink", "file_path")
-    ways = [("permalink", 0), ("title", 1), ("file_path", 2)]
-    found = [links.join(es, links["name"] == es[c]).select("link_id", "source", "entity_id", "file_path", F.lit(n).alias("way")) for c, n in ways]
-    found.append(links.join(es, F.concat(links["name"], F.lit(".md")) == es["file_path"]).select("link_id", "source", "entity_id", "file_path", F.lit(3).alias("way")))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    best = W.partitionBy("link_id").orderBy("way", proximity(F.col("source"), F.col("file_path")), F.length("file_path"), "entity_id")
-    first = every.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("link_id", "entity_id")
-    return links.join(first, "link_id", "left")
+    """links (link_id, name, source) -> with entity_id: by permalink, then title (nearest, then shortest path), path, path + .md.
+
+    Nearness is decided by equalities. A link asks at its own folder and those above it, at its folder for what stands
+    below, and for anything of the name; of each such place only the best entity is kept. So a name that many links and
+    many entities have makes no pairs of them.
+    """
+    folder = lambda path: F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    parts = F.split("folder", "/")
+    depth = lambda at: F.when(at == "", 0).otherwise(F.size(F.split(at, "/")))
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    above = F.filter(F.array_distinct(F.concat(F.array(F.lit("")), up)), lambda x: x != F.col("folder"))
+    place = lambda at, kind, p: F.struct(at.alias("at"), F.lit(kind).alias("kind"), p.cast("int").alias("p"))
+    here, below, any_ = 0, 1, 2
+
+    path = F.col("file_path")
+    way = lambda c, n: F.struct(c.alias("name"), F.lit(n).alias("way"))
+    names = F.array(way(F.col("permalink"), 0), way(F.col("title"), 1), way(path, 2), way(F.when(F.endswith(path, F.lit(".md")), F.expr("left(file_path, length(file_path) - 3)")), 3))
+    es = entities.select(F.explode(names).alias("_n"), folder(path).alias("folder"), F.length(path).alias("length"), "entity_id").select("_n.*", "folder", "length", "entity_id").where("name IS NOT NULL")
+    # Equal folders are combined and names that nobody asks for go first, so that few rows are repeated for the folders above.
+    es = es.groupBy("name", "way", "folder").agg(F.min(F.struct("length", "entity_id")).alias("_e")).join(links.select("name").distinct(), "name", "left_semi")
+    held = F.concat(
+        F.when(F.col("folder").isNull(), F.array().cast("array<struct<at:string,kind:int,p:int>>")).otherwise(F.concat(F.array(place(F.col("folder"), here, F.lit(0))), F.transform(above, lambda x: place(x, below, depth(F.col("folder")) - depth(x))))),
+        F.array(place(F.lit(""), any_, F.lit(0))),
+    )
+    es = es.select("name", "way", "_e", F.explode(held).alias("_p")).groupBy("name", "_p.at", "_p.kind").agg(F.min(F.struct("way", F.col("_p.p").alias("near"), "_e")).alias("_t"))
+
+    asked = links.select("link_id", "name", folder(F.col("source")).alias("folder"))
+    spots = F.concat(
+        F.when(F.col("folder").isNull(), F.array(place(F.lit(""), here, F.lit(-1)))).otherwise(
+            F.concat(F.array(place(F.col("folder"), here, F.lit(0)), place(F.col("folder"), below, F.lit(100))), F.transform(above, lambda x: place(x, here, depth(F.col("folder")) - depth(x))))
+        ),
+        F.array(place(F.lit(""), any_, F.lit(1000))),
+    )
+    places = asked.select("name", "folder").where("name IS NOT NULL").distinct().select("name", "folder", F.explode(spots).alias("_p")).select("name", "folder", "_p.*")
+    best = F.min(F.struct(F.col("_t.way"), (F.col("p") + F.col("_t.near")).alias("near"), F.col("_t._e"))).alias("_b")
+    solved = places.join(es, ["name", "at", "kind"]).groupBy("name", "folder").agg(best).withColumnsRenamed({"name": "_name", "folder": "_folder"})
+    first = asked.join(solved, (F.col("name") == F.col("_name")) & F.col("folder").eqNullSafe(F.col("_folder"))).groupBy("link_id").agg(F.min("_b").alias("_b"))
+    return links.join(first.select("link_id", F.col("_b._e.entity_id").alias("entity_id")), "link_id", "left")
 
 
 def resolve_forward(rels: DataFrame, entities: DataFrame) -> DataFrame:

@@ -4,7 +4,10 @@ import datetime
 
 import pytest
 
-from basalt.operators import context, notes
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from basalt.operators import context, explain, notes
 from basalt.sources import web
 
 NOW = datetime.datetime(2024, 5, 31, 12)
@@ -78,3 +81,26 @@ def test_upsert_keeps_identifiers_unique(spark):
     got = context.upsert(es, new).collect()
     assert sorted(r.id for r in got) == list(range(5, 46)) and len({r.permalink for r in got}) == 41
     assert [r.change for r in got if r.id == 5] == ["updated"] and context.upsert(es, new.limit(0)).first().change == "same"
+
+
+def _most_rows(df):
+    return max(r.actual_rows or 0 for r in explain.explain(df, True).collect())
+
+
+def test_links_by_nearness_as_by_all_pairs(spark):
+    paths = ["a.md", "x/a.md", "x/y/a.md", "x/y/z/a.md", "x/b.md", "/x/a.md", "x//a.md", "xy/a.md", "w/x/y/a.md", "x/y/b.md"]
+    es = spark.createDataFrame([(i, ("t", "u", "x/b")[i % 3], p.removesuffix(".md") if i % 4 == 0 else f"p{i % 5}", p) for i, p in enumerate(paths * 3)], "entity_id long, title string, permalink string, file_path string")
+    names = ["t", "u", "x/b", "x/b.md", "x/y/a", "p1", "none", None, "x//a"]
+    ls = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate((n, s) for n in names for s in ["f.md", "x/f.md", "x/y/f.md", "x/y/z/f.md", "v/f.md", "/x/f.md", "x//f.md", None])], "link_id long, name string, source string")
+    way = F.when(F.col("name") == F.col("permalink"), 0).when(F.col("name") == F.col("title"), 1).when(F.col("name") == F.col("file_path"), 2).when(F.concat("name", F.lit(".md")) == F.col("file_path"), 3)
+    order = W.partitionBy("link_id").orderBy("_w", notes.proximity(F.col("source"), F.col("file_path")), F.length("file_path"), "entity_id")
+    want = ls.crossJoin(es).withColumn("_w", way).where("_w IS NOT NULL").withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    want = {r.link_id: r.entity_id for r in want.collect()}
+    assert want and {r.link_id: r.entity_id for r in notes.resolve_links(ls, es).collect()} == {i: want.get(i) for i in range(len(names) * 8)}
+
+
+def test_links_to_a_common_title_make_no_pairs(spark):
+    es = spark.range(600).selectExpr("id AS entity_id", "'t' AS title", "concat('p', id) AS permalink", "concat('f', id % 3, '/', id, '.md') AS file_path")
+    found = notes.resolve_links(spark.range(600).selectExpr("id AS link_id", "'t' AS name", "concat('f', id % 4, '/x.md') AS source"), es)
+    assert _most_rows(found) < 10_000
+    assert {r.link_id: r.entity_id for r in found.collect()} == {i: i % 4 if i % 4 < 3 else 0 for i in range(600)}

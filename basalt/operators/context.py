@@ -148,15 +148,21 @@ def fuzzy_links(links: DataFrame, entities: DataFrame) -> DataFrame:
     """links (link_id, name, source, entity_id), as `resolve_links` gives them, with the null ones resolved by search.
 
     An entity is found if its title and permalink have all words of the name; the one with the fewest words wins,
-    then the smallest id. Names with * are patterns, which stay null. Words meet by equality, and the words of a
-    name are counted, so nothing is compared with everything.
+    then the smallest id. Names with * are patterns, which stay null. Of an entity only the words count that some name
+    asks for, and of the entities with the same ones of these only the best; they meet the names by a name's rarest word.
     """
-    tokens = lambda c: F.array_distinct(search.words(F.replace(c, F.lit("/"), F.lit(" "))))
-    es = entities.select(F.col("entity_id").alias("_e"), tokens(F.concat_ws(" ", "title", "permalink")).alias("_w"))
-    words = es.select("_e", F.size("_w").alias("_n"), F.explode("_w").alias("word"))
+    tokens = lambda c: F.array_sort(F.array_distinct(search.words(F.replace(c, F.lit("/"), F.lit(" ")))))
     asked = links.where("entity_id IS NULL AND NOT contains(name, '*')").select("link_id", tokens(F.col("name")).alias("_w"))
-    hits = asked.select("link_id", F.size("_w").alias("_m"), F.explode("_w").alias("word")).join(words, "word").groupBy("link_id", "_m", "_e", "_n").agg(F.count("*").alias("_k")).where("_k = _m")
-    best = hits.groupBy("link_id").agg(F.min(F.struct("_n", "_e")).alias("_b")).select("link_id", F.col("_b._e").alias("_found"))
+    sets = asked.select("_w").distinct()
+    wanted = sets.select(F.explode("_w").alias("word")).distinct()
+    es = entities.select(F.col("entity_id").alias("_e"), tokens(F.concat_ws(" ", "title", "permalink")).alias("_t"))
+    words = es.select("_e", F.size("_t").alias("_n"), F.explode("_t").alias("word")).join(wanted, "word")
+    kinds = words.groupBy("_e", "_n").agg(F.array_sort(F.collect_list("word")).alias("_t")).groupBy("_t").agg(F.min(F.struct("_n", "_e")).alias("_b"))
+    by_word = kinds.select("_t", "_b", F.explode("_t").alias("word"))
+    often = by_word.groupBy("word").agg(F.count("*").alias("_d"))
+    rarest = sets.select("_w", F.explode("_w").alias("word")).join(often, "word", "left").groupBy("_w").agg(F.min(F.struct(F.coalesce("_d", F.lit(0)).alias("_d"), "word")).alias("_r")).select("_w", F.col("_r.word").alias("word"))
+    held = rarest.join(by_word, "word").where(F.size(F.array_except("_w", "_t")) == 0).groupBy("_w").agg(F.min("_b").alias("_b"))
+    best = asked.join(held, "_w").groupBy("link_id").agg(F.min("_b").alias("_b")).select("link_id", F.col("_b._e").alias("_found"))
     return links.join(best, "link_id", "left").withColumn("entity_id", F.coalesce("entity_id", "_found")).drop("_found")
 
 

@@ -104,3 +104,12 @@ def test_links_to_a_common_title_make_no_pairs(spark):
     found = notes.resolve_links(spark.range(600).selectExpr("id AS link_id", "'t' AS name", "concat('f', id % 4, '/x.md') AS source"), es)
     assert _most_rows(found) < 10_000
     assert {r.link_id: r.entity_id for r in found.collect()} == {i: i % 4 if i % 4 < 3 else 0 for i in range(600)}
+
+
+def test_search_for_links_combines_entities_of_the_same_words(spark):
+    es = spark.range(600).selectExpr("id AS entity_id", "concat('red ', if(id % 2 = 0, 'green', 'blue')) AS title", "concat('p', id) AS permalink")
+    ls = spark.createDataFrame([(i, n, "s", None) for i, n in enumerate(["blue red", "red", "RED/red", "green p4", "green p5", "red*", "", "none red"] + ["Red green"] * 300)], "link_id long, name string, source string, entity_id long")
+    found = context.fuzzy_links(ls, es)
+    assert _most_rows(found) < 10_000
+    got = {r.link_id: r.entity_id for r in found.collect()}
+    assert [got[i] for i in range(8)] == [1, 0, 0, 4, None, None, None, None] and {got[i] for i in range(8, 308)} == {0}

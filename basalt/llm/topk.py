@@ -116,12 +116,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_bytes: i
     cs = stage(blocks(candidates.dropDuplicates(), candidate_block).withColumn("_c", F.xxhash64("ids", "data")), "topk-candidates")
     groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), cs.count()))
     # Both sides are repeated along the other's axis and meet by an equality, spread over all tasks. Slots and groups
-    # are numbered without the data.
+    # are numbered without the data. The hint: Spark estimates the repeated queries by their compressed files and would
+    # broadcast them through the driver.
     slots = qs.select("_dim", "_b").distinct().withColumn("_slot", F.row_number().over(W.partitionBy("_dim").orderBy("_b")) - 1)
     counts = slots.groupBy("_dim").agg(F.max("_slot").alias("_last"))
     grid = cs.withColumn("_g", F.pmod("_c", F.lit(groups)).cast("int")).join(F.broadcast(counts), "_dim").withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col("_last")))).drop("_last")
     asked = qs.dropDuplicates(["_dim", "_b"]).join(slots, ["_dim", "_b"]).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = grid.join(asked, ["_dim", "_slot", "_g"]).select("_dim", "qids", "qdata", "ids", "data")
+    pairs = grid.join(asked.hint("merge"), ["_dim", "_slot", "_g"]).select("_dim", "qids", "qdata", "ids", "data")
 
     def run(batches):
         import pyarrow as pa

@@ -527,6 +527,12 @@ def test_top_k(spark):
     assert topk.top_k(every.limit(0), every).count() == 0 and topk.top_k(every, every.limit(0)).count() == 0
 
 
+def test_top_k_broadcasts_no_vectors(spark):
+    every = topk.quantised(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id long, embedding array<double>"))
+    plan = topk.top_k(every.where("vec_id % 20 = 0"), every, k=3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_dim" in plan and not re.search(r"BroadcastHashJoin \[_dim[^\]]*_slot", plan)
+
+
 def test_top_k_of_large_components(spark):
     """Sums beyond 2^53 are exact, those beyond a long are its ends; no finite component fails."""
     rng = np.random.default_rng(8)

@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Training vectors for each list, expected; rounds of training; queries that are broadcast, more are shuffled.
-EACH, ROUNDS, FEW = 64, 8, 10_000
+#: Training vectors for each list, expected; rounds of training.
+EACH, ROUNDS = 64, 8
+#: Vectors and queries of a block, queries multiplied at once.
+VECTORS, QUERIES, AT_ONCE = 8192, 2048, 128
 
 
 def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
@@ -76,25 +78,90 @@ def probed(spark: SparkSession, path: str, queries: DataFrame, probes: int, id_c
     return asked.join(F.broadcast(spark.read.parquet(f"{path}/centres").select("_list", "n")), "_list")
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+def blocks(vectors: DataFrame, most: int) -> DataFrame:
+    """Rows (_list, _dim, ids, data): up to `most` vectors of a list and dimension, from a task's rows (_list, id, vector)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict[tuple, list] = {}
+
+        def flush(key):
+            part = held.pop(key)
+            ids, data = np.array([i for i, _ in part], np.int64), np.array([v for _, v in part], np.float64)
+            return pa.RecordBatch.from_pydict({"_list": pa.array([key[0]], pa.int32()), "_dim": pa.array([key[1]], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
+
+        for batch in batches:
+            for at, i, v in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                key = (at, len(v))
+                held.setdefault(key, []).append((i, v))
+                if len(held[key]) >= most:
+                    yield flush(key)
+        for key in list(held):
+            yield flush(key)
+
+    return vectors.mapInArrow(run, "_list int, _dim int, ids binary, data binary")
+
+
+def closest(q: np.ndarray, c: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, distance) of the k nearest rows of c to each row of q, ties to the smaller id. Products of matrices
+    choose, with room for their error; what they choose is measured component by component, in order."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        qn, cn = (q**2).sum(1), (c**2).sum(1)
+        near = cn[None] - 2 * (q @ c.T)
+        other = qid[:, None] != cid[None]
+        if len(cid) > k + 1 and np.isfinite(qn).all() and np.isfinite(near).all():
+            near[~other] = np.inf
+            limit = np.partition(near, k - 1, axis=1)[:, k - 1] + 1e-10 * (qn + cn.max())
+            other &= near <= limit[:, None]
+        i, j = np.nonzero(other)
+        d = np.zeros(len(i))
+        for x in range(q.shape[1]):
+            d += (c[j, x] - q[i, x]) ** 2
+        d = np.sqrt(d)
+    order = np.lexsort((cid[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return qid[i[first]], cid[j[first]], d[first]
+
+
+def _meet(vectors: DataFrame, queries: DataFrame, k: int, deal: int) -> DataFrame:
+    """query_id, rank, id, distance: for each query (_list, id, vector) the k nearest vectors (_list, id, vector) of its lists.
+
+    Blocks of vectors meet blocks of queries by their list; each list's vectors are dealt to `deal` groups, for which the
+    queries are repeated. A pair of blocks gives k rows a query; nothing is broadcast.
+    """
+    given = lambda df: df.where("id IS NOT NULL AND vector IS NOT NULL")
+    cs = blocks(given(vectors), VECTORS).withColumn("_g", F.pmod(F.xxhash64("ids"), F.lit(deal)).cast("int"))
+    qs = blocks(given(queries), QUERIES).withColumnsRenamed({"ids": "qids", "data": "qdata"}).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+    pairs = cs.join(qs.hint("merge"), ["_list", "_dim", "_g"]).select("_dim", "qids", "qdata", "ids", "data")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim, qi, qd, ci, cd = (batch.column(x)[r].as_py() for x in range(5))
+                qid, cid = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
+                q, c = np.frombuffer(qd, np.float64).reshape(len(qid), dim), np.frombuffer(cd, np.float64).reshape(len(cid), dim)
+                for i in range(0, len(qid), AT_ONCE):
+                    found = closest(q[i : i + AT_ONCE], c, qid[i : i + AT_ONCE], cid, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "id", "distance"])
+
+    scored = pairs.mapInArrow(run, "query_id long, id long, distance double")
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, probes: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", few: int = FEW) -> DataFrame:
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, probes: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, id, distance (L2): the k nearest of the vectors in each query's `probes` nearest lists, ties to the
-    smaller id; a vector isn't its own neighbour. Up to `few` queries are broadcast, and the scan opens the folders of
-    their lists alone; more are shuffled by list."""
-    asked = probed(spark, path, queries, probes, id_col, vector_col).drop("n")
-    every = spark.read.parquet(f"{path}/lists")
-    side = F.broadcast(asked) if queries.limit(few + 1).count() <= few else asked
-    met = every.join(side, "_list").where(F.col(id_col) != F.col("query_id"))
-    scored = met.select("query_id", F.col(id_col).alias("id"), distance(F.col(vector_col), F.col("query")).alias("distance"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    smaller id; a vector isn't its own neighbour. Ids are longs. The scan opens the folders of the asked lists alone."""
+    asked = probed(spark, path, queries, probes, id_col, vector_col).select("_list", F.col("query_id").cast("long").alias("id"), F.col("query").alias("vector"))
+    lists = [r[0] for r in asked.select("_list").distinct().collect()]  # as many as the lists, a parameter
+    every = spark.read.parquet(f"{path}/lists").where(F.col("_list").isin(lists)).select("_list", F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    return _meet(every, asked, k, 4)
 
 
 def exact(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The same from all vectors, to measure recall with."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("query")).withColumn("_one", F.lit(1))
-    met = vectors.withColumn("_one", F.lit(1)).join(F.broadcast(q), "_one").where(F.col(id_col) != F.col("query_id"))
-    scored = met.select("query_id", F.col(id_col).alias("id"), distance(F.col(vector_col).cast("array<double>"), F.col("query")).alias("distance"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    """The same from all vectors, to measure recall with: every query meets every vector, in blocks."""
+    of = lambda df: df.select(F.lit(0).alias("_list"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    return _meet(of(vectors), of(queries), k, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -25,12 +25,13 @@ def index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def prepare(text: str) -> str:
-    """A user's search as a query: AND, OR and NOT between words become operators; else each word is a prefix and all are asked for."""
+    """A user's search as a query: AND, OR and NOT between words become operators; else each word is a prefix and all are asked for. A word that ends in * is a prefix."""
     text = text.strip()
     if re.search(r"(^| )(AND|OR|NOT) ", text):
         for word, sign in (("AND NOT", "& !"), ("AND", "&"), ("OR", "|"), ("NOT", "& !")):
             text = re.sub(rf"\b{word}\b\s*" if "NOT" in word else rf"\b{word}\b", sign, text)
-        return re.sub(r"^\s*&\s*|(?<=\()\s*&\s*", "", text)
+        text = re.sub(r"^\s*&\s*|(?<=\()\s*&\s*", "", text)
+        return re.sub(r"(?<!:)\*", ":*", text)
     if "*" in text:
         return re.sub(r"(?<!:)\*", ":*", text)
     return " & ".join(f"{w}:*" for w in re.split(r"[\s&|!():]+", text) if w)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .search import words
+from .search import occurrences
 
 #: Fixed values of the ranking: the weight of plain text, the limit of 1 + 1/4 + 1/9 + ..., the shape of nearness, and
 #: how far words may stand apart to count as near.
@@ -16,11 +19,10 @@ WEIGHT, LIMIT, NEAR = 0.1, 1.64493406685, 100
 
 
 def index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (term, id, positions from 1), written in the order of the terms, so that a query opens the files and row
-    groups of its terms alone. A frequent term's postings are dealt to several tasks by their ids."""
-    each = docs.select(F.col(id_col), F.posexplode(words(F.coalesce(text_col, F.lit("")))).alias("_p", "term"))
-    lists = each.groupBy("term", id_col).agg(F.sort_array(F.collect_list(F.col("_p") + 1)).alias("positions"))
-    lists.repartitionByRange("term", id_col).sortWithinPartitions("term", id_col).write.mode("overwrite").parquet(path)
+    """Postings (term, id, positions from 1), written by each task in the order of the terms, so that a query reads the
+    pages of its terms alone."""
+    lists = occurrences(docs, id_col, text_col).drop("n")
+    lists.sortWithinPartitions("term", id_col).write.mode("overwrite").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -121,6 +123,29 @@ def _without(tree: tuple) -> bool:
     return (x and y) if tree[0] == "and" else (x or y)
 
 
+@F.pandas_udf(T.DoubleType())
+def nearness(places: pd.Series) -> pd.Series:
+    """1 - product of (1 - nearness) over the places up to NEAR apart of every two of a document's terms; null without any.
+    Each place looks only at those within reach, a few thousand places at a time."""
+
+    def one(terms) -> float | None:
+        terms, total, any_ = [np.asarray(t, np.int64) for t in terms], 0.0, False
+        for i, p in enumerate(terms):
+            for q in terms[:i]:
+                for at in range(0, len(p), 4096):
+                    x = p[at : at + 4096]
+                    lo, hi = np.searchsorted(q, x - NEAR), np.searchsorted(q, x + NEAR, "right")
+                    n = hi - lo
+                    other = q[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    gap = np.abs(np.repeat(x, n) - other)
+                    gap = gap[gap > 0]
+                    any_ |= len(gap) > 0
+                    total += np.log(1 - np.sqrt(WEIGHT * WEIGHT / (1.005 + 0.05 * np.exp(gap / 1.5 - 2)))).sum()
+        return 1 - np.exp(total) if any_ else None
+
+    return places.map(one).astype("float64")
+
+
 def search(postings: DataFrame, query: str, docs: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """(id, score) of the documents that match. docs: all ids, needed where a document without any of the terms matches.
 
@@ -128,14 +153,15 @@ def search(postings: DataFrame, query: str, docs: DataFrame | None = None, id_co
     operator is OR, or a single term, sums for each matching word 1 + 1/4 + 1/9 + ... over its occurrences, over the
     number of terms. An AND or a phrase combines, for every two of its terms, the nearness of any two of their places up
     to 100 words apart (beyond, nearness is 1e-15): 1 - product of (1 - nearness). Only the postings of the query's terms are
-    read; places of two terms meet by their document and stretch of 100 words, so that no document's places are all paired.
+    read.
     """
     tree = parse(query)
     terms = terms_of(tree)
     any_ = F.lit(False)
     for t in terms:
         any_ = any_ | _condition(F.col("term"), *t)
-    mine = postings.where(any_)
+    # Rows of the same id are one document.
+    mine = postings.where(any_).groupBy("term", id_col).agg(F.flatten(F.collect_list("positions")).alias("positions"))
     given = [_condition(F.col("term"), *t) for t in terms]
     held = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(c, F.col("positions"))))))
     harmonic = F.aggregate(F.sequence(F.lit(1), F.size("positions")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))
@@ -144,17 +170,8 @@ def search(postings: DataFrame, query: str, docs: DataFrame | None = None, id_co
     lists = {t: F.col(f"_p{i}") for i, t in enumerate(terms)}
     found = rows.where(_holds(tree, lists))
     if tree[0] in ("and", "phrase") and len(terms) > 1:
-        marked = lambda i: F.transform(F.col(f"_p{i}"), lambda p: F.struct(F.lit(i).alias("i"), p.alias("p")))
-        place = F.explode(F.array(*[marked(i) for i in range(len(terms))]))
-        flat = found.select(id_col, place.alias("_a")).select(id_col, F.explode("_a").alias("_x")).select(id_col, "_x.i", "_x.p")
-        block = F.floor(F.col("p") / (NEAR + 1)).cast("long")
-        left = flat.select(id_col, "i", "p", F.explode(F.array(block - 1, block, block + 1)).alias("_b"))
-        right = flat.select(id_col, F.col("i").alias("j"), F.col("p").alias("q"), block.alias("_b"))
-        gap = F.abs(F.col("p") - F.col("q"))
-        near = F.sqrt(F.lit(WEIGHT * WEIGHT) / (1.005 + 0.05 * F.exp(gap / 1.5 - 2)))
-        pairs = left.join(right, [id_col, "_b"]).where(F.col("i") > F.col("j")).where(gap.between(1, NEAR))
-        scores = pairs.groupBy(id_col).agg((1 - F.exp(F.sum(F.ln(1 - near)))).alias("score"))
-        out = found.select(id_col).join(scores, id_col, "left").select(id_col, F.coalesce("score", F.lit(WEIGHT * 1e-15)).alias("score"))
+        scores = nearness(F.array(*[F.col(f"_p{i}") for i in range(len(terms))]))
+        out = found.select(id_col, F.coalesce(F.nanvl(scores, F.lit(None)), F.lit(WEIGHT * 1e-15)).alias("score"))
     else:
         total = F.lit(0.0)
         for i in range(len(terms)):

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from basalt.session import shared
 
+#: Bytes of texts whose words are grouped at once.
+CHUNK = 4 << 20
+
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters, digits and `/`."""
@@ -72,14 +75,45 @@ def match(query: str, tokens: Column, text: Column) -> Column:
     return either() if parts else F.lit(True)
 
 
+def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(term, id, positions from 1, n): a row for each distinct word of each row of docs, whose text has n words. A text's
+    words are grouped where it is read, so that no word is shuffled."""
+    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}/]+", " "))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(size // CHUNK)) + 1):
+                if not len(part):
+                    continue
+                ids, text = (batch.column(i).slice(part[0], len(part)) for i in (0, 1))
+                lists = pc.split_pattern(pa.array(text.to_pylist(), pa.string()), " ")
+                at = lists.offsets.to_numpy()
+                doc = np.repeat(np.arange(len(part)), np.diff(at))
+                coded = lists.flatten().dictionary_encode()
+                key = doc * len(coded.dictionary) + coded.indices.to_numpy()
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                first = first if len(first) else np.zeros(0, np.int64)
+                owner, word = doc[order[first]], coded.indices.to_numpy()[order[first]]
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(order - at[doc[order]] + 1, pa.int32()))
+                out = pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(word)), ids.take(pa.array(owner)), places, pa.array(np.diff(at)[owner], pa.int32())], names=["term", id_col, "positions", "n"])
+                yield out.filter(pc.not_equal(out.column(0), ""))
+
+    return docs.select(F.col(id_col), spaced.alias("_t")).mapInArrow(run, f"term string, `{id_col}` {docs.schema[id_col].dataType.simpleString()}, positions array<int>, n int")
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(term, id, tf, n): how often each word stands in a document of n words. With a path, written there in the order
-    of the terms, so that a query reads the row groups of its terms only."""
-    each = docs.select(F.col(id_col), words(F.coalesce(text_col, F.lit(""))).alias("_w")).select(id_col, F.size("_w").alias("n"), F.explode("_w").alias("term"))
-    out = each.groupBy("term", id_col, "n").agg(F.count("*").alias("tf")).select("term", id_col, "tf", "n")
+    """(term, id, tf, n): how often each word stands in a document of n words. With a path, written there, each task's in
+    the order of the terms, so that a query reads the pages of its terms only."""
+    out = occurrences(docs, id_col, text_col).select("term", id_col, F.size("positions").cast("long").alias("tf"), "n")
     if path is None:
         return out
-    out.repartitionByRange("term").sortWithinPartitions("term", id_col).write.mode("overwrite").parquet(path)
+    out.sortWithinPartitions("term", id_col).write.mode("overwrite").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 

@@ -214,7 +214,7 @@ def search_postings(spark, sf_dir):
     """The same scores from stored postings, of which a query reads its terms."""
     docs = table(spark, sf_dir, "documents")
     index = search.postings(docs, path=f"{shared(spark)}/postings-{uuid.uuid4().hex}")
-    corpus = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(search.words(F.col("text")))).alias("avg_n"))
+    corpus = docs.agg(F.count("*").alias("n_docs"), F.count("text").alias("_texts")).crossJoin(index.agg(F.sum("tf").alias("_words"))).select("n_docs", (F.col("_words") / F.col("_texts")).alias("avg_n"))
     return search.bm25_of(index, corpus, "und that").select("doc_id", F.round("score", 6).alias("score"))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basalt.operators import recursive, subquery
+from basalt.operators import recursive, spread, subquery
+from basalt.operators.ordering import order
 from basalt.session import table
 
 from .registry import query, statement
@@ -124,7 +125,7 @@ statement("window_over_group", "SELECT o_orderstatus, count(*) AS n, rank() OVER
 
 @query("window_default_frame", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS s, count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS d FROM orders")
 def window_default_frame(spark, sf_dir):
-    from basalt.operators.ordering import distinct_over, order, window
+    from basalt.operators.ordering import distinct_over, window
 
     o = table(spark, sf_dir, "orders")
     running = window(["o_custkey"], [order("o_orderdate"), order("o_orderkey")])
@@ -132,8 +133,16 @@ def window_default_frame(spark, sf_dir):
 
 
 # --- sort, limit ----------------------------------------------------------------------------------
-statement("nulls_order", "SELECT o_orderkey, row_number() OVER (ORDER BY x, o_orderkey) AS up, row_number() OVER (ORDER BY x DESC, o_orderkey) AS down FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS x FROM orders) AS t",
-          "SELECT o_orderkey, row_number() OVER (ORDER BY x NULLS LAST, o_orderkey) AS up, row_number() OVER (ORDER BY x DESC NULLS FIRST, o_orderkey) AS down FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS x FROM orders) AS t")
+@query("nulls_order", "SELECT o_orderkey, row_number() OVER (ORDER BY x NULLS LAST, o_orderkey) AS up, row_number() OVER (ORDER BY x DESC NULLS FIRST, o_orderkey) AS down FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS x FROM orders) AS t")
+def nulls_order(spark, sf_dir):
+    """No partition: the places in both orders are those of sorted ranges."""
+    x = F.when(F.col("o_orderstatus") != "F", F.col("o_custkey"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", x.alias("x"))
+    for name, ascending in (("up", True), ("down", False)):
+        rows = spread.numbered(rows, [], [order("x", ascending), order("o_orderkey")], name).drop("_size")
+    return rows.select("o_orderkey", F.col("up").cast("int"), F.col("down").cast("int"))
+
+
 statement("top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 statement("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 30")
 statement("fetch_first", "SELECT o_orderkey FROM orders ORDER BY o_orderkey FETCH FIRST 5 ROWS ONLY")

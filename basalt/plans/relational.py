@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basalt.operators import recursive, spread, subquery
@@ -114,12 +115,36 @@ statement("safe_sum", "SELECT l_returnflag, round(safe_sum(l_orderkey * 10000000
           "SELECT l_returnflag, round(sum((l_orderkey * 1000000000000)::DOUBLE) * power(10, -18), 3) AS s FROM lineitem GROUP BY l_returnflag")
 
 # --- windows --------------------------------------------------------------------------------------
-statement("window_ranks", "SELECT o_orderkey, row_number() OVER w AS a, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS b, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS c, ntile(4) OVER w AS d FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey)")
-statement("window_percent", "SELECT o_orderkey, round(percent_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority), 8) AS p, round(cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority), 8) AS c FROM orders")
+@query("window_ranks", "SELECT o_orderkey, row_number() OVER w AS a, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS b, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS c, ntile(4) OVER w AS d FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey)")
+def window_ranks(spark, sf_dir):
+    """Three statuses: places are those of sorted ranges, ranks are sums over counted keys."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    rows = spread.ranked(spread.numbered(o, ["o_orderstatus"], [order("o_totalprice"), order("o_orderkey")], size="_rows"), ["o_orderstatus"], {"o_orderpriority": False})
+    return rows.select("o_orderkey", *[c.cast("int").alias(k) for k, c in zip("abcd", (F.col("_n"), F.col("_rank"), F.col("_dense"), spread.tile(F.col("_n"), F.col("_rows"), 4)), strict=True)])
+
+
+@query("window_percent", "SELECT o_orderkey, round(percent_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority), 8) AS p, round(cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority), 8) AS c FROM orders")
+def window_percent(spark, sf_dir):
+    rows = spread.ranked(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), ["o_orderstatus"], {"o_orderpriority": False})
+    before = F.col("_rank") - 1
+    p, c = before / F.greatest(F.col("_size") - 1, F.lit(1)), (before + F.col("_peers")) / F.col("_size")
+    return rows.select("o_orderkey", F.round(p, 8).alias("p"), F.round(c, 8).alias("c"))
+
+
 statement("window_lead_lag", "SELECT o_orderkey, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS a, lag(o_totalprice, 2, 0.0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders")
 statement("window_values", "SELECT o_orderkey, first_value(o_totalprice) OVER w AS a, last_value(o_totalprice) OVER w AS b, nth_value(o_totalprice, 2) OVER w AS c FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 statement("window_rows", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 2) AS s, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders")
-statement("window_range", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_returnflag ORDER BY l_suppkey RANGE BETWEEN 3 PRECEDING AND CURRENT ROW) AS n FROM lineitem WHERE l_quantity > 45")
+
+@query("window_range", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_returnflag ORDER BY l_suppkey RANGE BETWEEN 3 PRECEDING AND CURRENT ROW) AS n FROM lineitem WHERE l_quantity > 45")
+def window_range(spark, sf_dir):
+    """Rows of a supplier are counted first, so that the frames run over suppliers."""
+    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey")
+    held = rows.groupBy(F.col("l_returnflag").alias("_f"), F.col("l_suppkey").alias("_k")).agg(F.count("*").alias("_m"))
+    near = W.partitionBy("_f").orderBy(order("_k")).rangeBetween(-3, W.currentRow)
+    facts = spread.kept(held.withColumn("n", F.sum("_m").over(near)))
+    return spread.with_facts(rows, facts, {"l_returnflag": "_f", "l_suppkey": "_k"}, "_m").drop("l_returnflag", "l_suppkey", "_m")
+
+
 statement("window_over_group", "SELECT o_orderstatus, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM orders GROUP BY o_orderstatus")
 
 

@@ -21,101 +21,107 @@ PAIRS = 500_000
 
 def tokenised(docs: DataFrame, a: str = A, b: str = B, part: int = PART) -> DataFrame:
     """docs (doc_id, _r, text) -> doc_id, _r, part (from 0), parts, and the tokens of a space and the text by a byte-level
-    file (a) and a sentencepiece model (b): numbers (a, b), lengths (a_len, b_len) and ends (a_end, b_end), in bytes from
-    the part's beginning.
+    file (a) and a sentencepiece model (b): how many they are (n_a, n_b), their ends in bytes from the part's beginning,
+    those that both have (cut) and those of one side (rest), and for each byte, from 1 on, the number of the token that
+    covers it (a, b).
 
     Long texts are cut where neither tokenizer has a token across, so that a row's arrays are bounded; with other
     models, and in stretches without spaces, they stay whole. A text that is null or empty, or isn't what the tokens of
     either spell, has one part without tokens.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = [("a", np.int64), ("a_len", np.int32), ("a_end", np.int32), ("b", np.int64), ("b_len", np.int32), ("b_end", np.int32)]
+    columns = [("a", np.int64), ("b", np.int64), ("cut", np.int32), ("rest", np.int32)]
 
     def run(batches):
         import pyarrow as pa
 
         first, first_width, first_apart = byte_ids(a, True)
         second, second_width, second_apart = piece_ids(b)
-        none = [tuple(np.zeros(0, t) for _, t in columns)]
+        none = [(0, 0, tuple(np.zeros(0, t) for _, t in columns))]
 
         def numbered(ids, width, shift):
             size = width[ids]
             end = np.cumsum(size, dtype=np.int32)
             start = (end - size).astype(np.int64) & ((1 << 23) - 1)  # enough to tell a group's tokens apart
-            return start << START | ids.astype(np.int64) << shift, size, end
+            return np.concatenate([np.zeros(1, np.int64), np.repeat(start << START | ids.astype(np.int64) << shift, size)]), end
 
         def of(text: str | None) -> list[tuple]:
-            if not text or "\u2581" in text:  # the mark of a space in b: not what the text says
+            if not text or "▁" in text:  # the mark of a space in b: not what the text says
                 return none
             out = []
             for p in parts(" " + text, part) if first_apart and second_apart else [" " + text]:
-                x, y, size = numbered(first(p), first_width, SIDE), numbered(second(p[1:]), second_width, 0), len(p.encode())
-                if any(not len(z[2]) or z[2][-1] != size for z in (x, y)):
+                (x, x_end), (y, y_end), size = numbered(first(p), first_width, SIDE), numbered(second(p[1:]), second_width, 0), len(p.encode())
+                if any(not len(z) or z[-1] != size for z in (x_end, y_end)):
                     return none
-                out.append((*x, *y))
+                in_x, in_y = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+                in_x[x_end] = in_y[y_end] = True
+                out.append((len(x_end), len(y_end), (x, y, x_end[in_y[x_end]], np.flatnonzero(in_x ^ in_y).astype(np.int32))))
             return out
 
         for batch in batches:
             held, size = [], 0
 
             def rows():
-                ids, r, at, n, cols = zip(*held, strict=True)
+                ids, r, at, n, n_a, n_b, cols = zip(*held, strict=True)
                 lists = []
                 for each in zip(*cols, strict=True):
                     off = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(each))))
-                return pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(r, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), *lists], names=["doc_id", "_r", "part", "parts", *(c for c, _ in columns)])
+                return pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(r, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), *lists], names=["doc_id", "_r", "part", "parts", "n_a", "n_b", *(c for c, _ in columns)])
 
             for i, r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 got = of(text.as_py())
-                for k, cols in enumerate(got):
-                    held.append((i, r, k, len(got), cols))
+                for k, (n_a, n_b, cols) in enumerate(got):
+                    held.append((i, r, k, len(got), n_a, n_b, cols))
                     size += len(cols[0])
-                    if size > 1 << 18:
+                    if size > 1 << 17:
                         yield rows()
                         held, size = [], 0
             if held:
                 yield rows()
 
     lists = ", ".join(f"{c} array<{'bigint' if t is np.int64 else 'int'}>" for c, t in columns)
-    return docs.select("doc_id", "_r", "text").mapInArrow(lean(run), f"doc_id {kind}, _r long, part int, parts int, {lists}")
-
-
-def owners(tokens: str, sizes: str) -> Column:
-    """For each byte, from 1 on, the number of the token that covers it."""
-    each = F.zip_with(tokens, sizes, lambda token, size: F.array_repeat(token, size))
-    return F.concat(F.array(F.lit(0).cast("long")), F.flatten(each))
+    return docs.select("doc_id", "_r", "text").mapInArrow(lean(run), f"doc_id {kind}, _r long, part int, parts int, n_a long, n_b long, {lists}")
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """One row per part: doc_id, _r, part, parts, n_a, n_b, n_groups, groups (text), links (pairs, as id of a << SIDE | id of b).
+    """One row per part: doc_id, _r, part, parts, n_a, n_b, n_groups, groups (text), links (pairs, as id of a << SIDE | id
+    of b, below bits that are to be masked by PAIR).
 
     Where a token of either side ends, the tokens of both that cover this byte overlap, and each overlap has one such
-    place: the union of the ends gives the links. Where both sides end, a group does. If its two last tokens begin
-    at one place they are the group; else its tokens are the distinct ones of its bytes. All is linear in the bytes.
+    place: the ends of both give the links. Where both sides end, a group does. If its two last tokens begin at one place
+    (the numbers differ in their ids only) they are the group; else its tokens are the distinct ones of its bytes. All is
+    linear in the bytes.
     """
 
     def built(v: Column) -> Column:  # v binds what every step reads
-        links = F.transform(F.array_union(v["a_end"], v["b_end"]), lambda e: F.get(v["xa"], e).bitwiseOR(F.get(v["xb"], e)).bitwiseAND(F.lit(PAIR)))
+        both = lambda e: F.get(v["a"], e).bitwiseXOR(F.get(v["b"], e))
+
+        def ids(side, shift, i):
+            e, before = F.get(v["cut"], i), F.when(i == 0, F.lit(0)).otherwise(F.get(v["cut"], i - 1))
+            return F.array_join(F.transform(F.array_distinct(F.slice(v[side], before + 2, e - before)), lambda t: F.shiftright(t, shift).bitwiseAND(F.lit(LOW)).cast("string")), ",")
+
+        def group(w, i):
+            one = F.concat(F.shiftright(w, SIDE).cast("string"), F.lit("|"), w.bitwiseAND(F.lit(LOW).cast("long")).cast("string"))
+            return F.when(w < F.lit(1 << START), one).otherwise(F.concat(ids("a", SIDE, i), F.lit("|"), ids("b", 0, i)))
+
+        def told(at):
+            return F.struct(F.array_join(F.transform(at, group), ";").alias("groups"), F.concat(at, F.transform(v["rest"], both)).alias("links"))
+
+        return F.transform(F.array(F.transform(v["cut"], both)), told)[0]
 
-        def group(e, i):
-            x, y = F.get(v["xa"], e), F.get(v["xb"], e)
-            before = F.when(i == 0, F.lit(0)).otherwise(F.get(v["cut"], i - 1))
-            ids = lambda z, shift: F.array_join(F.transform(F.array_distinct(F.slice(z, before + 2, e - before)), lambda t: F.shiftright(t, shift).bitwiseAND(F.lit(LOW)).cast("string")), ",")
-            one = F.concat(F.shiftright(x, SIDE).bitwiseAND(F.lit(LOW)).cast("string"), F.lit("|"), y.bitwiseAND(F.lit(LOW)).cast("string"))
-            return F.when(x.bitwiseXOR(y) < F.lit(1 << START), one).otherwise(F.concat(ids(v["xa"], SIDE), F.lit("|"), ids(v["xb"], 0)))
+    out = tokens.select("doc_id", "_r", "part", "parts", "n_a", "n_b", F.size("cut").cast("long").alias("n_groups"), F.transform(F.array(F.struct("a", "b", "cut", "rest")), built)[0].alias("o"))
+    return out.select("doc_id", "_r", "part", "parts", "n_a", "n_b", "n_groups", "o.groups", "o.links")
 
-        return F.struct(F.size(v["cut"]).cast("long").alias("n_groups"), F.array_join(F.transform(v["cut"], group), ";").alias("groups"), links.alias("links"))
 
-    given = F.struct("a_end", "b_end", owners("a", "a_len").alias("xa"), owners("b", "b_len").alias("xb"), F.array_intersect("a_end", "b_end").alias("cut"))
-    out = tokens.select("doc_id", "_r", "part", "parts", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.transform(F.array(given), built)[0].alias("o"))
-    return out.select("doc_id", "_r", "part", "parts", "n_a", "n_b", "o.*")
+def pairs_of(links: DataFrame, *keep: str) -> DataFrame:
+    return links.select(*keep, F.explode("links").alias("pair")).withColumn("pair", F.col("pair").bitwiseAND(F.lit(PAIR)))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
     """pair, n (its links in the corpus), best (n is the highest of its id of b): counted by tasks first; the highest are
     a row for each id of b, which a vocabulary bounds."""
-    counts = stage(links.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "align-pairs")
+    counts = stage(pairs_of(links).groupBy("pair").agg(F.count("*").alias("n")), "align-pairs")
     other = F.col("pair").bitwiseAND(F.lit(LOW))
     top = counts.groupBy(other.alias("_b")).agg(F.max("n").alias("_top"))
     out = counts.join(F.broadcast(top), other == F.col("_b")).select("pair", "n", (F.col("n") == F.col("_top")).cast("long").alias("best"))
@@ -127,7 +133,7 @@ def sums(links: DataFrame, counts: DataFrame, most: int) -> DataFrame:
     """_r, n_links, n_best, count_sum of each row with links. Counts of up to `most` pairs are broadcast. Beyond that the
     pairs that make at least one in `most` of all links are, of which there can be no more, and links of the others,
     none of them frequent, are counted in their document and shuffled."""
-    each = links.select("_r", F.explode("links").alias("pair"))
+    each = pairs_of(links, "_r")
     total = lambda n: [F.sum(n).alias("n_links"), F.sum(F.col("best") * n).alias("n_best"), F.sum(F.col("n") * n).alias("count_sum")]
     if few(counts, most):
         return each.join(F.broadcast(counts), "pair").groupBy("_r").agg(*total(F.lit(1).cast("long")))

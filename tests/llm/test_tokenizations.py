@@ -144,6 +144,13 @@ def test_alignment(spark, docs, empty, part, most):
         assert any(r.groups and hashlib.sha256(r.groups.encode()).hexdigest() == r.groups_sha256 for r in got)
 
 
+def test_alignment_plan(spark, docs):
+    """Ends are told apart where tokens are made: no sets of them, nor an array for each token, are made in interpreted lambdas."""
+    base = docs.selectExpr("doc_id", "text", "monotonically_increasing_id() AS _r")
+    plan = alignment.aligned(alignment.tokenised(base))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" in plan and not any(f in plan for f in ("array_union", "array_intersect", "array_repeat", "flatten"))
+
+
 @data
 def test_alignment_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()

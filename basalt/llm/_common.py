@@ -48,10 +48,12 @@ def stage(df: DataFrame, label: str, clean: bool = True) -> DataFrame:
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     if (mine := _OWNER.get()) is not None:
         mine.append(path)
+    # Once its rows are told, nothing refers to the finished job any more.
+    n = _observed(seen)
     if clean:
         tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
-    out._rows = _observed(seen)
+    out._rows = n
     return out
 
 

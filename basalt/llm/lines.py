@@ -16,6 +16,8 @@ UNIT, TAU, EVERY = "word", 3, 8
 SMALL, FEW = 16, 16
 #: So few keys of lines need no further split: for one edit; so few pairs are compared at once, for several.
 NARROW, DIRECT = 4_000, 100_000
+#: Bits of a key that are counted first, and what an entry of the index adds to the rows of a key.
+SHORT, ENTRY = (1 << 40) - 1, 1 << 31
 ID = ["_a", "_b"]
 SPACES = "\t\x0b\x0c\r"
 
@@ -212,6 +214,16 @@ def counted(flat: DataFrame, keep: str) -> DataFrame:
     return stage(flat.join(F.broadcast(keys) if few(keys, KEYS) else keys.hint("merge"), "_key"), "lines-shared")
 
 
+def likely(flat: DataFrame) -> DataFrame:
+    """The rows of flat whose keys may be those of several lines, one of them in the index, staged: what comes before an exact
+    count of many keys. A few bytes for each row are shuffled: as much of its key as tells most apart, and a sum that
+    holds the rows and the index entries."""
+    short = F.col("_key").bitwiseAND(F.lit(SHORT))
+    counts = flat.groupBy(short.alias("_s")).agg(F.sum(F.lit(1).cast("long") + F.col("index").cast("long") * F.lit(ENTRY)).alias("_m"))
+    keys = stage(counts.where((F.col("_m") > ENTRY) & (F.col("_m") % ENTRY > 1)).select("_s"), "lines-likely")
+    return stage(flat.join(F.broadcast(keys) if few(keys, KEYS) else keys.hint("merge"), short == F.col("_s"), "left_semi"), "lines-met")
+
+
 def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every: int) -> DataFrame:
     """Lines (_a, _b; some more than once) that go, gone included, from keys of more than SMALL lines (with their rest).
 
@@ -277,7 +289,7 @@ def near(distinct: DataFrame, tau: int, every: int, unit: str) -> DataFrame:
     n = F.col("n")
     sized = distinct.where(n >= every).withColumn("sym", symbols(F.col("line"), unit)).withColumn("open", F.lit(True))
     flat = probed(sized, [*ID, "first", "n", "open"], F.col("sym"), n, slots(n, tau, every), F.lit(True)).drop("sym")
-    shared = counted(flat, "_open")
+    shared = counted(likely(flat), "_open")
     texts = semi(distinct.select(*ID, "line"), stage(shared.select(*ID).distinct(), "lines-some"), ID)
     texts = stage(texts.select(*ID, symbols(F.col("line"), unit).alias("sym")), "lines-texts")
     small, hot = shared.where(F.col("_n") <= SMALL), shared.where(F.col("_n") > SMALL)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basalt.llm import _common, decontaminate, langid, lines, mixing, neardup, quality, secrets, substrings, tokens, topk
 from basalt.llm.registry import QUERIES, SQL
@@ -736,6 +737,16 @@ def test_very_long_texts(spark, tmp_path):
     assert got["op7_line_dedup"][2].n_lines == 50_000 and got["op7_line_dedup"][3].n_removed == 1
     assert got["op3_secrets"][3].n_assign == 1 and got["op10_token_counts"][1].n_bytes == 1_000_000
 
+def test_keys_counted_in_short(spark):
+    """What comes before the exact count of keys loses no key of several rows and an index entry, and shuffles two longs a row."""
+    rows = [(k << 40 | k, i, x) for k, marks in ((1, [True, False]), (2, [False, False]), (3, [True]), (4, [True, True, False])) for i, x in enumerate(marks)]
+    flat = spark.createDataFrame(rows, "_key long, _a long, index boolean").withColumn("_b", F.lit(0)).withColumn("open", F.lit(True))
+    got = lines.likely(flat)
+    assert sorted((r["_key"] & 7, r["_a"]) for r in got.collect()) == [(1, 0), (1, 1), (4, 0), (4, 1), (4, 2)]
+    assert sorted(r["_key"] & 7 for r in lines.counted(got, "_open").collect()) == [1, 1, 4, 4, 4]
+    near = flat.unionByName(flat.where("_a = 0").withColumn("_key", F.col("_key") + (1 << 50)))
+    assert {r["_key"] & 7 for r in lines.counted(lines.likely(near), "_open").collect()} == {1, 4}
+
 
 # --- queries against their SQL --------------------------------------------------------------------
 @data

@@ -37,16 +37,21 @@ def owned(spark: SparkSession):
 scratch_dir = shared
 
 
-def stage(df: DataFrame, label: str, clean: bool = True) -> DataFrame:
+def owner() -> list[str] | None:
+    """Who owns what is staged just now."""
+    return _OWNER.get()
+
+
+def stage(df: DataFrame, label: str, clean: bool = True, of=owner) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.
 
-    Shuffle files of the finished job are released (clean), so that stages don't add up on disk.
+    Shuffle files of the finished job are released (clean), so that stages don't add up on disk. of(): its owner.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    if (mine := _OWNER.get()) is not None:
+    if (mine := of()) is not None:
         mine.append(path)
     # Once its rows are told, nothing refers to the finished job any more.
     n = _observed(seen)

@@ -7,13 +7,15 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import doc_key, few, rest, stage, tight, united
+from ._common import doc_key, few, owned, owner, rest, stage, tight, united
 from .neardup import KEYS, semi
 
 #: What op7 and the pipeline take: words are the symbols, one edit in every eight of them, three at most.
 UNIT, TAU, EVERY = "word", 3, 8
-#: Keys of up to so many lines compare their pairs; larger ones are split (see `settled`), until so many symbols are left.
+#: Keys of up to so many lines compare their pairs; larger ones are split (see `settled`; for one edit `halved`, until so many symbols are left).
 SMALL, FEW = 16, 16
+#: What is usual in a key is told by about so many of its lines.
+SAMPLE = 16
 #: So few keys of lines need no further split: for one edit; so few pairs are compared at once, for several.
 NARROW, DIRECT = 4_000, 100_000
 #: Bits of a key that are counted first, and what an entry of the index adds to the rows of a key.
@@ -208,9 +210,10 @@ def met(late: DataFrame, early: DataFrame) -> DataFrame:
 
 
 def counted(flat: DataFrame, keep: str) -> DataFrame:
-    """The rows of keys of several lines, one of them in the index, with their number _n; keep: what else must hold of
-    a key. The keys are counted first, combined before the shuffle."""
-    keys = stage(flat.groupBy("_key").agg(F.count("*").alias("_n"), F.max("index").alias("_some"), F.max("open").alias("_open")).where(f"_n > 1 AND _some AND {keep}").select("_key", "_n"), "lines-keys")
+    """The rows of keys of several lines, one of them in the index, with their number _n, that of index lines _m and of open
+    ones _o; keep: what else must hold of a key. The keys are counted first, combined before the shuffle."""
+    some = [F.count("*").alias("_n"), F.count_if("index").alias("_m"), F.count_if("open").alias("_o"), F.max("open").alias("_open")]
+    keys = stage(flat.groupBy("_key").agg(*some).where(f"_n > 1 AND _m > 0 AND {keep}").drop("_open"), "lines-keys")
     return stage(flat.join(F.broadcast(keys) if few(keys, KEYS) else keys.hint("merge"), "_key"), "lines-shared")
 
 
@@ -224,51 +227,125 @@ def likely(flat: DataFrame) -> DataFrame:
     return stage(flat.join(F.broadcast(keys) if few(keys, KEYS) else keys.hint("merge"), short == F.col("_s"), "left_semi"), "lines-met")
 
 
-def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every: int) -> DataFrame:
-    """Lines (_a, _b; some more than once) that go, gone included, from keys of more than SMALL lines (with their rest).
+def earliest(rows: DataFrame, *by: str) -> DataFrame:
+    """The earliest line of each key, of the index and of the others apart (and by what else is named)."""
+    return rows.groupBy("_key", "index", *by).agg(F.min(F.struct("first", *ID)).alias("p")).select("_key", "index", *by, "p.*")
+
+
+def unsettled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Lines (_key, _a, _b), staged, that aren't known to go, nor the earliest of their key."""
+    low = rows.groupBy("_key").agg(F.min("first").alias("_low"))
+    late = semi(rows, known, ID, how="left_anti").join(low, "_key").where(F.col("first") > F.col("_low"))
+    return tight(stage(late.select("_key", *ID).distinct(), "lines-late"))
+
+
+def opened(rows: DataFrame, late: DataFrame) -> DataFrame:
+    """The rows of keys that have late lines (_key, _a, _b), and whether each is one (open)."""
+    marks = late.select(*ID).distinct().withColumn("open", F.lit(True))
+    return semi(rows.drop("open"), late.select("_key").distinct(), ["_key"]).join(marks, ID, "left").withColumn("open", F.coalesce("open", F.lit(False)))
+
+
+def halved(hot: DataFrame, texts: DataFrame, gone: DataFrame, every: int) -> DataFrame:
+    """Lines (_a, _b; some more than once) that go by one edit, gone included, from keys of more than SMALL lines (with
+    their rest).
 
     All lines of a key meet its earliest ones, which settles what surrounds one original in linear work. Keys that
     still hold other lines are split: what is left of the lines, without the substring they share, is cut into
-    segments, indexed and probed anew within the key, so that each step halves it (or more, with more edits). Keys
-    of few lines compare pairs. Where little is left, one edit is decided by `crowded`; several are by pairs, if those are few.
+    segments, indexed and probed anew within the key, so that each step halves it. Keys of few lines compare pairs;
+    where little is left, `crowded` decides.
     """
     found = [gone]
     known = lambda: united(found)
     while True:
         rows = tight(stage(hot, "lines-hot", clean=False))
-        narrow = tau == 1 and few(rows, NARROW)
+        narrow = few(rows, NARROW)
         texts = tight(texts)
-        first = rows.groupBy("_key", "index").agg(F.min(F.struct("first", *ID)).alias("p")).select("_key", "index", "p.*")
-        found.append(stage(verified(met(semi(rows, known(), ID, how="left_anti"), first), texts, tau, every), "lines-found"))
-        low = rows.groupBy("_key").agg(F.min("first").alias("_low"))
-        late = semi(rows, known(), ID, how="left_anti").join(low, "_key").where(F.col("first") > F.col("_low"))
-        late = tight(stage(late.select("_key", *ID).distinct(), "lines-late"))
+        found.append(stage(verified(met(semi(rows, known(), ID, how="left_anti"), earliest(rows)), texts, 1, every), "lines-found"))
+        late = unsettled(rows, known())
         if few(late, 0):
             return known()
-        rows = semi(rows, late.select("_key").distinct(), ["_key"]).join(late.select(*ID).distinct().withColumn("open", F.lit(True)), ID, "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        rows = opened(rows, late)
         if narrow:
             found.append(stage(crowded(rows), "lines-found"))
             return known()
-        if tau > 1:
-            each = rows.groupBy("_key").agg((F.count("*") * F.count_if("open")).alias("n"))
-            if (each.agg(F.sum("n")).first()[0] or 0) <= DIRECT:
-                found.append(stage(verified(met(rows.where("open"), rows), texts, tau, every), "lines-found"))
-                return known()
         size = F.size("rest")
         wide = size - F.col("d") > F.greatest(F.lit(FEW), F.col("t"))
-        ends = rows.where(~wide)
-        near = [crowded(ends.where("t = 1"))]
-        if tau > 1:
-            near.append(verified(met(ends.where("t > 1 AND open"), ends), texts, tau, every))
+        near = [crowded(rows.where(~wide))]
         again = rows.where(wide).withColumnsRenamed({"_key": "_in", "t": "t0", "d": "d0"})
-        flat = probed(again, [*ID, "first", "open"], F.col("rest"), size, same_slots(F.col("t0"), F.col("d0"), tau), F.col("index"), ["_in"])
+        flat = probed(again, [*ID, "first", "open"], F.col("rest"), size, same_slots(F.col("t0"), F.col("d0"), 1), F.col("index"), ["_in"])
         shared = tight(counted(flat, "_open")).withColumn("rest", remainder(F.col("sym"), F.size("sym"))).drop("sym")
         small = shared.where(F.col("_n") <= SMALL)
-        near.append(verified(met(small.where("open"), small), texts, tau, every))
+        near.append(verified(met(small.where("open"), small), texts, 1, every))
         found.append(stage(functools.reduce(DataFrame.union, near), "lines-found"))
         hot = shared.where(F.col("_n") > SMALL).select("_key", *ID, "first", "index", "t", "d", "rest")
 
 
+def neighbours(sym: Column) -> Column:
+    """The distinct pairs of symbols that stand side by side in a line, its two ends included, as longs. An edit takes two of
+    them away at most, and brings two at most."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(sym)), lambda i: F.xxhash64(F.get(sym, i - 1), F.get(sym, i))))
+
+
+def marked(rows: DataFrame, bags: DataFrame) -> DataFrame:
+    """rows with `size`, how many neighbours tell a line from what is usual in its key, and the least of these (marks), staged.
+
+    Usual is what more than half of about SAMPLE lines have; any choice gives the same result. Two lines within t edits
+    differ in 4 t neighbours at most, and so do their sets of marks. If these have 4 t together they may have none in
+    common; else they have one, and one of the first 4 t + 1 of both, in any order: here what is not usual comes first.
+    """
+    full = rows.join(bags.select(*ID, "bag"), ID)
+    voters = full.where(F.pmod(F.xxhash64("_key", *ID), F.greatest(F.lit(1), F.floor(F.col("_n") / SAMPLE))) == 0)
+    votes = voters.unionByName(full.join(earliest(rows).select("_key", *ID), ["_key", *ID], "left_semi")).select("_key", F.explode("bag").alias("g")).groupBy("_key", "g").agg(F.count("*").alias("c"))
+    usual = votes.groupBy("_key").agg(F.max("c").alias("_most"), F.collect_list(F.struct("c", "g")).alias("_all"))
+    usual = stage(usual.select("_key", F.transform(F.filter("_all", lambda x: x["c"] * 2 > F.col("_most")), lambda x: x["g"]).alias("_usual")), "lines-usual")
+    more = F.concat(F.array_sort(F.array_except("bag", "_usual")), F.array_sort(F.array_except("_usual", "bag")))
+    out = full.join(usual, "_key").select(*rows.columns, more.alias("m"))
+    return tight(stage(out.select(*rows.columns, F.size("m").alias("size"), F.slice("m", F.lit(1), 4 * F.col("t") + 1).alias("marks")), "lines-marks"))
+
+
+def close(late: DataFrame, early: DataFrame) -> DataFrame:
+    """Pairs (_a, _b, _c, _d) as `met`, of lines that have 4 t marks or less together."""
+    e = early.select("_key", F.col("_a").alias("_c"), F.col("_b").alias("_d"), F.col("first").alias("first2"), F.col("index").alias("index2"), F.col("size").alias("size2"))
+    return late.where("size <= 4 * t").join(e, "_key").where("first > first2 AND (index OR index2) AND size + size2 <= 4 * t").select(*ID, "_c", "_d")
+
+
+def settled(hot: DataFrame, texts: DataFrame, gone: DataFrame, tau: int, every: int) -> DataFrame:
+    """Lines (_a, _b; some more than once) that go, gone included, from keys of more than SMALL lines.
+
+    All lines of a key meet its earliest ones, which settles what surrounds one original in linear work. In keys that
+    still hold other lines each is described by what tells it from the others (`marked`). Those of few marks meet the
+    earliest line of each number of marks, and what that leaves, pairs with as few marks. The others are split by their
+    marks into keys within the key, and all begins anew: what has led there is usual in the new key, so that it has fewer
+    marks each time. Keys of few lines compare pairs.
+    """
+    found = [gone]
+    known = lambda: united(found)
+    bags = tight(stage(texts.select(*ID, "sym", neighbours(F.col("sym")).alias("bag")), "lines-bags"))
+    while True:
+        rows = tight(stage(hot, "lines-hot", clean=False))
+        found.append(stage(verified(met(semi(rows, known(), ID, how="left_anti"), earliest(rows)), bags, tau, every), "lines-found"))
+        late = unsettled(rows, known())
+        if few(late, 0):
+            return known()
+        rows = tight(stage(opened(rows, late), "lines-open"))
+        each = rows.groupBy("_key").agg((F.count("*") * F.count_if("open")).alias("n"))
+        if (each.agg(F.sum("n")).first()[0] or 0) <= DIRECT:
+            found.append(stage(verified(met(rows.where("open"), rows), bags, tau, every), "lines-found"))
+            return known()
+        rows = marked(rows, bags)
+        found.append(stage(verified(close(rows.where("open"), earliest(rows, "size")), bags, tau, every), "lines-found"))
+        late = tight(stage(semi(rows.where("open"), known(), ID, how="left_anti").select("_key", *ID), "lines-late"))
+        if few(late, 0):
+            return known()
+        rows = tight(stage(opened(rows, late), "lines-open"))
+        parts = rows.select(F.explode(F.transform("marks", lambda m: F.xxhash64("_key", m))).alias("_key"), *ID, "first", "index", "open", "t")
+        shared = tight(counted(parts, "_open"))
+        small = (F.col("_n") * F.col("_o") <= 2 * SMALL * SMALL) | (F.col("_m") <= SMALL // 8)
+        near = [verified(close(rows.where("open"), rows), bags, tau, every), verified(met(shared.where(small & F.col("open")), shared.where(small)), bags, tau, every)]
+        found.append(stage(united(near), "lines-found"))
+        hot = shared.where(~small).select("_key", *ID, "first", "index", "t", "_n")
+
+
 def place() -> Column:
     """A document's order as one decimal, with room for a line's position: by id, then a hash of its text; null ids last."""
     wide = lambda x: F.lit(x).cast("decimal(38,0)")
@@ -292,11 +369,16 @@ def near(distinct: DataFrame, tau: int, every: int, unit: str) -> DataFrame:
     shared = counted(likely(flat), "_open")
     texts = semi(distinct.select(*ID, "line"), stage(shared.select(*ID).distinct(), "lines-some"), ID)
     texts = stage(texts.select(*ID, symbols(F.col("line"), unit).alias("sym")), "lines-texts")
-    small, hot = shared.where(F.col("_n") <= SMALL), shared.where(F.col("_n") > SMALL)
+    few_pairs = (F.col("_n") <= SMALL) | (F.col("_m") <= SMALL // 8)
+    small, hot = shared.where(few_pairs), shared.where(~few_pairs)
     gone = stage(verified(met(small, small), texts, tau, every), "lines-gone")
     if not few(hot, 0):
         texts = stage(semi(texts, stage(hot.select(*ID).distinct(), "lines-some"), ID), "lines-crowded")
-        gone = settled(hot.join(texts, ID).select("_key", *ID, "first", "index", "t", "d", remainder(F.col("sym"), n).alias("rest")), texts, gone, tau, every)
+        if tau == 1:
+            gone = halved(hot.join(texts, ID).select("_key", *ID, "first", "index", "t", "d", remainder(F.col("sym"), n).alias("rest")), texts, gone, every)
+        else:
+            one = hot.groupBy("_key", *ID, "first", "t", "_n").agg(F.max("index").alias("index"))
+            gone = settled(one.select("_key", *ID, "first", "index", "t", "_n"), texts, gone, tau, every)
     return gone
 
 
@@ -325,10 +407,12 @@ def dedup(docs: DataFrame, tau: int = TAU, every: int = EVERY, unit: str = UNIT,
         raise ValueError("a line of n symbols can't have more than n / 2 edits, nor less than none")
     base = docs.select(F.col(id_col).alias("doc_id"), *doc_key(id_col, text_col), F.col(text_col).cast("string").alias("text"), *rest(docs, text_col, carry))
     lines = lines_of(base, unit)
-    distinct = stage(lines.groupBy(*ID).agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.first("line").alias("line")).withColumn("n", F.size(symbols(F.col("line"), unit))), "lines-distinct")
-    gone = near(distinct, tau, every, unit) if tau else distinct.select(*ID).where("false")
-    gone = gone.distinct().withColumn("_gone", F.lit(True))
-    repeated = stage(distinct.select(*ID, "first", "copies").join(gone, ID, "left").where("copies > 1 OR _gone").select(*ID, "first", "_gone"), "lines-repeated")
+    above = owner()
+    with owned(docs.sparkSession):  # all but the lines that are told goes from the disk before the texts are read again
+        distinct = stage(lines.groupBy(*ID).agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.first("line").alias("line")).withColumn("n", F.size(symbols(F.col("line"), unit))), "lines-distinct")
+        gone = near(distinct, tau, every, unit) if tau else distinct.select(*ID).where("false")
+        gone = gone.distinct().withColumn("_gone", F.lit(True))
+        repeated = stage(distinct.select(*ID, "first", "copies").join(gone, ID, "left").where("copies > 1 OR _gone").select(*ID, "first", "_gone"), "lines-repeated", of=lambda: above)
     told = F.broadcast(repeated) if few(repeated, KEYS) else repeated
     spots = lines.select("_k", "_h", "pos", "place", *ID).join(told, ID).where(F.coalesce("_gone", F.lit(False)) | (F.col("place") != F.col("first")))
     spots = spots.groupBy("_k", "_h").agg(F.collect_set("pos").alias("_out"))

@@ -501,6 +501,27 @@ def test_many_lines_in_one_text(spark):
     assert (row.n_lines, row.n_removed, row.text) == (20000, 19999, text.split("\n")[0])
 
 
+def test_many_lines_around_one(spark, monkeypatch):
+    """Lines of which few are within reach, all near one that isn't there: splitting their keys makes no more rows of them, and loses none."""
+    monkeypatch.setattr(lines, "DIRECT", 0)
+    made, write = [], lines.stage
+    monkeypatch.setattr(lines, "stage", lambda df, label, *a, **b: (out := write(df, label, *a, **b), made.append((label, out._rows)))[0])
+    r = random.Random(8)
+    middle, texts = [f"w{i}" for i in range(48)], []
+    for i in range(60):
+        x = list(middle)
+        for p in r.sample(range(48), r.choice([3, 4, 5])):
+            x[p] = f"n{r.randrange(30)}" if r.random() < 0.2 else f"n{i}{p}"
+        texts += [(2 * i, " ".join(x))]
+        if i % 10 == 0:
+            x[r.randrange(48)] = "y"
+            del x[r.randrange(48)]
+            texts += [(2 * i + 1, " ".join(x))]
+    assert got_lines(spark.createDataFrame(texts, "doc_id long, text string")) == want_lines(texts)
+    assert [n for label, n in made if label == "lines-hot"]
+    assert sum(n for label, n in made if label == "lines-shared") <= 6 * next(n for label, n in made if label == "lines-shared")
+
+
 @pytest.mark.parametrize("tau", [1, 2, 3])
 def test_banded_distance(spark, tau):
     r = random.Random(6)

@@ -22,15 +22,15 @@ PAIRS = 500_000
 def tokenised(docs: DataFrame, a: str = A, b: str = B, part: int = PART) -> DataFrame:
     """docs (doc_id, _r, text) -> doc_id, _r, part (from 0), parts, and the tokens of a space and the text by a byte-level
     file (a) and a sentencepiece model (b): how many they are (n_a, n_b), their ends in bytes from the part's beginning,
-    those that both have (cut) and those of one side (rest), and for each byte, from 1 on, the number of the token that
-    covers it (a, b).
+    those that both have (cut) and those of one side (rest), and for each byte, from 1 on, the number of the token of the
+    first that covers it (a), and what it has other bits in than that of the second (ab).
 
     Long texts are cut where neither tokenizer has a token across, so that a row's arrays are bounded; with other
     models, and in stretches without spaces, they stay whole. A text that is null or empty, or isn't what the tokens of
     either spell, has one part without tokens.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = [("a", np.int64), ("b", np.int64), ("cut", np.int32), ("rest", np.int32)]
+    columns = [("a", np.int64), ("ab", np.int64), ("cut", np.int32), ("rest", np.int32)]
 
     def run(batches):
         import pyarrow as pa
@@ -55,7 +55,7 @@ def tokenised(docs: DataFrame, a: str = A, b: str = B, part: int = PART) -> Data
                     return none
                 in_x, in_y = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
                 in_x[x_end] = in_y[y_end] = True
-                out.append((len(x_end), len(y_end), (x, y, x_end[in_y[x_end]], np.flatnonzero(in_x ^ in_y).astype(np.int32))))
+                out.append((len(x_end), len(y_end), (x, x ^ y, x_end[in_y[x_end]], np.flatnonzero(in_x ^ in_y).astype(np.int32))))
             return out
 
         for batch in batches:
@@ -95,11 +95,13 @@ def aligned(tokens: DataFrame) -> DataFrame:
     """
 
     def built(v: Column) -> Column:  # v binds what every step reads
-        both = lambda e: F.get(v["a"], e).bitwiseXOR(F.get(v["b"], e))
+        both = lambda e: F.get(v["ab"], e)
 
         def ids(side, shift, i):
             e, before = F.get(v["cut"], i), F.when(i == 0, F.lit(0)).otherwise(F.get(v["cut"], i - 1))
-            return F.array_join(F.transform(F.array_distinct(F.slice(v[side], before + 2, e - before)), lambda t: F.shiftright(t, shift).bitwiseAND(F.lit(LOW)).cast("string")), ",")
+            of = lambda k: F.slice(v[k], before + 2, e - before)
+            own = of("a") if side == "a" else F.zip_with(of("a"), of("ab"), lambda x, y: x.bitwiseXOR(y))
+            return F.array_join(F.transform(F.array_distinct(own), lambda t: F.shiftright(t, shift).bitwiseAND(F.lit(LOW)).cast("string")), ",")
 
         def group(w, i):
             one = F.concat(F.shiftright(w, SIDE).cast("string"), F.lit("|"), w.bitwiseAND(F.lit(LOW).cast("long")).cast("string"))
@@ -110,7 +112,7 @@ def aligned(tokens: DataFrame) -> DataFrame:
 
         return F.transform(F.array(F.transform(v["cut"], both)), told)[0]
 
-    out = tokens.select("doc_id", "_r", "part", "parts", "n_a", "n_b", F.size("cut").cast("long").alias("n_groups"), F.transform(F.array(F.struct("a", "b", "cut", "rest")), built)[0].alias("o"))
+    out = tokens.select("doc_id", "_r", "part", "parts", "n_a", "n_b", F.size("cut").cast("long").alias("n_groups"), F.transform(F.array(F.struct("a", "ab", "cut", "rest")), built)[0].alias("o"))
     return out.select("doc_id", "_r", "part", "parts", "n_a", "n_b", "n_groups", "o.groups", "o.links")
 
 

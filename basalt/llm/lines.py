@@ -29,13 +29,19 @@ def symbols(line: Column, unit: str) -> Column:
     return F.split(line, " " if unit == "word" else "")
 
 
+def symbol_count(line: Column, unit: str) -> Column:
+    """How many symbols a line in its plain form has, without making them."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1 if unit == "word" else F.length(line)
+
+
 def plain(line: Column, unit: str) -> Column:
-    """What equal lines have in common: the words with one space between them, or the line itself. Without a word: empty."""
+    """What equal lines, which have a word, have in common: the words with one space between them, or the line itself."""
+    if unit != "word":
+        return line
     odd = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
     for c in SPACES:
         odd = odd | F.contains(line, F.lit(c))
-    words = F.array_join(F.array_remove(F.split(F.translate(line, SPACES, " " * len(SPACES)), " "), ""), " ")
-    return F.when(odd, words if unit == "word" else F.when(words == "", F.lit("")).otherwise(line)).otherwise(line)
+    return F.when(odd, F.array_join(F.array_remove(F.split(F.translate(line, SPACES, " " * len(SPACES)), " "), ""), " ")).otherwise(line)
 
 
 def reach(n: Column, tau: int, every: int) -> Column:
@@ -88,6 +94,50 @@ def same_slots(t: Column, d: Column, tau: int) -> Column:
     return F.get(F.array(*[listed([p for p in probes(tau) if p[:2] == (a, b)]) for a in range(tau + 1) for b in range(tau + 1)]), t * (tau + 1) + d)
 
 
+#: So many bands of lines of the most edits, each of lines a third longer than those before; the last one is open.
+BANDS = 12
+
+
+def bands(tau: int, every: int) -> list[tuple[int, int, int, int]]:
+    """(t, low, end, size): lines of low to end - 1 symbols may have t edits to a longer one, and hold t + 1 blocks of `size`."""
+    sizes = [tau * every // (tau + 1)]
+    while len(sizes) < BANDS:
+        sizes.append(sizes[-1] + max(1, sizes[-1] // 3))
+    lows = [tau * every, *[(tau + 1) * size for size in sizes[1:]]]
+    few_edits = [(t, t * every, (t + 1) * every, t * every // (t + 1)) for t in range(1, tau)]
+    return few_edits + [(tau, *x) for x in zip(lows, [*lows[1:], 1 << 31], sizes, strict=True)]
+
+
+def places(t: int, size: int) -> list[tuple[int, int, bool]]:
+    """(block, at, still): where a line may have the blocks of one that is t edits away and as long or shorter.
+
+    The shorter line has half of its t + 1 blocks at its beginning (1, 2, ...), the others at its end (-1, -2, ...). One of
+    the two halves has fewer edits than blocks, so that some block i, as counted from that end, is whole and has at most
+    i - 1 edits before it: the other line has it as far from its end, give or take i - 1 places, however long both are.
+    at: from the beginning, or if negative from the end. still: the line's own block.
+    """
+    left = (t + 2) // 2
+    out = [(i, (i - 1) * size + 1 + off, off == 0) for i in range(1, left + 1) for off in range(1 - i, i)]
+    return out + [(-i, -i * size - off, off == 0) for i in range(1, t + 2 - left) for off in range(1 - i, i)]
+
+
+def shown(rows: DataFrame, keep: list[str], sym: Column, n: Column, tau: int, every: int) -> DataFrame:
+    """keep, t, index, _key: for each place where a line of n symbols (sym) may have a block of a line that is as long or
+    shorter. Its own blocks are entries of the index, and probes at once.
+
+    The places are those of the line's own band, and of a lower one that the shorter line may be in.
+    """
+    plan = bands(tau, every)
+    cuts = sorted({x for t, low, end, _ in plan for x in (low, end + t) if x < 1 << 31})
+    chosen = F.when(n < cuts[0], None)
+    for low, high in zip(cuts, [*cuts[1:], None], strict=True):
+        each = [(t, size, *p[:2], p[2] and low < end) for t, least, end, size in plan if least <= low < end + t for p in places(t, size)]
+        some = F.expr(f"array({', '.join(f'struct{x}' for x in each)})").cast("array<struct<t:int,size:int,block:int,at:int,index:boolean>>")
+        chosen = chosen.otherwise(some) if high is None else chosen.when(n < high, some)
+    spots = rows.select(*keep, sym.alias("sym"), F.explode(chosen).alias("_x")).select(*keep, "sym", "_x.*")
+    return spots.select(*keep, "t", "index", F.xxhash64("t", "size", "block", F.slice("sym", F.col("at"), F.col("size"))).alias("_key"))
+
+
 def probed(rows: DataFrame, keep: list[str], sym: Column, n: Column, chosen: Column, index: Column, parent: list[str] | None = None) -> DataFrame:
     """keep, t, d, i, o, index, _key and sym, once for each of the chosen probes of a row (of lines of more than t symbols).
 
@@ -356,8 +406,9 @@ def place() -> Column:
 
 def lines_of(docs: DataFrame, unit: str) -> DataFrame:
     """_k, _h, pos, place, the line in its plain form, and its 128-bit name, of each line that has a word."""
-    each = docs.where(F.col("text").isNotNull()).select("_k", "_h", place().alias("_p"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = each.withColumn("line", plain(F.col("line"), unit)).where("line <> ''")
+    # A document's order is made once, not for each of its lines; the test for a word reads a line's first symbols only.
+    each = docs.where(F.col("text").isNotNull()).select("_k", "_h", place().alias("_p"), "text").select("_k", "_h", "_p", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = each.where(F.ltrim("line", F.lit(" " + SPACES)) != "").withColumn("line", plain(F.col("line"), unit))
     return lines.select("_k", "_h", "pos", (F.col("_p") + F.col("pos")).cast("decimal(38,0)").alias("place"), "line", F.xxhash64("line").alias("_a"), F.xxhash64(F.lit(17), "line").alias("_b"))
 
 
@@ -365,7 +416,8 @@ def near(distinct: DataFrame, tau: int, every: int, unit: str) -> DataFrame:
     """Lines (_a, _b; some more than once) that an earlier line is within reach of."""
     n = F.col("n")
     sized = distinct.where(n >= every).withColumn("sym", symbols(F.col("line"), unit)).withColumn("open", F.lit(True))
-    flat = probed(sized, [*ID, "first", "n", "open"], F.col("sym"), n, slots(n, tau, every), F.lit(True)).drop("sym")
+    keep = [*ID, "first", "n", "open"]
+    flat = probed(sized, keep, F.col("sym"), n, slots(n, tau, every), F.lit(True)).drop("sym") if tau == 1 else shown(sized, keep, F.col("sym"), n, tau, every)
     shared = counted(likely(flat), "_open")
     texts = semi(distinct.select(*ID, "line"), stage(shared.select(*ID).distinct(), "lines-some"), ID)
     texts = stage(texts.select(*ID, symbols(F.col("line"), unit).alias("sym")), "lines-texts")
@@ -392,10 +444,11 @@ def dedup(docs: DataFrame, tau: int = TAU, every: int = EVERY, unit: str = UNIT,
     line stands where it first occurs, by doc_id, then position. Lines without a word only set others apart:
     they stay.
 
-    Equal lines are one row from the start (combined before the shuffle). A line that may have t edits is cut
-    into t + 1 segments, one of which the other line must hold whole: each line enters its segments into an index
-    by length, and looks for the segments of lines as long and up to t shorter at the places they can have moved
-    to. Keys are counted first (combined before the shuffle); lines that share one are verified by a banded
+    Equal lines are one row from the start (combined before the shuffle). A line that may have t edits holds t + 1
+    blocks, half of them at its beginning, half at its end, one of which the other line must hold whole: each line
+    enters its blocks into an index, and looks for those of others at the places they can have moved to (`places`;
+    for one edit at most, segments of lines of one length, so that keys of many lines can be halved: `probes`).
+    Keys are counted first (combined before the shuffle); lines that share one are verified by a banded
     bit-parallel edit distance.
 
     Null text: no lines, stays null. Empty text: one empty line. Null ids come last, in the order of a hash of
@@ -409,7 +462,7 @@ def dedup(docs: DataFrame, tau: int = TAU, every: int = EVERY, unit: str = UNIT,
     lines = lines_of(base, unit)
     above = owner()
     with owned(docs.sparkSession):  # all but the lines that are told goes from the disk before the texts are read again
-        distinct = stage(lines.groupBy(*ID).agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.first("line").alias("line")).withColumn("n", F.size(symbols(F.col("line"), unit))), "lines-distinct")
+        distinct = stage(lines.groupBy(*ID).agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.first("line").alias("line")).withColumn("n", symbol_count(F.col("line"), unit)), "lines-distinct")
         gone = near(distinct, tau, every, unit) if tau else distinct.select(*ID).where("false")
         gone = gone.distinct().withColumn("_gone", F.lit(True))
         repeated = stage(distinct.select(*ID, "first", "copies").join(gone, ID, "left").where("copies > 1 OR _gone").select(*ID, "first", "_gone"), "lines-repeated", of=lambda: above)

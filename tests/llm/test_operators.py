@@ -522,6 +522,37 @@ def test_many_lines_around_one(spark, monkeypatch):
     assert sum(n for label, n in made if label == "lines-shared") <= 6 * next(n for label, n in made if label == "lines-shared")
 
 
+@pytest.mark.parametrize("tau,every", [(2, 2), (3, 2), (3, 8), (4, 3), (5, 6)])
+def test_blocks_of_a_line(tau, every):
+    """Two lines within reach share a block of the shorter one, where the longer one looks for it, at every length."""
+    r = random.Random(9)
+    plan = lines.bands(tau, every)
+
+    def shown(x, own):
+        keys = {(t, size, b, tuple(x[at - 1 :] if at > 0 else x[len(x) + at :])[:size]) for t, low, end, size in plan if low <= len(x) < (end if own else end + t) for b, at, still in lines.places(t, size) if still or not own}
+        assert all(len(k[3]) == k[1] for k in keys)
+        return keys
+
+    for _ in range(4000):
+        a = [r.randrange(10**9) for _ in range(r.randrange(every, r.choice([every * tau + 3, 4 * every * tau, 300]) + every))]
+        b = list(a)
+        for _ in range(min(tau, len(a) // every)):
+            i, kind = r.choice([0, 1, len(b) - 1, r.randrange(len(b))]), r.randrange(3)
+            b[i : i + (kind < 2)] = [r.randrange(10**9)] if kind != 1 else []
+        a, b = sorted([a, b], key=len)
+        if len(b) - len(a) <= min(tau, len(a) // every) and distance(tuple(a), tuple(b)) <= min(tau, len(a) // every):
+            assert shown(a, True) & shown(b, False), (a, b)
+
+
+def test_few_probes_of_a_line(spark, monkeypatch):
+    """A line of 24 words or more looks for 8 blocks, near the end of a band for 16; segments of one length took 26."""
+    seen, likely = [], lines.likely
+    monkeypatch.setattr(lines, "likely", lambda flat: (seen.extend(r["count"] for r in flat.groupBy("_a", "_b").count().collect()), likely(flat))[1])
+    texts = [(n, " ".join(f"w{n}-{i}" for i in range(n))) for n in range(1, 150)]
+    assert sum(r.n_removed for r in lines.dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()) == 0
+    assert len(seen) == 142 and max(seen) <= 16 and sum(seen) <= 10 * len(seen)
+
+
 @pytest.mark.parametrize("tau", [1, 2, 3])
 def test_banded_distance(spark, tau):
     r = random.Random(6)
